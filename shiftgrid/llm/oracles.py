@@ -3,8 +3,8 @@
 #: Integer inner products by position; components that a vector lacks count as zero.
 OP2 = """
 WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-           AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-i AS (SELECT vec_id, list_transform(e, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w FROM v),
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+i AS (SELECT vec_id, list_transform(e, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w FROM v),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
       FROM i q JOIN i c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
@@ -14,8 +14,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 #: Links by cosine, components by reachability.
 OP7 = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-           AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-           AND len(list_filter(embedding, x -> x <> 0)) > 0),
+           AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
 reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
