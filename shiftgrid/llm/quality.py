@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.llm.trees import boost, paths
-from shiftgrid.llm.util import text_of
+from shiftgrid.llm.util import hash_sample, text_of
 
 #: Fixed: rows whose crc32(doc_id as text) mod this is 0 are held out.
 FOLDS = 5
@@ -30,21 +30,22 @@ def _share(n: Column, of: Column) -> Column:
 
 def statistics(text: Column) -> dict[str, Column]:
     """Statistics of whole texts, all JVM-side. An empty text has 0 in every one."""
-    chars, words = F.length(text), F.regexp_count(text, F.lit(r"\S+"))
+    chars = F.length(text)
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    tokens = F.split(text, " ")
-    lines = F.split(text, "\n")
+    without = lambda mark: chars - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    tokens, lines = F.split(text, " "), F.split(text, "\n")
+    words = F.when(chars == 0, 0).otherwise(F.size(tokens))
+    # Runs are counted rather than characters where a run tells as much: a scan pays for each match.
     return {
         "words": words.cast("double"),
         "word_length": _share(chars, words),
-        "upper": _share(count(r"\p{Lu}"), chars),
-        "letters": _share(count(r"\p{L}"), chars),
-        "digits": _share(count(r"\p{Nd}"), chars),
-        "symbols": _share(count(r"[^\p{L}\p{N}\s.,!?'\-]"), words),
-        "bangs": _share(count(r"[!?]"), words),
-        "stops": _share(count(r"[.,]"), words),
-        "doubled": _share(count(r"([^\p{L}\p{N}\s])\1"), words),
-        "distinct": F.when(chars == 0, 0.0).otherwise(_share(F.size(F.array_distinct(tokens)), F.size(tokens))),
+        "upper": _share(count(r"\p{Lu}+"), words),
+        "digits": _share(count(r"[0-9]+"), words),
+        "symbols": _share(count(r"[#$%&*|<>{}\[\]~^=+_/\\@]+"), words),
+        "repeats": _share(count(r"[!?*#%$&=_~.-]{2,}"), words),
+        "bangs": _share(without("!"), words),
+        "stops": _share(without("."), words),
+        "distinct": F.when(chars == 0, 0.0).otherwise(_share(F.size(F.array_distinct(tokens)), words)),
         "new_lines": F.when(chars == 0, 0.0).otherwise(_share(F.size(F.array_distinct(lines)), F.size(lines))),
         "line_words": _share(words, F.size(lines)),
     }
@@ -73,17 +74,19 @@ class RuleModel:
 
 def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
     """Accelerated proximal gradient for logistic loss plus ``penalty`` times the L1 norm, bias free."""
-    a = np.hstack([np.ones((len(z), 1)), z])
-    step = 4 * len(y) / max(np.linalg.norm(a, 2) ** 2, 1e-9)
-    w = v = np.zeros(a.shape[1])
-    t = 1.0
+    n, y = len(y), y.astype(np.float32)
+    step = 4 * n / max(float(np.linalg.eigvalsh((z.T @ z).astype(float))[-1]) + n, 1e-9)
+    w, bias = np.zeros(z.shape[1], np.float32), 0.0
+    v, v_bias, t = w, bias, 1.0
     for _ in range(rounds):
-        grad = a.T @ (1 / (1 + np.exp(-(a @ v))) - y) / len(y)
-        new = v - step * grad
-        new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
+        off = 1 / (1 + np.exp(-np.clip(z @ v + v_bias, -30, 30))) - y
+        new, new_bias = v - step * (z.T @ off) / n, v_bias - step * float(off.mean())
+        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
-    return float(w[0]), w[1:]
+        by = np.float32((t - 1) / t_new)
+        v, v_bias = new + by * (new - w), new_bias + float(by) * (new_bias - bias)
+        w, bias, t = new, new_bias, t_new
+    return bias, w
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], penalty: float = 2e-4) -> RuleModel:
@@ -93,15 +96,14 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], penalty: flo
         return RuleModel(names, float(np.log(mean / (1 - mean))), (), ())
     _, trees = boost(x, y, n_trees=40, depth=3, rate=0.3)
     rules = list(dict.fromkeys(p for t in trees for p in paths(t)))
-    z = np.empty((len(x), len(rules)))
+    z = np.empty((len(x), len(rules)), bool)
     for j, rule in enumerate(rules):
-        holds = np.ones(len(x), bool)
+        z[:, j] = True
         for f, t, above in rule:
-            holds &= (x[:, f] > t) if above else (x[:, f] <= t)
-        z[:, j] = holds
-    _, first = np.unique(z, axis=1, return_index=True)  # rules that hold on the same rows are one
-    first = np.sort(first)
-    bias, w = _lasso(z[:, first], y, penalty)
+            z[:, j] &= (x[:, f] > t) if above else (x[:, f] <= t)
+    bits = np.packbits(z, axis=0)
+    first = list({bits[:, j].tobytes(): j for j in reversed(range(len(rules)))}.values())[::-1]  # rules that hold on the same rows are one
+    bias, w = _lasso(z[:, first].astype(np.float32), y, penalty)
     kept = [(rules[j], float(c)) for j, c in zip(first, w, strict=True) if abs(c) > 1e-6]
     return RuleModel(names, bias, tuple(r for r, _ in kept), tuple(c for _, c in kept))
 
@@ -113,11 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> RuleModel
     """
     told = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     told = told.groupBy("doc_id").agg(F.max("quality").alias("_y"))
-    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    told = hash_sample(told, ("doc_id",), max_rows, told.count())
     named = statistics(text_of())
     rows = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id")  # at most max_rows short rows
-    rows = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_rows)
-    got = rows.select(*(c.alias(k) for k, c in named.items()), F.col("_y").cast("double")).toPandas()
+    # Statistics, not texts, are ordered and sent to the driver.
+    rows = rows.select(*(c.alias(k) for k, c in named.items()), F.col("_y").cast("double").alias("_y"), F.xxhash64("doc_id").alias("_a"), F.xxhash64("text").alias("_b"))
+    got = rows.orderBy("_a", "_b").limit(max_rows).toPandas()
     x, y = got[list(named)].to_numpy(float), got["_y"].to_numpy(float)
     return fit_rules(x, (y > 0.5).astype(float), tuple(named))
 

@@ -47,3 +47,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
+
+
+def hash_sample(df: DataFrame, keys: tuple[str, ...], rows: int, total: int) -> DataFrame:
+    """About ``rows`` of ``total`` rows, never more: those of the smallest hashes of ``keys``.
+
+    A threshold on the hash, set for twice as many, comes before the ordering, so that what tasks send
+    to the driver is bounded by the sample, not by the number of tasks.
+    """
+    share = min(1.0, 2.0 * rows / max(total, 1))
+    h = F.shiftrightunsigned(F.xxhash64(*keys), 1)
+    got = df if share == 1.0 else df.where(h < int(share * 2**63))
+    return got.withColumn("_h", h).orderBy("_h", *keys).limit(rows).drop("_h")
