@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.llm.graph import components
-from shiftgrid.llm.util import written
+from shiftgrid.llm.util import hash_sample, written
 
-#: Vectors of a tile.
-TILE = 1536
+#: Vectors of a tile, and of the blocks that tiles are compared in.
+TILE, BLOCK = 6144, 1024
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -24,24 +24,31 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, embedding) to (vec_id, vec): the doubles' bytes, null where the row links with nothing."""
-    for b in batches:
-        arr = b.column("embedding")
-        ids = b.column("vec_id").to_pylist()
-        out = []
-        for k, got in enumerate(arr):
-            v = got.values.to_numpy(zero_copy_only=False).astype(float) if got.is_valid else np.zeros(0)
-            out.append(v.tobytes() if ids[k] is not None and len(v) and np.isfinite(v).all() and v.any() else None)
-        yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "vec"])
+def _usable(kind: str):
+    """(vec_id, embedding) to (vec_id, vec): the numbers' bytes, null where the row links with nothing."""
 
+    def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            arr, named = b.column("embedding"), b.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
+            flat = arr.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null components as NaN
+            start = arr.offsets.to_numpy()
+            there = arr.is_valid().to_numpy(zero_copy_only=False) & named
+            out = []
+            for k in range(len(arr)):
+                v = flat[start[k] : start[k + 1]]
+                # -0.0 is made 0.0, so that equal vectors have equal bytes.
+                out.append((v + 0.0).astype(kind).tobytes() if there[k] and len(v) and np.isfinite(v).all() and v.any() else None)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
-def _pca(reps: DataFrame, sample: int) -> dict[int, np.ndarray]:
+    return usable
+
+
+def _pca(reps: DataFrame, n: int, sample: int, kind: str) -> dict[int, np.ndarray]:
     """For each length of vectors, principal directions (largest first) of a bounded sample."""
-    got = reps.orderBy(F.xxhash64("rid"), "rid").limit(sample).select("vec").toPandas()["vec"]
+    got = hash_sample(reps.select("vec"), ("vec",), sample, n).toPandas()["vec"]
     by: dict[int, list] = {}
     for b in got:
-        by.setdefault(len(b) // 8, []).append(np.frombuffer(b))
+        by.setdefault(len(b) // np.dtype(kind).itemsize, []).append(np.frombuffer(b, kind).astype(float))
     out = {}
     for dim, rows in by.items():
         x = _units(np.stack(rows))
@@ -50,9 +57,8 @@ def _pca(reps: DataFrame, sample: int) -> dict[int, np.ndarray]:
     return out
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(size: int):
     """Rows sorted by (dim, y) to tiles of one dim."""
-    held: list = []
 
     def tile(rows):
         ids, copies, vecs, dims, ys = (list(c) for c in zip(*rows, strict=True))
@@ -61,46 +67,42 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vecs)], pa.binary())],
             names=["dim", "lo", "hi", "ids", "copies", "mat"])
 
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("rid", "m", "vec", "dim", "y")), strict=True):
-            if held and (len(held) == TILE or held[-1][3] != row[3]):
-                yield tile(held)
-                held = []
-            held.append(row)
-    if held:
-        yield tile(held)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("rid", "m", "vec", "dim", "y")), strict=True):
+                if held and (len(held) == size or held[-1][3] != row[3]):
+                    yield tile(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield tile(held)
+
+    return packed
+
 
+def _leading(r: np.ndarray, k: int) -> np.ndarray:
+    """The first ``k`` rotated dimensions and the norm of the rest: products of two such rows bound the cosine."""
+    return np.hstack([r[:, :k], np.sqrt((r[:, k:] ** 2).sum(1, keepdims=True))]).astype(np.float32)
 
-def linked(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, least: float, steps: tuple[int, ...]) -> np.ndarray:
-    """Which cosines of the unit rows of ``a`` and ``b`` reach ``least``; ``ra``, ``rb``: both rotated.
 
-    Sums over leading rotated dimensions plus the product of the suffix norms bound the cosine from
-    above; rows and columns without a pair that can still reach it are left out of later steps.
+def linked(a: np.ndarray, b: np.ndarray, leads: list[tuple[np.ndarray, np.ndarray]], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every cosine of the unit rows of ``a`` and ``b`` that reaches ``least``.
+
+    ``leads``: for each step the leading parts of both, with more dimensions each. Where few pairs can
+    still reach the threshold those are computed in double precision; if many remain after the last
+    step, all are. Bounds are in single precision, with room for its rounding.
     """
-    dim = a.shape[1]
-    out = np.zeros((len(a), len(b)), bool)
-    rows, cols = np.arange(len(a)), np.arange(len(b))
-    done, part = 0, np.zeros((len(a), len(b)))
-    for upto in steps:
-        if upto >= dim:
-            break
-        part = part + ra[rows, done:upto] @ rb[cols, done:upto].T
-        done = upto
-        sa, sb = (np.sqrt((r[i, upto:] ** 2).sum(1)) for r, i in ((ra, rows), (rb, cols)))
-        may = part + np.outer(sa, sb) >= least - 1e-9
-        r, c = may.any(1), may.any(0)
-        if not r.any():
-            return out
-        if may.sum() < 0.02 * may.size or may.sum() < 4096:
-            i, j = np.nonzero(may)
-            i, j = rows[i], cols[j]
-            for k in range(0, len(i), 65536):
-                s = slice(k, k + 65536)
-                out[i[s], j[s]] = np.einsum("ij,ij->i", a[i[s]], b[j[s]]) >= least
-            return out
-        rows, cols, part = rows[r], cols[c], part[np.ix_(r, c)]
-    out[np.ix_(rows, cols)] = a[rows] @ b[cols].T >= least
-    return out
+    for la, lb in leads:
+        may = la @ lb.T >= least - 1e-4
+        n = np.count_nonzero(may)
+        if n == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if n <= 0.02 * may.size:
+            i, j = np.divmod(np.flatnonzero(may), may.shape[1])
+            near = np.concatenate([np.einsum("ij,ij->i", a[i[k : k + 16384]], b[j[k : k + 16384]]) for k in range(0, n, 16384)]) >= least
+            return i[near], j[near]
+    return np.nonzero(a @ b.T >= least)
 
 
 def _forest(link: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> list[tuple[int, int]]:
@@ -126,37 +128,55 @@ def _forest(link: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> list[tuple[int,
     return edges
 
 
-def _compare(bases: dict[int, np.ndarray], least: float, steps: tuple[int, ...]):
+def _compare(bases: dict[int, np.ndarray], least: float, steps: tuple[int, ...], kind: str, block: int):
     """Pairs of tiles to rows (a, b, n): edges of a forest with n 0, and linked copies n of a, b null."""
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+
+    def prepared(mat, dim):
+        x = _units(np.frombuffer(mat, kind).reshape(-1, dim).astype(float))
+        r = x @ bases.get(dim, np.eye(dim))
+        return x, r[:, 0], [_leading(r, k) for k in steps if k < dim]
 
     def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             for r in df.itertuples(index=False):
-                dim = int(r.dim)
-                basis = bases.get(dim, np.eye(dim))
-                a, b = (_units(np.frombuffer(m).reshape(-1, dim)) for m in (r.mat, r.mat2))
+                dim, same = int(r.dim), r.t == r.t2
+                a, ya, la = prepared(r.mat, dim)
+                b, yb, lb = (a, ya, la) if same else prepared(r.mat2, dim)
                 ia, ib = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids2, np.int64)
-                link = linked(a, b, a @ basis, b @ basis, least, steps)
-                same = r.t == r.t2
-                if same:
-                    link |= link.T
-                    np.fill_diagonal(link, False)
-                if not link.any():
-                    continue
                 ma, mb = np.frombuffer(r.copies, np.int64), np.frombuffer(r.copies2, np.int64)
-                na, nb = link @ mb, np.zeros(0, np.int64) if same else link.T @ ma
-                edges = np.array(_forest(link, ia, ib), np.int64).reshape(-1, 2)
+                na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+                edges: list[tuple[int, int]] = []
+                for s in range(0, len(a), block):
+                    u = slice(s, s + block)
+                    for t in range(s if same else 0, len(b), block):
+                        v = slice(t, t + block)
+                        if yb[v].min() > ya[u].max() + reach or ya[u].min() > yb[v].max() + reach:
+                            continue
+                        i, j = linked(a[u], b[v], [(x[u], y[v]) for x, y in zip(la, lb, strict=True)], least)
+                        if same and s == t:
+                            i, j = i[i < j], j[i < j]
+                        if not len(i):
+                            continue
+                        np.add.at(na, i + s, mb[v][j])
+                        np.add.at(na if same else nb, j + t, ma[u][i])
+                        link = np.zeros((len(a[u]), len(b[v])), bool)
+                        link[i, j] = True
+                        if same and s == t:
+                            link |= link.T
+                        edges += _forest(link, ia[u], ib[v])
+                e = np.array(edges, np.int64).reshape(-1, 2)
                 hit_a, hit_b = np.flatnonzero(na), np.flatnonzero(nb)
                 yield pd.DataFrame({
-                    "a": np.r_[edges[:, 0], ia[hit_a], ib[hit_b]],
-                    "b": np.r_[edges[:, 1], np.full(len(hit_a) + len(hit_b), -1)],
-                    "n": np.r_[np.zeros(len(edges), np.int64), na[hit_a], nb[hit_b]],
+                    "a": np.r_[e[:, 0], ia[hit_a], ib[hit_b]],
+                    "b": np.r_[e[:, 1], np.full(len(hit_a) + len(hit_b), -1)],
+                    "n": np.r_[np.zeros(len(e), np.int64), na[hit_a], nb[hit_b]],
                 })
 
     return compared
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_000, steps: tuple[int, ...] = (8, 16, 32)) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_000, steps: tuple[int, ...] = (16, 32), tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Links are cosines of at least ``least`` in double precision. Equal vectors are compared once, as
@@ -167,27 +187,31 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     id, kept (null for a null id). Vectors of different lengths do not link. Repeated rows with one
     id count each other as links and get equal results.
     """
-    rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_usable, "vec_id long, vec binary"), "vectors")
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = "<f4" if element == "float" else "<f8"
+    rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_usable(kind), "vec_id long, vec binary"), "vectors")
     reps = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("m"))
-    reps = reps.withColumn("dim", (F.octet_length("vec") / 8).cast("int"))
+    reps = reps.withColumn("dim", (F.octet_length("vec") / np.dtype(kind).itemsize).cast("int"))
     # An id may belong to several vectors: nodes are numbered by vector.
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
     n = reps.count()
-    bases = _pca(reps, sample)
+    bases = _pca(reps, n, sample, kind)
     first = {dim: b[:, 0] for dim, b in bases.items()}
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             y = np.zeros(len(df))
-            for k, (vec, dim) in enumerate(zip(df["vec"], df["dim"], strict=True)):
+            for dim in df["dim"].unique():
+                own = np.flatnonzero(df["dim"] == dim)
                 if dim in first:
-                    y[k] = float(_units(np.frombuffer(vec).reshape(1, -1))[0] @ first[dim])
+                    x = np.frombuffer(b"".join(df["vec"].iloc[own]), kind).reshape(len(own), dim).astype(float)
+                    y[own] = _units(x) @ first[dim]
             yield df.assign(y=y)
 
     placed = reps.select(F.col("node").alias("rid"), "m", "vec", "dim").mapInPandas(project, "rid long, m long, vec binary, dim int, y double")
-    parts = max(1, -(-n // (TILE * 4)))
+    parts = max(1, -(-n // tile))
     tiles = placed.repartitionByRange(parts, "dim", "y", "rid").sortWithinPartitions("dim", "y", "rid")
-    tiles = tiles.mapInArrow(_pack, "dim int, lo double, hi double, ids binary, copies binary, mat binary")
+    tiles = tiles.mapInArrow(_pack(tile), "dim int, lo double, hi double, ids binary, copies binary, mat binary")
     tiles = written(tiles.withColumn("t", F.monotonically_increasing_id()), "tiles")
     # Linked unit vectors are at most this far apart, in every coordinate.
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
@@ -198,7 +222,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     right = tiles.select(*(F.col(c).alias(f"{c}2") for c in ("t", "ids", "copies", "mat")))
     met = pairs.join(tiles, "t").join(right, "t2").repartition(max(1, min(pairs.count(), 2000)), "t", "t2")
     met = met.select("t", "t2", "dim", "ids", "copies", "mat", "ids2", "copies2", "mat2")
-    found = written(met.mapInPandas(_compare(bases, least, steps), "a long, b long, n long"), "links")
+    found = written(met.mapInPandas(_compare(bases, least, steps, kind, block), "a long, b long, n long"), "links")
     comp = written(components(found.where("n = 0").select("a", "b")), "components")
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     done = reps.select("vec", "rid", "m", "node").join(counts, F.col("node") == F.col("a"), "left").drop("a")

@@ -85,11 +85,10 @@ def brute_links(rows, least=0.95):
     return sorted(((i, len(near[k]), least_id[comp[k]], None if i is None else i == least_id[comp[k]]) for k, (i, _) in enumerate(rows)), key=str)
 
 
-def test_vector_dedup(spark, vectors, monkeypatch):
+def test_vector_dedup(spark, vectors):
     want = brute_links([(r.vec_id, r.embedding) for r in vectors.collect()])
     assert sorted(map(tuple, vecdup.near_duplicates(vectors).collect()), key=str) == want
-    monkeypatch.setattr(vecdup, "TILE", 16)
-    assert sorted(map(tuple, vecdup.near_duplicates(vectors, steps=(2, 4)).collect()), key=str) == want
+    assert sorted(map(tuple, vecdup.near_duplicates(vectors, steps=(2, 4), tile=48, block=16).collect()), key=str) == want
     assert vecdup.near_duplicates(vectors.limit(0)).count() == 0
     emb = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = QUERIES["op7_vector_dedup"](spark, SF).collect()
