@@ -33,7 +33,7 @@ def tiles(pair: DataFrame, tile: int, halo: int, complex_: bool = False) -> Data
     of = {"refr": "ref.re", "refi": "ref.im", "secr": "sec.re", "seci": "sec.im"} if complex_ else {"refr": "ref", "secr": "sec"}
     flat = spread.select("pair_id", "tr", "tc", "r", "c", *(F.col(of[n]).cast("double").alias(n) for n in names), "valid")
 
-    def packed(key, df: pd.DataFrame) -> pd.DataFrame:
+    def packed(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         pid, tr, tc = key
         r0, c0 = int(tr) * tile + 1 - halo, int(tc) * tile + 1 - halo
         i, j = df["r"].to_numpy() - r0, df["c"].to_numpy() - c0
