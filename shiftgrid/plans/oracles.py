@@ -285,3 +285,46 @@ SELECT site, ref_id || '-' || sec_id AS pair_id, ref_id, sec_id, round((epoch_us
     "track": track_sql(6),
     "track_arrow": track_sql(3),
 }
+
+
+def _scattered() -> str:
+    """Points at part keys with priors (-2, -1): the chip is cut two columns and one row on, outside is zero."""
+    chip = CHIP.replace("s.r = y - 4 + i.k AND s.c = x - 4 + j.k", "s.r = y + 1 - 4 + i.k AND s.c = x + 2 - 4 + j.k")
+    pt = "pt AS (SELECT CAST(p_partkey AS BIGINT) AS pt_id, CAST(p_partkey % 44 + 10 AS INTEGER) AS x, CAST(p_partkey * 7 % (n - 20) + 10 AS INTEGER) AS y FROM part, dims WHERE p_partkey < 200)"
+    return (f"WITH {PX}, {WRAP}, {pt}, {OFF8}, {chip}, {ZNCC}, {PEAK} SELECT pt_id, sx - 4 - 2 + 0.0::DOUBLE AS dx, sy - 4 - 1 + 0.0::DOUBLE AS dy, "
+            "round(score, 6) + 0.0 AS correlation, true AS searched FROM pk")
+
+
+def _turned(angle: float) -> str:
+    """Chips of ``sec`` turned by an angle that is not zero, as in rotate_chip."""
+    a = f"radians({angle}::DOUBLE)"
+    return f"""tn AS (SELECT i.k AS i, j.k AS j, 4.5 + cos({a}) * (i.k - 3.5) + sin({a}) * (j.k - 3.5) AS sy, 4.5 - sin({a}) * (i.k - 3.5) + cos({a}) * (j.k - 3.5) AS sx FROM o8 i CROSS JOIN o8 j),
+tp AS (SELECT i, j, floor(sy) AS a, floor(sx) AS b, sy - floor(sy) AS fy, sx - floor(sx) AS fx FROM tn),
+cl AS (SELECT pt_id, i, j, fy, fx, y - 5 + a AS r0, x - 5 + b AS c0, a >= 1 AND b >= 1 AND a + 1 <= 8 AND b + 1 <= 8 AS inside FROM pt CROSS JOIN tp),
+chip AS (SELECT pt_id, i, j, CASE WHEN inside THEN (1 - fy) * ((1 - fx) * p.v + fx * q.v) + fy * ((1 - fx) * s.v + fx * t.v) ELSE 0 END AS v
+  FROM cl LEFT JOIN sec p ON p.r = r0 AND p.c = c0 LEFT JOIN sec q ON q.r = r0 AND q.c = c0 + 1 LEFT JOIN sec s ON s.r = r0 + 1 AND s.c = c0 LEFT JOIN sec t ON t.r = r0 + 1 AND t.c = c0 + 1)"""
+
+
+def _rotations() -> str:
+    parts = [f"SELECT * FROM (WITH {PX}, {SEC}, {GRID}, {OFF8}, {_turned(a) if a else CHIP}, {ZNCC} SELECT pt_id, {k} AS angle_idx, max(round(coalesce(score, 0), 9)) AS p, max(coalesce(score, 0)) AS s FROM zs GROUP BY pt_id) q{k}"
+             for k, a in enumerate((-6.0, 0.0, 6.0))]
+    return ("WITH every AS (" + " UNION ALL ".join(parts) + "), b AS (SELECT pt_id, angle_idx, s, row_number() OVER (PARTITION BY pt_id ORDER BY p DESC, angle_idx) AS k FROM every) "
+            "SELECT pt_id, CAST(angle_idx AS INTEGER) AS angle_idx, round(s, 6) + 0.0 AS peak FROM b WHERE k = 1")
+
+
+def _levels() -> str:
+    """One level of chip 8 on the grid that is inset for chip 16, refined to an eighth and rejected; nothing is left for a second."""
+    grid = GRID.replace("10 + 8 * (k.i - 1)", "14 + 8 * (k.i - 1)").replace("64 - 9", "64 - 13").replace("n - 9", "n - 13")
+    found = "fd AS (SELECT gi, gj, fp.x / 8.0::DOUBLE + j0 - 4 AS dx, fp.y / 8.0::DOUBLE + i0 - 4 AS dy, 4 AS radius FROM pt JOIN fp ON fp.pt_id = pt.pt_id JOIN ap ON ap.pt_id = pt.pt_id)"
+    rejected = rejection().replace(FIELD, found).replace("64 * 8", "8 * 4")
+    return (f"WITH {PX}, {WRAP}, {grid}, {OFF8}, {CHIP}, {ZNCC}, {PEAK}, {PATCH}, {cascade()}, {FINE}, {rejected}, lv AS (SELECT pt.gi, pt.gj, round(x4, 6) + 0.0 AS dx, round(y4, 6) + 0.0 AS dy, "
+            "CASE WHEN x4 IS NULL THEN 0 ELSE 8 END AS chip_size, false AS interpolated FROM pt LEFT JOIN (SELECT gi, gj, x * 4 AS x4, y * 4 AS y4 FROM k5) k ON k.gi = pt.gi AND k.gj = pt.gj)")
+
+
+ORACLES |= {
+    "track_scattered": _scattered(),
+    "rotation_search": _rotations(),
+    "multichip_track": f"{_levels()} SELECT gi, gj, dx, dy, chip_size, interpolated FROM lv",
+    "result_layers": f"""{_levels()} SELECT 'vx' AS layer, gi, gj, -dx + 0.0 AS value FROM lv UNION ALL SELECT 'vy', gi, gj, dy FROM lv UNION ALL SELECT 'chip_size', gi, gj, chip_size::DOUBLE FROM lv
+UNION ALL SELECT 'interpolated', gi, gj, CASE WHEN interpolated THEN 1 ELSE 0 END::DOUBLE FROM lv""",
+}
