@@ -27,18 +27,18 @@ BASE = {
 }
 #: Candidates: what may be personal data in looser formats.
 LOOSE = {
-    "mail": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:@|[\[({<]\s?(?:at|AT)\s?[\])}>]|\s(?:at|AT)\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({<]\s?(?:dot|DOT)\s?[\])}>]|\s(?:dot|DOT)\s)\s?[A-Za-z0-9-]{2,63}){1,4}",
+    "mail": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:@|[\[({<]\s?(?:at|AT)\s?[\])}>]|\s(?:at|AT)\s)\s?[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT)\s?[\])}>]\s?|\s(?:dot|DOT)\s)[A-Za-z0-9-]{2,63}){1,4}",
     "number": r"(?<![\w.+-])(?:\+\s?)?\(?[0-9]{2,6}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,6}\)?){1,5}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "digits": r"(?<![\w.@-])[0-9]{9,19}(?![\w@-])",
 }
 #: Words before a span that say what it is; groups are features.
 HINTS = {
-    "call": r"(?i)(?:phone|tel|telephone|call|fax|mobile|cell|whatsapp|sms|ring|dial|contact|téléphone|telefon|teléfono)",
-    "pay": r"(?i)(?:card|visa|mastercard|amex|credit|debit|account|iban|bank|konto|carte|tarjeta)",
-    "self": r"(?i)(?:ssn|social security|passport|tax id|national id|driver|licen[cs]e no|insured)",
-    "mail": r"(?i)(?:e-?mail|mail|write|reach|contact|address)",
-    "order": r"(?i)(?:order|invoice|isbn|issn|version|build|ticket|part|model|page|vol|no\.|nr\.|serial|sku|token|id|ref|year|lat|lon|\$|€|£|%)",
+    "call": r"(?i)(?<!\p{L})(?:phone|tel|telephone|call|fax|mobile|cell|whatsapp|sms|ring|dial|contact|téléphone|telefon|teléfono)(?!\p{L})",
+    "pay": r"(?i)(?<!\p{L})(?:card|visa|mastercard|amex|credit|debit|account|iban|bank|konto|carte|tarjeta)(?!\p{L})",
+    "self": r"(?i)(?<!\p{L})(?:ssn|social security|passport|tax id|national id|driver|licen[cs]e no|insured)(?!\p{L})",
+    "mail": r"(?i)(?<!\p{L})(?:e-?mail|mail|write|reach|contact|address)(?!\p{L})",
+    "order": r"(?i)(?:(?<!\p{L})(?:order|invoice|isbn|issn|version|build|ticket|part|model|page|vol|no|nr|serial|sku|token|id|ref|year|lat|lon)(?!\p{L})|[$€£%])",
 }
 CONTEXT = 24
 FEATURES = ("is_mail", "is_number", "is_iban", "is_digits", "digits", "length", "groups", "longest", "first_group", "last_group", "plus", "paren", "slash",
@@ -134,7 +134,7 @@ def examples(n: int = 6_000, seed: int = 3) -> list[tuple[str, str, int]]:
     call, pay, me, mail = ["phone", "tel", "call", "mobile", "fax", "telefon"], ["card", "visa", "iban", "account"], ["ssn", "social security", "passport"], ["email", "mail", "contact", "reach"]
     other = ["order", "invoice", "isbn", "version", "ticket", "model", "page", "serial", "year", "ref"]
     plain = lambda: f"{word()} {word()} "
-    dot, at = [" dot ", " [dot] ", "(dot)", ".", " . "], [" [at] ", "(at)", " (at) ", "[at]", " @ ", " {at} "]
+    dot, at = [" dot ", " [dot] ", "(dot)", "."], [" [at] ", "(at)", " (at) ", "[at]", " @ ", " {at} "]
     yes = [
         lambda: (talk(call), f"({num(3)}) {num(3)}-{num(4)}"), lambda: (talk(call), f"{num(3)}-{num(3)}-{num(4)}"), lambda: (talk(call), f"{num(3)}.{num(3)}.{num(4)}"),
         lambda: (plain(), f"({num(3)}) {num(3)}-{num(4)}"), lambda: (talk(call), f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}"), lambda: (talk(call), f"0{num(3)} {num(6)}"),
@@ -147,7 +147,7 @@ def examples(n: int = 6_000, seed: int = 3) -> list[tuple[str, str, int]]:
         lambda: (plain(), f"{num(4)}-{num(2)}-{num(2)}"), lambda: (talk(other), f"{num(2)}.{num(2)}.{num(4)}"), lambda: (plain(), f"20{num(2)}/20{num(2)}"), lambda: (plain(), f"19{num(2)}-20{num(2)}"),
         lambda: (talk(other), num(int(rng.integers(9, 20)))), lambda: (plain(), num(int(rng.integers(9, 20)))), lambda: (talk(other), f"978-{num(2)}-{num(5)}-{num(2)}"), lambda: (plain(), f"{num(2)} {num(3)} {num(3)}"),
         lambda: (talk(other), f"{num(3)}-{num(3)}-{num(4)}"), lambda: (plain(), f"{num(2)}.{num(3)}.{num(3)}"), lambda: (plain(), f"{num(2)}/{num(2)}/{num(4)}"), lambda: (plain(), f"{num(3)} {num(2)}"),
-        lambda: (plain(), f"{word()} at {word()}.{word()}"), lambda: (plain(), f"{word()} at {word()} . {word()}"), lambda: (plain(), f"{num(4)} {num(4)}"), lambda: (talk(other), f"{num(2)}.{num(2)}.{num(2)}"),
+        lambda: (plain(), f"{word()} at {word()}.{word()}"), lambda: (talk(other), f"{word()} at {word()}.{word()}"), lambda: (plain(), f"{num(4)} {num(4)}"), lambda: (talk(other), f"{num(2)}.{num(2)}.{num(2)}"),
         lambda: (plain(), f"AB{num(2)} {word().upper()[:4]} {word().upper()[:4]}"), lambda: (plain(), f"{num(3)}-{num(4)}"), lambda: (plain(), f"{num(2)}.{num(2)}"), lambda: (plain(), f"{word()} at {word()} dot{word()}.{word()}"),
         lambda: (plain(), f"{num(3)}.{num(3)}.{num(3)}.{num(3)}"), lambda: (plain(), f"{num(2)}.{num(2)}.{num(3)}.{num(2)}"),
     ]
@@ -198,7 +198,7 @@ def fit(spark, precision: float = 0.97) -> SpanModel:
         good = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
         ok = np.flatnonzero(good >= precision)
         if len(ok) and ok[-1] >= 9:
-            least[kind] = float(z[order[ok[-1]]]) - 1e-9
+            least[kind] = max(0.0, float(z[order[ok[-1]]]) - 1e-9)  # never what is likelier not personal
     _MODEL.append(SpanModel(base, tuple(trees), least))
     return _MODEL[0]
 
