@@ -139,17 +139,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), volume: float =
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` takes it, all columns kept.
 
-    Copies belong to (doc_id, source, text's checksum); repeated rows of one share them.
+    Copies belong to (doc_id, source, text's checksum); repeated rows of one share them. Rows are told
+    apart by their place in the stored table, so ``docs`` is to be one read from storage.
     """
-    got = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "crc", "size").agg(F.sum("copies").alias("_copies"))
-    keyed = docs.withColumns({"_crc": F.crc32(text_of()), "_row": F.monotonically_increasing_id()})
-    key = W.partitionBy("doc_id", "source", "_crc").orderBy("_row")
-    got = got.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "crc")), "_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_crc") == F.col("_c"))
-    got = written(got.withColumnRenamed("_crc", "_c"), "taken")
-    met = keyed.join(got, same)
-    # Of a repeated row's n, the copies are dealt in turn: one more for the first ones.
-    n = F.count(F.lit(1)).over(W.partitionBy("doc_id", "source", "_crc"))
-    met = met.withColumn("_own", F.floor(F.col("_copies") / n) + (F.row_number().over(key) <= F.col("_copies") % n).cast("int"))
-    many = met.where("_own > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_own").cast("int"))))
+    got = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "crc").agg(F.sum("copies").alias("_copies"))
+    got = written(got.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("crc").alias("_c"), "_copies"), "taken")
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    narrow = placed.select("_row", "doc_id", "source", F.crc32(text_of()).alias("_crc"))
+    met = narrow.join(got, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_crc") == F.col("_c")))
+    # Of a repeated row's n, the copies are dealt in turn: one more for the first ones. All without the texts.
+    same = W.partitionBy("_d", "_s", "_c")
+    turn = F.row_number().over(same.orderBy("_row")) <= F.col("_copies") % F.count(F.lit(1)).over(same)
+    met = met.withColumn("_own", (F.floor(F.col("_copies") / F.count(F.lit(1)).over(same)) + turn.cast("int")).cast("int"))
+    dealt = written(met.where("_own > 0").select("_row", "_own"), "dealt")
+    # Texts are shuffled once. The plan is the same at every size: ids are never broadcast.
+    many = placed.join(dealt.hint("merge"), "_row").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_own"))))
     return many.select(*docs.columns)
