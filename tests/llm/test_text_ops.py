@@ -126,23 +126,50 @@ def test_simhash_tiles_and_masks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 5)
     base = [rng.getrandbits(64) for _ in range(6)]
     fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(40)}
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    rows = [(i, f) for i, f in enumerate(signed)]
-    got = simhash.classes(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
-    want = brute_classes([(i, f & (2**64 - 1)) for i, f in rows], 4)
-    assert {r.fp: r.component_id for r in got} == {f: want[f & (2**64 - 1)] for f in signed}
+    rows = list(enumerate(fps))
+    got = simhash.classes(spark.createDataFrame([(i, f.to_bytes(8)) for i, f in rows], "doc_id long, fp binary")).collect()
+    assert {int.from_bytes(r.fp): r.component_id for r in got} == brute_classes(rows, 4)
+
+
+def brute_kept(rows):
+    """Ids that stay of (id, text): the smallest of each component by distances of wide fingerprints; and the pairs of shingle sets."""
+    shingles = {i: simhash.shingle_hashes(t, 5) for i, t in rows}
+    prints = [(i, int.from_bytes(simhash.fingerprint(h, simhash.WIDE_WORDS))) for i, h in shingles.items()]
+    comp = brute_classes(prints, simhash.distance_of(0.775, 64 * simhash.WIDE_WORDS))
+    return {i: comp[f] for i, f in prints}, {i: set(h) for i, h in shingles.items()}
 
 
 def test_keep_one(spark, odd, docs):
-    path_rows = docs
-    kept = simhash.keep_one(path_rows, width=5).collect()
-    prints = [(r.doc_id, brute_print(r.text, 5)) for r in docs.collect()]
-    comp = brute_classes(prints, 4)
-    assert sorted(r.doc_id for r in kept) == sorted({comp[f] for _, f in prints})
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want, sets = brute_kept(rows)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert set(want.values()) <= kept and len(kept) <= len(set(want.values())) * 1.02
+    for i, a in sets.items():  # clear copies never stay side by side
+        for j, b in sets.items():
+            assert not (i < j and i in kept and j in kept and len(a & b) >= 0.9 * len(a | b) and len(a) > 20)
     assert docs.columns == simhash.keep_one(docs).columns
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def test_keep_one_of_edited_copies(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(60):
+        base = [word() for _ in range(300)]
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 5):
+            t = list(base)
+            for _ in range(k):  # k edits: similarity about (296 - 5 k) / (296 + 5 k)
+                t[rng.randrange(300)] = word()
+            rows.append((10 * g + k, " ".join(t)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert kept == [10 * g for g in range(60)]
+
+
 def test_graph(spark):
     from shiftgrid.llm.graph import components
 
