@@ -19,7 +19,7 @@ from shiftgrid.operators.resample import cell_max_radius, dilate_within, fill_ho
 from shiftgrid.params import Params
 
 PT = ["pair_id", "pt_id"]
-#: Products a pair beyond which the pixel-row form gives way to packed tiles.
+#: Products of chip pixels and shifts beyond which the pixel-row form gives way to packed tiles.
 PIXEL_ROW_LIMIT = 1e8
 
 
@@ -40,8 +40,11 @@ def track(images: Images, pts: DataFrame, p: Params, measure: str = "zncc", upsa
     """``pts`` with dx, dy, correlation (null where nothing was measured) and searched.
 
     ``tier``: "rows" for the relational form (small geometries, checked against SQL), "arrow" for packed
-    tiles. Both take chips from the secondary and windows from the reference image.
+    tiles, "auto" for rows up to ``PIXEL_ROW_LIMIT`` products. All take chips from the secondary and windows
+    from the reference image.
     """
+    if tier == "auto":
+        tier = "rows" if products(pts) <= PIXEL_ROW_LIMIT and not p.rotation else "arrow"
     up = p.upsampling if upsampling is None else upsampling
     angles = p.rotation.tried() if p.rotation else (0.0,)
     if tier == "arrow":
@@ -51,7 +54,7 @@ def track(images: Images, pts: DataFrame, p: Params, measure: str = "zncc", upsa
         out = pts.join(got, PT, "left")
         return out.withColumn("searched", F.coalesce("searched", F.lit(False)))
     if tier != "rows":
-        raise ValueError(f"tier: {tier!r} is neither rows nor arrow")
+        raise ValueError(f"tier: {tier!r} is none of rows, arrow, auto")
     moved = points.half_pixel(pts.where(points.searchable()))
     ref, sec = images.side("ref"), images.side("sec")
     mask = images.pair.where("valid").select("pair_id", "r", "c")
@@ -64,6 +67,12 @@ def track(images: Images, pts: DataFrame, p: Params, measure: str = "zncc", upsa
     return out.withColumn("searched", F.coalesce("searched", F.lit(False)))
 
 
+def products(pts: DataFrame) -> float:
+    """Chip pixels times shifts, summed over the searchable points: one number to the driver."""
+    one = F.col("chip_x").cast("double") * F.col("chip_y") * 4 * F.col("radius_x") * F.col("radius_y")
+    return pts.where(points.searchable()).agg(F.sum(one)).first()[0] or 0.0
+
+
 def _reach(p: Params) -> tuple[int, int]:
     return max(p.radius_x, p.min_search_radius), max(p.radius_y, p.min_search_radius)
 
