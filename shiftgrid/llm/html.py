@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftgrid.llm.util import hash_sample
+
 #: Elements whose content is no text of the page.
 SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "math", "textarea", "select", "button", "option", "datalist", "audio", "video"}
 #: Of those, the ones whose content is not markup.
@@ -263,9 +265,9 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
     The model is fitted on at most ``sample`` pages (those of smallest hash). A null or empty page, or
     one without content, has an empty text. Repeated rows repeat; other columns are not read.
     """
-    held = pages.select(html, F.xxhash64(html).alias("_h")).orderBy("_h", F.length(html)).limit(sample)
-    weights = fit([r[0] for r in held.select(html).collect()])
     names = list(keep)
+    held = hash_sample(pages.select(*names, html), (html, *names), sample, pages.count())
+    weights = fit([r[0] for r in held.select(html).collect()])
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
