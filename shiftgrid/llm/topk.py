@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrid.llm.util import written
+from shiftgrid.llm.util import hash_sample, written
 
 #: Vectors of a packed block, and queries of a query block.
 BLOCK, QUERIES = 2048, 512
@@ -28,12 +28,12 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
 
 
-def rotation(rows: DataFrame, dim: int, sample: int = 20_000) -> np.ndarray:
+def rotation(rows: DataFrame, dim: int, n: int, sample: int = 20_000) -> np.ndarray:
     """Right singular vectors, largest first, of a bounded sample of rows (smallest hashes of id).
 
     Any rotation gives the same results; this one makes leading sums tell most.
     """
-    got = rows.where(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
+    got = hash_sample(rows.where(F.size("v") == dim).select("vec_id", "v"), ("vec_id", "v"), sample, n).toPandas()["v"]
     if not len(got):
         return np.eye(dim)
     x = np.stack(got.to_numpy()).astype(float)
@@ -152,7 +152,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     if not shape[1]:
         return spark.createDataFrame([], schema)
     dim, n = shape
-    basis = rotation(rows, dim)
+    basis = rotation(rows, dim, n)
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_q = asked.count()
     n_qb, n_b = -(-n_q // QUERIES) or 1, -(-n // BLOCK)
