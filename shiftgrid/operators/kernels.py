@@ -20,42 +20,50 @@ def _box(sq: np.ndarray, h: int, w: int) -> np.ndarray:
     return t[:, h:, w:] - t[:, :-h, w:] - t[:, h:, :-w] + t[:, :-h, :-w]
 
 
-def surfaces(chips: np.ndarray, windows: np.ndarray, measure: str = "zncc") -> tuple[np.ndarray, np.ndarray]:
-    """Scores (B, 2 ry, 2 rx) and whether each chip has texture; without it the surface is zeros."""
+def spread(image: np.ndarray, h: int, w: int, measure: str) -> np.ndarray:
+    """The norm (of what the measure divides by) of every h x w box of images (B, rows, columns)."""
+    n = h * w
+    if measure == "coherence":
+        s2 = _box(image.real.astype(np.float64) ** 2 + image.imag.astype(np.float64) ** 2, h, w)
+        power = s2 - (_box(image.real, h, w) ** 2 + _box(image.imag, h, w) ** 2) / n
+    else:
+        x = image.astype(np.float64)
+        if measure == "zncc":  # unchanged by a constant, and sums about the mean cancel less
+            x -= x.mean(axis=(1, 2), keepdims=True)
+        s2 = _box(x * x, h, w)
+        power = s2 - _box(x, h, w) ** 2 / n if measure == "zncc" else s2
+    # Differences of sums leave noise of their own size, which is not texture.
+    return np.sqrt(np.where(power > 1e-12 * s2, power, 0.0))
+
+
+def surfaces(chips: np.ndarray, windows: np.ndarray, measure: str = "zncc", norms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (B, 2 ry, 2 rx) and whether each chip has texture; without it the surface is zeros.
+
+    ``norms``: the windows' boxes' norms where they were taken from a table of the whole image.
+    """
     b, ch, cw = chips.shape
     _, wh, ww = windows.shape
     complex_ = np.iscomplexobj(chips)
     if complex_ != (measure == "coherence"):
         raise ValueError(f"`similarity` {measure} does not fit {'complex' if complex_ else 'real'} images")
-    x = chips.astype(np.complex128 if complex_ else np.float64)
-    t = x - x.mean(axis=(1, 2), keepdims=True)
-    tt = (np.abs(t) ** 2).sum(axis=(1, 2))
+    t = chips - chips.mean(axis=(1, 2), keepdims=True, dtype=np.complex128 if complex_ else np.float64)
+    tt = np.einsum("bij,bij->b", t, t.conj()).real
     ok = tt > EPS32 * ch * cw
     fy, fx = next_fft_size(wh), next_fft_size(ww)
     ny, nx = wh - ch + 1, ww - cw + 1
     # Correlation theorem; wrapped-around places are only those left of the chip, which are cut off.
     if complex_:
-        f = np.fft.fft2(windows.astype(np.complex128), (fy, fx)) * np.conj(np.fft.fft2(t, (fy, fx)))
+        f = np.fft.fft2(windows, (fy, fx)) * np.conj(np.fft.fft2(t, (fy, fx)))
         num = np.abs(np.fft.ifft2(f)[:, :ny, :nx])
     else:
-        f = np.fft.rfft2(windows.astype(np.float32), (fy, fx)) * np.conj(np.fft.rfft2(t.astype(np.float32), (fy, fx)))
-        num = np.fft.irfft2(f, (fy, fx))[:, :ny, :nx].astype(np.float64)
-    n = ch * cw
-    w = windows if complex_ else windows.astype(np.float64)
-    s2 = _box(np.abs(w) ** 2 if complex_ else w * w, ch, cw)
-    if measure == "ncc":
-        power = s2
-    elif complex_:
-        power = s2 - (_box(w.real, ch, cw) ** 2 + _box(w.imag, ch, cw) ** 2) / n
-    else:
-        power = s2 - _box(w, ch, cw) ** 2 / n
-    # Differences of sums leave noise of their own size, which is not texture.
-    power = np.where(power > 1e-12 * s2, power, 0.0)
-    den = np.sqrt(tt)[:, None, None] * np.sqrt(power)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.where(den > 0, num / den, 0.0)
+        f = np.fft.rfft2(windows.astype(np.float32, copy=False), (fy, fx))
+        f *= np.conj(np.fft.rfft2(t.astype(np.float32), (fy, fx)))
+        num = np.fft.irfft2(f, (fy, fx))[:, :ny, :nx]
+    den = (spread(windows, ch, cw, measure) if norms is None else norms) * np.sqrt(tt)[:, None, None]
+    score = np.zeros((b, ny, nx), np.float32)
+    np.divide(num, den, out=score, where=den > 0, casting="same_kind")
     score[~ok] = 0.0
-    return score.astype(np.float32), ok
+    return score, ok
 
 
 @lru_cache(maxsize=8)
@@ -104,7 +112,7 @@ def rotate(chips: np.ndarray, degrees: float) -> np.ndarray:
 
 
 def track(ref: np.ndarray, sec: np.ndarray, valid: np.ndarray, pts: dict[str, np.ndarray], r0: int, c0: int, upsampling: int, measure: str = "zncc",
-          angles: tuple[float, ...] = (0.0,), batch: int = 64) -> dict[str, np.ndarray]:
+          angles: tuple[float, ...] = (0.0,), batch: int = 16) -> dict[str, np.ndarray]:
     """Correlate points over image arrays whose first pixel is (r0, c0); ``pts`` are image coordinates.
 
     Returns dx, dy, correlation (NaN where nothing was measured) and searched, in the points' order.
@@ -127,6 +135,8 @@ def track(ref: np.ndarray, sec: np.ndarray, valid: np.ndarray, pts: dict[str, np
         a, b, v = pad(ref), pad(sec), pad(valid)
         view = np.lib.stride_tricks.sliding_window_view
         chips_of, win_of, ok_of = view(b, (2 * hy, 2 * hx)), view(a, (2 * (hy + pry) - 1, 2 * (hx + prx) - 1)), view(v, (2 * hy, 2 * hx))
+        # Windows overlap: norms of all boxes of the image are taken once, from one table, and shared by its points.
+        norm_of = view(spread(a[None], 2 * hy, 2 * hx, measure)[0], (2 * pry, 2 * prx))
         for s in range(0, len(own), batch):
             k = own[s : s + batch]
             iy, ix = at_y[k] - hy - r0 + pad_y, at_x[k] - hx - c0 + pad_x
@@ -135,10 +145,11 @@ def track(ref: np.ndarray, sec: np.ndarray, valid: np.ndarray, pts: dict[str, np
             k, iy, ix = k[real], iy[real], ix[real]
             if not len(k):
                 continue
-            chips, wins = chips_of[iy, ix], win_of[win_y[k] - hy - pry - r0 + pad_y, win_x[k] - hx - prx - c0 + pad_x]
-            surf, ok = surfaces(rotate(chips, angles[0]), wins, measure)
+            wy, wx = win_y[k] - hy - pry - r0 + pad_y, win_x[k] - hx - prx - c0 + pad_x
+            chips, wins, norms = chips_of[iy, ix], win_of[wy, wx], norm_of[wy, wx]
+            surf, ok = surfaces(rotate(chips, angles[0]), wins, measure, norms)
             for angle in angles[1:]:
-                other, fine = surfaces(rotate(chips, angle), wins, measure)
+                other, fine = surfaces(rotate(chips, angle), wins, measure, norms)
                 top = np.where(ok, surf.max(axis=(1, 2)), -np.inf)
                 better = fine & (other.max(axis=(1, 2)) > top)
                 surf[better], ok = other[better], ok | fine
