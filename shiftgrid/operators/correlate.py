@@ -89,8 +89,12 @@ def _live_chips(chip: DataFrame, mask, ref, sec) -> DataFrame:
     if mask is None:
         a = ref.where("valid").select("pair_id", "r", "c")
         mask = a.join(sec.where("valid").select("pair_id", "r", "c"), ["pair_id", "r", "c"], "left_semi")
-    real = chip.select(*PT, "r", "c").join(mask.select("pair_id", "r", "c"), ["pair_id", "r", "c"], "left_semi").select(*PT).distinct()
-    return chip.join(real, PT, "left_semi")
+    return chip.join(live(chip, mask), PT, "left_semi")
+
+
+def live(chip: DataFrame, mask: DataFrame) -> DataFrame:
+    """Points with a chip pixel that is in ``mask(pair_id, r, c)``."""
+    return chip.select(*PT, "r", "c").join(mask.select("pair_id", "r", "c"), ["pair_id", "r", "c"], "left_semi").select(*PT).distinct()
 
 
 def _coherence(ref, sec, pts, mask) -> DataFrame:

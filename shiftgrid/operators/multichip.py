@@ -62,7 +62,8 @@ def track(images: Images, pts: DataFrame, p: Params, measure: str = "zncc", upsa
     if p.rotation:
         raise ValueError("rotations of chips are tried by the arrow tier")
     field = peak.subpixel_peak(surf, moved, up)
-    seen = surf.select(*PT).distinct().withColumn("searched", F.lit(True))
+    # Searched is a point whose chip has a valid pixel, textured or not; no need of its surface.
+    seen = correlate.live(correlate.cut(sec, moved, "chip"), mask).withColumn("searched", F.lit(True))
     out = pts.join(field, PT, "left").join(seen, PT, "left")
     return out.withColumn("searched", F.coalesce("searched", F.lit(False)))
 

@@ -11,13 +11,16 @@ PT = ["pair_id", "pt_id"]
 PATCH = 5
 
 
+def _key(digits: int):
+    return F.struct(F.round("score", digits).alias("k"), (-F.col("sy")).alias("y"), (-F.col("sx")).alias("x"), F.col("score").alias("s"))
+
+
 def peak(surfaces: DataFrame, digits: int = 9) -> DataFrame:
     """Per point the highest score and its place; of equal ones (to ``digits`` places) the first row by row.
 
     One aggregate of a struct: partial maxima before the shuffle, no sort. Nulls are never taken.
     """
-    key = F.struct(F.round("score", digits).alias("k"), (-F.col("sy")).alias("y"), (-F.col("sx")).alias("x"), F.col("score").alias("s"))
-    best = surfaces.where("score is not null").groupBy(*PT).agg(F.max(key).alias("b"))
+    best = surfaces.where("score is not null").groupBy(*PT).agg(F.max(_key(digits)).alias("b"))
     return best.select(*PT, (-F.col("b.y")).alias("sy"), (-F.col("b.x")).alias("sx"), F.col("b.s").alias("correlation"))
 
 
@@ -51,24 +54,25 @@ def subpixel_peak(surfaces: DataFrame, pts: DataFrame, upsampling: int, digits:
     """
     if upsampling == 1:
         return peak_offset(surfaces, pts, digits)
-    spark = pts.sparkSession
-    geo = pts.select(*PT, "radius_x", "radius_y", "dx_prior", "dy_prior")
-    at = peak(surfaces, digits).join(geo, PT)
-    small = (2 * F.col("radius_x") < PATCH) | (2 * F.col("radius_y") < PATCH)
+    c = F.broadcast(_matrix_table(pts.sparkSession, refinement_matrix(PATCH, upsampling)))
+    # One pass over the surfaces: each point's samples travel with its peak, the patch is cut from them.
+    top = surfaces.where("score is not null").groupBy(*PT).agg(F.max(_key(digits)).alias("b"), F.collect_list(F.struct("sy", "sx", "score")).alias("s"))
+    at = top.join(pts.select(*PT, "radius_x", "radius_y", "dx_prior", "dy_prior"), PT)
+    at = at.withColumns({"sy": -F.col("b.y"), "sx": -F.col("b.x"), "correlation": F.col("b.s")})
     first = lambda s, n: F.greatest(F.least(F.col(s) - PATCH // 2, n - PATCH), F.lit(0)).cast("int")
     at = at.withColumns({"i0": first("sy", 2 * F.col("radius_y")), "j0": first("sx", 2 * F.col("radius_x"))})
-    patch = surfaces.join(at.where(~small).select(*PT, "i0", "j0"), PT)
-    patch = patch.where((F.col("sy") - F.col("i0")).between(0, PATCH - 1) & (F.col("sx") - F.col("j0")).between(0, PATCH - 1))
-    c = _matrix_table(spark, refinement_matrix(PATCH, upsampling))
-    rows = patch.withColumn("i", F.col("sy") - F.col("i0")).join(F.broadcast(c), "i")
-    rows = rows.groupBy(*PT, F.col("k").alias("u"), (F.col("sx") - F.col("j0")).alias("i")).agg(F.sum(F.col("w") * F.col("score")).alias("_h"))
-    up = rows.join(F.broadcast(c), "i").groupBy(*PT, "u", F.col("k").alias("x")).agg(F.sum(F.col("w") * F.col("_h")).alias("score"))
-    fine = peak(up.select(*PT, F.col("u").alias("sy"), F.col("x").alias("sx"), "score"), digits)
-    fine = fine.select(*PT, F.col("sy").alias("fy"), F.col("sx").alias("fx"), F.col("correlation").alias("fc"))
-    got = at.join(fine, PT, "left")
-    row = F.coalesce(F.col("fy") / upsampling + F.col("i0"), F.col("sy").cast("double"))
-    col = F.coalesce(F.col("fx") / upsampling + F.col("j0"), F.col("sx").cast("double"))
-    return got.select(*PT, (col - F.col("radius_x") + F.col("dx_prior")).alias("dx"), (row - F.col("radius_y") + F.col("dy_prior")).alias("dy"), F.coalesce("fc", "correlation").alias("correlation"))
+    held = (2 * F.col("radius_x") >= PATCH) & (2 * F.col("radius_y") >= PATCH)
+    inside = lambda e: held & (e["sy"] - F.col("i0")).between(0, PATCH - 1) & (e["sx"] - F.col("j0")).between(0, PATCH - 1)
+    own = [*PT, "radius_x", "radius_y", "dx_prior", "dy_prior", "sy", "sx", "correlation", "i0", "j0"]
+    patch = at.select(*own, F.explode_outer(F.filter("s", inside)).alias("e"))
+    patch = patch.select(*own, (F.col("e.sy") - F.col("i0")).alias("i"), (F.col("e.sx") - F.col("j0")).alias("_j"), F.col("e.score").alias("score"))
+    rows = patch.join(c, "i", "left").groupBy(*own, F.col("k").alias("u"), F.col("_j").alias("i")).agg(F.sum(F.col("w") * F.col("score")).alias("_h"))
+    up = rows.join(c, "i", "left").groupBy(*own, "u", F.col("k").alias("x")).agg(F.sum(F.col("w") * F.col("_h")).alias("v"))
+    fine = F.struct(F.round("v", digits).alias("k"), (-F.col("u")).alias("y"), (-F.col("x")).alias("x"), F.col("v").alias("s"))
+    got = up.groupBy(*own).agg(F.max(F.when(F.col("v").isNotNull(), fine)).alias("f"))
+    row = F.coalesce(-F.col("f.y") / upsampling + F.col("i0"), F.col("sy").cast("double"))
+    col = F.coalesce(-F.col("f.x") / upsampling + F.col("j0"), F.col("sx").cast("double"))
+    return got.select(*PT, (col - F.col("radius_x") + F.col("dx_prior")).alias("dx"), (row - F.col("radius_y") + F.col("dy_prior")).alias("dy"), F.coalesce("f.s", "correlation").alias("correlation"))
 
 
 def best_rotation(by_angle: DataFrame, digits: int = 9) -> DataFrame:

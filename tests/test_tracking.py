@@ -291,3 +291,14 @@ def test_series_with_state_processor(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = sorted(r.pair_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == ["a-b", "b-d", "c-e"]
+
+
+def test_small_surfaces_keep_the_integer_peak(spark):
+    ref, sec = shifted(40, 40, 1, 0)
+    side = lambda a: pixels(spark, a, "a").withColumn("pair_id", F.lit("p"))
+    coords = spark.createDataFrame([(1, 20.0, 20.0, 2, 2), (2, 20.0, 20.0, 4, 4)], "pt_id long, x double, y double, radius_x int, radius_y int")
+    pts = points.pointset(coords, 8)
+    surf = correlate.surfaces(side(ref), side(sec), pts)
+    got = {r.pt_id: (r.dx, r.dy) for r in peak.subpixel_peak(surf, pts, 8).collect()}
+    assert got[1] == (-1.0, 0.0) and abs(got[2][0] + 1) <= 3 / 8 and abs(got[2][1]) <= 3 / 8
+    assert {r.pt_id: (r.dx, r.dy) for r in peak.peak_offset(surf, pts).collect()} == {1: (-1.0, 0.0), 2: (-1.0, 0.0)}
