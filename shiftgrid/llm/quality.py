@@ -7,6 +7,8 @@ a lasso logistic regression keeps few rules; these are compiled into one Spark c
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,31 +26,35 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def _share(n: Column, of: Column) -> Column:
-    return (n / F.greatest(of, F.lit(1))).cast("double")
-
-
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of whole texts, all JVM-side. An empty text has 0 in every one."""
-    chars = F.length(text)
+def _counts(text: Column) -> Column:
+    """What is counted in a whole text, each thing in one scan, as a struct. All JVM-side."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    without = lambda mark: chars - F.length(F.replace(text, F.lit(mark), F.lit("")))
-    tokens, lines = F.split(text, " "), F.split(text, "\n")
-    words = F.when(chars == 0, 0).otherwise(F.size(tokens))
+    without = lambda mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
     # Runs are counted rather than characters where a run tells as much: a scan pays for each match.
-    return {
-        "words": words.cast("double"),
-        "word_length": _share(chars, words),
-        "upper": _share(count(r"\p{Lu}+"), words),
-        "digits": _share(count(r"[0-9]+"), words),
-        "symbols": _share(count(r"[#$%&*|<>{}\[\]~^=+_/\\@]+"), words),
-        "repeats": _share(count(r"[!?*#%$&=_~.-]{2,}"), words),
-        "bangs": _share(without("!"), words),
-        "stops": _share(without("."), words),
-        "distinct": F.when(chars == 0, 0.0).otherwise(_share(F.size(F.array_distinct(tokens)), words)),
-        "new_lines": F.when(chars == 0, 0.0).otherwise(_share(F.size(F.array_distinct(lines)), F.size(lines))),
-        "line_words": _share(words, F.size(lines)),
+    named = {
+        "chars": F.length(text), "words": F.size(F.split(text, " ")), "kinds": F.size(F.array_distinct(F.split(text, " "))),
+        "lines": F.size(F.split(text, "\n")), "line_kinds": F.size(F.array_distinct(F.split(text, "\n"))),
+        "upper": count(r"\p{Lu}+"), "digits": count(r"[0-9]+"), "symbols": count(r"[#$%&*|<>{}\[\]~^=+_/\\@]+"),
+        "repeats": count(r"[!?*#%$&=_~.-]{2,}"), "bangs": without("!"), "stops": without("."),
     }
+    return F.struct(*(c.cast("double").alias(k) for k, c in named.items()))
+
+
+def _statistics(n: Column) -> dict[str, Column]:
+    """Statistics of a text from its counts. An empty text has one word of no letters."""
+    share = lambda k, of="words": n[k] / n[of]
+    return {"words": n["words"], "word_length": share("chars")} | {k: share(k) for k in ("upper", "digits", "symbols", "repeats", "bangs", "stops")} | {
+        "distinct": share("kinds"), "new_lines": share("line_kinds", "lines"), "line_words": share("words", "lines")}
+
+
+#: The statistics by name, in the order of a model's features.
+NAMES = ("words", "word_length", "upper", "digits", "symbols", "repeats", "bangs", "stops", "distinct", "new_lines", "line_words")
+
+
+def _once(counts: Column, f) -> Column:
+    """``f`` of the counts, bound to a lambda's variable: however often ``f`` names them, and wherever a
+    filter on the result is pushed to, a text is scanned once, and the generated code stays small."""
+    return F.transform(F.array(counts), f)[0]
 
 
 @dataclass(frozen=True)
@@ -60,16 +66,15 @@ class RuleModel:
     rules: tuple[tuple[tuple[int, float, bool], ...], ...]
     weights: tuple[float, ...]
 
-    def score(self) -> Column:
-        """The ensemble over columns named ``_q_<statistic>``."""
-        logit = F.lit(self.bias)
+    def score(self, stats: dict[str, Column]) -> Column:
+        """The ensemble over columns of statistics."""
+        terms = [F.lit(self.bias)]
         for rule, weight in zip(self.rules, self.weights, strict=True):
-            holds = F.lit(True)
-            for f, t, above in rule:
-                c = F.col(f"_q_{self.names[f]}")
-                holds = holds & ((c > t) if above else (c <= t))
-            logit = logit + F.when(holds, weight).otherwise(0.0)
-        return 1 / (1 + F.exp(-logit))
+            tests = [(stats[self.names[f]] > t) if above else (stats[self.names[f]] <= t) for f, t, above in rule]
+            terms.append(F.when(reduce(and_, tests), weight).otherwise(0.0))
+        while len(terms) > 1:  # in pairs: a sum of hundreds one after the other is a deep tree to plan
+            terms = [reduce(add, terms[i : i + 2]) for i in range(0, len(terms), 2)]
+        return 1 / (1 + F.exp(-terms[0]))
 
 
 def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
@@ -94,7 +99,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], penalty: flo
     if len(y) == 0 or y.min() == y.max():
         mean = (y.sum() + 1) / (len(y) + 2)
         return RuleModel(names, float(np.log(mean / (1 - mean))), (), ())
-    _, trees = boost(x, y, n_trees=40, depth=3, rate=0.3)
+    _, trees = boost(x, y, n_trees=30, depth=3, rate=0.3)
     rules = list(dict.fromkeys(p for t in trees for p in paths(t)))
     z = np.empty((len(x), len(rules)), bool)
     for j, rule in enumerate(rules):
@@ -108,7 +113,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], penalty: flo
     return RuleModel(names, bias, tuple(r for r, _ in kept), tuple(c for _, c in kept))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> RuleModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> RuleModel:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold (those of smallest hash of id).
 
     That bound is the one sample in this operator; labels that are null are not used.
@@ -116,13 +121,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> RuleModel
     told = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     told = told.groupBy("doc_id").agg(F.max("quality").alias("_y"))
     told = hash_sample(told, ("doc_id",), max_rows, told.count())
-    named = statistics(text_of())
     rows = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id")  # at most max_rows short rows
     # Statistics, not texts, are ordered and sent to the driver.
-    rows = rows.select(*(c.alias(k) for k, c in named.items()), F.col("_y").cast("double").alias("_y"), F.xxhash64("doc_id").alias("_a"), F.xxhash64("text").alias("_b"))
-    got = rows.orderBy("_a", "_b").limit(max_rows).toPandas()
-    x, y = got[list(named)].to_numpy(float), got["_y"].to_numpy(float)
-    return fit_rules(x, (y > 0.5).astype(float), tuple(named))
+    named = _once(_counts(text_of()), lambda n: F.struct(*(c.alias(k) for k, c in _statistics(n).items())))
+    rows = rows.select(named.alias("s"), F.col("_y").cast("double").alias("_y"), F.xxhash64("doc_id").alias("_a"), F.xxhash64("text").alias("_b"))
+    got = rows.orderBy("_a", "_b").limit(max_rows).select("s.*", "_y").toPandas()
+    x, y = got[list(NAMES)].to_numpy(float), got["_y"].to_numpy(float)
+    return fit_rules(x, (y > 0.5).astype(float), NAMES)
 
 
 def classify(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
@@ -131,7 +136,5 @@ def classify(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataF
     One row for each row of ``docs``, whatever repeats or is null; a null text is scored as an empty
     one; other columns are kept (those named like a result are replaced). No shuffle, no Python.
     """
-    names = list(model.names)
-    with_stats = docs.withColumns({f"_q_{k}": c for k, c in statistics(text_of()).items() if k in names})
-    out = with_stats.withColumn("score", model.score()).drop(*(f"_q_{k}" for k in names))
-    return out.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= threshold).cast("int")})
+    score = _once(_counts(text_of()), lambda n: model.score(_statistics(n)))
+    return docs.withColumn("score", score).withColumns({"held_out": held_out(), "predicted": (F.col("score") >= threshold).cast("int")})
