@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from shiftgrid.llm.util import written
 
 
+EDGES_A_TASK = 50_000
+
+
 def _state(edges: DataFrame):
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     return row[0], row[1]
@@ -26,18 +29,19 @@ def components(edges: DataFrame) -> DataFrame:
     ok = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     stars = written(ok.distinct(), "edges")
     before = _state(stars)
+    few = max(8, -(-before[0] // EDGES_A_TASK))  # small graphs take few tasks a step; large ones as many as the shuffle has
     while before[0]:
         both = stars.union(stars.select("lo", "hi")).toDF("u", "v")
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(few), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = written(large.distinct(), "large")
-        low = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
+        large = written(large.distinct().coalesce(few), "large")
+        low = written(large.groupBy("hi").agg(F.min("lo").alias("m")).coalesce(few), "low")
         met = large.join(low, "hi")
         small = met.select(F.explode(F.array(
             F.struct("hi", F.col("m").alias("lo")),
             F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")),
         )).alias("e")).select("e.*").where("hi <> lo")
-        stars = written(small.distinct(), "stars")
+        stars = written(small.distinct().coalesce(few), "stars")
         after = _state(stars)
         if after == before:
             break

@@ -63,7 +63,7 @@ def _pack(size: int):
     def tile(rows):
         ids, copies, vecs, dims, ys = (list(c) for c in zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays(
-            [pa.array([dims[0]], pa.int32()), pa.array([ys[0]], pa.float64()), pa.array([ys[-1]], pa.float64()),
+            [pa.array([dims[0]], pa.int32()), pa.array([min(ys)], pa.float64()), pa.array([max(ys)], pa.float64()),
              pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vecs)], pa.binary())],
             names=["dim", "lo", "hi", "ids", "copies", "mat"])
 
@@ -211,7 +211,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     placed = reps.select(F.col("node").alias("rid"), "m", "vec", "dim").mapInPandas(project, "rid long, m long, vec binary, dim int, y double")
     parts = max(1, -(-n // tile))
     tiles = placed.repartitionByRange(parts, "dim", "y", "rid").sortWithinPartitions("dim", "y", "rid")
-    tiles = tiles.mapInArrow(_pack(tile), "dim int, lo double, hi double, ids binary, copies binary, mat binary")
+    # A session that deals into more partitions than there are tiles would leave many tiny ones, and the square of them in pairs.
+    tiles = tiles.coalesce(parts).mapInArrow(_pack(tile), "dim int, lo double, hi double, ids binary, copies binary, mat binary")
     tiles = written(tiles.withColumn("t", F.monotonically_increasing_id()), "tiles")
     # Linked unit vectors are at most this far apart, in every coordinate.
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
@@ -227,7 +228,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     done = reps.select("vec", "rid", "m", "node").join(counts, F.col("node") == F.col("a"), "left").drop("a")
     done = written(done.join(comp, F.col("node") == F.col("id"), "left").select("vec", "rid", "m", "n", F.coalesce("root", "node").alias("root")), "rooted")
-    least_id = done.groupBy("root").agg(F.min("rid").alias("component_id"))
+    # Written, so that the join has plain exchanges on both sides and a large component's rows may be split.
+    least_id = written(done.groupBy("root").agg(F.min("rid").alias("component_id")), "least")
     done = done.join(least_id, "root").select("vec", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
     out = rows.join(written(done, "results"), "vec", "left")
     component = F.coalesce("component_id", "vec_id")
