@@ -14,7 +14,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -128,8 +127,8 @@ def _link_groups(radius: int):
                     x, y = _forest(fps[s:e], radius)
                     a += [int(s) + i for i in x]
                     b += [int(s) + i for i in y]
-            found = pd.DataFrame({"a": nodes[a], "b": nodes[b]}).drop_duplicates()
-            return pa.RecordBatch.from_pandas(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]), preserve_index=False)
+            found = np.unique(np.stack([nodes[a], nodes[b]], axis=1).astype(np.int64), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -201,7 +200,8 @@ def classes(prints: DataFrame, radius: int = 4, key: str = "doc_id", slices: tup
     comp = written(components(links(groups.select("node", "fp"), radius, slices)), "components")
     rooted = groups.join(comp, groups.node == comp.id, "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Written, so that the join has plain exchanges on both sides and a large component's rows may be split.
+    least = written(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "least")
     return written(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
 
 
