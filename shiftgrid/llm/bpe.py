@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -138,16 +139,31 @@ def boundaries(points: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.
     return OPENS[symbol, states]
 
 
+#: A rank above all.
+NONE = 1 << 60
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the adjacent pair of lowest rank is merged until none is left, leftmost first.
 
-    Pairs are kept in a heap over a linked list, so that a piece of n bytes takes n log n steps.
+    Short pieces, nearly all there are, keep the pairs' ranks in a list. Long ones keep pairs in a heap
+    over a linked list, so that a piece of n bytes takes n log n steps.
     """
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    import heapq
-
     n = len(piece)
+    if n <= 40:
+        parts = [piece[i : i + 1] for i in range(n)]
+        pairs = [ranks.get(piece[i : i + 2], NONE) for i in range(n - 1)]
+        while pairs and (least := min(pairs)) != NONE:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+        return [ranks[p] for p in parts]
     end = list(range(1, n + 1))  # of the part that starts here; 0 once it is merged away
     prev = list(range(-1, n - 1))
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -179,7 +195,7 @@ def ranks_of(content: bytes) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one vocabulary, with a bounded cache of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, cached: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, cached: int = 150_000):
         self.ranks, self.classes, self.cached = ranks, classes, cached
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.cache: dict[str, tuple[int, ...]] = {}
