@@ -195,7 +195,7 @@ def ranks_of(content: bytes) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one vocabulary, with a bounded cache of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, cached: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, cached: int = 300_000):
         self.ranks, self.classes, self.cached = ranks, classes, cached
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.cache: dict[str, tuple[int, ...]] = {}
