@@ -88,7 +88,7 @@ FIELD_SHAPE = (64, 16)
 
 def matches(spark, d) -> DataFrame:
     """Matches turned by 3 degrees about the middle, every 13th moved away."""
-    k = table(spark, d, "embeddings").where("vec_id < 400").select(F.lit("p").alias("pair_id"), F.col("vec_id").alias("m_id"), F.col("embedding"))
+    k = table(spark, d, "embeddings").select(F.lit("p").alias("pair_id"), F.col("vec_id").alias("m_id"), F.col("embedding"))
     r = (F.floor(F.col("m_id") / 20) * 5 + F.element_at("embedding", 1).cast("double")).alias("r")
     c = ((F.col("m_id") % 20) * 5 + F.element_at("embedding", 2).cast("double")).alias("c")
     at = k.select("pair_id", "m_id", r, c)
@@ -151,7 +151,7 @@ def gridpoints(spark, d):
 
 @query
 def pointset(spark, d):
-    s = table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    s = table(spark, d, "lineitem")
     coords = s.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pt_id"), (F.col("l_partkey") % 64 + 1).cast("double").alias("x"),
                       (F.col("l_suppkey") % 64 + 1).cast("double").alias("y"), (F.col("l_linenumber") + 2).alias("radius_x"))
     return points.pointset(coords, CHIP, search_radius=RADIUS, dx_prior=1.5).drop("gi", "gj")
@@ -327,7 +327,7 @@ def chip_scores(chip: DataFrame, ref: DataFrame, pts: DataFrame) -> DataFrame:
 
 @query
 def knn(spark, d):
-    return firstguess.knn(matches(spark, d), 5).select("i", "j", rd("d2").alias("d2"), "rank")
+    return firstguess.knn(matches(spark, d), 5, cell=20.0).select("i", "j", rd("d2").alias("d2"), "rank")
 
 
 @query
@@ -337,7 +337,7 @@ def knn_cells(spark, d):
 
 @query
 def hamming_match(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 500")
+    e = table(spark, d, "embeddings")
     a = images.sign_descriptors(e, "vec_id", "embedding", "ref", 25).withColumn("pair_id", F.lit("p"))
     b = images.sign_descriptors(e.where("vec_id % 3 > 0"), "vec_id", "embedding", "sec", 20).withColumn("pair_id", F.lit("p"))
     return firstguess.hamming_match(a, b, 0.9).drop("pair_id")
@@ -345,18 +345,17 @@ def hamming_match(spark, d):
 
 @query
 def consistent_matches(spark, d):
-    return firstguess.consistent_matches(matches(spark, d)).select("m_id")
+    return firstguess.consistent_matches(matches(spark, d), cell=20.0).select("m_id")
 
 
 @query
 def scene_rotation(spark, d):
-    ok = matches(spark, d).where("m_id % 13 <> 0")
-    return firstguess.scene_rotation(ok).select(rd("degrees").alias("degrees"))
+    return firstguess.scene_rotation(matches(spark, d)).select(rd("degrees").alias("degrees"))
 
 
 @query
 def first_guess(spark, d):
-    got = firstguess.first_guess(matches(spark, d), chip_size=8)
+    got = firstguess.first_guess(matches(spark, d), chip_size=8, cell=20.0)
     return got.select("pt_id", rd("x").alias("x"), rd("y").alias("y"), rd("dx_prior").alias("dx_prior"), rd("dy_prior").alias("dy_prior"), "radius_x", "chip_x")
 
 
@@ -576,7 +575,7 @@ def track_arrow(spark, d):
 def track_scattered(spark, d):
     """Points at keys of ``part``, tracked once at their own chips, with whole priors."""
     n, m = shape(spark, d)
-    at = table(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("pt_id"), (F.col("p_partkey") % (m - 20) + 10).cast("double").alias("x"), (F.col("p_partkey") * 7 % (n - 20) + 10).cast("double").alias("y"))
+    at = table(spark, d, "part").select(F.col("p_partkey").alias("pt_id"), (F.col("p_partkey") % (m - 20) + 10).cast("double").alias("x"), (F.col("p_partkey") * 7 % (n - 20) + 10).cast("double").alias("y"))
     pts = points.pointset(at, CHIP, search_radius=RADIUS, dx_prior=-2.0, dy_prior=-1.0)
     got = multichip.track(pair(spark, d), pts, P, "zncc", 1, "rows")
     return got.select("pt_id", "dx", "dy", rd("correlation").alias("correlation"), "searched")
