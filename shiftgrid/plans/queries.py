@@ -74,8 +74,8 @@ def cpixels(spark, d) -> DataFrame:
 
 
 def field(spark, d) -> DataFrame:
-    """A coherent field with planted outliers, gaps and unsearched points, on a grid of a row a vector and 16 columns."""
-    px = reference(spark, d).where(f"c <= 16 and r <= {64}")
+    """A coherent field with planted outliers, gaps and unsearched points, on the grid of the image's pixels."""
+    px = reference(spark, d)
     odd, gap, off = (F.col("r") * 7 + F.col("c") * 3) % 29 == 0, (F.col("r") * 5 + F.col("c")) % 17 == 0, (F.col("r") + F.col("c") * 11) % 31 == 0
     dx = 3 + 0.05 * F.col("r") + F.col("v") * 0.1 + F.when(odd, 2.5).otherwise(0.0)
     dy = -2 - 0.05 * F.col("c") + F.col("v") * 0.1
@@ -83,9 +83,6 @@ def field(spark, d) -> DataFrame:
                      F.when(off, 0).otherwise(8).alias("radius_x"), F.when(off, 0).otherwise(8).alias("radius_y"))
 
 
-FIELD_SHAPE = (64, 16)
-
-
 def matches(spark, d) -> DataFrame:
     """Matches turned by 3 degrees about the middle, every 13th moved away."""
     k = table(spark, d, "embeddings").select(F.lit("p").alias("pair_id"), F.col("vec_id").alias("m_id"), F.col("embedding"))
@@ -286,8 +283,7 @@ def subpixel_peak(spark, d):
 
 @query
 def pyrup(spark, d):
-    small = reference(spark, d).where("r <= 40")
-    return peak.pyrup(small, (40, WIDTH)).select("r", "c", rd("v").alias("v"))
+    return peak.pyrup(reference(spark, d), shape(spark, d)).select("r", "c", rd("v").alias("v"))
 
 
 @query
@@ -483,39 +479,41 @@ def filter_identity(spark, d):
 # -- resampling, outliers, filling ------------------------------------------------------------------
 
 
-def _resample(name: str, dst, method: str):
+def _resample(name: str, scale: tuple[int, int], columns: int, method: str):
+    """Rows are scaled by the fraction ``scale``, so the target grows with the image."""
     def q(spark, d):
-        return resample.resample(holed(spark, d).where("r <= 60"), (60, WIDTH), dst, method).select("r", "c", rd("v").alias("v"))
+        src = shape(spark, d)
+        return resample.resample(holed(spark, d), src, (src[0] * scale[0] // scale[1], columns), method).select("r", "c", rd("v").alias("v"))
 
     q.__name__ = name
     query(q)
 
 
-_resample("resample_nearest", (90, 40), "nearest")
-_resample("resample_area", (25, 24), "area")
-_resample("resample_bicubic", (90, 100), "bicubic")
+_resample("resample_nearest", (3, 2), 40, "nearest")
+_resample("resample_area", (5, 12), 24, "area")
+_resample("resample_bicubic", (3, 2), 100, "bicubic")
 
 
 @query
 def dilate_within(spark, d):
-    m = reference(spark, d).where("r <= 60").withColumn("m", (F.col("r") * 13 + F.col("c") * 7) % 101 == 0)
-    return resample.dilate_within(m, 3.0, (60, WIDTH)).select("r", "c", "m")
+    m = reference(spark, d).withColumn("m", (F.col("r") * 13 + F.col("c") * 7) % 101 == 0)
+    return resample.dilate_within(m, 3.0, shape(spark, d)).select("r", "c", "m")
 
 
 @query
 def reject_outliers(spark, d):
-    got = outliers.reject_outliers(field(spark, d), Gardner(), 64, FIELD_SHAPE)
+    got = outliers.reject_outliers(field(spark, d), Gardner(), 64, shape(spark, d))
     return got.select("gi", "gj", "keep")
 
 
 @query
 def no_outlier_filter(spark, d):
-    return outliers.reject_outliers(field(spark, d), None, 64, FIELD_SHAPE).select("gi", "gj", "keep")
+    return outliers.reject_outliers(field(spark, d), None, 64, shape(spark, d)).select("gi", "gj", "keep")
 
 
 @query
 def fill_holes(spark, d):
-    got = resample.fill_holes(field(spark, d), 3, FIELD_SHAPE)
+    got = resample.fill_holes(field(spark, d), 3, shape(spark, d))
     return got.select("gi", "gj", rd("dx").alias("dx"), rd("dy").alias("dy"), "filled")
 
 
