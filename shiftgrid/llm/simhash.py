@@ -10,6 +10,7 @@ Wider fingerprints, which tell lower similarities, are cut into slices that are
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -220,23 +221,151 @@ def distance_of(similarity: float, bits: int) -> int:
     return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", margin: float = 0.025) -> DataFrame:
+#: Bands of minima that bring candidates together, and minima a band: at a similarity s a pair meets with 1 - (1 - s ** 6) ** 40.
+BANDS, MINIMA = 40, 6
+#: Shingles of a chunk; larger groups of candidates are cut into pairs of chunks, as buckets are into tiles.
+CHUNK = 2**17
+_RNG = np.random.default_rng(SEED)
+_FLIPS, _FACTORS, _FOLDS = (_RNG.integers(0, 2**64, BANDS * MINIMA, np.uint64) | np.uint64(1) for _ in range(3))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of ``shingle_hashes``, sorted."""
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A long a band: its minima of the set under that many orders, folded together."""
+    low = np.full(BANDS * MINIMA, 2**64 - 1, np.uint64)
+    for k in range(0, len(shingles), 512):
+        np.minimum(low, ((shingles[k : k + 512] ^ _FLIPS[:, None]) * _FACTORS[:, None]).min(axis=1), out=low)
+    return (low * _FOLDS).reshape(BANDS, MINIMA).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def set_prints(docs: DataFrame, width: int, text: str, keys: tuple[str, ...]) -> DataFrame:
+    """``keys``, ``fp`` (16 bytes that tell sets of shingles apart), ``size`` of the set and its ``bands``."""
+    names = list(keys)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sizes, bands = [], [], [np.zeros(0, np.int64)]
+            for t in b.column("_text"):
+                s = shingle_set(t.as_py(), width)
+                fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sizes.append(len(s))
+                bands.append(band_keys(s))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands)))
+            yield pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), lists], names=[*names, "fp", "size", "bands"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(hashed, f"{schema}, fp binary, size long, bands array<bigint>")
+
+
+def _set_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """As ``_forest``, of sets whose Jaccard similarity is ``similarity`` or more."""
+    sizes = np.array([len(x) for x in sets])
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    a, b, left = [], [], np.arange(len(sets))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            here = queue.pop()
+            mark = np.zeros(len(values), bool)
+            mark[ids[ends[here] - sizes[here] : ends[here]]] = True
+            sums = np.r_[0, np.cumsum(mark[ids])]
+            shared = (sums[ends] - sums[ends - sizes])[left]
+            near = shared >= similarity * (sizes[left] + sizes[here] - shared) - 1e-9
+            if near.any():
+                found = left[near].tolist()
+                a += [here] * len(found)
+                b += found
+                queue += found
+                left = left[~near]
+    return a, b
+
+
+def _link_sets(similarity: float):
+    """Rows (root, ci, cj, node, set) sorted by group, streamed to (a, b): a group is held at a time, at most two chunks."""
+    key = ["root", "ci", "cj"]
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, sets = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), []
+
+        def edges(end: int) -> pa.RecordBatch:
+            cut = np.flatnonzero((keys[1:end] != keys[: end - 1]).any(axis=1)) + 1
+            a, b = [], []
+            for s, e in zip(np.r_[0, cut], np.r_[cut, end], strict=True):
+                x, y = _set_forest([np.frombuffer(v, np.uint64) for v in sets[s:e]], similarity)
+                a += [int(s) + i for i in x]
+                b += [int(s) + i for i in y]
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a].astype(np.int64)), pa.array(nodes[b].astype(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.concatenate([keys, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key], axis=1)])
+            nodes = np.concatenate([nodes, batch.column("node").to_numpy()])
+            sets += batch.column("set").to_pylist()
+            other = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            if len(other):
+                n = int(other[-1]) + 1
+                yield edges(n)
+                keys, nodes, sets = keys[n:], nodes[n:], sets[n:]
+        if sets:
+            yield edges(len(sets))
+
+    return linked
+
+
+def candidates(groups: DataFrame) -> DataFrame:
+    """``groups(node, bands)`` to ``(id, root)``: nodes that share a band's key with another, directly or by way of others."""
+    keyed = groups.select("node", F.posexplode("bands").alias("m", "k"))
+    low = keyed.groupBy("m", "k").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    low = written(low.select("m", "k", "low"), "buckets")
+    return written(components(keyed.join(low, ["m", "k"]).select(F.col("low").alias("a"), F.col("node").alias("b"))), "candidates")
+
+
+def set_links(placed: DataFrame, groups: DataFrame, width: int, similarity: float, text: str) -> DataFrame:
+    """``(a, b)``: pairs of nodes of ``groups(node, size, b, bands)`` that join up all candidates whose shingle
+    sets, made again from the texts of ``placed(_row, text)``, have a Jaccard similarity of ``similarity`` or more."""
+    near = candidates(groups)
+    at = near.join(groups.select("node", "size", F.col("b.r").alias("_row")), near.id == groups.node).select("root", "node", "size", "_row")
+    at = written(at, "placed")
+    chunks = written(at.groupBy("root").agg(F.ceil(F.sum("size") / CHUNK).cast("int").alias("chunks")), "chunks")
+    at = written(at.join(chunks, "root").select("_row", "root", "node", "chunks", F.expr("cast(pmod(xxhash64(node), chunks) as int)").alias("c")), "chunked")
+    names = ["root", "node", "chunks", "c"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), width).tobytes() for t in b.column("_text")]
+            yield pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array(sets, pa.binary())], names=[*names, "set"])
+
+    met = placed.select("_row", F.col(text).alias("_text")).join(at.hint("merge"), "_row").select(*names, "_text")
+    sets = met.mapInArrow(hashed, "root long, node long, chunks int, c int, set binary")
+    tiled = sets.select("root", "node", "set", "c", F.explode(F.expr("sequence(0, chunks - 1)")).alias("d"))
+    tiled = tiled.select("root", F.least("c", "d").alias("ci"), F.greatest("c", "d").alias("cj"), "node", "set")
+    sorted_ = tiled.repartition("root", "ci", "cj").sortWithinPartitions("root", "ci", "cj", "node")
+    return sorted_.mapInArrow(_link_sets(similarity), "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, of each component the one with the smallest key (nulls last), all columns kept.
 
-    Links are texts whose shingles' Jaccard similarity is ``similarity`` or more, as told by 1024-bit
-    fingerprints. The estimate's deviation is some 0.025 there, and ``margin`` sets the cut that much
-    lower, so that few links are lost. Each of 16 slices of 42 bits is covered for a radius of 2, so
-    every pair within 47 of those 672 bits meets (a similarity of about 0.95); at 0.87 and 0.8, where some 81 and
-    102 of them differ, about 99.8 and 98 in 100 do. Equal texts always link.
+    Links are texts whose sets of distinct shingles have a Jaccard similarity of ``similarity`` or more, counted
+    exactly. Candidates are those that share one of 40 bands of 6 minima: of pairs at 0.8 all but 6 in a million
+    do, at 0.85 and more fewer than one in 10 ** 8 does not. Equal sets always link.
     Of repeated rows with that key one stays. Rows are told apart by their place in the stored table,
     so ``docs`` is to be a table read from storage, which gives the same places again.
     """
     placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    prints = written(fingerprints(placed, width, keys=(key, "_row"), words=WIDE_WORDS), "prints")
-    of = classes(prints, distance_of(similarity - margin, 64 * WIDE_WORDS), key, WIDE_SLICES).select("fp", "root")
+    prints = written(set_prints(placed, width, text, (key, "_row")), "prints")
     first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r")))
-    best = prints.join(of, "fp").groupBy("root").agg(first.alias("b")).select(F.col("b.r").alias("_row"))
-    # The plan is the same at every size: texts are shuffled once, ids are never broadcast.
+    groups = prints.groupBy("fp").agg(first.alias("b"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "sets")
+    comp = written(components(set_links(placed, groups, width, similarity, text)), "components")
+    best = groups.join(comp, groups.node == comp.id, "left").groupBy(F.coalesce("root", "node")).agg(F.min("b").alias("b")).select(F.col("b.r").alias("_row"))
+    # The plan is the same at every size: ids are never broadcast.
     return placed.join(written(best, "kept").hint("merge"), "_row", "left_semi").drop("_row")
 
 
