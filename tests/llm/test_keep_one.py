@@ -34,3 +34,14 @@ def test_large_groups_link_across_chunks(spark, tmp_path, monkeypatch):
         base = [*base[18:], *words(rng, 18)]
         rows.append((k, " ".join(base)))
     assert kept(spark, tmp_path / "d", rows) == {0, 1}
+
+
+def test_repeated_lines_count_once(spark, tmp_path):
+    rng = random.Random(4)
+    line, rows = words(rng, 14), []
+    for g in range(40):  # a line of 10 shingles repeated 20 times in different texts, and texts with and without repeats
+        rows.append((3 * g, " ".join(words(rng, 200) + line * 20)))
+        text = words(rng, 200)
+        once = line * 2 + text
+        rows += [(3 * g + 1, " ".join(once)), (3 * g + 2, " ".join(line * 20 + text))]
+    assert kept(spark, tmp_path / "d", rows) == {i for i, _ in rows if i % 3 != 2}
