@@ -36,21 +36,21 @@ class Images:
         return self.pair.select("pair_id", "r", "c", F.col(which).alias(name), "valid")
 
 
-def track(images: Images, pts: DataFrame, p: Params, measure: str = "zncc", upsampling: int | None = None, tier: str = "arrow", tile: int = 256) -> DataFrame:
+def track(images: Images, pts: DataFrame, p: Params, measure: str = "zncc", upsampling: int | None = None, tier: str = "arrow", tile: int = 256, halo: int | None = None) -> DataFrame:
     """``pts`` with dx, dy, correlation (null where nothing was measured) and searched.
 
     ``tier``: "rows" for the relational form (small geometries, checked against SQL), "arrow" for packed
     tiles, "auto" for rows up to ``PIXEL_ROW_LIMIT`` products. All take chips from the secondary and windows
-    from the reference image.
+    from the reference image. ``halo`` of the tiles: that of the points, unless the caller knows it.
     """
     if tier == "auto":
         tier = "rows" if products(pts) <= PIXEL_ROW_LIMIT and not p.rotation else "arrow"
     up = p.upsampling if upsampling is None else upsampling
     angles = p.rotation.tried() if p.rotation else (0.0,)
     if tier == "arrow":
-        halo = halo_of(p.chip_size_max, p.chip_height(p.chip_size_max), *_reach(p), max(abs(p.dx_prior), abs(p.dy_prior)))
-        packed = tiles(images.pair, tile, halo, images.complex_)
-        got = track_tiles(packed, pts.where(points.searchable()), tile, up, measure, angles)
+        live = pts.where(points.searchable())
+        packed = tiles(images.pair, tile, reach(live) if halo is None else halo, images.complex_)
+        got = track_tiles(packed, live, tile, up, measure, angles)
         out = pts.join(got, PT, "left")
         return out.withColumn("searched", F.coalesce("searched", F.lit(False)))
     if tier != "rows":
@@ -74,8 +74,12 @@ def products(pts: DataFrame) -> float:
     return pts.where(points.searchable()).agg(F.sum(one)).first()[0] or 0.0
 
 
-def _reach(p: Params) -> tuple[int, int]:
-    return max(p.radius_x, p.min_search_radius), max(p.radius_y, p.min_search_radius)
+def reach(pts: DataFrame) -> int:
+    """The halo of tiles that holds every chip and window of ``pts``: one row of maxima to the driver."""
+    names = ("chip_x", "chip_y", "radius_x", "radius_y")
+    prior = F.max(F.greatest(F.abs("dx_prior"), F.abs("dy_prior")))
+    got = pts.agg(*(F.max(n).alias(n) for n in names), prior.alias("prior")).first()
+    return halo_of(*(got[n] or 0 for n in names), got["prior"] or 0.0)
 
 
 def coarse_fraction(coarse: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def coarse_fraction(coarse: DataFrame) -> DataFrame:
     return got.select("pair_id", F.try_divide("_k", "_n").alias("fraction"))
 
 
-def coarse_mask(images: Images, pts: DataFrame, p: Params, chip_x: int, chip_y: int, measure: str, grid: tuple[int, int], tier: str) -> DataFrame | None:
+def coarse_mask(images: Images, pts: DataFrame, p: Params, chip_x: int, chip_y: int, measure: str, grid: tuple[int, int], tier: str, halo: int | None = None) -> DataFrame | None:
     """``(pair_id, gi, gj)`` of grid points near a coherent coarse estimate; None where the grid is too small
     to judge and everything is searched."""
     s = p.coarse_stride
@@ -97,7 +101,7 @@ def coarse_mask(images: Images, pts: DataFrame, p: Params, chip_x: int, chip_y:
     for axis in "xy":
         coarse = coarse.join(cell_max_radius(pts, s, f"radius_{axis}"), ["pair_id", "gi", "gj"])
     coarse = coarse.withColumns({"chip_x": F.lit(chip_x), "chip_y": F.lit(chip_y)}).select(*pts.columns)
-    found = track(images, coarse, p, measure, 1, tier)
+    found = track(images, coarse, p, measure, 1, tier, halo=halo)
     judged = reject_outliers(found, p.outliers.relaxed() if p.outliers else None, p.upsampling, small)
     enough = coarse_fraction(judged).where(F.col("fraction") >= p.min_coarse_valid_fraction).select("pair_id")
     kept = judged.join(enough, "pair_id", "left_semi").select("pair_id", F.col("gi").alias("r"), F.col("gj").alias("c"), "keep")
@@ -111,11 +115,14 @@ def chipsize_level(images: Images, grid_pts: DataFrame, p: Params, chip_size: in
     dx, dy, correlation, filled, chip_size."""
     chip_y = p.chip_height(chip_size)
     pts = points.level_points(grid_pts, wanted, chip_size, chip_y, p.min_search_radius)
-    near = coarse_mask(images, pts, p, chip_size, chip_y, measure, grid, tier)
+    # From the grid, so that neither the coarse pass nor finer levels run once more for it.
+    widest = {f"radius_{a}": F.greatest(f"radius_{a}", F.lit(p.min_search_radius)) for a in "xy"} | {"chip_x": F.lit(chip_size), "chip_y": F.lit(chip_y)}
+    halo = reach(grid_pts.withColumns(widest)) if tier == "arrow" else None
+    near = coarse_mask(images, pts, p, chip_size, chip_y, measure, grid, tier, halo)
     if near is not None:
         hit = pts.join(near.withColumn("_in", F.lit(True)), ["pair_id", "gi", "gj"], "left")
         pts = hit.withColumns({f"radius_{a}": F.when(F.col("_in").isNotNull(), F.col(f"radius_{a}")).otherwise(0) for a in "xy"}).select(*pts.columns)
-    fine = reject_outliers(track(images, pts, p, measure, None, tier), p.outliers, p.upsampling, grid)
+    fine = reject_outliers(track(images, pts, p, measure, None, tier, halo=halo), p.outliers, p.upsampling, grid)
     names = ("dx", "dy", "correlation")
     kept = fine.withColumns({k: F.when(F.col("keep"), F.col(k)) for k in names}).drop("keep", "searched")
     return fill_holes(kept, p.fill_window, grid).withColumn("chip_size", F.lit(chip_size))
