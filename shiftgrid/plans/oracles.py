@@ -48,22 +48,19 @@ TRACKED = f"WITH {PX}, {SEC}, {GRID}, {OFF8}, {CHIP}, {ZNCC}"
 PEAK = "pk AS (SELECT pt_id, sy, sx, score FROM (SELECT pt_id, sy, sx, score, row_number() OVER (PARTITION BY pt_id ORDER BY round(score, 9) DESC, sy, sx) AS k FROM zs WHERE score IS NOT NULL) q WHERE k = 1)"
 
 
-def taps(n: int) -> str:
-    """(k, i, w): the doubling of an axis of n samples, reflected in the doubled axis."""
-    rows = []
-    for p in range(2 * n):
-        for q, w in ((p - 2, 0.125), (p, 0.75), (p + 2, 0.125)) if p % 2 == 0 else ((p - 1, 0.5), (p + 1, 0.5)):
-            q = -q if q < 0 else q
-            q = 2 * (2 * n - 1) - q if q > 2 * n - 1 else q
-            rows.append(f"({p},{q // 2},{w})")
-    return "(VALUES " + ",".join(rows) + ") t(k, i, w)"
+def taps(n: str) -> str:
+    """(k, i, w): the doubling of an axis of n samples (an expression over dims), reflected in the doubled axis."""
+    even = "SELECT p, p + d.d AS q, d.w AS w FROM ps, (VALUES (-2, 0.125::DOUBLE), (0, 0.75::DOUBLE), (2, 0.125::DOUBLE)) d(d, w) WHERE p % 2 = 0"
+    odd = "SELECT p, p + d.d AS q, 0.5::DOUBLE AS w FROM ps, (VALUES (-1), (1)) d(d) WHERE p % 2 = 1"
+    return (f"(WITH ps AS (SELECT unnest(range(0, CAST(2 * {n} AS BIGINT))) AS p FROM dims), qs AS ({even} UNION ALL {odd}) "
+            f"SELECT p AS k, (CASE WHEN abs(q) > 2 * {n} - 1 THEN 2 * (2 * {n} - 1) - abs(q) ELSE abs(q) END) // 2 AS i, w FROM qs, dims)")
 
 
 #: Three doublings of a 5 x 5 patch, one after the other.
 def cascade() -> str:
     out = []
     for n, (a, b) in zip((5, 10, 20), (("p0", "p1"), ("p1", "p2"), ("p2", "p3")), strict=True):
-        out.append(f"t{n} AS (SELECT k, i, w FROM {taps(n)})")
+        out.append(f"t{n} AS (SELECT k, i, w FROM {taps(str(n))})")
         out.append(f"h{n} AS (SELECT pt_id, t{n}.k AS y, {a}.x, sum(w * v) AS v FROM {a} JOIN t{n} ON t{n}.i = {a}.y GROUP BY pt_id, t{n}.k, {a}.x)")
         out.append(f"{b} AS (SELECT pt_id, h{n}.y, t{n}.k AS x, sum(w * v) AS v FROM h{n} JOIN t{n} ON t{n}.i = h{n}.x GROUP BY pt_id, h{n}.y, t{n}.k)")
     return ", ".join(out)
@@ -82,7 +79,7 @@ FROM pt JOIN fp ON fp.pt_id = pt.pt_id JOIN ap ON ap.pt_id = pt.pt_id"""
 
 
 FIELD = """fd AS (SELECT r AS gi, c AS gj, CASE WHEN (r * 5 + c) % 17 <> 0 THEN 3 + 0.05::DOUBLE * r + v * 0.1::DOUBLE + CASE WHEN (r * 7 + c * 3) % 29 = 0 THEN 2.5 ELSE 0 END::DOUBLE END AS dx,
-  CASE WHEN (r * 5 + c) % 17 <> 0 THEN -2 - 0.05::DOUBLE * c + v * 0.1::DOUBLE END AS dy, CASE WHEN (r + c * 11) % 31 = 0 THEN 0 ELSE 8 END AS radius FROM px WHERE c <= 16 AND r <= 64)"""
+  CASE WHEN (r * 5 + c) % 17 <> 0 THEN -2 - 0.05::DOUBLE * c + v * 0.1::DOUBLE END AS dy, CASE WHEN (r + c * 11) % 31 = 0 THEN 0 ELSE 8 END AS radius FROM px)"""
 
 
 def rejection() -> str:
@@ -108,7 +105,7 @@ def filling() -> str:
     return ", ".join(out)
 
 
-MATCHES = """m0 AS (SELECT vec_id AS m_id, vec_id // 20 * 5 + CAST(embedding[1] AS DOUBLE) AS r, vec_id % 20 * 5 + CAST(embedding[2] AS DOUBLE) AS c FROM embeddings WHERE vec_id < 400),
+MATCHES = """m0 AS (SELECT vec_id AS m_id, vec_id // 20 * 5 + CAST(embedding[1] AS DOUBLE) AS r, vec_id % 20 * 5 + CAST(embedding[2] AS DOUBLE) AS c FROM embeddings),
 mt AS (SELECT m_id, r, c, c - (c * cos(0.05235987755982988::DOUBLE) + r * sin(0.05235987755982988::DOUBLE)) + CASE WHEN m_id % 13 = 0 THEN 40 ELSE 0 END AS dx,
   r - (r * cos(0.05235987755982988::DOUBLE) - c * sin(0.05235987755982988::DOUBLE)) AS dy FROM m0)"""
 
@@ -150,21 +147,23 @@ SELECT o.r, o.c, round(coalesce(o.v, 0), 6) + 0.0 AS v, er.ok AND o.v IS NOT NUL
 CUBIC = ["-0.5 * t*t*t + t*t - 0.5 * t", "1.5 * t*t*t - 2.5 * t*t + 1.0", "-1.5 * t*t*t + 2.0 * t*t + 0.5 * t", "0.5 * t*t*t - 0.5 * t*t"]
 
 
-def cubic_axis(name: str, src: int, dst: int) -> str:
-    pos = f"((k.i - 0.5) * {src / dst!r}::DOUBLE - 0.5)"
-    parts = " UNION ALL ".join(f"SELECT k, CAST(greatest(least(f + {d}, {src}), 1) AS INTEGER) AS s, {CUBIC[d]} AS w FROM {name}0" for d in range(4))
-    return f"{name}0 AS (SELECT CAST(k.i AS INTEGER) AS k, floor({pos}) AS f, {pos} - floor({pos}) AS t FROM (SELECT unnest(range(1, {dst + 1})) AS i) k), {name} AS ({parts})"
+def cubic_axis(name: str, src: str, dst: str) -> str:
+    """Taps of an axis of ``src`` samples at ``dst`` places, both expressions over dims."""
+    pos = f"((k - 0.5) * (({src})::DOUBLE / ({dst})) - 0.5)"
+    parts = " UNION ALL ".join(f"SELECT k, CAST(greatest(least(f + {d}, m), 1) AS INTEGER) AS s, {CUBIC[d]} AS w FROM {name}0" for d in range(4))
+    return f"{name}k AS (SELECT CAST(unnest(range(1, CAST({dst} + 1 AS BIGINT))) AS INTEGER) AS k, n FROM dims), {name}0 AS (SELECT k, {src} AS m, floor({pos}) AS f, {pos} - floor({pos}) AS t FROM {name}k), {name} AS ({parts})"
 
 
-def area_axis(name: str, src: int, dst: int) -> str:
-    s = f"{src / dst!r}::DOUBLE"
-    return f"""{name} AS (SELECT CAST(k.i AS INTEGER) AS k, CAST(s.i AS INTEGER) AS s, least(k.i * {s}, s.i) - greatest((k.i - 1) * {s}, s.i - 1) AS w
-  FROM (SELECT unnest(range(1, {dst + 1})) AS i) k, (SELECT unnest(range(1, {src + 1})) AS i) s WHERE least(k.i * {s}, s.i) - greatest((k.i - 1) * {s}, s.i - 1) > 0)"""
+def area_axis(name: str, src: str, dst: str) -> str:
+    by = f"(({src})::DOUBLE / ({dst}))"
+    w = f"(least(k * {by}, s) - greatest((k - 1) * {by}, s - 1))"
+    return f"""{name}k AS (SELECT CAST(unnest(range(1, CAST({dst} + 1 AS BIGINT))) AS INTEGER) AS k, n FROM dims), {name}s AS (SELECT CAST(unnest(range(1, CAST({src} + 1 AS BIGINT))) AS INTEGER) AS s FROM dims),
+{name} AS (SELECT k, s, {w} AS w FROM {name}k, {name}s WHERE {w} > 0)"""
 
 
 def resampled(y: str, x: str, least: str) -> str:
     return f"""WITH {PX}, {MASKED}, {y}, {x}, g AS (SELECT yy.k AS r, xx.k AS c, sum(yy.w * xx.w * h) AS a, sum(CASE WHEN h IS NOT NULL THEN yy.w * xx.w END) AS w
-  FROM mk JOIN yy ON yy.s = mk.r JOIN xx ON xx.s = mk.c WHERE mk.r <= 60 GROUP BY yy.k, xx.k) SELECT r, c, CASE WHEN w {least} THEN round(a / w, 6) + 0.0 END AS v FROM g"""
+  FROM mk JOIN yy ON yy.s = mk.r JOIN xx ON xx.s = mk.c GROUP BY yy.k, xx.k) SELECT r, c, CASE WHEN w {least} THEN round(a / w, 6) + 0.0 END AS v FROM g"""
 
 
 COMPLEX = """zc AS (SELECT a.r, a.c, a.v AS re, b.v AS im, a.ok AND b.ok AS ok FROM mk a JOIN mk b ON b.r = a.r AND b.c = a.c + 32 WHERE a.c <= 32)"""
@@ -187,7 +186,7 @@ ORACLES: dict[str, str] = {
     "grid_coords": f"WITH {PX}, {GRID} SELECT gi, gj, 1000.0::DOUBLE + (x - 1) * 120.0::DOUBLE AS map_x, 9000.0::DOUBLE - (y - 1) * 120.0::DOUBLE AS map_y FROM pt",
     "pixel_size": "SELECT image_id, axis, 120.0::DOUBLE AS pixel_size FROM (VALUES ('ref'), ('sec')) a(image_id), (VALUES ('X'), ('Y')) b(axis)",
     "gridpoints": f"WITH {PX}, {GRID} SELECT pt_id, gi, gj, x::DOUBLE AS x, y::DOUBLE AS y, 4 AS radius_x, 4 AS radius_y, 0.0::DOUBLE AS dx_prior, 0.0::DOUBLE AS dy_prior, 8 AS chip_x, 8 AS chip_y FROM pt",
-    "pointset": "SELECT 'p' AS pair_id, l_orderkey * 8 + l_linenumber AS pt_id, (l_partkey % 64 + 1)::DOUBLE AS x, (l_suppkey % 64 + 1)::DOUBLE AS y, CAST(l_linenumber + 2 AS INTEGER) AS radius_x, 4 AS radius_y, 1.5::DOUBLE AS dx_prior, 0.0::DOUBLE AS dy_prior, 8 AS chip_x, 8 AS chip_y FROM lineitem WHERE l_orderkey % 50 = 0",
+    "pointset": "SELECT 'p' AS pair_id, l_orderkey * 8 + l_linenumber AS pt_id, (l_partkey % 64 + 1)::DOUBLE AS x, (l_suppkey % 64 + 1)::DOUBLE AS y, CAST(l_linenumber + 2 AS INTEGER) AS radius_x, 4 AS radius_y, 1.5::DOUBLE AS dx_prior, 0.0::DOUBLE AS dy_prior, 8 AS chip_x, 8 AS chip_y FROM lineitem",
     "scatter": f"WITH {PX}, {GRID} SELECT pt_id, CAST(NULL AS INTEGER) AS gi, CAST(NULL AS INTEGER) AS gj, x::DOUBLE AS x, y::DOUBLE AS y FROM pt",
     "decimate": f"WITH {PX}, {GRID} SELECT pt_id, gi // 3 AS gi, gj // 3 AS gj, x::DOUBLE AS x, y::DOUBLE AS y FROM pt WHERE gi % 3 = 0 AND gj % 3 = 0",
     "sanitize": f"WITH {PX}, {GRID}, {UNEVEN} SELECT pt_id, CASE WHEN rx <= 0 OR ry <= 0 THEN 0 ELSE greatest(rx, 3) END AS radius_x, CASE WHEN rx <= 0 OR ry <= 0 THEN 0 ELSE greatest(ry, 3) END AS radius_y FROM un",
@@ -216,7 +215,7 @@ SELECT sm.pt_id, sy, sx, round(sqrt(nr * nr + ni * ni) / (sqrt(tt) * sqrt(greate
     "peak_index": f"{TRACKED}, {PEAK} SELECT pt_id, sy, sx, round(score, 6) + 0.0 AS correlation FROM pk",
     "peak_offset": f"{TRACKED}, {PEAK} SELECT pt_id, sx - 4 + 0.0::DOUBLE AS dx, sy - 4 + 0.0::DOUBLE AS dy, round(score, 6) + 0.0 AS correlation FROM pk",
     "subpixel_peak": f"{TRACKED}, {PEAK}, {PATCH}, {cascade()}, {FINE} SELECT fp.pt_id, round(fp.x / 8.0 + j0 - 4, 6) + 0.0 AS dx, round(fp.y / 8.0 + i0 - 4, 6) + 0.0 AS dy, round(fp.v, 6) + 0.0 AS correlation FROM fp JOIN ap ON ap.pt_id = fp.pt_id",
-    "pyrup": f"WITH {PX}, ty AS (SELECT k, i, w FROM {taps(40)}), tx AS (SELECT k, i, w FROM {taps(64)}) SELECT ty.k + 1 AS r, tx.k + 1 AS c, round(sum(ty.w * tx.w * v), 6) + 0.0 AS v FROM px JOIN ty ON ty.i + 1 = px.r JOIN tx ON tx.i + 1 = px.c WHERE px.r <= 40 GROUP BY ty.k, tx.k",
+    "pyrup": f"WITH {PX}, ty AS (SELECT k, i, w FROM {taps('n')}), tx AS (SELECT k, i, w FROM {taps('64')}) SELECT CAST(ty.k + 1 AS INTEGER) AS r, CAST(tx.k + 1 AS INTEGER) AS c, round(sum(ty.w * tx.w * v), 6) + 0.0 AS v FROM px JOIN ty ON ty.i + 1 = px.r JOIN tx ON tx.i + 1 = px.c GROUP BY ty.k, tx.k",
     "rotate_chip": f"""WITH {PX}, {GRID}, {OFF8}, tn AS (SELECT i.k AS i, j.k AS j, 4.5 + cos(radians(10)) * (i.k - 3.5) + sin(radians(10)) * (j.k - 3.5) AS sy, 4.5 - sin(radians(10)) * (i.k - 3.5) + cos(radians(10)) * (j.k - 3.5) AS sx FROM o8 i CROSS JOIN o8 j),
 tp AS (SELECT i, j, floor(sy) AS a, floor(sx) AS b, sy - floor(sy) AS fy, sx - floor(sx) AS fx FROM tn),
 cl AS (SELECT pt_id, i, j, a, b, fy, fx, y - 5 + a AS r0, x - 5 + b AS c0, a >= 1 AND b >= 1 AND a + 1 <= 8 AND b + 1 <= 8 AS inside FROM pt CROSS JOIN tp)
@@ -224,14 +223,14 @@ SELECT pt_id, i, j, round(CASE WHEN inside THEN (1 - fy) * ((1 - fx) * p.v + fx
 FROM cl JOIN px p ON p.r = r0 AND p.c = c0 JOIN px q ON q.r = r0 AND q.c = c0 + 1 JOIN px s ON s.r = r0 + 1 AND s.c = c0 JOIN px t ON t.r = r0 + 1 AND t.c = c0 + 1""",
     "knn": f"WITH {MATCHES}, {near(5)} SELECT i, j, round(d2, 6) + 0.0 AS d2, rank FROM kn",
     "knn_cells": f"WITH {MATCHES}, {near(5)} SELECT i, j, round(d2, 6) + 0.0 AS d2, rank FROM kn",
-    "hamming_match": """WITH bt AS (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS i), ds AS (SELECT vec_id, sum(CASE WHEN embedding[i] > 0 THEN (CASE WHEN i > 62 THEN 0 ELSE 1 END) ELSE 0 END) AS n FROM embeddings, bt WHERE vec_id < 500 GROUP BY vec_id),
-sg AS (SELECT vec_id, i, CASE WHEN i <= 2 THEN (embedding[i] > 0) <> (embedding[i + 62] > 0) ELSE embedding[i] > 0 END AS b FROM embeddings, bt WHERE vec_id < 500 AND i <= 62),
+    "hamming_match": """WITH bt AS (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS i), ds AS (SELECT vec_id, sum(CASE WHEN embedding[i] > 0 THEN (CASE WHEN i > 62 THEN 0 ELSE 1 END) ELSE 0 END) AS n FROM embeddings, bt GROUP BY vec_id),
+sg AS (SELECT vec_id, i, CASE WHEN i <= 2 THEN (embedding[i] > 0) <> (embedding[i + 62] > 0) ELSE embedding[i] > 0 END AS b FROM embeddings, bt WHERE i <= 62),
 w AS (SELECT vec_id, sum(CASE WHEN b THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)::BIGINT AS d FROM sg GROUP BY vec_id),
 p AS (SELECT a.vec_id AS m_id, b.vec_id AS j, bit_count(xor(a.d, b.d)) AS h FROM w a JOIN w b ON b.vec_id % 3 > 0),
 k AS (SELECT m_id, j, h, row_number() OVER (PARTITION BY m_id ORDER BY h, j) AS n, lead(h) OVER (PARTITION BY m_id ORDER BY h, j) AS h2 FROM p)
 SELECT m_id, (m_id // 25)::DOUBLE AS r, (m_id % 25)::DOUBLE AS c, (m_id % 25 - j % 20)::DOUBLE AS dx, (m_id // 25 - j // 20)::DOUBLE AS dy FROM k WHERE n = 1 AND h < 0.9 * h2""",
     "consistent_matches": f"WITH {CONSISTENT} SELECT m_id FROM ok",
-    "scene_rotation": f"""WITH {MATCHES}, s AS (SELECT c - dx AS sx, r - dy AS sy, c, r FROM mt WHERE m_id % 13 <> 0), m AS (SELECT avg(sx) AS a, avg(sy) AS b, avg(c) AS p, avg(r) AS q FROM s)
+    "scene_rotation": f"""WITH {MATCHES}, s AS (SELECT c - dx AS sx, r - dy AS sy, c, r FROM mt), m AS (SELECT avg(sx) AS a, avg(sy) AS b, avg(c) AS p, avg(r) AS q FROM s)
 SELECT round(degrees(atan2(sum((sx - a) * (r - q) - (sy - b) * (c - p)), sum((sx - a) * (c - p) + (sy - b) * (r - q)))), 6) + 0.0 AS degrees FROM s, m""",
     "first_guess": f"WITH {CONSISTENT} SELECT mt.m_id AS pt_id, round(c, 6) + 0.0 AS x, round(r, 6) + 0.0 AS y, round(dx, 6) + 0.0 AS dx_prior, round(dy, 6) + 0.0 AS dy_prior, 6 AS radius_x, 8 AS chip_x FROM mt JOIN ok ON ok.m_id = mt.m_id",
     "wanted": f"WITH {PX}, {GRID} SELECT pt_id FROM pt WHERE pt_id % 4 <> 1",
@@ -265,10 +264,10 @@ SELECT gi, gj, round(x / nullif(chip_size, 0)::DOUBLE, 6) + 0.0 AS dx, chip_size
     "quantize_none": f"WITH {PX}, {MASKED} SELECT r, c, round(v, 6) + 0.0 AS v, ok AS valid FROM mk",
     "prepare": quantized(f"WITH {PX}, {MASKED}, {window(5, 5)}, s AS (SELECT r, c, avg(h) AS mean FROM nb GROUP BY r, c), {ERODED}, src AS (SELECT m.r, m.c, CASE WHEN er.ok AND m.h IS NOT NULL THEN {HIGH} END AS q, er.ok AND m.h IS NOT NULL AS valid FROM mk m JOIN s ON s.r = m.r AND s.c = m.c JOIN er ON er.r = m.r AND er.c = m.c)"),
     "filter_identity": f"WITH {PX}, {MASKED} SELECT r, c, round(v, 6) + 0.0 AS v, ok AS valid FROM mk",
-    "resample_nearest": f"WITH {PX}, {MASKED}, yy AS (SELECT unnest(range(1, 91)) AS k), xx AS (SELECT unnest(range(1, 41)) AS k) SELECT CAST(yy.k AS INTEGER) AS r, CAST(xx.k AS INTEGER) AS c, round(h, 6) + 0.0 AS v FROM yy CROSS JOIN xx JOIN mk ON mk.r = least(greatest(floor((yy.k - 0.5) * {60 / 90!r}::DOUBLE) + 1, 1), 60) AND mk.c = least(greatest(floor((xx.k - 0.5) * {64 / 40!r}::DOUBLE) + 1, 1), 64)",
-    "resample_area": resampled(area_axis("yy", 60, 25), area_axis("xx", 64, 24), "> 0"),
-    "resample_bicubic": resampled(cubic_axis("yy", 60, 90), cubic_axis("xx", 64, 100), ">= 0.5"),
-    "dilate_within": f"WITH {PX}, t AS (SELECT r, c FROM px WHERE r <= 60 AND (r * 13 + c * 7) % 101 = 0) SELECT px.r, px.c, bool_or(t.r IS NOT NULL) AS m FROM px LEFT JOIN t ON (t.r - px.r) * (t.r - px.r) + (t.c - px.c) * (t.c - px.c) <= 9 WHERE px.r <= 60 GROUP BY px.r, px.c",
+    "resample_nearest": f"WITH {PX}, {MASKED}, yy AS (SELECT unnest(range(1, CAST(n * 3 // 2 + 1 AS BIGINT))) AS k, n FROM dims), xx AS (SELECT unnest(range(1, 41)) AS k) SELECT CAST(yy.k AS INTEGER) AS r, CAST(xx.k AS INTEGER) AS c, round(h, 6) + 0.0 AS v FROM yy CROSS JOIN xx JOIN mk ON mk.r = least(greatest(floor((yy.k - 0.5) * (n::DOUBLE / (n * 3 // 2))) + 1, 1), n) AND mk.c = least(greatest(floor((xx.k - 0.5) * {64 / 40!r}::DOUBLE) + 1, 1), 64)",
+    "resample_area": resampled(area_axis("yy", "n", "n * 5 // 12"), area_axis("xx", "64", "24"), "> 0"),
+    "resample_bicubic": resampled(cubic_axis("yy", "n", "n * 3 // 2"), cubic_axis("xx", "64", "100"), ">= 0.5"),
+    "dilate_within": f"WITH {PX}, t AS (SELECT r, c FROM px WHERE (r * 13 + c * 7) % 101 = 0) SELECT px.r, px.c, bool_or(t.r IS NOT NULL) AS m FROM px LEFT JOIN t ON (t.r - px.r) * (t.r - px.r) + (t.c - px.c) * (t.c - px.c) <= 9 GROUP BY px.r, px.c",
     "reject_outliers": f"WITH {PX}, {rejection()} SELECT fd.gi, fd.gj, k5.gi IS NOT NULL AS keep FROM fd LEFT JOIN k5 ON k5.gi = fd.gi AND k5.gj = fd.gj",
     "no_outlier_filter": f"WITH {PX}, {FIELD} SELECT gi, gj, dx IS NOT NULL AND dy IS NOT NULL AS keep FROM fd",
     "fill_holes": f"WITH {PX}, {filling()} SELECT gi, gj, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy, filled FROM f3",
@@ -290,7 +289,7 @@ SELECT site, ref_id || '-' || sec_id AS pair_id, ref_id, sec_id, round((epoch_us
 def _scattered() -> str:
     """Points at part keys with priors (-2, -1): the chip is cut two columns and one row on, outside is zero."""
     chip = CHIP.replace("s.r = y - 4 + i.k AND s.c = x - 4 + j.k", "s.r = y + 1 - 4 + i.k AND s.c = x + 2 - 4 + j.k")
-    pt = "pt AS (SELECT CAST(p_partkey AS BIGINT) AS pt_id, CAST(p_partkey % 44 + 10 AS INTEGER) AS x, CAST(p_partkey * 7 % (n - 20) + 10 AS INTEGER) AS y FROM part, dims WHERE p_partkey < 200)"
+    pt = "pt AS (SELECT CAST(p_partkey AS BIGINT) AS pt_id, CAST(p_partkey % 44 + 10 AS INTEGER) AS x, CAST(p_partkey * 7 % (n - 20) + 10 AS INTEGER) AS y FROM part, dims)"
     return (f"WITH {PX}, {WRAP}, {pt}, {OFF8}, {chip}, {ZNCC}, {PEAK} SELECT pt_id, sx - 4 - 2 + 0.0::DOUBLE AS dx, sy - 4 - 1 + 0.0::DOUBLE AS dy, "
             "round(score, 6) + 0.0 AS correlation, true AS searched FROM pk")
 
