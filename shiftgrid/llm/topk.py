@@ -9,72 +9,74 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from shiftgrid.llm.util import hash_sample, written
 
-#: Vectors of a packed block, and queries of a query block.
-BLOCK, QUERIES = 2048, 512
+#: Vectors of a packed block, blocks of a share (neighbours in norm order), and queries of a query block.
+#: A task meets one share with one query block; both have about as many rows, so both move about as often.
+BLOCK, BLOCKS, QUERIES = 2048, 8, 16_384
+#: Queries of a product; products of norms below which doubles hold every integer, and beyond which they may overflow.
+ROWS, EXACT, HUGE = 1024, 2.0**53, 1e290
+LONGS = np.iinfo(np.int64)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """``(vec_id, v array<int>, norm2 long)``: floor(scale * x) of each component, x as double.
+    """``(vec_id, v array<double>, norm double)``: floor(scale * x) of each component, x as double; whole
+    numbers, which doubles hold whatever their size.
 
-    Rows whose vector is null, empty or holds null or non-finite components are left out.
+    Rows whose vector is null, empty or holds null or non-finite components are left out, and those of
+    which ``scale`` makes a component non-finite.
     """
+    v = F.transform("embedding", lambda x: scale * x.cast("double"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", bad)
-    v = F.transform("embedding", lambda x: F.floor(scale * x.cast("double")))
-    rows = vectors.where(ok & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    return rows.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    rows = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull())
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(~F.exists("v", bad))
+    # Spark's floor gives longs; from 2 ** 53 on a double is whole as it is.
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)))
+    big = F.array_max(F.transform("v", F.abs))
+    norm = F.when(big > 0, big * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / big) * (x / big)))).otherwise(0.0)
+    return rows.withColumn("norm", norm)
 
 
 def rotation(rows: DataFrame, dim: int, n: int, sample: int = 20_000) -> np.ndarray:
-    """Right singular vectors, largest first, of a bounded sample of rows (smallest hashes of id).
+    """Right singular vectors, largest first, of the directions of a bounded sample of rows (smallest hashes of id).
 
     Any rotation gives the same results; this one makes leading sums tell most.
     """
-    got = hash_sample(rows.where(F.size("v") == dim).select("vec_id", "v"), ("vec_id", "v"), sample, n).toPandas()["v"]
+    got = hash_sample(rows.where((F.size("v") == dim) & (F.col("norm") > 0)).select("vec_id", "v", "norm"), ("vec_id", "v"), sample, n).toPandas()
     if not len(got):
         return np.eye(dim)
-    x = np.stack(got.to_numpy()).astype(float)
+    x = np.stack(got["v"].to_numpy()).astype(float)
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
     _, basis = np.linalg.eigh(x.T @ x)
     return np.ascontiguousarray(basis[:, ::-1])
 
 
-def _pack(dim: int, rows: int):
-    """Sorted rows to blocks: ids, matrix (int64, zero-padded to ``dim``), largest norm."""
+def _pack(dim: int, size: int):
+    """Rows to blocks of ``size``: ids, matrix (doubles, zero-padded to ``dim``), norms, the largest norm."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, mats, norms, held = None, [], [], [], 0
+        ids, mats, norms, held = [], [], [], 0
 
         def block():
-            x = np.concatenate(mats)
+            n = np.concatenate(norms)
             return pa.RecordBatch.from_arrays(
-                [pa.array([group], pa.int64()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([float(max(norms))], pa.float64())],
-                names=["g", "ids", "mat", "norm"])
+                [pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(mats).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([float(n.max())], pa.float64())],
+                names=["ids", "mat", "norms", "norm"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            own, g = b.column("vec_id").to_numpy(), b.column("g").to_numpy()
-            v = b.column("v")
-            width = np.diff(v.offsets.to_numpy())
-            flat = v.flatten().to_numpy()
-            x = np.zeros((len(own), dim), np.int64)
-            x[np.arange(dim)[None, :] < width[:, None]] = flat
-            n = np.sqrt((x.astype(float) ** 2).sum(1))
+            own, n = b.column("vec_id").to_numpy(), b.column("norm").to_numpy()
+            width = np.diff(b.column("v").offsets.to_numpy())
+            x = np.zeros((len(own), dim))
+            x[np.arange(dim)[None, :] < width[:, None]] = b.column("v").flatten().to_numpy()
             at = 0
             while at < len(own):
-                stop = min(at + rows - held, at + int(np.argmax(g[at:] != g[at])) if (g[at:] != g[at]).any() else len(own))
-                if held and g[at] != group:
-                    yield block()
-                    ids, mats, norms, held = [], [], [], 0
-                    continue
-                group = int(g[at])
-                ids.append(own[at:stop]), mats.append(x[at:stop]), norms.append(n[at:stop].max())
-                held += stop - at
-                at = stop
-                if held == rows:
+                stop = min(at + size - held, len(own))
+                ids.append(own[at:stop]), mats.append(x[at:stop]), norms.append(n[at:stop])
+                held, at = held + stop - at, stop
+                if held == size:
                     yield block()
                     ids, mats, norms, held = [], [], [], 0
         if held:
@@ -83,56 +85,92 @@ def _pack(dim: int, rows: int):
     return packed
 
 
-def _search(dim: int, basis: np.ndarray, k: int, lead: int):
-    """Blocks of a (query block, share), by descending norm, keeping the best k so far per query."""
+def _whole(q: np.ndarray, x: np.ndarray) -> int:
+    """The inner product of two rows of whole doubles, exact, as the nearest long."""
+    return min(max(sum(int(a) * int(b) for a, b in zip(q, x, strict=True)), LONGS.min), LONGS.max)
+
+
+class _Best:
+    """The best ``k`` so far of each query of a block, met by blocks of candidates in any order."""
+
+    def __init__(self, r, dim: int, basis: np.ndarray, k: int, lead: int):
+        self.qb, self.k, self.basis, self.lead = r.qb, k, basis, lead
+        self.ids, self.norm = np.frombuffer(r.qids, np.int64), np.frombuffer(r.qnorms, np.float64)
+        self.q = np.frombuffer(r.qmat, np.float64).reshape(-1, dim)
+        with np.errstate(all="ignore"):
+            rot = self.q @ basis
+            self.rot, self.rest = rot[:, :lead], np.sqrt((rot[:, lead:] ** 2).sum(1))
+        n = len(self.ids)
+        # What a candidate has to reach: from earlier shares, and from the own k best.
+        self.bar = np.frombuffer(r.bars, np.float64).copy() if r.bars is not None else np.full(n, -np.inf)
+        self.score, self.vec, self.size = np.full((n, k), LONGS.min), np.full((n, k), LONGS.max), np.zeros(n, np.int64)
+
+    def meet(self, r) -> None:
+        ids, x, norms = np.frombuffer(r.ids, np.int64), np.frombuffer(r.mat, np.float64).reshape(-1, self.q.shape[1]), np.frombuffer(r.norms, np.float64)
+        rot = rest = None
+        for s in range(0, len(self.ids), ROWS):
+            with np.errstate(all="ignore"):
+                live = s + np.flatnonzero(self.norm[s : s + ROWS] * (r.norm * (1 + 1e-12)) >= self.bar[s : s + ROWS])
+                if not len(live):
+                    continue
+                if rot is None:
+                    whole = x @ self.basis
+                    rot, rest = whole[:, : self.lead], np.sqrt((whole[:, self.lead :] ** 2).sum(1))
+                reach = np.outer(self.norm[live], norms)
+                bound = self.rot[live] @ rot.T + np.outer(self.rest[live], rest)
+                may = ~(bound + (reach * 1e-12 + 1e-6) < self.bar[live][:, None]) | ~(reach < HUGE)
+                may &= ids[None, :] != self.ids[live][:, None]
+                cols = np.flatnonzero(may.any(0))
+                if not len(cols):
+                    continue
+                full, may, reach = self.q[live] @ x[cols].T, may[:, cols], reach[:, cols]
+                # Below 2 ** 53 sums of products of whole numbers are exact; beyond, off by so much at most.
+                off = np.where(reach < EXACT / 2, 0.0, np.where(reach < HUGE, reach * (2.0**-50 * x.shape[1]), np.inf))
+                low, high = np.where(may, full - off, -np.inf), np.where(may, full + off, -np.inf)
+                # Scores end at the longs' ends, so those beyond tie there.
+                low = np.where(may, np.clip(np.where(np.isnan(low), -np.inf, low), LONGS.min, LONGS.max), -np.inf)
+                high = np.clip(np.where(np.isnan(high), np.inf, high), LONGS.min, LONGS.max)
+                bar = self.bar[live]
+                if low.shape[1] > self.k:
+                    bar = np.maximum(bar, np.partition(low, -self.k, axis=1)[:, -self.k])
+                take = (high >= bar[:, None]) & may
+            for i, row in zip(live, range(len(live)), strict=True):
+                own = np.flatnonzero(take[row])
+                if len(own):
+                    self._put(int(i), ids[cols[own]], [int(full[row, c]) if off[row, c] == 0 else _whole(self.q[i], x[cols[c]]) for c in own])
+
+    def _put(self, i: int, vec: np.ndarray, score: list[int]) -> None:
+        n = self.size[i]
+        score, vec = np.r_[self.score[i, :n], np.array(score, np.int64)], np.r_[self.vec[i, :n], vec]
+        order = np.lexsort((vec, ~score))[: self.k]  # ~ reverses the order of longs, and overflows for none
+        n = self.size[i] = len(order)
+        self.score[i, :n], self.vec[i, :n] = score[order], vec[order]
+        if n == self.k:
+            least = float(self.score[i, n - 1])
+            self.bar[i] = max(self.bar[i], least if abs(least) < EXACT else np.nextafter(least, -np.inf))
+
+    def out(self) -> pd.DataFrame:
+        hit = np.arange(self.k)[None, :] < self.size[:, None]
+        with np.errstate(all="ignore"):
+            need = np.where(self.norm > 0, self.bar / self.norm, -np.inf)
+        need = need.min(initial=np.inf)
+        return pd.DataFrame({"qb": [self.qb], "need": [float(need)], "bars": [self.bar.tobytes()], "q": [np.repeat(self.ids, self.size)], "v": [self.vec[hit]], "s": [self.score[hit]]})
 
-    def best(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
 
-        def out() -> pd.DataFrame:
-            n = len(state["qid"])
-            hit = state["score"] > np.iinfo(np.int64).min
-            return pd.DataFrame({"query_id": np.repeat(state["qid"], k).reshape(n, k)[hit], "vec_id": state["vec"][hit], "score": state["score"][hit]})
+def _search(dim: int, basis: np.ndarray, k: int, lead: int):
+    """Rows of (query block, share), sorted by both: for each the best k of its blocks, and the bars reached."""
 
-        for df in rows:
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for df in frames:
             for r in df.itertuples(index=False):
-                if state.get("key") != (r.qb, r.share):
-                    if state:
-                        yield out()
-                    q = np.frombuffer(r.qmat, np.int64).reshape(-1, dim)
-                    rot = q @ basis
-                    n = len(q)
-                    state = {"key": (r.qb, r.share), "qid": np.frombuffer(r.qids, np.int64), "q": q.astype(float), "rot": rot,
-                             "rest": np.sqrt((rot[:, lead:] ** 2).sum(1)), "norm": np.sqrt((q.astype(float) ** 2).sum(1)),
-                             "vec": np.full((n, k), np.iinfo(np.int64).max), "score": np.full((n, k), np.iinfo(np.int64).min)}
-                bar = state["score"][:, -1].astype(float)  # a candidate has to reach this
-                live = np.flatnonzero(state["norm"] * r.norm * (1 + 1e-12) >= bar)
-                if not len(live):
-                    continue
-                ids, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.mat, np.int64).reshape(-1, dim).astype(float)
-                rot = x @ basis
-                rest = np.sqrt((rot[:, lead:] ** 2).sum(1))
-                bound = state["rot"][live, :lead] @ rot[:, :lead].T + np.outer(state["rest"][live], rest)
-                scale = np.outer(state["norm"][live], np.sqrt((x**2).sum(1))) * 1e-12 + 1e-6  # rounding of the rotated sums
-                may = bound + scale >= bar[live][:, None]
-                cols = may.any(0)
-                if not cols.any():
-                    continue
-                # Exact scores: sums of integer products stay far below 2**53, so doubles hold them.
-                full = state["q"][live] @ x[cols].T
-                may = may[:, cols] & (ids[cols][None, :] != state["qid"][live][:, None])
-                full = np.where(may, full, -np.inf)
-                for i, row in zip(live, full, strict=True):
-                    low = state["score"][i, -1]
-                    take = np.flatnonzero(row >= float(low)) if low > np.iinfo(np.int64).min else np.flatnonzero(np.isfinite(row))
-                    if not len(take):
-                        continue
-                    score = np.r_[state["score"][i], row[take].astype(np.int64)]
-                    vec = np.r_[state["vec"][i], ids[cols][take]]
-                    order = np.lexsort((vec, -score.astype(float)))[:k]
-                    state["score"][i], state["vec"][i] = score[order], vec[order]
-        if state:
-            yield out()
+                if key != (r.qb, r.share):
+                    if state is not None:
+                        yield state.out()
+                    key, state = (r.qb, r.share), _Best(r, dim, basis, k, lead)
+                state.meet(r)
+        if state is not None:
+            yield state.out()
 
     return best
 
@@ -142,37 +180,46 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     vec_id is divisible by ``every``, against all other rows; ties to the smaller vec_id.
 
     Shorter vectors are padded with zeros. Rows without an id, and vectors that are null, empty or
-    hold null or non-finite components, take no part. Where a query's vec_id repeats, its smallest
-    vector asks; repeated candidates each count, but none with the query's own id.
+    hold null or non-finite components, take no part. Products are exact whatever their size; one
+    beyond a long counts as the nearest long. Where a query's vec_id repeats, its smallest vector
+    asks; repeated candidates each count, but none with the query's own id.
+
+    Vectors lie in shares by falling norm. All queries first meet the first share; what each has to beat
+    from there on goes with its query block, and only shares whose largest norm can still reach one of
+    those are sent to it.
     """
     spark = vectors.sparkSession
     rows = written(integer_vectors(vectors, scale), "vectors")
-    shape = rows.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not shape[1]:
-        return spark.createDataFrame([], schema)
-    dim, n = shape
+    dim, n, n_q = rows.agg(F.max(F.size("v")), F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
+    if not n_q:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     basis = rotation(rows, dim, n)
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_q = asked.count()
-    n_qb, n_b = -(-n_q // QUERIES) or 1, -(-n // BLOCK)
-    kinds = "g long, ids binary, mat binary, norm double"
-    qblocks = asked.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(n_qb)))
-    qblocks = qblocks.repartition(n_qb, "g").sortWithinPartitions("g", "vec_id").mapInArrow(_pack(dim, QUERIES * 2), kinds)
-    qblocks = written(qblocks.select((F.xxhash64("g", "ids")).alias("qb"), F.col("ids").alias("qids"), F.col("mat").alias("qmat")), "queries")
+    n_share, n_qb = -(-n // (BLOCK * BLOCKS)), -(-n_q // QUERIES)
+    kinds = "ids binary, mat binary, norms binary, norm double"
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("b")).select("vec_id", "b.v", "b.norm")
+    asked = asked.repartition(n_qb, "vec_id").mapInArrow(_pack(dim, QUERIES), kinds)
+    asked = asked.select(F.monotonically_increasing_id().alias("qb"), F.col("ids").alias("qids"), F.col("mat").alias("qmat"), F.col("norms").alias("qnorms"))
+    asked = written(asked, "queries")
     # Norm order over the whole table: ranges by falling norm, ids telling equal norms apart.
-    blocks = rows.withColumn("g", F.lit(0).cast("long")).repartitionByRange(n_b, F.desc("norm2"), "vec_id")
-    blocks = blocks.sortWithinPartitions(F.desc("norm2"), "vec_id").mapInArrow(_pack(dim, BLOCK), kinds)
-    blocks = written(blocks.select("ids", "mat", "norm"), "blocks")
-    # Every query block meets every block, dealt into shares of some blocks from all norms each.
-    shares = max(1, n_b // 8)
-    asked_at = qblocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    dealt = blocks.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
-    met = dealt.join(asked_at, "share")
-    placed = met.repartition(max(1, min(shares * n_qb, 2000)), "qb", "share").sortWithinPartitions("qb", "share", F.desc("norm"), "ids")
-    found = placed.select("qb", "share", "ids", "mat", "norm", "qids", "qmat").mapInPandas(
-        _search(dim, basis, k, max(1, dim // 4)), "query_id long, vec_id long, score long")
-    from pyspark.sql import Window as W
-
+    blocks = rows.repartitionByRange(n_share, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id").mapInArrow(_pack(dim, BLOCK), kinds)
+    blocks = written(blocks.withColumn("share", F.spark_partition_id()), "blocks")
+    shares = written(blocks.groupBy("share").agg(F.max("norm").alias("most")), "shares")  # a row a share, as many as 16,384 vectors
+    payload = ["qb", "share", "ids", "mat", "norms", "norm", "qids", "qmat", "qnorms", "bars"]
+
+    def met(queries: DataFrame, own: DataFrame, tasks: int, name: str) -> DataFrame:
+        """``queries(qb, share, qids, ...)`` against the blocks of their shares."""
+        pairs = own.join(queries, "share").select(*payload).repartition(tasks, "qb", "share").sortWithinPartitions("qb", "share", F.desc("norm"), "ids")
+        return written(pairs.mapInPandas(_search(dim, basis, k, max(1, dim // 4)), "qb long, need double, bars binary, q array<long>, v array<long>, s array<long>"), name)
+
+    # The first share that has rows: a range may be empty.
+    top = shares.agg(F.min("share")).first()[0]
+    first = met(asked.withColumns({"share": F.lit(top), "bars": F.lit(None).cast("binary")}), blocks.where(F.col("share") == top), n_qb, "first")
+    # Numbers of blocks and shares only: which share a query block still has to meet.
+    due = first.select("qb", "need", F.explode(F.sequence(F.lit(0), F.lit(n_share - 1))).alias("share")).where(F.col("share") != top)
+    due = due.join(shares, "share").where(F.col("most") * (1 + 1e-9) >= F.col("need")).select("qb", "share")
+    due = written(due, "due")
+    tasks = max(1, due.count())
+    rest = met(due.join(asked, "qb").join(first.select("qb", "bars"), "qb"), blocks, tasks, "rest")
+    found = first.unionByName(rest).select(F.explode(F.arrays_zip("q", "v", "s")).alias("e")).select(F.col("e.q").alias("query_id"), F.col("e.v").alias("vec_id"), F.col("e.s").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

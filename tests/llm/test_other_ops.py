@@ -41,7 +41,7 @@ def brute_top(rows, k=10):
             best[i] = min(best.get(i, q), q)
     out = []
     for i, q in best.items():
-        s = sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for j, c in rows if j != i)
+        s = sorted((-min(max(sum(a * b for a, b in zip(q, c, strict=False)), -(2**63)), 2**63 - 1), j) for j, c in rows if j != i)
         out += [(i, n + 1, j, -v) for n, (v, j) in enumerate(s[:k])]
     return sorted(out)
 
@@ -49,7 +49,8 @@ def brute_top(rows, k=10):
 def test_top_k(spark, vectors, monkeypatch):
     want = brute_top([(r.vec_id, r.embedding) for r in vectors.collect()])
     assert sorted(map(tuple, topk.top_k(vectors).collect())) == want
-    monkeypatch.setattr(topk, "BLOCK", 16)
+    for name, value in (("BLOCK", 16), ("BLOCKS", 2), ("QUERIES", 3), ("ROWS", 2)):
+        monkeypatch.setattr(topk, name, value)
     assert sorted(map(tuple, topk.top_k(vectors).collect())) == want
     assert topk.top_k(vectors.limit(0)).count() == 0
     few = vectors.where("vec_id in (0, 3)")
@@ -95,6 +96,19 @@ def test_vector_dedup(spark, vectors):
     assert sorted(map(tuple, got), key=str) == brute_links([(r.vec_id, r.embedding) for r in emb.collect()])
 
 
+def test_top_k_of_any_size(spark, monkeypatch):
+    """Products beyond 2 ** 53, where doubles lose units, and beyond a long; components up to 1e30 and 1e300."""
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=5) * 10 ** rng.integers(0, 5)]) for i in range(300)]
+    rows += [(300 + i, [float(x) for x in 1e5 + rng.integers(0, 3, 5) / 1024]) for i in range(60)]  # near ties above 2 ** 53
+    rows += [(400, [1e30, 0.0, 0.0, 0.0, 1.0]), (401, [-1e30, 1e300, 0.0, 0.0, 0.0]), (500, [1e300, 1e300, -1e300, 0.0, 3.0]), (402, [1e308, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_top([r for r in rows if r[0] != 402])  # 1024 times that is no double
+    assert sorted(map(tuple, topk.top_k(df).collect())) == want
+    assert any(2**53 < w[3] < 2**63 - 1 for w in want) and any(w[3] == 2**63 - 1 for w in want)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
 <header><h2>Site name</h2><nav><ul><li><a href="/a">Home</a></li><li><a href='/b'>About us</a></li></ul></nav></header>
 <div class="cookie-notice">We use cookies. Accept them all, please do.</div><!-- <p>no</p> -->
