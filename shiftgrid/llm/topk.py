@@ -95,8 +95,8 @@ class _Best:
 
     def __init__(self, r, dim: int, basis: np.ndarray, k: int, lead: int):
         self.qb, self.k, self.basis, self.lead = r.qb, k, basis, lead
-        self.ids, self.norm = np.frombuffer(r.qids, np.int64), np.frombuffer(r.qnorms, np.float64)
-        self.q = np.frombuffer(r.qmat, np.float64).reshape(-1, dim)
+        self.ids, self.norm = np.frombuffer(r.ids, np.int64), np.frombuffer(r.norms, np.float64)
+        self.q = np.frombuffer(r.mat, np.float64).reshape(-1, dim)
         with np.errstate(all="ignore"):
             rot = self.q @ basis
             self.rot, self.rest = rot[:, :lead], np.sqrt((rot[:, lead:] ** 2).sum(1))
@@ -158,17 +158,19 @@ class _Best:
 
 
 def _search(dim: int, basis: np.ndarray, k: int, lead: int):
-    """Rows of (query block, share), sorted by both: for each the best k of its blocks, and the bars reached."""
+    """Rows sorted by query block and share, the queries first, then the share's blocks: for each share
+    the best k, and the bars reached."""
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
+        state = None
         for df in frames:
             for r in df.itertuples(index=False):
-                if key != (r.qb, r.share):
+                if r.asks:
                     if state is not None:
                         yield state.out()
-                    key, state = (r.qb, r.share), _Best(r, dim, basis, k, lead)
-                state.meet(r)
+                    state = _Best(r, dim, basis, k, lead)
+                else:
+                    state.meet(r)
         if state is not None:
             yield state.out()
 
@@ -198,28 +200,28 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     kinds = "ids binary, mat binary, norms binary, norm double"
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("b")).select("vec_id", "b.v", "b.norm")
     asked = asked.repartition(n_qb, "vec_id").mapInArrow(_pack(dim, QUERIES), kinds)
-    asked = asked.select(F.monotonically_increasing_id().alias("qb"), F.col("ids").alias("qids"), F.col("mat").alias("qmat"), F.col("norms").alias("qnorms"))
-    asked = written(asked, "queries")
+    asked = written(asked.withColumn("qb", F.monotonically_increasing_id()), "queries")
     # Norm order over the whole table: ranges by falling norm, ids telling equal norms apart.
     blocks = rows.repartitionByRange(n_share, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id").mapInArrow(_pack(dim, BLOCK), kinds)
     blocks = written(blocks.withColumn("share", F.spark_partition_id()), "blocks")
     shares = written(blocks.groupBy("share").agg(F.max("norm").alias("most")), "shares")  # a row a share, as many as 16,384 vectors
-    payload = ["qb", "share", "ids", "mat", "norms", "norm", "qids", "qmat", "qnorms", "bars"]
+    payload = ["qb", "share", "asks", "ids", "mat", "norms", "norm", "bars"]
 
-    def met(queries: DataFrame, own: DataFrame, tasks: int, name: str) -> DataFrame:
-        """``queries(qb, share, qids, ...)`` against the blocks of their shares."""
-        pairs = own.join(queries, "share").select(*payload).repartition(tasks, "qb", "share").sortWithinPartitions("qb", "share", F.desc("norm"), "ids")
-        return written(pairs.mapInPandas(_search(dim, basis, k, max(1, dim // 4)), "qb long, need double, bars binary, q array<long>, v array<long>, s array<long>"), name)
+    def met(due: DataFrame, queries: DataFrame, tasks: int, name: str) -> DataFrame:
+        """The shares of ``due(qb, share)`` against ``queries``, which go once to each share, not to each block."""
+        to = queries.join(due, "qb").withColumn("asks", F.lit(True))
+        own = blocks.join(due, "share").withColumns({"asks": F.lit(False), "bars": F.lit(None).cast("binary")})
+        every = to.select(*payload).unionByName(own.select(*payload)).repartition(tasks, "qb", "share")
+        every = every.sortWithinPartitions("qb", "share", F.desc("asks"), F.desc("norm"), "ids")
+        return written(every.mapInPandas(_search(dim, basis, k, max(1, dim // 4)), "qb long, need double, bars binary, q array<long>, v array<long>, s array<long>"), name)
 
     # The first share that has rows: a range may be empty.
     top = shares.agg(F.min("share")).first()[0]
-    first = met(asked.withColumns({"share": F.lit(top), "bars": F.lit(None).cast("binary")}), blocks.where(F.col("share") == top), n_qb, "first")
+    first = met(asked.select("qb", F.lit(top).alias("share")), asked.withColumn("bars", F.lit(None).cast("binary")), n_qb, "first")
     # Numbers of blocks and shares only: which share a query block still has to meet.
     due = first.select("qb", "need", F.explode(F.sequence(F.lit(0), F.lit(n_share - 1))).alias("share")).where(F.col("share") != top)
-    due = due.join(shares, "share").where(F.col("most") * (1 + 1e-9) >= F.col("need")).select("qb", "share")
-    due = written(due, "due")
-    tasks = max(1, due.count())
-    rest = met(due.join(asked, "qb").join(first.select("qb", "bars"), "qb"), blocks, tasks, "rest")
+    due = written(due.join(shares, "share").where(F.col("most") * (1 + 1e-9) >= F.col("need")).select("qb", "share"), "due")
+    rest = met(due, asked.join(first.select("qb", "bars"), "qb"), max(1, due.count()), "rest")
     found = first.unionByName(rest).select(F.explode(F.arrays_zip("q", "v", "s")).alias("e")).select(F.col("e.q").alias("query_id"), F.col("e.v").alias("vec_id"), F.col("e.s").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

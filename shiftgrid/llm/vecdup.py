@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from shiftgrid.llm.graph import components
 from shiftgrid.llm.util import hash_sample, written
 
-#: Vectors of a tile, and of the blocks that tiles are compared in.
-TILE, BLOCK = 6144, 1024
+#: Bytes of a tile's vectors, which bounds what a task holds whatever their length, and vectors of the blocks that tiles are compared in.
+TILE, BLOCK = 8 * 2**20, 1024
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -30,15 +30,15 @@ def _usable(kind: str):
     def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             arr, named = b.column("embedding"), b.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
-            flat = arr.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null components as NaN
-            start = arr.offsets.to_numpy()
-            there = arr.is_valid().to_numpy(zero_copy_only=False) & named
-            out = []
-            for k in range(len(arr)):
-                v = flat[start[k] : start[k + 1]]
-                # -0.0 is made 0.0, so that equal vectors have equal bytes.
-                out.append((v + 0.0).astype(kind).tobytes() if there[k] and len(v) and np.isfinite(v).all() and v.any() else None)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "vec"])
+            start, end = arr.offsets.to_numpy()[[0, -1]] if len(arr) else (0, 0)
+            # Null components as NaN; -0.0 is made 0.0, so that equal vectors have equal bytes.
+            flat = arr.values.slice(start, end - start).cast(pa.float64()).to_numpy(zero_copy_only=False) + 0.0
+            at = arr.offsets.to_numpy() - start
+            bad, some = (np.r_[0, np.cumsum(x)] for x in (~np.isfinite(flat), flat != 0))
+            ok = arr.is_valid().to_numpy(zero_copy_only=False) & named & (bad[at[1:]] == bad[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
+            data = flat.astype(kind)
+            vec = pa.Array.from_buffers(pa.large_binary(), len(arr), [pa.py_buffer(np.packbits(ok, bitorder="little")), pa.py_buffer(at.astype(np.int64) * data.itemsize), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), vec.cast(pa.binary())], names=["vec_id", "vec"])
 
     return usable
 
@@ -58,25 +58,40 @@ def _pca(reps: DataFrame, n: int, sample: int, kind: str) -> dict[int, np.ndarra
 
 
 def _pack(size: int):
-    """Rows sorted by (dim, y) to tiles of one dim."""
-
-    def tile(rows):
-        ids, copies, vecs, dims, ys = (list(c) for c in zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([dims[0]], pa.int32()), pa.array([min(ys)], pa.float64()), pa.array([max(ys)], pa.float64()),
-             pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(copies, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vecs)], pa.binary())],
-            names=["dim", "lo", "hi", "ids", "copies", "mat"])
+    """Rows sorted by (dim, y) to tiles of one dim and at most ``size`` bytes of vectors (one, if that is longer)."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        held: list[tuple] = []  # (dim, ids, copies, ys, bytes) of slices of batches
+        filled = 0
+
+        def tile() -> pa.RecordBatch:
+            ids, copies, ys = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([held[0][0]], pa.int32()), pa.array([ys.min()], pa.float64()), pa.array([ys.max()], pa.float64()),
+                 pa.array([ids.tobytes()], pa.binary()), pa.array([copies.tobytes()], pa.binary()), pa.array([b"".join(h[4] for h in held)], pa.binary())],
+                names=["dim", "lo", "hi", "ids", "copies", "mat"])
+
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("rid", "m", "vec", "dim", "y")), strict=True):
-                if held and (len(held) == size or held[-1][3] != row[3]):
-                    yield tile(held)
-                    held = []
-                held.append(row)
+            ids, copies, dims, ys = (b.column(c).to_numpy() for c in ("rid", "m", "dim", "y"))
+            vec = b.column("vec")
+            at = np.frombuffer(vec.buffers()[1], np.int32)[vec.offset : vec.offset + len(vec) + 1].astype(np.int64)
+            data = memoryview(vec.buffers()[2])
+            k = 0
+            while k < len(ids):
+                if held and held[0][0] != dims[k]:
+                    yield tile()
+                    held, filled = [], 0
+                width = max(1, int(at[k + 1] - at[k]))
+                other = np.flatnonzero(dims[k:] != dims[k])
+                stop = min(k + int(other[0]) if len(other) else len(ids), k + max((size - filled) // width, 0 if held else 1))
+                if stop > k:
+                    held.append((int(dims[k]), ids[k:stop], copies[k:stop], ys[k:stop], bytes(data[at[k] : at[stop]])))
+                    filled, k = filled + int(at[stop] - at[k]), stop
+                if held and filled + width > size:
+                    yield tile()
+                    held, filled = [], 0
         if held:
-            yield tile(held)
+            yield tile()
 
     return packed
 
@@ -209,19 +224,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
             yield df.assign(y=y)
 
     placed = reps.select(F.col("node").alias("rid"), "m", "vec", "dim").mapInPandas(project, "rid long, m long, vec binary, dim int, y double")
-    parts = max(1, -(-n // tile))
+    parts = max(1, -(-(reps.agg(F.sum(F.octet_length("vec"))).first()[0] or 0) // tile))
     tiles = placed.repartitionByRange(parts, "dim", "y", "rid").sortWithinPartitions("dim", "y", "rid")
     # A session that deals into more partitions than there are tiles would leave many tiny ones, and the square of them in pairs.
     tiles = tiles.coalesce(parts).mapInArrow(_pack(tile), "dim int, lo double, hi double, ids binary, copies binary, mat binary")
     tiles = written(tiles.withColumn("t", F.monotonically_increasing_id()), "tiles")
-    # Linked unit vectors are at most this far apart, in every coordinate.
+    # Linked unit vectors are at most this far apart, in every coordinate: a tile meets those that begin from its own
+    # beginning to that far beyond its end. Steps of an eighth of that make this an equal join.
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    other = tiles.select(*(F.col(c).alias(f"{c}2") for c in ("dim", "lo", "hi", "t")))
-    pairs = tiles.select("dim", "lo", "hi", "t").join(
-        other, (F.col("dim") == F.col("dim2")) & (F.col("t") <= F.col("t2")) & (F.col("lo2") <= F.col("hi") + reach) & (F.col("lo") <= F.col("hi2") + reach))
+    step = lambda c: F.floor(c * 8 / max(reach, 0.125))
+    own = tiles.select("dim", "lo", "hi", "t", F.explode(F.sequence(step(F.col("lo")), step(F.col("hi") + reach))).alias("step"))
+    other = tiles.select("dim", F.col("lo").alias("lo2"), F.col("t").alias("t2"), step(F.col("lo")).alias("step"))
+    after = (F.col("lo2") > F.col("lo")) | ((F.col("lo2") == F.col("lo")) & (F.col("t2") >= F.col("t")))
+    pairs = own.join(other, ["dim", "step"]).where(after & (F.col("lo2") <= F.col("hi") + reach))
     pairs = written(pairs.select("t", "t2"), "pairs")
     right = tiles.select(*(F.col(c).alias(f"{c}2") for c in ("t", "ids", "copies", "mat")))
-    met = pairs.join(tiles, "t").join(right, "t2").repartition(max(1, min(pairs.count(), 2000)), "t", "t2")
+    # A task a pair of tiles, which is some billion products at most.
+    met = pairs.join(tiles, "t").join(right, "t2").repartition(max(1, pairs.count()), "t", "t2")
     met = met.select("t", "t2", "dim", "ids", "copies", "mat", "ids2", "copies2", "mat2")
     found = written(met.mapInPandas(_compare(bases, least, steps, kind, block), "a long, b long, n long"), "links")
     comp = written(components(found.where("n = 0").select("a", "b")), "components")
@@ -231,6 +250,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     # Written, so that the join has plain exchanges on both sides and a large component's rows may be split.
     least_id = written(done.groupBy("root").agg(F.min("rid").alias("component_id")), "least")
     done = done.join(least_id, "root").select("vec", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
-    out = rows.join(written(done, "results"), "vec", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    # Rows that link with nothing have no vector to be joined on.
+    alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = rows.join(written(done, "results"), "vec").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

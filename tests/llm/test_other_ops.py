@@ -89,7 +89,7 @@ def brute_links(rows, least=0.95):
 def test_vector_dedup(spark, vectors):
     want = brute_links([(r.vec_id, r.embedding) for r in vectors.collect()])
     assert sorted(map(tuple, vecdup.near_duplicates(vectors).collect()), key=str) == want
-    assert sorted(map(tuple, vecdup.near_duplicates(vectors, steps=(2, 4), tile=48, block=16).collect()), key=str) == want
+    assert sorted(map(tuple, vecdup.near_duplicates(vectors, steps=(2, 4), tile=48 * 24, block=16).collect()), key=str) == want
     assert vecdup.near_duplicates(vectors.limit(0)).count() == 0
     emb = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = QUERIES["op7_vector_dedup"](spark, SF).collect()
