@@ -2,11 +2,15 @@
 
 A size-weighted sample of keys gives quantile boundaries; records are put into the ranges between
 them, ranges that turn out too full are subdivided, and running sums over ranges and within them give
-every record its exact place in key order, from which the shard follows.
+every record its exact place in key order, from which the shard follows. Keys are checksums of texts, so
+equal texts lie together; groups of them that are large against a shard are ranges of their own.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,11 +21,6 @@ from shiftgrid.llm.util import text_of, written
 OVERHEAD = 16
 
 
-def sort_key(doc_id: Column, crc: Column) -> Column:
-    """A long: the text's checksum above, 31 bits of the id's hash below, so equal texts lie together."""
-    return F.shiftleft(crc, 31).bitwiseOR(F.shiftrightunsigned(F.xxhash64(doc_id), 33))
-
-
 def splitters(records: DataFrame, ranges: int, per_range: int = 24) -> list[int]:
     """At most ``ranges - 1`` boundaries: quantiles of a sample of ``ranges * per_range`` keys.
 
@@ -31,8 +30,8 @@ def splitters(records: DataFrame, ranges: int, per_range: int = 24) -> list[int]
     """
     want = ranges * per_range
     total = records.agg(F.sum("size")).first()[0] or 0
-    u = (F.shiftrightunsigned(F.xxhash64("key", "doc_id", F.lit(5)), 11) + 1) / float(1 << 53)
-    clocks = records.select("key", (-F.log(u) / F.col("size")).alias("clock"))
+    u = (F.shiftrightunsigned(F.xxhash64("text_crc32", "doc_id", F.lit(5)), 11) + 1) / float(1 << 53)
+    clocks = records.select(F.col("text_crc32").alias("key"), (-F.log(u) / F.col("size")).alias("clock"))
     # About twice as many clocks as wanted run out before this; the driver sees no more, however many tasks there are.
     drawn = clocks.where(F.col("clock") < 2.0 * want / max(total, 1)).orderBy("clock", "key").limit(want)
     keys = sorted(r[0] for r in drawn.collect())
@@ -63,59 +62,134 @@ def grown(doc_id: Column, shards: int) -> Column:
     return best["s"]
 
 
+#: Rows of one item that are made in a task.
+CHUNK = 10_000
+#: A group of equal texts of more than this part of a shard's bytes is placed by itself; no more than shards over this are.
+LARGE = 0.01
+
+
+def _level(loads: list[float], more: float) -> list[float]:
+    """What each of ``loads`` takes of ``more`` so that they end as even as can be: the fill up to one level."""
+    level, ordered = 0.0, sorted(loads)
+    for k in range(1, len(ordered) + 1):
+        level = (more + sum(ordered[:k])) / k
+        if k == len(ordered) or level <= ordered[k]:
+            break
+    return [max(0.0, level - x) for x in loads]
+
+
+def _deal(groups: list[tuple], shards: int, target: float) -> tuple[list[tuple], list[float]]:
+    """Large groups ``(r, size, n)`` to pieces ``(r, piece, rows a piece, shard, rows before it in its shard)`` and
+    the shards' loads: the largest piece first, each to the least loaded shard. Only a group that is larger
+    than a shard is cut, into pieces of a shard at most."""
+    pieces = []
+    for r, size, n in groups:
+        each = n if n * size <= target else max(1, int(target // size))
+        pieces += [(min(each, n - k * each) * size, r, k, each, min(each, n - k * each)) for k in range(-(-n // each))]
+    heap, loads, counts, out = [(0.0, s) for s in range(shards)], [0.0] * shards, [0] * shards, []
+    for b, r, k, each, rows in sorted(pieces, key=lambda p: (-p[0], p[1], p[2])):
+        load, s = heapq.heappop(heap)
+        out.append((r, k, each, s, counts[s]))
+        loads[s], counts[s] = load + b, counts[s] + rows
+        heapq.heappush(heap, (loads[s], s))
+    return out, loads
+
+
 def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", ranges: int | None = None) -> DataFrame:
     """Each row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    ``bytes``: shards take consecutive records in key order, cut where a record's middle passes a
-    multiple of the total over ``shards``, so a shard is off by less than its largest record.
-    ``rows``: the same with counts, which are at most one apart. ``key``: the shard is decided by
-    doc_id and the number of shards, one more taking rows only into itself; ``grown_shard`` is that.
-    Slots run from 0 within a shard, in key order. A null id is hashed like a value, a null text is
-    empty; repeated rows differ in their slots alone; an empty table gives no rows. Other columns are
-    not read.
+    ``bytes``: equal texts lie in one shard; only a group of them that is larger than a shard is cut. Groups
+    of more than a hundredth of a shard are dealt first, the largest to the least loaded shard; the others
+    fill the shards up to one level, in order of checksum, each group where its middle falls. So sizes are
+    off by a hundredth of a shard, or by a record that is larger than that.
+    ``rows``: shards take consecutive records in that order, with counts at most one apart; a boundary may
+    cut a group. ``key``: the shard is decided by doc_id and the number of shards, one more taking rows only
+    into itself; ``grown_shard`` is that. Slots run from 0 within a shard. A null id is hashed like a value,
+    a null text is empty; repeated rows differ in their slots alone; an empty table gives no rows. Other
+    columns are not read.
     """
     if law not in ("bytes", "rows", "key"):
         raise ValueError(f"law: {law!r} is none of bytes, rows, key")
-    text = text_of()
+    spark, text = docs.sparkSession, text_of()
     raw = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     # Rows that agree in all three are one item of n; they get consecutive places and are made rows again at the end.
     items = raw.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    items = items.withColumn("key", sort_key(F.col("doc_id"), F.col("text_crc32")))
     if law == "key":
         items = items.withColumns({"ks": grown(F.col("doc_id"), shards), "gs": grown(F.col("doc_id"), shards + 1)})
     records = written(items, "records")
     ranges = ranges or shards * 16
-    placed = records.withColumn("r", _range_of(F.col("key"), splitters(records, ranges)))
-    # Overfull ranges, told by their exact sizes, are subdivided by a hash; other ranges are one part.
     bytes_, rows = F.sum(F.col("size") * F.col("n")), F.sum("n")
+    total_b, total_c = (x or 0 for x in records.agg(bytes_, rows).first())
+    placed = records.withColumn("r", _range_of(F.col("text_crc32"), splitters(records, ranges)))
+    large: list[tuple] = []
+    if law == "bytes":
+        groups = records.groupBy("text_crc32", "size").agg(rows.alias("n"))
+        # Their sizes add up to no more than all, so these are at most shards / LARGE rows.
+        got = groups.where(F.col("size") * F.col("n") > LARGE * total_b / shards).collect()
+        large = [(ranges + k, g["text_crc32"], g["size"], g["n"]) for k, g in enumerate(sorted(got))]
+        if large:
+            own = spark.createDataFrame(large, "own int, text_crc32 long, size long, _n long").drop("_n")
+            placed = placed.join(F.broadcast(own), ["text_crc32", "size"], "left").withColumn("r", F.coalesce("own", "r")).drop("own")
+    # Overfull ranges, told by their exact sizes, are subdivided by a hash; other ranges are one part.
     full = placed.groupBy("r").agg(bytes_.alias("b"), rows.alias("c"))
-    total_b, total_c = (x or 0 for x in full.agg(F.sum("b"), F.sum("c")).first())
     parts = F.greatest(F.ceil(F.col("b") / max(1.0, 2.0 * total_b / ranges)), F.ceil(F.col("c") / max(1.0, 2.0 * total_c / ranges))).cast("int")
-    over = {r["r"]: r["p"] for r in full.withColumn("p", parts).where("p > 1").select("r", "p").collect()}  # at most as many as ranges
-    sub = F.lit(0)
+    over = {x["r"]: x["p"] for x in full.withColumn("p", parts).where("p > 1").select("r", "p").collect()}  # at most as many as ranges and large groups
+    part = F.lit(0)
     if over:
         of_range = F.create_map(*(F.lit(x) for kv in over.items() for x in kv))
-        sub = F.pmod(F.xxhash64("key", "doc_id"), F.coalesce(F.element_at(of_range, F.col("r")), F.lit(1)).cast("long")).cast("int")
-    placed = placed.withColumn("sub", sub)
+        # Parts of a range hold whole groups where groups matter; a large group is cut by ids.
+        by_group = F.xxhash64("text_crc32", "size") if law == "bytes" else F.xxhash64("text_crc32", "doc_id")
+        h = F.when(F.col("r") >= ranges, F.xxhash64("doc_id")).otherwise(by_group)
+        part = F.pmod(h, F.coalesce(F.element_at(of_range, F.col("r")), F.lit(1)).cast("long")).cast("int")
+    placed = placed.withColumn("sub", part)
     by = ["ks", "r", "sub"] if law == "key" else ["r", "sub"]
     sums = placed.groupBy(*by).agg(bytes_.alias("b"), rows.alias("c"))
     # A row for each range and part: some thousands, set by the number of shards.
     before = (W.partitionBy("ks").orderBy("r", "sub") if law == "key" else W.orderBy("r", "sub")).rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(*by, F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
-    within = W.partitionBy(*by).orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    running = placed.withColumns({
-        "bw": F.sum(F.col("size") * F.col("n")).over(within) - F.col("size") * F.col("n"),
-        "cw": F.sum("n").over(within) - F.col("n"),
-    })
-    at = running.join(F.broadcast(written(starts, "starts")), by).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    rank = F.col("c0") + F.col("cw") + F.col("i")
+    starts = written(starts, "starts")
+    order = W.partitionBy(*by).orderBy("text_crc32", "size", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    running = placed.withColumns({"bw": F.sum(F.col("size") * F.col("n")).over(order) - F.col("size") * F.col("n"), "cw": F.sum("n").over(order) - F.col("n")})
+    at = running.join(F.broadcast(starts), by).withColumn("rank", F.col("c0") + F.col("cw"))
     names = ("doc_id", "size", "text_crc32", F.lit(law).alias("law"))
+    none = F.lit(None).cast("int").alias("grown_shard")
     if law == "key":
-        return at.select(*names, F.col("ks").alias("shard"), rank.alias("slot"), F.col("gs").alias("grown_shard"))
-    middle = ((F.col("b0") + F.col("bw") + F.col("i") * F.col("size")) * 2 + F.col("size")).cast("decimal(38,0)")
-    of_bytes = F.floor(middle * shards / F.lit(2 * max(total_b, 1))).cast("int")
-    of_rows = F.floor(rank.cast("decimal(38,0)") * shards / F.lit(max(total_c, 1))).cast("int")
-    out = at.select("doc_id", "size", "text_crc32", F.least(of_bytes if law == "bytes" else of_rows, F.lit(shards - 1)).alias("shard"), rank.alias("rank"))
-    out = written(out, "sharded")
-    first = out.groupBy("shard").agg(F.min("rank").alias("first"))  # a row a shard
-    return out.join(F.broadcast(first), "shard").select(*names, "shard", (F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        return _rows(at).select(*names, F.col("ks").alias("shard"), (F.col("rank") + F.col("i")).alias("slot"), F.col("gs").alias("grown_shard"))
+    if law == "rows":
+        rank = F.col("rank") + F.col("i")
+        of_rows = F.floor(rank.cast("decimal(38,0)") * shards / F.lit(max(total_c, 1))).cast("int")
+        out = written(_rows(at).select("doc_id", "size", "text_crc32", F.least(of_rows, F.lit(shards - 1)).alias("shard"), rank.alias("rank")), "sharded")
+        first = out.groupBy("shard").agg(F.min("rank").alias("first"))  # a row a shard
+        return out.join(F.broadcast(first), "shard").select(*names, "shard", (F.col("rank") - F.col("first")).alias("slot"), none)
+    dealt, loads = _deal([(r, size, n) for r, _, size, n in large], shards, total_b / shards)
+    rest = total_b - sum(size * n for _, _, size, n in large)
+    takes = _level(loads, rest)
+    bounds = [math.ceil(sum(takes[: k + 1])) for k in range(shards - 1)]
+    # Each small group is where its middle falls in what the shards take.
+    group = W.partitionBy("r", "sub", "text_crc32", "size")
+    small = at.where(F.col("r") < ranges).withColumns({"g0": F.col("b0") + F.min("bw").over(group), "gb": F.sum(F.col("size") * F.col("n")).over(group)})
+    small = small.withColumn("shard", _range_of(F.floor(F.col("g0") + F.col("gb") / 2), bounds)).select("doc_id", "size", "text_crc32", "n", "shard", "rank")
+    small = written(small, "small")
+    first = written(small.groupBy("shard").agg(F.min("rank").alias("first"), F.sum("n").alias("held")), "first")  # a row a shard
+    slots = small.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "n", "shard", (F.col("rank") - F.col("first")).alias("slot0"))
+    every = _rows(slots).select(*names, "shard", (F.col("slot0") + F.col("i")).alias("slot"), none)
+    if not large:
+        return every
+    # As many rows as pieces of large groups, which the number of shards bounds.
+    pieces = spark.createDataFrame(dealt, "r int, piece long, each long, shard int, ahead long").join(first.select("shard", "held"), "shard", "left")
+    pieces = pieces.select("r", "piece", "shard", (F.col("ahead") + F.coalesce("held", F.lit(0))).alias("ahead"))
+    own = starts.where(F.col("r") >= ranges).groupBy("r").agg(F.min("c0").alias("g0"))
+    each = spark.createDataFrame(sorted({(r, e) for r, _, e, _, _ in dealt}), "r int, each long")
+    big = at.where(F.col("r") >= ranges).join(F.broadcast(own), "r").join(F.broadcast(each), "r")
+    big = _rows(big).withColumn("k", F.col("rank") - F.col("g0") + F.col("i")).withColumn("piece", F.expr("k div each"))
+    big = big.join(F.broadcast(pieces), ["r", "piece"])
+    return every.unionByName(big.select(*names, "shard", (F.col("ahead") + F.col("k") % F.col("each")).alias("slot"), none))
+
+
+def _rows(items: DataFrame) -> DataFrame:
+    """Each item ``n`` times, numbered by ``i`` from 0. Items of many rows are dealt in chunks first."""
+    few = items.where(F.col("n") <= CHUNK).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    many = items.where(F.col("n") > CHUNK).withColumn("_c", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")))
+    many = many.repartition("doc_id", "text_crc32", "_c")
+    many = many.withColumn("i", F.explode(F.expr(f"sequence(_c * {CHUNK}, least(n, (_c + 1) * {CHUNK}) - 1)"))).drop("_c")
+    return few.unionByName(many)
