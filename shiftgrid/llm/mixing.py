@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shiftgrid.llm.util import text_of, written
+from shiftgrid.llm.util import placed, repeated, text_of, written
 
 #: Words are runs of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,31 +19,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 48
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``_n``, the place (from 0) of its source in code-point order, null last: ranges of sources
+    are counted, so that no task orders all of them."""
+    order = (F.col("source").isNull(), F.hex("source"))
+    ranged = written(sizes.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    # A row a range, as many as the shuffle has partitions.
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_n", own).join(F.broadcast(ahead), "_part").withColumn("_n", F.col("_n") + F.col("_ahead")).drop("_part", "_ahead")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), volume: float = 1.5, most: float = 2.0) -> DataFrame:
     """``sizes(source, source_size, ...)``, one row a source, with ``target`` added.
 
     Sources in code-point order (null last) weigh ``weights``, repeating, and share ``volume`` times
     all sizes; none gets over ``most`` times its size, the excess being shared again by weight. That
-    is one water level: a source is full if its limit over its weight is below the level, and the
-    level is found by running sums over the sources in that order. The table has a row per source.
+    is one water level: a source is full if its limit over its weight is below the level. The level
+    rises round by round, each taking the sources out that the last one filled; only sums reach the driver.
     """
-    by_name = W.orderBy(F.col("source").isNull(), F.hex(F.col("source")))
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    t = sizes.withColumn("_w", w).withColumn("_cap", most * F.col("source_size").cast("double"))
-    t = t.withColumn("_r", F.col("_cap") / F.col("_w"))
-    everything = W.partitionBy()
-    order = W.orderBy("_r", F.col("source").isNull(), F.hex("source")).rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumns({
-        "_all": F.sum("source_size").over(everything) * volume,
-        "_wall": F.sum("_w").over(everything),
-        "_full": F.coalesce(F.sum("_cap").over(order), F.lit(0.0)),
-        "_wfull": F.coalesce(F.sum("_w").over(order), F.lit(0.0)),
-    })
-    # The level if the sources before this one, and no others, are full; of those that hold, the first (the highest) is it.
-    level = (F.col("_all") - F.col("_full")) / (F.col("_wall") - F.col("_wfull"))
-    t = t.withColumn("_level", F.max(F.when(level <= F.col("_r"), level)).over(everything))
-    target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_level") * F.col("_w")))
-    return t.withColumn("target", target).drop("_w", "_cap", "_r", "_all", "_wall", "_full", "_wfull", "_level")
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("_n") % len(weights) + 1).cast("int"))
+    cap = most * F.col("source_size").cast("double")
+    t = written(_numbered(sizes).withColumns({"_w": w, "_cap": cap}).drop("_n"), "weighed")
+    level, full = 0.0, -1
+    while True:
+        is_full = (F.col("_cap") / F.col("_w") < level) if full >= 0 else F.lit(False)
+        n, caps, rest, every = t.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("_cap"))), F.sum(F.when(~is_full, F.col("_w"))), F.sum("source_size")).first()
+        if n == full or not rest:
+            break
+        level, full = (volume * float(every or 0) - (caps or 0.0)) / rest, n
+    target = F.col("_cap") if not rest else F.least(F.col("_cap"), F.lit(level) * F.col("_w"))
+    return t.withColumn("target", target).drop("_w", "_cap")
 
 
 def _fold(items: Column, seed: int) -> Column:
@@ -111,8 +118,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), volume: float =
     while True:
         last = most_docs <= BLOCK
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / float(BLOCK) ** (level + 1))).cast("long")
-        placed = level_rows.withColumn("block", F.lit(0).cast("long") if last else F.pmod(F.xxhash64(F.lit(level), "x.doc_id", "x.crc", "x.mass"), blocks))
-        got = placed.groupBy("source", "block").agg(
+        blocked = level_rows.withColumn("block", F.lit(0).cast("long") if last else F.pmod(F.xxhash64(F.lit(level), "x.doc_id", "x.crc", "x.mass"), blocks))
+        got = blocked.groupBy("source", "block").agg(
             F.sort_array(F.collect_list(F.struct(F.xxhash64("x.doc_id", "x.crc").alias("h"), "x", "n", "s"))).alias("xs"))
         folded = written(got.select("source", F.element_at("xs", 1)["n"].alias("n"), F.element_at("xs", 1)["s"].alias("s"),
                                     _fold(F.transform("xs", lambda e: e["x"]), seed + level).alias("f")), f"level{level}")
@@ -130,8 +137,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), volume: float =
     for p in parts[1:]:
         whole = whole.unionByName(p.select(*names))
     n_extra = F.col("whole") + F.round("p").cast("long")
-    rowed = whole.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
-    copies = F.col("s.base") + F.when(F.col("_i") <= n_extra, 1).otherwise(0)
+    rowed = repeated(whole, "m")
+    copies = F.col("s.base") + F.when(F.col("i") < n_extra, 1).otherwise(0)
     return rowed.select("doc_id", "source", "crc", "size", F.col("s.source_size").alias("source_size"),
                         F.col("s.target").alias("target"), (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"))
 
@@ -140,12 +147,12 @@ def sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` takes it, all columns kept.
 
     Copies belong to (doc_id, source, text's checksum); repeated rows of one share them. Rows are told
-    apart by their place in the stored table, so ``docs`` is to be one read from storage.
+    apart by their place in their files; ``docs`` that are not read from files are written first.
     """
     got = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "crc").agg(F.sum("copies").alias("_copies"))
     got = written(got.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("crc").alias("_c"), "_copies"), "taken")
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    narrow = placed.select("_row", "doc_id", "source", F.crc32(text_of()).alias("_crc"))
+    rows = placed(docs)
+    narrow = rows.select("_row", "doc_id", "source", F.crc32(text_of()).alias("_crc"))
     met = narrow.join(got, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_crc") == F.col("_c")))
     # Of a repeated row's n, the copies are dealt in turn: one more for the first ones. All without the texts.
     same = W.partitionBy("_d", "_s", "_c")
@@ -153,5 +160,5 @@ def sample(docs: DataFrame, **options) -> DataFrame:
     met = met.withColumn("_own", (F.floor(F.col("_copies") / F.count(F.lit(1)).over(same)) + turn.cast("int")).cast("int"))
     dealt = written(met.where("_own > 0").select("_row", "_own"), "dealt")
     # Texts are shuffled once. The plan is the same at every size: ids are never broadcast.
-    many = placed.join(dealt.hint("merge"), "_row").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_own"))))
+    many = rows.join(dealt.hint("merge"), "_row").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_own"))))
     return many.select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shiftgrid.llm.util import text_of, written
+from shiftgrid.llm.util import repeated, text_of, written
 
 #: Bytes a record has besides its text.
 OVERHEAD = 16
@@ -62,8 +62,6 @@ def grown(doc_id: Column, shards: int) -> Column:
     return best["s"]
 
 
-#: Rows of one item that are made in a task.
-CHUNK = 10_000
 #: A group of equal texts of more than this part of a shard's bytes is placed by itself; no more than shards over this are.
 LARGE = 0.01
 
@@ -154,11 +152,11 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", ranges: int | N
     names = ("doc_id", "size", "text_crc32", F.lit(law).alias("law"))
     none = F.lit(None).cast("int").alias("grown_shard")
     if law == "key":
-        return _rows(at).select(*names, F.col("ks").alias("shard"), (F.col("rank") + F.col("i")).alias("slot"), F.col("gs").alias("grown_shard"))
+        return repeated(at, "n").select(*names, F.col("ks").alias("shard"), (F.col("rank") + F.col("i")).alias("slot"), F.col("gs").alias("grown_shard"))
     if law == "rows":
         rank = F.col("rank") + F.col("i")
         of_rows = F.floor(rank.cast("decimal(38,0)") * shards / F.lit(max(total_c, 1))).cast("int")
-        out = written(_rows(at).select("doc_id", "size", "text_crc32", F.least(of_rows, F.lit(shards - 1)).alias("shard"), rank.alias("rank")), "sharded")
+        out = written(repeated(at, "n").select("doc_id", "size", "text_crc32", F.least(of_rows, F.lit(shards - 1)).alias("shard"), rank.alias("rank")), "sharded")
         first = out.groupBy("shard").agg(F.min("rank").alias("first"))  # a row a shard
         return out.join(F.broadcast(first), "shard").select(*names, "shard", (F.col("rank") - F.col("first")).alias("slot"), none)
     dealt, loads = _deal([(r, size, n) for r, _, size, n in large], shards, total_b / shards)
@@ -172,7 +170,7 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", ranges: int | N
     small = written(small, "small")
     first = written(small.groupBy("shard").agg(F.min("rank").alias("first"), F.sum("n").alias("held")), "first")  # a row a shard
     slots = small.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "n", "shard", (F.col("rank") - F.col("first")).alias("slot0"))
-    every = _rows(slots).select(*names, "shard", (F.col("slot0") + F.col("i")).alias("slot"), none)
+    every = repeated(slots, "n").select(*names, "shard", (F.col("slot0") + F.col("i")).alias("slot"), none)
     if not large:
         return every
     # As many rows as pieces of large groups, which the number of shards bounds.
@@ -181,15 +179,7 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", ranges: int | N
     own = starts.where(F.col("r") >= ranges).groupBy("r").agg(F.min("c0").alias("g0"))
     each = spark.createDataFrame(sorted({(r, e) for r, _, e, _, _ in dealt}), "r int, each long")
     big = at.where(F.col("r") >= ranges).join(F.broadcast(own), "r").join(F.broadcast(each), "r")
-    big = _rows(big).withColumn("k", F.col("rank") - F.col("g0") + F.col("i")).withColumn("piece", F.expr("k div each"))
+    big = repeated(big, "n").withColumn("k", F.col("rank") - F.col("g0") + F.col("i")).withColumn("piece", F.expr("k div each"))
     big = big.join(F.broadcast(pieces), ["r", "piece"])
     return every.unionByName(big.select(*names, "shard", (F.col("ahead") + F.col("k") % F.col("each")).alias("slot"), none))
 
-
-def _rows(items: DataFrame) -> DataFrame:
-    """Each item ``n`` times, numbered by ``i`` from 0. Items of many rows are dealt in chunks first."""
-    few = items.where(F.col("n") <= CHUNK).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    many = items.where(F.col("n") > CHUNK).withColumn("_c", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")))
-    many = many.repartition("doc_id", "text_crc32", "_c")
-    many = many.withColumn("i", F.explode(F.expr(f"sequence(_c * {CHUNK}, least(n, (_c + 1) * {CHUNK}) - 1)"))).drop("_c")
-    return few.unionByName(many)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.llm.graph import components
-from shiftgrid.llm.util import written
+from shiftgrid.llm.util import placed, written
 
 SEED = 42
 #: Distinct fingerprints of a bucket that are compared together; larger buckets are cut into tiles.
@@ -326,9 +326,9 @@ def candidates(groups: DataFrame) -> DataFrame:
     return written(components(keyed.join(low, ["m", "k"]).select(F.col("low").alias("a"), F.col("node").alias("b"))), "candidates")
 
 
-def set_links(placed: DataFrame, groups: DataFrame, width: int, similarity: float, text: str) -> DataFrame:
+def set_links(rows: DataFrame, groups: DataFrame, width: int, similarity: float, text: str) -> DataFrame:
     """``(a, b)``: pairs of nodes of ``groups(node, size, b, bands)`` that join up all candidates whose shingle
-    sets, made again from the texts of ``placed(_row, text)``, have a Jaccard similarity of ``similarity`` or more."""
+    sets, made again from the texts of ``rows(_row, text)``, have a Jaccard similarity of ``similarity`` or more."""
     near = candidates(groups)
     at = near.join(groups.select("node", "size", F.col("b.r").alias("_row")), near.id == groups.node).select("root", "node", "size", "_row")
     at = written(at, "placed")
@@ -341,7 +341,7 @@ def set_links(placed: DataFrame, groups: DataFrame, width: int, similarity: floa
             sets = [shingle_set(t.as_py(), width).tobytes() for t in b.column("_text")]
             yield pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array(sets, pa.binary())], names=[*names, "set"])
 
-    met = placed.select("_row", F.col(text).alias("_text")).join(at.hint("merge"), "_row").select(*names, "_text")
+    met = rows.select("_row", F.col(text).alias("_text")).join(at.hint("merge"), "_row").select(*names, "_text")
     sets = met.mapInArrow(hashed, "root long, node long, chunks int, c int, set binary")
     tiled = sets.select("root", "node", "set", "c", F.explode(F.expr("sequence(0, chunks - 1)")).alias("d"))
     tiled = tiled.select("root", F.least("c", "d").alias("ci"), F.greatest("c", "d").alias("cj"), "node", "set")
@@ -355,18 +355,18 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str
     Links are texts whose sets of distinct shingles have a Jaccard similarity of ``similarity`` or more, counted
     exactly. Candidates are those that share one of 40 bands of 6 minima: of pairs at 0.8 all but 6 in a million
     do, at 0.85 and more fewer than one in 10 ** 8 does not. Equal sets always link.
-    Of repeated rows with that key one stays. Rows are told apart by their place in the stored table,
-    so ``docs`` is to be a table read from storage, which gives the same places again.
+    Of repeated rows with that key one stays. Rows are told apart by their place in their files; ``docs``
+    that are not read from files are written first.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    prints = written(set_prints(placed, width, text, (key, "_row")), "prints")
+    rows = placed(docs)
+    prints = written(set_prints(rows, width, text, (key, "_row")), "prints")
     first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r")))
     groups = prints.groupBy("fp").agg(first.alias("b"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "sets")
-    comp = written(components(set_links(placed, groups, width, similarity, text)), "components")
+    comp = written(components(set_links(rows, groups, width, similarity, text)), "components")
     best = groups.join(comp, groups.node == comp.id, "left").groupBy(F.coalesce("root", "node")).agg(F.min("b").alias("b")).select(F.col("b.r").alias("_row"))
     # The plan is the same at every size: ids are never broadcast.
-    return placed.join(written(best, "kept").hint("merge"), "_row", "left_semi").drop("_row")
+    return rows.join(written(best, "kept").hint("merge"), "_row", "left_semi").drop("_row")
 
 
 def hex_of(fp: str = "fp"):

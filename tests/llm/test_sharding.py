@@ -2,7 +2,7 @@
 
 from collections import defaultdict
 
-from shiftgrid.llm import sharding
+from shiftgrid.llm import sharding, util
 
 
 def shards_of(rows):
@@ -16,7 +16,7 @@ def shards_of(rows):
 
 
 def test_groups_are_whole(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "CHUNK", 100)
+    monkeypatch.setattr(util, "CHUNK", 100)
     rows = [(i, f"text {i % 1500} " + "word " * (i % 7)) for i in range(6000)]  # groups of four
     rows += [(10_000 + i, "a middling group " * 3) for i in range(150)]
     rows += [(20_000 + i, "a hot group of copies " * 2) for i in range(3000)]
