@@ -27,28 +27,32 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _counts(text: Column) -> Column:
-    """What is counted in a whole text, each thing in one scan, as a struct. All JVM-side."""
+    """What is counted in a whole text, each thing in one scan, as a struct. All JVM-side.
+
+    Characters of a class are counted by what is left without their runs: a scan pays for each match.
+    """
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    without = lambda mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
-    # Runs are counted rather than characters where a run tells as much: a scan pays for each match.
+    chars = lambda run: F.length(text) - F.length(F.regexp_replace(text, run, ""))
+    without = lambda marks: F.length(text) - F.length(F.translate(text, marks, ""))
     named = {
-        "chars": F.length(text), "words": F.size(F.split(text, " ")), "kinds": F.size(F.array_distinct(F.split(text, " "))),
+        "chars": F.length(text), "words": count(r"\S+"), "tokens": F.size(F.split(text, " ")), "kinds": F.size(F.array_distinct(F.split(text, " "))),
         "lines": F.size(F.split(text, "\n")), "line_kinds": F.size(F.array_distinct(F.split(text, "\n"))),
-        "upper": count(r"\p{Lu}+"), "digits": count(r"[0-9]+"), "symbols": count(r"[#$%&*|<>{}\[\]~^=+_/\\@]+"),
-        "repeats": count(r"[!?*#%$&=_~.-]{2,}"), "bangs": without("!"), "stops": without("."),
+        "upper": chars(r"\p{Lu}+"), "letters": chars(r"\p{L}+"), "digits": chars(r"\p{Nd}+"), "symbols": chars(r"[^\p{L}\p{N}\s.,!?'\-]+"),
+        "doubled": count(r"([^\p{L}\p{N}\s])\1"), "repeats": count(r"[!?*#%$&=_~.-]{2,}"), "bangs": without("!?"), "stops": without(".,"),
     }
     return F.struct(*(c.cast("double").alias(k) for k, c in named.items()))
 
 
 def _statistics(n: Column) -> dict[str, Column]:
-    """Statistics of a text from its counts. An empty text has one word of no letters."""
-    share = lambda k, of="words": n[k] / n[of]
-    return {"words": n["words"], "word_length": share("chars")} | {k: share(k) for k in ("upper", "digits", "symbols", "repeats", "bangs", "stops")} | {
-        "distinct": share("kinds"), "new_lines": share("line_kinds", "lines"), "line_words": share("words", "lines")}
+    """Statistics of a text from its counts; shares of nothing are 0."""
+    share = lambda k, of: F.when(n[of] > 0, n[k] / n[of]).otherwise(0.0)
+    return {"words": n["words"], "word_length": share("chars", "words")} | {k: share(k, "chars") for k in ("upper", "letters", "digits")} | {
+        k: share(k, "words") for k in ("symbols", "doubled", "repeats", "bangs", "stops")} | {
+        "distinct": share("kinds", "tokens"), "new_lines": share("line_kinds", "lines"), "line_words": share("words", "lines")}
 
 
 #: The statistics by name, in the order of a model's features.
-NAMES = ("words", "word_length", "upper", "digits", "symbols", "repeats", "bangs", "stops", "distinct", "new_lines", "line_words")
+NAMES = ("words", "word_length", "upper", "letters", "digits", "symbols", "doubled", "repeats", "bangs", "stops", "distinct", "new_lines", "line_words")
 
 
 def _once(counts: Column, f) -> Column:
@@ -99,7 +103,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], penalty: flo
     if len(y) == 0 or y.min() == y.max():
         mean = (y.sum() + 1) / (len(y) + 2)
         return RuleModel(names, float(np.log(mean / (1 - mean))), (), ())
-    _, trees = boost(x, y, n_trees=30, depth=3, rate=0.3)
+    _, trees = boost(x, y, n_trees=40, depth=3, rate=0.3)
     rules = list(dict.fromkeys(p for t in trees for p in paths(t)))
     z = np.empty((len(x), len(rules)), bool)
     for j, rule in enumerate(rules):
@@ -113,7 +117,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], penalty: flo
     return RuleModel(names, bias, tuple(r for r, _ in kept), tuple(c for _, c in kept))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> RuleModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> RuleModel:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold (those of smallest hash of id).
 
     That bound is the one sample in this operator; labels that are null are not used.
