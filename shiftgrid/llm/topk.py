@@ -34,9 +34,9 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(~F.exists("v", bad))
     # Spark's floor gives longs; from 2 ** 53 on a double is whole as it is.
     rows = rows.withColumn("v", F.transform("v", lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)))
-    big = F.array_max(F.transform("v", F.abs))
-    norm = F.when(big > 0, big * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / big) * (x / big)))).otherwise(0.0)
-    return rows.withColumn("norm", norm)
+    # Squares of parts of the largest, which never overflow; that is bound to a lambda's variable, so it is found once.
+    of = lambda big: F.when(big > 0, big * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / big) * (x / big)))).otherwise(0.0)
+    return rows.withColumn("norm", F.transform(F.array(F.greatest(F.array_max("v"), -F.array_min("v"))), of)[0])
 
 
 def rotation(rows: DataFrame, dim: int, n: int, sample: int = 20_000) -> np.ndarray:
@@ -217,7 +217,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
 
     # The first share that has rows: a range may be empty.
     top = shares.agg(F.min("share")).first()[0]
-    first = met(asked.select("qb", F.lit(top).alias("share")), asked.withColumn("bars", F.lit(None).cast("binary")), n_qb, "first")
+    first = met(asked.select("qb", F.explode(F.array(F.lit(top))).alias("share")), asked.withColumn("bars", F.lit(None).cast("binary")), n_qb, "first")
     # Numbers of blocks and shares only: which share a query block still has to meet.
     due = first.select("qb", "need", F.explode(F.sequence(F.lit(0), F.lit(n_share - 1))).alias("share")).where(F.col("share") != top)
     due = written(due.join(shares, "share").where(F.col("most") * (1 + 1e-9) >= F.col("need")).select("qb", "share"), "due")
