@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count, product, takewhile
 
 import numpy as np
 from pyspark.sql import Column
@@ -33,17 +34,11 @@ def next_fft_size(n: int) -> int:
     """The cheapest size m in [n, 1.5 n] with prime factors up to 7, by m^2 log m and its share of twos."""
     if n <= 1:
         return 1
-    best, least = 0, math.inf
-    for m in range(n, math.ceil(1.5 * n) + 1):
-        rest, twos = m, 0
-        while rest % 2 == 0:
-            rest, twos = rest // 2, twos + 1
-        for p in (3, 5, 7):
-            while rest % p == 0:
-                rest //= p
-        if rest == 1 and (cost := m * m * math.log2(m) * (1 - 0.35 * twos / math.log2(m))) < least:
-            best, least = m, cost
-    return best
+    top = math.ceil(1.5 * n)
+    powers = lambda p: takewhile(lambda x: x <= top, (p**k for k in count()))
+    smooth = [(odd * two, k) for odd in (a * b * c for a, b, c in product(powers(3), powers(5), powers(7))) for k, two in enumerate(powers(2)) if n <= odd * two <= top]
+    cost = lambda m, twos: m * m * (math.log2(m) - 0.35 * twos)
+    return min(smooth, key=lambda s: (cost(*s), s[0]))[0]
 
 
 def dt_years(start: Column, end: Column) -> Column:

@@ -10,41 +10,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.operators import kernels
 
+PACKS = "image_id string, tr int, tc int, r0 int, c0 int, ny int, nx int, data binary, ok binary"
 TILES = "pair_id string, tr int, tc int, r0 int, c0 int, ny int, nx int, ref binary, sec binary, valid binary"
 
 
-def tiles(pair: DataFrame, tile: int, halo: int, complex_: bool = False) -> DataFrame:
-    """``pair(pair_id, r, c, ref, sec, valid)`` to packed tiles of ``tile`` x ``tile`` pixels plus ``halo`` on every side.
+def pack(pixels: DataFrame, tile: int, halo: int, complex_: bool = False, shape: tuple[int, int] | None = None) -> DataFrame:
+    """``pixels(image_id, r, c, v or z, valid)`` to packed tiles of ``tile`` x ``tile`` pixels plus ``halo`` on every
+    side, once an image, whatever pairs and passes it is in and in either slot.
 
-    A pixel goes to each tile that it is in or near. Places outside the image are 0 and not valid.
+    A pixel goes to each tile that it is in or near. Places outside the image are 0 and not valid. With the
+    images' ``shape`` there are no tiles beyond them, which only a point outside would need.
     """
-    def span(x: str):
-        return F.sequence(F.floor((F.col(x) - 1 - halo) / tile).cast("int"), F.floor((F.col(x) - 1 + halo) / tile).cast("int"))
+    def span(x: str, n: int | None):
+        low, high = (F.floor((F.col(x) - 1 + d) / tile).cast("int") for d in (-halo, halo))
+        return F.sequence(low, high) if n is None else F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit((n - 1) // tile)))
 
-    spread = pair.withColumn("tr", F.explode(span("r"))).withColumn("tc", F.explode(span("c")))
-    size = tile + 2 * halo
-    kind = np.complex128 if complex_ else np.float32
-    names = ["refr", "refi", "secr", "seci"] if complex_ else ["refr", "secr"]
-    of = {"refr": "ref.re", "refi": "ref.im", "secr": "sec.re", "seci": "sec.im"} if complex_ else {"refr": "ref", "secr": "sec"}
-    flat = spread.select("pair_id", "tr", "tc", "r", "c", *(F.col(of[n]).cast("double").alias(n) for n in names), "valid")
+    ny, nx = shape or (None, None)
+    spread = pixels.withColumn("tr", F.explode(span("r", ny))).withColumn("tc", F.explode(span("c", nx)))
+    size, kind = tile + 2 * halo, np.complex128 if complex_ else np.float32
+    values = {"re": "z.re", "im": "z.im"} if complex_ else {"re": "v"}
+    flat = spread.select("image_id", "tr", "tc", "r", "c", *(F.col(c).cast("double").alias(n) for n, c in values.items()), "valid")
 
     def packed(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        pid, tr, tc = key
+        name, tr, tc = key
         r0, c0 = int(tr) * tile + 1 - halo, int(tc) * tile + 1 - halo
         i, j = df["r"].to_numpy() - r0, df["c"].to_numpy() - c0
-        ref, sec, ok = np.zeros((size, size), kind), np.zeros((size, size), kind), np.zeros((size, size), bool)
-        ref[i, j] = df["refr"].to_numpy() + (1j * df["refi"].to_numpy() if complex_ else 0)
-        sec[i, j] = df["secr"].to_numpy() + (1j * df["seci"].to_numpy() if complex_ else 0)
+        data, ok = np.zeros((size, size), kind), np.zeros((size, size), bool)
+        data[i, j] = df["re"].to_numpy() + (1j * df["im"].to_numpy() if complex_ else 0)
         ok[i, j] = df["valid"].to_numpy(bool)
-        return pd.DataFrame({"pair_id": [pid], "tr": [tr], "tc": [tc], "r0": [r0], "c0": [c0], "ny": [size], "nx": [size],
-                             "ref": [ref.tobytes()], "sec": [sec.tobytes()], "valid": [ok.tobytes()]})
+        return pd.DataFrame({"image_id": [name], "tr": [tr], "tc": [tc], "r0": [r0], "c0": [c0], "ny": [size], "nx": [size], "data": [data.tobytes()], "ok": [ok.tobytes()]})
+
+    return flat.groupBy("image_id", "tr", "tc").applyInPandas(packed, PACKS)
+
+
+def pack_planes(planes: DataFrame, tile: int, halo: int, filter_width: int = 0, quantize: bool = False) -> DataFrame:
+    """``planes(image_id, ny, nx, data)``, row-major 32-bit floats, NaN where missing, to the tiles of :func:`pack`,
+    high-passed over ``filter_width`` and quantized on the way: a scene a row, for scenes that one task holds
+    (a few hundred bytes of memory a pixel at most). Larger ones come as pixels, prepared by tables."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, ny, nx, raw in zip(*(b.column(c) for c in ("image_id", "ny", "nx", "data")), strict=True):
+                v = np.frombuffer(raw.as_py(), np.float32).reshape(ny.as_py(), nx.as_py())
+                v, ok = kernels.prepare(v, filter_width, quantize)
+                rows = []
+                for tr in range(-(-v.shape[0] // tile)):
+                    for tc in range(-(-v.shape[1] // tile)):
+                        r0, c0, size = tr * tile - halo, tc * tile - halo, tile + 2 * halo
+                        data, good = np.zeros((size, size), np.float32), np.zeros((size, size), bool)
+                        y, x = slice(max(r0, 0), min(r0 + size, v.shape[0])), slice(max(c0, 0), min(c0 + size, v.shape[1]))
+                        at = slice(y.start - r0, y.stop - r0), slice(x.start - c0, x.stop - c0)
+                        data[at], good[at] = v[y, x], ok[y, x]
+                        rows.append((name.as_py(), tr, tc, r0 + 1, c0 + 1, size, size, data.tobytes(), good.tobytes()))
+                names = ["image_id", "tr", "tc", "r0", "c0", "ny", "nx", "data", "ok"]
+                kinds = [pa.string(), *[pa.int32()] * 6, pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return planes.select("image_id", "ny", "nx", "data").mapInArrow(packed, PACKS)
+
 
-    return flat.groupBy("pair_id", "tr", "tc").applyInPandas(packed, TILES)
+def tiles(pair: DataFrame, tile: int, halo: int, complex_: bool = False) -> DataFrame:
+    """``pair(pair_id, r, c, ref, sec, valid)`` to packed tiles of both images, as :func:`pack` makes them of one."""
+    value = "z" if complex_ else "v"
+    own = lambda side: pack(pair.select(F.col("pair_id").alias("image_id"), "r", "c", F.col(side).alias(value), "valid"), tile, halo, complex_)
+    sec = own("sec").select("image_id", "tr", "tc", F.col("data").alias("sec"))
+    got = own("ref").join(sec, ["image_id", "tr", "tc"])
+    return got.select(F.col("image_id").alias("pair_id"), "tr", "tc", "r0", "c0", "ny", "nx", F.col("data").alias("ref"), "sec", F.col("ok").alias("valid"))
 
 
 def halo_of(chip_x: int, chip_y: int, radius_x: int, radius_y: int, prior: float = 0.0) -> int:
@@ -52,27 +88,51 @@ def halo_of(chip_x: int, chip_y: int, radius_x: int, radius_y: int, prior: float
     return max(chip_x // 2 + radius_x, chip_y // 2 + radius_y) + int(np.ceil(prior)) + 2
 
 
-def track_tiles(packed: DataFrame, pts: DataFrame, tile: int, upsampling: int, measure: str = "zncc", angles: tuple[float, ...] = (0.0,)) -> DataFrame:
-    """``(pair_id, pt_id, dx, dy, correlation, searched)`` for every point that has a tile.
+_NAMES = ["pt_id", "x", "y", "radius_x", "radius_y", "dx_prior", "dy_prior", "chip_x", "chip_y"]
 
-    Points travel as one array a tile (they are few against pixels), so the join moves packed rows only.
-    """
+
+def _by_tile(pts: DataFrame, tile: int, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Points as one array a tile: they are few against pixels, so joins move packed rows only. With a
+    ``shape`` points outside belong to the nearest tile."""
+    place = lambda x, n: F.floor((F.floor(x) - 1) / tile).cast("int") if n is None else F.greatest(F.lit(0), F.least(F.floor((F.floor(x) - 1) / tile), F.lit((n - 1) // tile))).cast("int")
+    ny, nx = shape or (None, None)
+    at = pts.withColumns({"tr": place("y", ny), "tc": place("x", nx)})
+    cols = at.groupBy("pair_id", "tr", "tc").agg(F.sort_array(F.collect_list(F.struct(*(F.col(n).cast("double").alias(n) if n != "pt_id" else F.col(n) for n in _NAMES)))).alias("p"))
+    return cols.select("pair_id", "tr", "tc", *(F.col(f"p.{n}").alias(n) for n in _NAMES))
+
+
+def _tracked(met: DataFrame, upsampling: int, measure: str, angles: tuple[float, ...]) -> DataFrame:
     complex_ = measure == "coherence"
-    names = ["pt_id", "x", "y", "radius_x", "radius_y", "dx_prior", "dy_prior", "chip_x", "chip_y"]
-    at = pts.withColumns({"tr": F.floor((F.floor("y") - 1) / tile).cast("int"), "tc": F.floor((F.floor("x") - 1) / tile).cast("int")})
-    cols = at.groupBy("pair_id", "tr", "tc").agg(F.sort_array(F.collect_list(F.struct(*(F.col(n).cast("double").alias(n) if n != "pt_id" else F.col(n) for n in names)))).alias("p"))
-    cols = cols.select("pair_id", "tr", "tc", *(F.col(f"p.{n}").alias(n) for n in names))
-    met = packed.join(cols, ["pair_id", "tr", "tc"])
 
     def tracked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             for t in df.itertuples(index=False):
                 image = lambda b: np.frombuffer(b, np.complex128 if complex_ else np.float32).reshape(t.ny, t.nx)  # noqa: B023, E731
-                own = {n: np.asarray(getattr(t, n), float) for n in names if n != "pt_id"}
-                got = kernels.track(image(t.ref), image(t.sec), np.frombuffer(t.valid, bool).reshape(t.ny, t.nx), own, t.r0, t.c0, upsampling, measure, angles)
+                valid = np.frombuffer(t.valid, bool).reshape(t.ny, t.nx)
+                if t.valid2 is not None:
+                    valid = valid & np.frombuffer(t.valid2, bool).reshape(t.ny, t.nx)
+                own = {n: np.asarray(getattr(t, n), float) for n in _NAMES if n != "pt_id"}
+                got = kernels.track(image(t.ref), image(t.sec), valid, own, t.r0, t.c0, upsampling, measure, angles)
                 none = np.isnan(got["dx"])
                 yield pd.DataFrame({"pair_id": t.pair_id, "pt_id": np.asarray(t.pt_id, np.int64)} | {k: pd.array(np.where(none, 0, got[k]), "Float64") for k in ("dx", "dy", "correlation")} | {"searched": got["searched"]}).mask(
                     pd.DataFrame({k: none if k in ("dx", "dy", "correlation") else np.zeros(len(none), bool) for k in ("pair_id", "pt_id", "dx", "dy", "correlation", "searched")}))
 
-    keep = ["r0", "c0", "ny", "nx", "ref", "sec", "valid"]
-    return met.select("pair_id", *names, *keep).mapInPandas(tracked, "pair_id string, pt_id bigint, dx double, dy double, correlation double, searched boolean")
+    keep = ["r0", "c0", "ny", "nx", "ref", "sec", "valid", "valid2"]
+    return met.select("pair_id", *_NAMES, *keep).mapInPandas(tracked, "pair_id string, pt_id bigint, dx double, dy double, correlation double, searched boolean")
+
+
+def track_tiles(packed: DataFrame, pts: DataFrame, tile: int, upsampling: int, measure: str = "zncc", angles: tuple[float, ...] = (0.0,)) -> DataFrame:
+    """``(pair_id, pt_id, dx, dy, correlation, searched)`` for every point that has a tile of ``packed`` pairs."""
+    met = packed.withColumn("valid2", F.lit(None).cast("binary")).join(_by_tile(pts, tile), ["pair_id", "tr", "tc"])
+    return _tracked(met, upsampling, measure, angles)
+
+
+def track_packs(packs: DataFrame, pairs: DataFrame, pts: DataFrame, tile: int, shape: tuple[int, int], upsampling: int, measure: str = "zncc", angles: tuple[float, ...] = (0.0,)) -> DataFrame:
+    """The same over the tiles of single images, met by ``pairs(pair_id, ref_id, sec_id)`` on (image, tile).
+
+    Only tiles that hold points are joined; a pair is valid where both its images are.
+    """
+    asked = _by_tile(pts, tile, shape).join(pairs.select("pair_id", "ref_id", "sec_id"), "pair_id")
+    ref = packs.select(F.col("image_id").alias("ref_id"), "tr", "tc", "r0", "c0", "ny", "nx", F.col("data").alias("ref"), F.col("ok").alias("valid"))
+    sec = packs.select(F.col("image_id").alias("sec_id"), "tr", "tc", F.col("data").alias("sec"), F.col("ok").alias("valid2"))
+    return _tracked(asked.join(ref, ["ref_id", "tr", "tc"]).join(sec, ["sec_id", "tr", "tc"]), upsampling, measure, angles)

@@ -94,6 +94,34 @@ def peaks(surf: np.ndarray, upsampling: int) -> tuple[np.ndarray, np.ndarray, np
     return col - nc // 2, row - nr // 2, best
 
 
+def _means(x: np.ndarray, w: int) -> np.ndarray:
+    """Sums over w x w windows clipped at the edges; even widths begin one before the middle."""
+    before, after = w // 2, w - 1 - w // 2
+    t = np.pad(np.cumsum(np.cumsum(x, 0, dtype=np.float64), 1), ((1, 0), (1, 0)))
+    i, j = np.arange(x.shape[0]), np.arange(x.shape[1])
+    lo_i, hi_i = np.maximum(i - before, 0), np.minimum(i + after, len(i) - 1) + 1
+    lo_j, hi_j = np.maximum(j - before, 0), np.minimum(j + after, len(j) - 1) + 1
+    return t[hi_i[:, None], hi_j] - t[lo_i[:, None], hi_j] - t[hi_i[:, None], lo_j] + t[lo_i[:, None], lo_j]
+
+
+def prepare(v: np.ndarray, filter_width: int, quantize: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A scene high-passed (unless the width is 0) and quantized as the tables do it: values and validity."""
+    ok = np.isfinite(v)
+    x = np.where(ok, v, 0.0).astype(np.float64)
+    if filter_width:
+        middle = x[ok].mean() if ok.any() else 0.0  # sums about the mean cancel less
+        x = np.where(ok, x - middle, 0.0)
+        n = _means(ok.astype(np.float64), filter_width)
+        x = np.where(ok, x - _means(x, filter_width) / np.maximum(n, 1), 0.0)
+        ok = _means((~ok).astype(np.float64), filter_width) < 0.5
+        x = np.where(ok, x, 0.0)
+    if quantize:
+        mean, sd = (x[ok].mean(), x[ok].std(ddof=1)) if np.count_nonzero(ok) > 1 else (0.0, 0.0)
+        scaled = np.rint(np.clip((x - (mean - 3 * sd)) * (255.0 / (6 * sd)), 0, 255)) if sd > 0 else np.full(x.shape, 128.0)
+        x = np.where(ok, scaled, 0.0)
+    return x.astype(np.float32), ok
+
+
 def rotate(chips: np.ndarray, degrees: float) -> np.ndarray:
     """Chips turned about their centre, bilinear, outside 0."""
     if degrees == 0:

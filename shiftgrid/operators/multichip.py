@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shiftgrid.operators import correlate, peak, points
-from shiftgrid.operators.correlate_arrow import halo_of, tiles, track_tiles
+from shiftgrid.operators.correlate_arrow import halo_of, tiles, track_packs, track_tiles
 from shiftgrid.operators.outliers import reject_outliers
 from shiftgrid.operators.resample import cell_max_radius, dilate_within, fill_holes, resample
 from shiftgrid.params import Params
+from shiftgrid.shared import shared_table
 
 PT = ["pair_id", "pt_id"]
 #: Products of chip pixels and shifts beyond which the pixel-row form gives way to packed tiles.
@@ -25,11 +26,19 @@ PIXEL_ROW_LIMIT = 1e8
 
 @dataclass(frozen=True)
 class Images:
-    """Prepared pairs: ``pair(pair_id, r, c, ref, sec, valid)``; ``complex_`` values are structs."""
+    """Prepared pairs: ``pair(pair_id, r, c, ref, sec, valid)``; ``complex_`` values are structs.
 
-    pair: DataFrame
+    ``packs`` and ``pairs``, where they are given, are the images' packed tiles with a halo of ``halo`` and the
+    pairs of them, which every level and coarse pass reads instead of packing pixels again.
+    """
+
+    pair: DataFrame | None
     shape: tuple[int, int]
     complex_: bool = False
+    packs: DataFrame | None = None
+    pairs: DataFrame | None = None
+    tile: int = 256
+    halo: int = 0
 
     def side(self, which: str) -> DataFrame:
         name = "z" if self.complex_ else "v"
@@ -49,8 +58,11 @@ def track(images: Images, pts: DataFrame, p: Params, measure: str = "zncc", upsa
     angles = p.rotation.tried() if p.rotation else (0.0,)
     if tier == "arrow":
         live = pts.where(points.searchable())
-        packed = tiles(images.pair, tile, reach(live) if halo is None else halo, images.complex_)
-        got = track_tiles(packed, live, tile, up, measure, angles)
+        need = reach(live) if halo is None else halo
+        if images.packs is not None and need <= images.halo:
+            got = track_packs(images.packs, images.pairs, live, images.tile, images.shape, up, measure, angles)
+        else:
+            got = track_tiles(tiles(images.pair, tile, need, images.complex_), live, tile, up, measure, angles)
         out = pts.join(got, PT, "left")
         return out.withColumn("searched", F.coalesce("searched", F.lit(False)))
     if tier != "rows":
@@ -148,14 +160,16 @@ def merge_levels(pts: DataFrame, levels: list[DataFrame]) -> DataFrame:
 def multichip(images: Images, pts: DataFrame, p: Params, grid: tuple[int, int], tier: str = "arrow", stop=None) -> DataFrame:
     """Every level, finest chip first; coarser ones only see points still missing.
 
-    ``stop(df)`` may materialise a level (a checkpoint) so that the next ones do not recompute it.
+    ``stop(df)`` writes a level, so that the next ones and the merge do not compute it again; the default
+    writes to the shared folder.
     """
+    stop = stop or (lambda df: shared_table(df, "level"))
     levels: list[DataFrame] = []
     resolved = None
     for chip, measure in zip(p.chip_sizes(), p.measures(), strict=True):
         left = wanted(pts, resolved)
         level = chipsize_level(images, pts, p, chip, left, measure, grid, tier)
-        level = stop(level) if stop else level
+        level = stop(level)
         levels.append(level)
         done = level.where("dx is not null").select(*PT)
         resolved = done if resolved is None else resolved.unionByName(done)

@@ -164,7 +164,7 @@ def ramp_phase(cpixels: DataFrame) -> DataFrame:
 
 def deramp(cpixels: DataFrame, axis: str = "both") -> DataFrame:
     """The linear phase taken out about the first sample, along ``axis``."""
-    ph = F.broadcast(ramp_phase(cpixels))  # a row an image, four numbers
+    ph = ramp_phase(cpixels)
     got = cpixels.join(ph, "image_id")
     px = F.col("phase_x") if axis != "y" else F.lit(0.0)
     py = F.col("phase_y") if axis != "x" else F.lit(0.0)
@@ -193,7 +193,7 @@ def quantize_uint8(pixels: DataFrame) -> DataFrame:
     """mean +- 3 sample deviations of the valid pixels to 0..255, halves to even; invalid 0; no spread 128."""
     v = F.when(F.col("valid") & is_finite(F.col("v")), F.col("v"))
     stats = pixels.groupBy("image_id").agg(F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_sd"), F.count(v).alias("_n"))
-    got = pixels.join(F.broadcast(stats), "image_id")  # a row an image
+    got = pixels.join(stats, "image_id")
     scaled = F.rint(F.least(F.greatest((v - (F.col("_mean") - 3 * F.col("_sd"))) * (255.0 / (6 * F.nullif("_sd", F.lit(0.0)))), F.lit(0.0)), F.lit(255.0)))
     flat = (F.col("_n") == 1) | (F.col("_sd") == 0)
     out = F.when(F.col("_n") == 0, 0.0).when(flat, F.when(F.col("valid"), 128.0).otherwise(0.0)).when(v.isNull(), 0.0).otherwise(scaled)
@@ -224,7 +224,7 @@ def prepare(pixels: DataFrame, p, shape) -> DataFrame:
 def scale01(pixels: DataFrame) -> DataFrame:
     """Values between the extremes of the finite ones, to 0..1; others 0. An image without a range is an error."""
     v = F.when(is_finite(F.col("v")), F.col("v"))
-    lim = F.broadcast(pixels.groupBy("image_id").agg(F.min(v).alias("_lo"), F.max(v).alias("_hi")))
+    lim = pixels.groupBy("image_id").agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     got = pixels.join(lim, "image_id")
     span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.raise_error(F.lit("an image has no finite range to scale")).cast("double"))
     return got.withColumn("v", F.coalesce((v - F.col("_lo")) / span, F.lit(0.0))).drop("_lo", "_hi")

@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftgrid.operators import multichip as M
 from shiftgrid.operators import points
 from shiftgrid.operators import preprocess as PP
+from shiftgrid.operators.correlate_arrow import halo_of, pack, pack_planes
 from shiftgrid.params import Params, params, search_margin
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` cut off from its lineage: a checkpoint in the folder that ``spark.checkpoint.dir`` names, or a
-    temporary one where that is unset. Survives lost executors."""
-    import tempfile
-
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _temporary.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="shiftgrid-"))
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_temporary: dict[str, str] = {}
+from shiftgrid.shared import shared_table
 
 
 def grid_size(shape: tuple[int, int], p: Params) -> tuple[int, int]:
@@ -45,33 +28,65 @@ def build_grid(spark: SparkSession, shape: tuple[int, int], p: Params, pair_ids:
 
 
 class Session:
-    """Prepared images kept by id, so each is filtered and quantized once however many pairs it is in.
+    """Prepared images kept by id, so each is filtered, quantized and packed once however many pairs it is in.
 
-    ``add`` takes pixels of new images; ``track`` runs any number of pairs in one plan. Results are kept
-    until the pairs they were asked for change.
+    ``add`` takes pixels of images; ``track`` runs any number of pairs in one plan. The last result is kept
+    until other tables are asked for or an image is added. ``tile``: pixels of a packed tile's side.
     """
 
-    def __init__(self, shape: tuple[int, int], p: Params | None = None, **keywords):
+    def __init__(self, shape: tuple[int, int], p: Params | None = None, tile: int = 256, **keywords):
         self.params = p or params(**keywords)
-        self.shape = shape
+        self.shape, self.tile = shape, tile
+        q = self.params
+        self.halo = halo_of(q.chip_size_max, q.chip_height(q.chip_size_max), max(q.radius_x, q.min_search_radius), max(q.radius_y, q.min_search_radius), max(abs(q.dx_prior), abs(q.dy_prior)))
         self.prepared: DataFrame | None = None
-        self.ids: set[str] = set()
+        self.packs: DataFrame | None = None
         self._last: tuple[tuple, DataFrame] | None = None
 
-    def add(self, pixels: DataFrame) -> Session:
-        """Prepare the images of ``pixels(image_id, r, c, v, valid)`` that are new; known ids are left as they are."""
-        new = pixels if not self.ids else pixels.where(~F.col("image_id").isin(*self.ids))
-        names = {r[0] for r in new.select("image_id").distinct().collect()}  # ids of images, not pixels
-        if names:
-            done = shared_table(PP.prepare(new, self.params, self.shape), "prepared")
-            self.prepared = done if self.prepared is None else self.prepared.unionByName(done)
-            self.ids |= names
+    def add(self, pixels: DataFrame, replace: bool = False) -> Session:
+        """Prepare the images of ``pixels(image_id, r, c, v or z, valid)``. Those of known ids are left as they
+        are, or with ``replace`` take their place, values and mask alike. Pixels beyond the shape are an error.
+        """
+        if self.packs is not None and not replace:
+            pixels = pixels.join(self.packs.select("image_id").distinct(), "image_id", "left_anti")
+        done = shared_table(PP.prepare(pixels, self.params, self.shape), "prepared")
+        n, low_r, low_c, r, c = done.agg(F.count(F.lit(1)), F.min("r"), F.min("c"), F.max("r"), F.max("c")).first()
+        if not n:
+            return self
+        if r > self.shape[0] or c > self.shape[1] or min(low_r, low_c) < 1:
+            raise ValueError(f"an image has pixels beyond its shape {self.shape}")
+        packed = shared_table(pack(done, self.tile, self.halo, "z" in done.columns, self.shape), "packs")
+        self.prepared = self._with(self.prepared, done, packed)
+        self.packs = self._with(self.packs, packed, packed)
+        self._last = None
+        return self
+
+    def add_planes(self, planes: DataFrame) -> Session:
+        """Scenes as ``planes(image_id, ny, nx, data)``, each in one task: for the default preparation (high-pass,
+        and bytes or none) of scenes that fit there. They take the place of known ids. Pixel forms of them are
+        not kept, so points that reach beyond the parameters' halo are an error."""
+        kind = self.params.preprocess
+        if kind.kind not in ("highpass", "none"):
+            raise ValueError(f"`preprocess` {kind.kind} is of pixel tables; planes take highpass or none")
+        packed = shared_table(pack_planes(planes, self.tile, self.halo, kind.width if kind.kind == "highpass" else 0, self.params.quantize == "uint8"), "packs")
+        self.packs = self._with(self.packs, packed, packed)
+        self._last = None
         return self
 
-    def pairs_of(self, pairs: DataFrame) -> DataFrame:
+    def image_ids(self) -> DataFrame:
+        """``(image_id)`` of the images that are held."""
+        return self.packs.select("image_id").distinct()
+
+    @staticmethod
+    def _with(held: DataFrame | None, new: DataFrame, packed: DataFrame) -> DataFrame:
+        if held is None:
+            return new
+        return held.join(packed.select("image_id").distinct(), "image_id", "left_anti").unionByName(new)
+
+    def pairs_of(self, pairs: DataFrame) -> DataFrame | None:
         """``pairs(pair_id, ref_id, sec_id)`` to (pair_id, r, c, ref, sec, valid)."""
         if self.prepared is None:
-            raise ValueError("no image was added")
+            return None
         value = "z" if "z" in self.prepared.columns else "v"
         side = lambda k: self.prepared.select(F.col("image_id").alias(f"{k}_id"), "r", "c", F.col(value).alias(k), F.col("valid").alias(f"_{k}_ok"))
         ids = pairs.select("pair_id", "ref_id", "sec_id")
@@ -80,19 +95,21 @@ class Session:
 
     def track(self, pairs: DataFrame, pts: DataFrame | None = None, tier: str = "arrow", checkpoint: bool = False) -> DataFrame:
         """The displacement field of each pair. Gridded points (the default) go through all chip sizes; scattered
-        ones (``gi`` null) are tracked once at their own chips."""
-        key = (id(pairs), id(pts), tier)
-        if self._last and self._last[0] == key:
+        ones (``gi`` null) are tracked once at their own chips. ``checkpoint`` writes the result."""
+        if self.packs is None:
+            raise ValueError("no image was added")
+        key = (pairs, pts, tier, checkpoint)
+        if self._last and all(a is b or (isinstance(a, (str, bool)) and a == b) for a, b in zip(self._last[0], key, strict=True)):
             return self._last[1]
         p = self.params
-        images = M.Images(self.pairs_of(pairs), self.shape, "z" in self.prepared.columns)
-        if checkpoint:
-            images = M.Images(shared_table(images.pair, "pairs"), self.shape, images.complex_)
+        images = M.Images(self.pairs_of(pairs), self.shape, self.prepared is not None and "z" in self.prepared.columns, self.packs, pairs, self.tile, self.halo)
         if pts is not None and pts.where("gi is null").limit(1).count():
             out = M.track(images, pts, p, p.similarity[0], None, tier)
         else:
             grid = pts if pts is not None else build_grid(pairs.sparkSession, self.shape, p, pairs)
-            out = M.multichip(images, grid, p, grid_size(self.shape, p), tier, (lambda d: shared_table(d, "level")) if checkpoint else None)
+            out = M.multichip(images, grid, p, grid_size(self.shape, p), tier)
+        if checkpoint:
+            out = shared_table(out, "field")
         self._last = (key, out)
         return out
 

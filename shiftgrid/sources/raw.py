@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +51,22 @@ def planes(result: DataFrame, grid: tuple[int, int]) -> DataFrame:
 
 
 def write_raw(result: DataFrame, grid: tuple[int, int], path: str) -> list[str]:
-    """One file a pair: the three planes one after another. Streams pair by pair through the file system of
-    ``path``; a grid is small against its images."""
-    spark = result.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for row in planes(result, grid).toLocalIterator():
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{row.pair_id}.bin")
-        stream = target.getFileSystem(conf).create(target, True)
-        stream.write(bytearray(row.dx) + bytearray(row.dy) + bytearray(row.correlation))
-        stream.close()
-        out.append(str(target))
-    return out
+    """One raw file ``<path>/<pair_id>.bin`` a pair, the three planes one after another, written by the tasks that
+    lay them out. A file appears under its name when it is whole, so a task may run again. The files' names."""
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = []
+            for name, *parts in zip(*(b.column(c) for c in ("pair_id", "dx", "dy", "correlation")), strict=True):
+                fs, root = pafs.FileSystem.from_uri(path)
+                fs.create_dir(root, recursive=True)
+                target = f"{root}/{name.as_py()}.bin"
+                part = f"{root}/.{name.as_py()}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    for p in parts:
+                        out.write(p.as_py())
+                fs.move(part, target)
+                done.append(target)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["path"])
+
+    return [r.path for r in planes(result, grid).mapInArrow(stored, "path string").collect()]

@@ -250,7 +250,7 @@ def test_session_prepares_each_image_once(spark):
     p = params(chip_size=8, chip_size_max=8, search_radius=6, grid_spacing=8)
     s = api.Session((90, 90), p).add(pixels(spark, ref, "i0")).add(pixels(spark, sec, "i1"))
     s.add(pixels(spark, ref * 0, "i1"))  # known already
-    assert s.ids == {"i0", "i1"}
+    assert {r[0] for r in s.image_ids().collect()} == {"i0", "i1"}
     pairs = spark.createDataFrame([("f", "i0", "i1"), ("b", "i1", "i0")], "pair_id string, ref_id string, sec_id string")
     got = s.track(pairs)
     assert s.track(pairs) is got
@@ -261,6 +261,50 @@ def test_session_prepares_each_image_once(spark):
     assert sorted((r.gi, r.gj, r.dx) for r in one) == sorted((r.gi, r.gj, r.dx) for r in by["f"])
 
 
+def test_session_packs_once_and_replaces(spark, monkeypatch):
+    """Images are packed when they are added and never again; a replaced one brings its values and its mask."""
+    from shiftgrid.operators import correlate_arrow
+
+    ref, sec = shifted(90, 90, 1, 1)
+    p = params(chip_size=8, chip_size_max=16, search_radius=6, grid_spacing=8)
+    s = api.Session((90, 90), p, tile=32).add(pixels(spark, ref, "i0")).add(pixels(spark, sec, "i1"))
+    monkeypatch.setattr(correlate_arrow, "pack", None)
+    monkeypatch.setattr(multichip, "tiles", None)
+    pairs = spark.createDataFrame([("f", "i0", "i1"), ("b", "i1", "i0")], "pair_id string, ref_id string, sec_id string")
+    got = s.track(pairs)
+    assert abs(np.median([r.dx for r in got.where("dx is not null and pair_id = 'f'").collect()]) + 1) < 0.05
+    far = points.pointset(spark.createDataFrame([(0, 45.0, 45.0)], "pt_id long, x double, y double"), 8, search_radius=4).drop("pair_id").withColumn("pair_id", F.lit("f"))
+    assert s.track(pairs, far) is not got and s.track(pairs, far) is s.track(pairs, far)
+    monkeypatch.undo()
+    other = shifted(90, 90, 3, -2)[1]
+    s.add(pixels(spark, other, "i1").withColumn("valid", F.col("c") > 45), replace=True)
+    new = s.track(pairs)
+    assert new is not got
+    rows = [r for r in new.where("dx is not null and pair_id = 'f'").collect()]
+    assert abs(np.median([r.dx for r in rows]) + 3) < 0.05 and min(r.x for r in rows) > 35
+    with pytest.raises(ValueError, match="beyond its shape"):
+        s.add(pixels(spark, shifted(100, 100, 1, 1)[0], "i9"))
+
+
+def test_planes_are_prepared_as_pixels(spark):
+    ref, sec = shifted(100, 100, 2, -1)
+    ref = ref.copy()
+    ref[20:30, 40:44] = np.nan
+    p = params(chip_size=8, chip_size_max=16, search_radius=6, grid_spacing=8)
+    rows = [(n, 100, 100, bytearray(np.ascontiguousarray(a, np.float32).tobytes())) for n, a in (("a", ref), ("b", sec))]
+    planes = spark.createDataFrame(rows, "image_id string, ny int, nx int, data binary")
+    pairs = spark.createDataFrame([("p", "a", "b")], "pair_id string, ref_id string, sec_id string")
+    one = api.Session((100, 100), p, tile=64).add_planes(planes)
+    px = pixels(spark, ref, "a").unionByName(pixels(spark, sec, "b"))
+    px = px.withColumn("valid", ~F.isnan("v") & F.col("v").isNotNull())
+    two = api.Session((100, 100), p, tile=64).add(px)
+    key = lambda s: {(r.image_id, r.tr, r.tc): (np.frombuffer(r.data, np.float32), bytes(r.ok)) for r in s.packs.collect()}
+    x, y = key(one), key(two)
+    assert x.keys() == y.keys() and all(x[k][1] == y[k][1] and np.abs(x[k][0] - y[k][0]).max() <= 1 for k in x)
+    field = [sorted((r.gi, r.gj, r.dx, r.dy) for r in s.track(pairs).where("dx is not null").collect()) for s in (one, two)]
+    assert len(field[0]) > 50 and len(field[0]) == len(field[1])
+
+
 ACQ = [("s1", "a", 1), ("s1", "b", 2), ("s2", "c", 1), ("s1", "d", 5), ("s2", "e", 9), ("s3", "f", 3)]
 
 
