@@ -2,55 +2,135 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shiftgrid.shared import shared_table
+
 
 def knn(pts: DataFrame, k: int, keys=("pair_id",), pt="m_id", r="r", c="c", cell: float | None = None) -> DataFrame:
     """``(keys, i, j, d2, rank)``: the k nearest others of each point, ties to the smaller id.
 
-    With ``cell`` (a grid size) candidates come from the cells around first; points whose k-th distance
-    reaches beyond that ring, and points with too few candidates, are then met with all others of their
-    key. Without it every pair of a key is met, which is for small sets.
+    Candidates come from the cells around a point, of side ``cell`` at first (by default one that holds
+    about k points on average). A point is done if its k-th distance lies within one cell, which the ring of
+    cells always holds; the others meet cells of twice the size, and so on until a cell holds everything.
     """
     keys = list(keys)
-    a = pts.select(*keys, F.col(pt).alias("i"), F.col(r).alias("ri"), F.col(c).alias("ci"))
-    b = pts.select(*keys, F.col(pt).alias("j"), F.col(r).alias("rj"), F.col(c).alias("cj"))
+    a = pts.select(*keys, F.col(pt).alias("i"), F.col(r).cast("double").alias("ri"), F.col(c).cast("double").alias("ci"))
+    b = a.select(*keys, F.col("i").alias("j"), F.col("ri").alias("rj"), F.col("ci").alias("cj"))
+    extent = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("ri") - F.min("ri")).alias("h"), (F.max("ci") - F.min("ci")).alias("w"))
+    far, side = extent.agg(F.max(F.greatest("h", "w")), F.avg(F.sqrt(F.col("h") * F.col("w") * k / F.col("n")))).first()  # two numbers
+    side, far = float(cell or side or 1.0), float(far or 0.0)
     d2 = (F.col("ri") - F.col("rj")) * (F.col("ri") - F.col("rj")) + (F.col("ci") - F.col("cj")) * (F.col("ci") - F.col("cj"))
-
-    def nearest(met: DataFrame) -> DataFrame:
-        order = W.partitionBy(*keys, "i").orderBy("d2", "j")
-        return met.where("i <> j").withColumn("d2", d2).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "i", "j", "d2", "rank")
-
-    if cell is None:
-        return nearest(a.join(b, keys))
-    place = lambda df, x, y: df.withColumns({"gr": F.floor(F.col(x) / cell), "gc": F.floor(F.col(y) / cell)})
     ring = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)))
-    spread = place(a, "ri", "ci").withColumn("o", F.explode(ring)).withColumns({"gr": F.col("gr") + F.col("o.p"), "gc": F.col("gc") + F.col("o.q")}).drop("o")
-    near = nearest(spread.join(place(b, "rj", "cj"), [*keys, "gr", "gc"]))
-    # Sure if k were found and the farthest lies within one cell size, which the ring always holds.
-    sure = near.groupBy(*keys, "i").agg(F.max("rank").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= cell * cell)).select(*keys, "i")
-    rest = a.join(sure, [*keys, "i"], "left_anti")
-    return near.join(sure, [*keys, "i"], "left_semi").unionByName(nearest(rest.join(b, keys)))
+    order = W.partitionBy(*keys, "i").orderBy("d2", "j")
+    done: list[DataFrame] = []
+    while True:
+        place = lambda df, x, y: df.withColumns({"gr": F.floor(F.col(x) / side), "gc": F.floor(F.col(y) / side)})  # noqa: B023, E731
+        spread = place(a, "ri", "ci").withColumn("o", F.explode(ring)).withColumns({"gr": F.col("gr") + F.col("o.p"), "gc": F.col("gc") + F.col("o.q")}).drop("o")
+        met = spread.join(place(b, "rj", "cj"), [*keys, "gr", "gc"]).where("i <> j").withColumn("d2", d2)
+        near = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "i", "j", "d2", "rank")
+        if side > far:
+            done.append(near)
+            break
+        near = shared_table(near, "near")
+        sure = near.groupBy(*keys, "i").agg(F.max("rank").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= side * side)).select(*keys, "i")
+        done.append(near.join(sure, [*keys, "i"], "left_semi"))
+        a = shared_table(a.join(sure, [*keys, "i"], "left_anti"), "rest")
+        if a.isEmpty():
+            break
+        side *= 2
+    out = done[0]
+    for other in done[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+#: Keypoints of a block; distances of two blocks are computed together.
+BLOCK = 4096
+
+
+def _blocks(points: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Keypoints in blocks of some ``BLOCK`` by hash: (keys, block of ``name``, its ids, its descriptors end to end)."""
+    n = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n"))
+    at = points.join(n, keys).withColumn(f"b{name}", F.pmod(F.xxhash64("k_id"), F.col("_n")))
+    held = at.groupBy(*keys, f"b{name}").agg(F.sort_array(F.collect_list(F.struct("k_id", "desc"))).alias("p"))
+    return held.select(*keys, f"b{name}", F.col("p.k_id").alias(f"k{name}"), F.flatten("p.desc").alias(f"d{name}"))
+
+
+def _distances(ref: DataFrame, sec: DataFrame, keys: list[str], best: int | None, most: float | None) -> DataFrame:
+    """``(keys, i, j, d)``: differing bits of keypoints' descriptors, of each block pair the ``best`` of a reference
+    keypoint, or all of at most the part ``most`` of the bits. Blocks meet blocks, never rows."""
+    met = _blocks(ref, keys, "a").join(_blocks(sec, keys, "b"), keys)
+    met = met.repartition(*keys, "ba", "bb")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ref.select(*keys).schema)
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for t in df.to_dict("records"):
+                ka, kb = np.asarray(t["ka"], np.int64), np.asarray(t["kb"], np.int64)
+                da, db = np.asarray(t["da"], np.int64).view(np.uint64).reshape(len(ka), -1), np.asarray(t["db"], np.int64).view(np.uint64).reshape(len(kb), -1)
+                if da.shape[1] != db.shape[1]:
+                    raise ValueError(f"descriptors of {da.shape[1]} and {db.shape[1]} words do not compare")
+                for s in range(0, len(ka), 256):
+                    d = np.zeros((len(ka[s : s + 256]), len(kb)), np.int64)
+                    for w in range(da.shape[1]):
+                        d += np.bitwise_count(da[s : s + 256, w, None] ^ db[None, :, w])
+                    if best is None:
+                        i, j = np.nonzero(d <= most * 64 * da.shape[1])
+                    else:  # blocks are in order of id, so of equal distances the smaller id comes first
+                        order = np.argsort(d, axis=1, kind="stable")[:, :best]
+                        i, j = np.repeat(np.arange(len(d)), order.shape[1]), order.reshape(-1)
+                    yield pd.DataFrame({k: [t[k]] * len(i) for k in keys} | {"i": ka[s : s + 256][i], "j": kb[j], "d": d[i, j]})
+
+    return met.mapInPandas(near, f"{kinds}, i bigint, j bigint, d bigint")
+
+
+def _matched(pairs: DataFrame, ref: DataFrame, sec: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, i, j)`` to matches with the reference's place and dx, dy, reference less secondary."""
+    a = ref.select(*keys, F.col("k_id").alias("i"), "r", "c")
+    b = sec.select(*keys, F.col("k_id").alias("j"), F.col("r").alias("_r"), F.col("c").alias("_c"))
+    met = pairs.join(a, [*keys, "i"]).join(b, [*keys, "j"])
+    return met.select(*keys, F.col("i").alias("m_id"), "r", "c", (F.col("c") - F.col("_c")).alias("dx"), (F.col("r") - F.col("_r")).alias("dy"))
 
 
 def hamming_match(ref: DataFrame, sec: DataFrame, ratio: float = 0.9, keys=("pair_id",)) -> DataFrame:
     """Keypoints ``(keys, k_id, r, c, desc array<bigint>)``: each reference one with its nearest secondary one if
     that is nearer than ``ratio`` times the runner-up. dx, dy are reference less secondary.
 
-    Of equal distances the smaller k_id is the nearest. All pairs of a key are met: keep keys to an image.
+    Of equal distances the smaller k_id is the nearest. Each pair of blocks keeps its own two best.
+    """
+    keys = list(keys)
+    order = W.partitionBy(*keys, "i").orderBy("d", "j")
+    ranked = _distances(ref, sec, keys, 2, None).withColumn("_k", F.row_number().over(order)).where("_k <= 2")
+    g = ranked.groupBy(*keys, "i").agg(F.min(F.struct("_k", "d", "j")).alias("b"), F.max(F.when(F.col("_k") == 2, F.col("d"))).alias("second"))
+    ok = F.col("second").isNull() | (F.col("b.d") < ratio * F.col("second"))
+    return _matched(g.where(ok).select(*keys, "i", F.col("b.j").alias("j")), ref, sec, keys)
+
+
+def orb_match(ref: DataFrame, sec: DataFrame, max_distance: float = 0.1, keys=("pair_id",)) -> DataFrame:
+    """Given detections, greedy matches: reference keypoints in order of id each take the nearest secondary one
+    that is left, if it differs in at most the part ``max_distance`` of the bits (ties to the smaller id).
+
+    Proposals instead of an order: all propose at once to their nearest, of several the smallest id is held, and
+    the others go on to their next. Every secondary keypoint prefers the smaller id, so this ends in the same
+    matches, in as many rounds as the longest chain of refusals.
     """
     keys = list(keys)
-    a = ref.select(*keys, F.col("k_id").alias("m_id"), F.col("r").alias("r"), F.col("c").alias("c"), F.col("desc").alias("_da"))
-    b = sec.select(*keys, F.col("k_id").alias("_j"), F.col("r").alias("_rj"), F.col("c").alias("_cj"), F.col("desc").alias("_db"))
-    dist = F.aggregate(F.zip_with("_da", "_db", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-    met = a.join(b, keys).withColumn("_d", dist)
-    order = W.partitionBy(*keys, "m_id").orderBy("_d", "_j")
-    ranked = met.withColumn("_k", F.row_number().over(order)).where("_k <= 2")
-    g = ranked.groupBy(*keys, "m_id").agg(F.min(F.struct("_k", "_d", "r", "c", "_rj", "_cj")).alias("b"), F.max(F.when(F.col("_k") == 2, F.col("_d"))).alias("second"))
-    ok = F.col("second").isNull() | (F.col("b._d") < ratio * F.col("second"))
-    return g.where(ok).select(*keys, "m_id", F.col("b.r").alias("r"), F.col("b.c").alias("c"), (F.col("b.c") - F.col("b._cj")).alias("dx"), (F.col("b.r") - F.col("b._rj")).alias("dy"))
+    left = shared_table(_distances(ref, sec, keys, None, max_distance), "candidates")
+    mine, theirs = W.partitionBy(*keys, "i").orderBy("d", "j"), W.partitionBy(*keys, "j").orderBy("i")
+    while True:
+        asked = left.withColumn("_k", F.row_number().over(mine)).where("_k = 1")
+        asked = shared_table(asked.withColumn("_h", F.row_number().over(theirs)).drop("_k"), "asked")
+        refused = asked.where("_h > 1").select(*keys, "i", "j")
+        if refused.isEmpty():
+            return _matched(asked.select(*keys, "i", "j"), ref, sec, keys)
+        left = shared_table(left.join(refused, [*keys, "i", "j"], "left_anti"), "candidates")
 
 
 def consistent_matches(matches: DataFrame, neighbours: int = 12, tolerance: float = 6.0, min_agree: int = 5, cell: float | None = None) -> DataFrame:

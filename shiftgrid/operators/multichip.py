@@ -94,6 +94,11 @@ def reach(pts: DataFrame) -> int:
     return halo_of(*(got[n] or 0 for n in names), got["prior"] or 0.0)
 
 
+def nmeasured(field: DataFrame) -> DataFrame:
+    """Per pair the points that have a displacement: (pair_id, n)."""
+    return field.groupBy("pair_id").agg(F.count("dx").alias("n"))
+
+
 def coarse_fraction(coarse: DataFrame) -> DataFrame:
     """Per pair, the part of measured coarse points that was kept: (pair_id, fraction)."""
     ok = F.col("dx").isNotNull() & (F.col("radius_x") > 0)
@@ -113,8 +118,9 @@ def coarse_mask(images: Images, pts: DataFrame, p: Params, chip_x: int, chip_y:
     for axis in "xy":
         coarse = coarse.join(cell_max_radius(pts, s, f"radius_{axis}"), ["pair_id", "gi", "gj"])
     coarse = coarse.withColumns({"chip_x": F.lit(chip_x), "chip_y": F.lit(chip_y)}).select(*pts.columns)
-    found = track(images, coarse, p, measure, 1, tier, halo=halo)
-    judged = reject_outliers(found, p.outliers.relaxed() if p.outliers else None, p.upsampling, small)
+    # Points are few against pixels: what was tracked is written, so that gates and windows never track it again.
+    found = shared_table(track(images, coarse, p, measure, 1, tier, halo=halo), "coarse")
+    judged = shared_table(reject_outliers(found, p.outliers.relaxed() if p.outliers else None, p.upsampling, small), "judged")
     enough = coarse_fraction(judged).where(F.col("fraction") >= p.min_coarse_valid_fraction).select("pair_id")
     kept = judged.join(enough, "pair_id", "left_semi").select("pair_id", F.col("gi").alias("r"), F.col("gj").alias("c"), "keep")
     grown = dilate_within(kept, p.coarse_buffer, small, ("pair_id",), "keep").withColumn("keep", F.col("keep").cast("double"))
@@ -134,7 +140,8 @@ def chipsize_level(images: Images, grid_pts: DataFrame, p: Params, chip_size: in
     if near is not None:
         hit = pts.join(near.withColumn("_in", F.lit(True)), ["pair_id", "gi", "gj"], "left")
         pts = hit.withColumns({f"radius_{a}": F.when(F.col("_in").isNotNull(), F.col(f"radius_{a}")).otherwise(0) for a in "xy"}).select(*pts.columns)
-    fine = reject_outliers(track(images, pts, p, measure, None, tier, halo=halo), p.outliers, p.upsampling, grid)
+    tracked = shared_table(track(images, pts, p, measure, None, tier, halo=halo), "tracked")
+    fine = reject_outliers(tracked, p.outliers, p.upsampling, grid)
     names = ("dx", "dy", "correlation")
     kept = fine.withColumns({k: F.when(F.col("keep"), F.col(k)) for k in names}).drop("keep", "searched")
     return fill_holes(kept, p.fill_window, grid).withColumn("chip_size", F.lit(chip_size))

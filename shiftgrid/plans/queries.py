@@ -339,6 +339,14 @@ def hamming_match(spark, d):
     return firstguess.hamming_match(a, b, 0.9).drop("pair_id")
 
 
+@query
+def orb_match(spark, d):
+    e = table(spark, d, "embeddings")
+    a = images.sign_descriptors(e, "vec_id", "embedding", "ref", 25).withColumn("pair_id", F.lit("p"))
+    b = images.sign_descriptors(e.where("vec_id % 3 > 0"), "vec_id", "embedding", "sec", 20).withColumn("pair_id", F.lit("p"))
+    return firstguess.orb_match(a, b, 0.25).drop("pair_id")
+
+
 @query
 def consistent_matches(spark, d):
     return firstguess.consistent_matches(matches(spark, d), cell=20.0).select("m_id")
@@ -405,7 +413,7 @@ def coarse_fraction(spark, d):
 
 @query
 def nmeasured(spark, d):
-    return field(spark, d).groupBy("pair_id").agg(F.count("dx").alias("n")).select("n")
+    return multichip.nmeasured(field(spark, d)).select("n")
 
 
 @query
