@@ -168,7 +168,7 @@ def params(
     _choice("subpixel", subpixel, SUBPIXEL)
     up = _whole("upsampling", upsampling, 2)
     if up & (up - 1):
-        raise ValueError(f"`upsampling` must be a power of two over 1, got {upsampling}")
+        raise ValueError(f"`upsampling`: peaks are refined by doublings, which never give {upsampling}")
 
     loose = {k: v for k, v in dict(window=outlier_window, iterations=outlier_iterations, min_agree_fraction=min_agree_fraction, agree_tolerance=agree_tolerance, mad_scale=mad_scale).items() if v is not _UNSET}
     if isinstance(outliers, Gardner):
@@ -184,24 +184,24 @@ def params(
 
     def chip(name: str, value) -> int:
         if _whole(name, value, 1) % 4:
-            raise ValueError(f"`{name}` must be a positive multiple of 4, got {value}")
+            raise ValueError(f"`{name}`: {value} cannot be halved twice into whole pixels; take a multiple of 4 above zero")
         return int(value)
 
     base = chip("chip_size", chip_size)
     low = base if chip_size_min is _UNSET else chip("chip_size_min", chip_size_min)
     high = 4 * base if chip_size_max is _UNSET else chip("chip_size_max", chip_size_max)
     if low > high:
-        raise ValueError(f"`chip_size_min` ({low}) must be at most `chip_size_max` ({high})")
+        raise ValueError(f"no chip size lies between `chip_size_min` {low} and `chip_size_max` {high}")
     if base > low:
-        raise ValueError(f"`chip_size` ({base}) must be at most `chip_size_min` ({low})")
+        raise ValueError(f"`chip_size_min` {low} lies below `chip_size` {base}, from which sizes only grow")
     if high % base or (high // base) & (high // base - 1):
-        raise ValueError(f"`chip_size_max` ({high}) must be a power-of-two multiple of `chip_size` ({base})")
+        raise ValueError(f"doubling `chip_size` {base} never gives `chip_size_max` {high}")
 
     rx, ry = search_radius if isinstance(search_radius, (tuple, list)) else (search_radius, search_radius)
     rx = _whole("search_radius_x", rx if search_radius_x is _UNSET else search_radius_x, 0)
     ry = _whole("search_radius_y", ry if search_radius_y is _UNSET else search_radius_y, 0)
     if rx == 0 and ry == 0:
-        raise ValueError("`search_radius` is zero in both axes: nothing can be searched")
+        raise ValueError("`search_radius`: with none along x and none along y there is no shift to try")
 
     if rotation is None or rotation is False:
         rot = None
