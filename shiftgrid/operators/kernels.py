@@ -58,7 +58,7 @@ def surfaces(chips: np.ndarray, windows: np.ndarray, measure: str = "zncc", norm
     else:
         f = np.fft.rfft2(windows.astype(np.float32, copy=False), (fy, fx))
         f *= np.conj(np.fft.rfft2(t.astype(np.float32), (fy, fx)))
-        num = np.fft.irfft2(f, (fy, fx))[:, :ny, :nx]
+        num = np.fft.irfft(np.fft.ifft(f, axis=1)[:, :ny], fx, axis=2)[:, :, :nx]
     den = (spread(windows, ch, cw, measure) if norms is None else norms) * np.sqrt(tt)[:, None, None]
     score = np.zeros((b, ny, nx), np.float32)
     np.divide(num, den, out=score, where=den > 0, casting="same_kind")
@@ -158,8 +158,16 @@ def track(ref: np.ndarray, sec: np.ndarray, valid: np.ndarray, pts: dict[str, np
     for (prx, pry, pcx, pcy), own in shapes.items():
         own = np.array(own)
         hx, hy = pcx // 2, pcy // 2
-        pad_y, pad_x = _outside(ref.shape, own, at_y - hy - r0, 2 * hy, at_x - hx - c0, 2 * hx, win_y - hy - pry - r0, 2 * (hy + pry) - 1, win_x - hx - prx - c0, 2 * (hx + prx) - 1)
-        pad = lambda a: np.pad(a, ((pad_y, pad_y), (pad_x, pad_x))) if pad_y or pad_x else a  # noqa: B023, E731
+        # Only what these points' chips and windows touch: tables of the whole tile cost more than its points.
+        cut_y = _span(ref.shape[0], own, (at_y - hy - r0, 2 * hy), (win_y - hy - pry - r0, 2 * (hy + pry) - 1))
+        cut_x = _span(ref.shape[1], own, (at_x - hx - c0, 2 * hx), (win_x - hx - prx - c0, 2 * (hx + prx) - 1))
+        top, left, size = r0 + cut_y.start, c0 + cut_x.start, (cut_y.stop - cut_y.start, cut_x.stop - cut_x.start)
+        pad_y, pad_x = _outside(size, own, at_y - hy - top, 2 * hy, at_x - hx - left, 2 * hx, win_y - hy - pry - top, 2 * (hy + pry) - 1, win_x - hx - prx - left, 2 * (hx + prx) - 1)
+
+        def pad(a):
+            a = a[cut_y, cut_x]  # noqa: B023
+            return np.pad(a, ((pad_y, pad_y), (pad_x, pad_x))) if pad_y or pad_x else a  # noqa: B023
+
         a, b, v = pad(ref), pad(sec), pad(valid)
         view = np.lib.stride_tricks.sliding_window_view
         chips_of, win_of, ok_of = view(b, (2 * hy, 2 * hx)), view(a, (2 * (hy + pry) - 1, 2 * (hx + prx) - 1)), view(v, (2 * hy, 2 * hx))
@@ -167,13 +175,13 @@ def track(ref: np.ndarray, sec: np.ndarray, valid: np.ndarray, pts: dict[str, np
         norm_of = view(spread(a[None], 2 * hy, 2 * hx, measure)[0], (2 * pry, 2 * prx))
         for s in range(0, len(own), batch):
             k = own[s : s + batch]
-            iy, ix = at_y[k] - hy - r0 + pad_y, at_x[k] - hx - c0 + pad_x
+            iy, ix = at_y[k] - hy - top + pad_y, at_x[k] - hx - left + pad_x
             real = ok_of[iy, ix].any(axis=(1, 2))
             out["searched"][k] = real
             k, iy, ix = k[real], iy[real], ix[real]
             if not len(k):
                 continue
-            wy, wx = win_y[k] - hy - pry - r0 + pad_y, win_x[k] - hx - prx - c0 + pad_x
+            wy, wx = win_y[k] - hy - pry - top + pad_y, win_x[k] - hx - prx - left + pad_x
             chips, wins, norms = chips_of[iy, ix], win_of[wy, wx], norm_of[wy, wx]
             surf, ok = surfaces(rotate(chips, angles[0]), wins, measure, norms)
             for angle in angles[1:]:
@@ -188,6 +196,13 @@ def track(ref: np.ndarray, sec: np.ndarray, valid: np.ndarray, pts: dict[str, np
     return out
 
 
+def _span(n: int, own, *ranges) -> slice:
+    """The part of an axis of ``n`` places that any of the points' ranges (start, length) touch."""
+    low, high = min(int(start[own].min()) for start, _ in ranges), max(int(start[own].max()) + length for start, length in ranges)
+    low = min(max(low, 0), n)
+    return slice(low, max(low, min(high, n)))
+
+
 def _outside(shape, own, *ranges) -> tuple[int, int]:
     """How far any of the points' chips or windows leave the arrays, along y and x."""
     need = [0, 0]

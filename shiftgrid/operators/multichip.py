@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from shiftgrid.operators import correlate, peak, points
 from shiftgrid.operators.correlate_arrow import halo_of, tiles, track_packs, track_tiles
+from shiftgrid.operators.finish_arrow import finish
 from shiftgrid.operators.outliers import reject_outliers
 from shiftgrid.operators.resample import cell_max_radius, dilate_within, fill_holes, resample
 from shiftgrid.params import Params
@@ -86,12 +87,15 @@ def products(pts: DataFrame) -> float:
     return pts.where(points.searchable()).agg(F.sum(one)).first()[0] or 0.0
 
 
+def widest_of(pts: DataFrame, *names: str) -> tuple:
+    """The largest of ``names``, of both radii and of the priors' sizes: one row of maxima to the driver."""
+    every = [*(F.max(n) for n in (*names, "radius_x", "radius_y")), F.max(F.greatest(F.abs("dx_prior"), F.abs("dy_prior")))]
+    return tuple(v or 0 for v in pts.agg(*(c.alias(f"_{k}") for k, c in enumerate(every))).first())
+
+
 def reach(pts: DataFrame) -> int:
-    """The halo of tiles that holds every chip and window of ``pts``: one row of maxima to the driver."""
-    names = ("chip_x", "chip_y", "radius_x", "radius_y")
-    prior = F.max(F.greatest(F.abs("dx_prior"), F.abs("dy_prior")))
-    got = pts.agg(*(F.max(n).alias(n) for n in names), prior.alias("prior")).first()
-    return halo_of(*(got[n] or 0 for n in names), got["prior"] or 0.0)
+    """The halo of tiles that holds every chip and window of ``pts``."""
+    return halo_of(*widest_of(pts, "chip_x", "chip_y"))
 
 
 def nmeasured(field: DataFrame) -> DataFrame:
@@ -119,8 +123,9 @@ def coarse_mask(images: Images, pts: DataFrame, p: Params, chip_x: int, chip_y:
         coarse = coarse.join(cell_max_radius(pts, s, f"radius_{axis}"), ["pair_id", "gi", "gj"])
     coarse = coarse.withColumns({"chip_x": F.lit(chip_x), "chip_y": F.lit(chip_y)}).select(*pts.columns)
     # Points are few against pixels: what was tracked is written, so that gates and windows never track it again.
-    found = shared_table(track(images, coarse, p, measure, 1, tier, halo=halo), "coarse")
-    judged = shared_table(reject_outliers(found, p.outliers.relaxed() if p.outliers else None, p.upsampling, small), "judged")
+    found, relaxed = track(images, coarse, p, measure, 1, tier, halo=halo), p.outliers.relaxed() if p.outliers else None
+    judged = finish(found, relaxed, p.upsampling, small) if tier == "arrow" else reject_outliers(shared_table(found, "coarse"), relaxed, p.upsampling, small)
+    judged = shared_table(judged, "judged")
     enough = coarse_fraction(judged).where(F.col("fraction") >= p.min_coarse_valid_fraction).select("pair_id")
     kept = judged.join(enough, "pair_id", "left_semi").select("pair_id", F.col("gi").alias("r"), F.col("gj").alias("c"), "keep")
     grown = dilate_within(kept, p.coarse_buffer, small, ("pair_id",), "keep").withColumn("keep", F.col("keep").cast("double"))
@@ -128,20 +133,24 @@ def coarse_mask(images: Images, pts: DataFrame, p: Params, chip_x: int, chip_y:
     return full.where("keep > 0.5").select("pair_id", F.col("r").alias("gi"), F.col("c").alias("gj"))
 
 
-def chipsize_level(images: Images, grid_pts: DataFrame, p: Params, chip_size: int, wanted: DataFrame, measure: str, grid: tuple[int, int], tier: str = "arrow") -> DataFrame:
+def chipsize_level(images: Images, grid_pts: DataFrame, p: Params, chip_size: int, wanted: DataFrame, measure: str, grid: tuple[int, int], tier: str = "arrow", widest: tuple | None = None) -> DataFrame:
     """One chip size: coarse pass, fine pass where it was coherent, rejection, filling. The points with
-    dx, dy, correlation, filled, chip_size."""
+    dx, dy, correlation, filled, chip_size. ``widest`` of the grid: where the caller knows it."""
     chip_y = p.chip_height(chip_size)
     pts = points.level_points(grid_pts, wanted, chip_size, chip_y, p.min_search_radius)
-    # From the grid, so that neither the coarse pass nor finer levels run once more for it.
-    widest = {f"radius_{a}": F.greatest(f"radius_{a}", F.lit(p.min_search_radius)) for a in "xy"} | {"chip_x": F.lit(chip_size), "chip_y": F.lit(chip_y)}
-    halo = reach(grid_pts.withColumns(widest)) if tier == "arrow" else None
+    halo = None
+    if tier == "arrow":
+        # From the grid, so that neither the coarse pass nor finer levels run once more for it.
+        radius_x, radius_y, prior = widest or widest_of(grid_pts)
+        halo = halo_of(chip_size, chip_y, max(radius_x, p.min_search_radius), max(radius_y, p.min_search_radius), prior)
     near = coarse_mask(images, pts, p, chip_size, chip_y, measure, grid, tier, halo)
     if near is not None:
         hit = pts.join(near.withColumn("_in", F.lit(True)), ["pair_id", "gi", "gj"], "left")
         pts = hit.withColumns({f"radius_{a}": F.when(F.col("_in").isNotNull(), F.col(f"radius_{a}")).otherwise(0) for a in "xy"}).select(*pts.columns)
-    tracked = shared_table(track(images, pts, p, measure, None, tier, halo=halo), "tracked")
-    fine = reject_outliers(tracked, p.outliers, p.upsampling, grid)
+    tracked = track(images, pts, p, measure, None, tier, halo=halo)
+    if tier == "arrow":
+        return finish(tracked, p.outliers, p.upsampling, grid, p.fill_window).drop("keep", "searched").withColumn("chip_size", F.lit(chip_size))
+    fine = reject_outliers(shared_table(tracked, "tracked"), p.outliers, p.upsampling, grid)
     names = ("dx", "dy", "correlation")
     kept = fine.withColumns({k: F.when(F.col("keep"), F.col(k)) for k in names}).drop("keep", "searched")
     return fill_holes(kept, p.fill_window, grid).withColumn("chip_size", F.lit(chip_size))
@@ -173,9 +182,10 @@ def multichip(images: Images, pts: DataFrame, p: Params, grid: tuple[int, int],
     stop = stop or (lambda df: shared_table(df, "level"))
     levels: list[DataFrame] = []
     resolved = None
+    widest = widest_of(pts) if tier == "arrow" else None
     for chip, measure in zip(p.chip_sizes(), p.measures(), strict=True):
         left = wanted(pts, resolved)
-        level = chipsize_level(images, pts, p, chip, left, measure, grid, tier)
+        level = chipsize_level(images, pts, p, chip, left, measure, grid, tier, widest)
         level = stop(level)
         levels.append(level)
         done = level.where("dx is not null").select(*PT)
