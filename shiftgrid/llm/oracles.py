@@ -23,4 +23,19 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id
 """
 
-ORACLES: dict[str, str] = {"op2_topk": OP2, "op7_vector_dedup": OP7}
+#: Scores by terms; div is the integer division of non-negative numbers.
+OP12 = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+u AS (SELECT row, doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY row) AS n FROM t GROUP BY row, doc_id, term),
+c AS (SELECT count(DISTINCT row) AS docs, CAST(sum(tf) AS BIGINT) AS terms FROM u),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM u, c GROUP BY term, docs),
+i AS (SELECT k, item_id, term, count(*) AS often FROM (SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY k, item_id, term),
+s AS (SELECT k, item_id, row, doc_id, CAST(sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * CAST(n AS BIGINT) * docs) // terms)))) AS BIGINT) AS score
+      FROM i JOIN u USING (term) JOIN f USING (term), c GROUP BY k, item_id, row, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_topk": OP2, "op7_vector_dedup": OP7, "op12_lexical": OP12}

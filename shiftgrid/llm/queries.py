@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgrid.llm import bpe, html, license, mixing, pii, quality, sharding, simhash, topk, vecdup
+from shiftgrid.llm import bpe, html, lexical, license, mixing, pii, quality, runs, secret, sharding, simhash, topk, vecdup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,41 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in secret.BASE]
+    return found.select("doc_id", *counts, F.sha2(secret.joined(base).cast("binary"), 256).alias("base_sha256"), secret.joined(F.col("spans")).alias("spans"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``: of documents whose checksum ends in 0 the words from ``a`` on repeat the first ``p`` of them."""
+    white, h = r"[\x20\x09-\x0D]+", F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = lambda t: F.filter(F.split(t, white), lambda w: w != "")
+
+    def repeated(words: Column) -> Column:
+        n, g = F.size(words).cast("long"), F.expr("_h div 10")
+        bound = lambda x, f: F.transform(F.array(x), f)[0]
+        of = lambda a, p: F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+        period = lambda a: F.floor((n - a) / (3 + g % 8)).cast("long") + 1
+        return F.when(n > 0, bound(g % n, lambda a: bound(period(a), lambda p: of(a, p)))).otherwise(F.lit(""))
+
+    made = F.transform(F.array(split(F.coalesce("text", F.lit("")))), repeated)[0]
+    return docs.select("doc_id", "text", h.alias("_h")).select("doc_id", F.when(F.col("_h") % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(with_repeats(table(spark, sf_dir, "documents"))).withColumn("best", runs.tallest(F.col("runs")))
+    best = [F.col(f"best.{k}").alias(k) for k in ("start", "length", "period")]
+    milli = F.expr("(1000 * best.length) div best.period").alias("exponent_milli")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, digest(runs.listed(F.col("runs"))).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,5 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
+    "op11_secrets": op11_secrets,
+    "op12_lexical": op12_lexical,
+    "op13_runs": op13_runs,
     "pipeline": pipeline,
 }
