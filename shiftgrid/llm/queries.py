@@ -67,8 +67,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in secret.BASE]
-    return found.select("doc_id", *counts, F.sha2(secret.joined(base).cast("binary"), 256).alias("base_sha256"), secret.joined(F.col("spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in secret.BASE), F.sha2(secret.joined(base).cast("binary"), 256).alias("base_sha256"), secret.joined(F.col("spans")).alias("spans"))
 
 
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
