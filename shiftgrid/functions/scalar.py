@@ -41,6 +41,16 @@ def next_fft_size(n: int) -> int:
     return min(smooth, key=lambda s: (cost(*s), s[0]))[0]
 
 
+def fft_size(n: Column, most: int) -> Column:
+    """:func:`next_fft_size` of a column of sizes up to ``most``: the cheapest of the smooth numbers it may take, by one
+    ordered array of them. Sizes beyond ``most`` are null."""
+    smooth = [(2**a * 3**b * 5**c * 7**d, a) for a in range(32) for b in range(20) for c in range(14) for d in range(12) if 2**a * 3**b * 5**c * 7**d <= math.ceil(1.5 * most)]
+    cost = lambda m, twos: m * m * (math.log2(m) - 0.35 * twos)
+    ordered = F.array(*(F.lit(m) for m, _ in sorted(smooth, key=lambda s: (cost(*s), s[0]))))
+    first = F.get(F.filter(ordered, lambda m: (m >= n) & (m <= F.ceil(1.5 * n))), F.lit(0))
+    return F.when(n <= 1, F.lit(1)).when(n <= most, first)
+
+
 def dt_years(start: Column, end: Column) -> Column:
     """Julian years between two timestamps."""
     micros = lambda t: F.unix_micros(t.cast("timestamp"))

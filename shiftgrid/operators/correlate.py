@@ -7,12 +7,16 @@ mean needs no second join. For geometries beyond some 1e8 products take ``correl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shiftgrid import registry
 from shiftgrid.functions.scalar import c_abs2, c_conj_mul
 from shiftgrid.operators import points as P
+from shiftgrid.registry import Similarity
 
 EPS32 = 1.1920929e-07  # Fixed value: the spacing of 32-bit floats at 1
 PT = ["pair_id", "pt_id"]
@@ -51,37 +55,70 @@ def chip_stats(chip: DataFrame) -> DataFrame:
     return got.select(*PT, "n", "mean", F.sqrt("_tt").alias("norm"), (F.col("_tt") > EPS32 * F.col("n")).alias("ok"), "any_valid")
 
 
-def _removed(chip: DataFrame) -> DataFrame:
-    """Chip pixels less their mean, with the chip's squared norm."""
-    own = W.partitionBy(*PT)
-    d = chip.withColumn("t", F.col("v") - F.avg("v").over(own))
-    return d.withColumn("_tt", F.sum(F.col("t") * F.col("t")).over(own)).withColumn("_n", F.count(F.lit(1)).over(own))
+#: Built-in similarities as columns of the sums that :class:`shiftgrid.registry.Similarity` names.
+_BUILT_IN = {
+    "zncc": Similarity("zncc", lambda s: s["num"] / _den(s["tt"], s["s2"] - s["s1"] * s["s1"] / s["n"])),
+    "ncc": Similarity("ncc", lambda s: s["num"] / _den(s["tt"], s["s2"])),
+    "coherence": Similarity("coherence", lambda s: F.sqrt(s["re"] * s["re"] + s["im"] * s["im"]) / _den(s["tt"], s["s2"] - (s["s1_re"] * s["s1_re"] + s["s1_im"] * s["s1_im"]) / s["n"]), complex_=True),
+}
+
+
+def _den(tt: Column, power: Column) -> Column:
+    return F.nullif(F.sqrt(tt) * F.sqrt(F.greatest(power, F.lit(0.0))), F.lit(0.0))
+
+
+def _removed(chip: DataFrame, keys: list[str], complex_: bool) -> DataFrame:
+    """Chip pixels less their mean, with the chip's squared norm, pixels and mean."""
+    own = W.partitionBy(*keys)
+    if complex_:
+        d = chip.withColumns({"_re": F.avg("v.re").over(own), "_im": F.avg("v.im").over(own), "_mean": F.lit(None).cast("double")})
+        d = d.withColumn("t", F.struct((F.col("v.re") - F.col("_re")).alias("re"), (F.col("v.im") - F.col("_im")).alias("im")))
+        square = c_abs2(F.col("t"))
+    else:
+        d = chip.withColumn("_mean", F.avg("v").over(own)).withColumn("t", F.col("v") - F.col("_mean"))
+        square = F.col("t") * F.col("t")
+    return d.withColumn("_tt", F.sum(square).over(own)).withColumn("_n", F.count(F.lit(1)).over(own))
 
 
-def surfaces(ref: DataFrame, sec: DataFrame, pts: DataFrame, measure: str = "zncc", mask: DataFrame | None = None) -> DataFrame:
+def surfaces(ref: DataFrame, sec: DataFrame, pts: DataFrame, measure: str = "zncc", mask: DataFrame | None = None, angles: tuple[float, ...] = (0.0,)) -> DataFrame:
     """``(pair_id, pt_id, sy, sx, score)``: the correlation at every shift (0-based; zero shift at the radius).
 
     ``ref``, ``sec``: (pair_id, r, c, v or z, valid). ``mask``: where the pair is valid (default: both
-    are). Points whose chip has no valid pixel give no rows; chips without texture give score null.
+    are). Points whose chip has no valid pixel give no rows; chips without texture give score null. With ``angles`` other
+    than one of 0 every chip is turned by each, and ``angle_idx`` says by which (from 0).
     """
-    if measure == "coherence":
-        return _coherence(ref, sec, pts, mask)
-    if measure not in ("zncc", "ncc"):
-        raise ValueError(f"`similarity` is {measure!r}; it may be zncc, ncc or coherence")
-    if "z" in ref.columns:
-        raise ValueError(f"`similarity` {measure} is of real images; complex ones take coherence")
-    chip = _removed(_live_chips(cut(sec, pts, "chip"), mask, ref, sec))
-    chip = chip.select(*PT, "i", "j", "t", "_tt", "_n", "radius_x", "radius_y")
-    win = cut(ref, pts, "window").select(*PT, F.col("i").alias("wi"), F.col("j").alias("wj"), F.col("v").alias("w"))
+    method = registry.own("similarity", measure) or _BUILT_IN[measure]
+    complex_ = "z" in ref.columns
+    if method.complex_ != complex_:
+        raise ValueError(f"`similarity` {measure} is of {'complex' if method.complex_ else 'real'} images; {'complex ones take coherence' if complex_ else 'real ones take zncc or ncc'}")
+    chip = _live_chips(cut(sec, pts, "chip", "z" if complex_ else "v"), mask, ref, sec)
+    if angles == (0.0,):
+        return chip_surfaces(chip, ref, pts, method)
+    if complex_:
+        raise ValueError("rotation turns chips of real images")
+    turned = [rotate_chip(chip, a).withColumn("angle_idx", F.lit(k)) for k, a in enumerate(angles)]
+    return chip_surfaces(reduce(DataFrame.unionByName, turned), ref, pts, method, [*PT, "angle_idx"])
+
+
+def chip_surfaces(chip: DataFrame, ref: DataFrame, pts: DataFrame, method: Similarity, keys: list[str] = PT) -> DataFrame:
+    """Surfaces of given chips ``(keys, i, j, v, ...)`` over the windows that their points have in ``ref``: ``keys`` may say
+    more of a chip than its point, as by what angle it was turned; a point's chips share its window."""
+    complex_ = method.complex_
+    chip = _removed(chip, keys, complex_).select(*keys, "i", "j", "t", "_tt", "_n", "_mean", "radius_x", "radius_y")
+    win = cut(ref, pts, "window", "z" if complex_ else "v").select(*PT, F.col("i").alias("wi"), F.col("j").alias("wj"), F.col("v").alias("w"))
     # Shifts are exploded on the chip side; the window's place is then an equal key.
     shifted = chip.withColumn("sy", F.explode(F.expr("sequence(0, 2 * radius_y - 1)"))).withColumn("sx", F.explode(F.expr("sequence(0, 2 * radius_x - 1)")))
-    shifted = shifted.withColumns({"wi": F.col("i") + F.col("sy"), "wj": F.col("j") + F.col("sx")})
-    met = shifted.join(win, [*PT, "wi", "wj"])
-    g = met.groupBy(*PT, "sy", "sx").agg(F.sum(F.col("t") * F.col("w")).alias("num"), F.sum("w").alias("s1"), F.sum(F.col("w") * F.col("w")).alias("s2"), F.first("_tt").alias("tt"), F.first("_n").alias("n"))
-    power = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0)) if measure == "zncc" else F.col("s2")
-    den = F.sqrt(F.col("tt")) * F.sqrt(power)
-    score = F.when(F.col("tt") > EPS32 * F.col("n"), F.coalesce(F.col("num") / F.nullif(den, F.lit(0.0)), F.lit(0.0)))
-    return g.select(*PT, "sy", "sx", score.alias("score"))
+    met = shifted.withColumns({"wi": F.col("i") + F.col("sy"), "wj": F.col("j") + F.col("sx")}).join(win, [*PT, "wi", "wj"])
+    if complex_:
+        re, im = c_conj_mul(F.col("t"), F.col("w"))
+        sums = {"re": F.sum(re), "im": F.sum(im), "s1_re": F.sum("w.re"), "s1_im": F.sum("w.im"), "s2": F.sum(c_abs2(F.col("w")))}
+    else:
+        sums = {"num": F.sum(F.col("t") * F.col("w")), "s1": F.sum("w"), "s2": F.sum(F.col("w") * F.col("w"))}
+    sums |= {"tt": F.first("_tt"), "n": F.first("_n"), "mean": F.first("_mean")}
+    g = met.groupBy(*keys, "sy", "sx").agg(*(v.alias(f"_{k}") for k, v in sums.items()))
+    score = method.columns({k: F.col(f"_{k}") for k in sums})
+    score = F.coalesce(score, F.lit(0.0)) if method.name in _BUILT_IN else score
+    return g.select(*keys, "sy", "sx", F.when(F.col("_tt") > EPS32 * F.col("_n"), score).alias("score"))
 
 
 def _live_chips(chip: DataFrame, mask, ref, sec) -> DataFrame:
@@ -97,27 +134,6 @@ def live(chip: DataFrame, mask: DataFrame) -> DataFrame:
     return chip.select(*PT, "r", "c").join(mask.select("pair_id", "r", "c"), ["pair_id", "r", "c"], "left_semi").select(*PT).distinct()
 
 
-def _coherence(ref, sec, pts, mask) -> DataFrame:
-    if "z" not in ref.columns:
-        raise ValueError("`similarity` coherence is of complex images; real ones take zncc or ncc")
-    own = W.partitionBy(*PT)
-    chip = _live_chips(cut(sec, pts, "chip", "z"), mask, ref, sec)
-    chip = chip.withColumns({"_re": F.avg("v.re").over(own), "_im": F.avg("v.im").over(own)})
-    chip = chip.withColumn("t", F.struct((F.col("v.re") - F.col("_re")).alias("re"), (F.col("v.im") - F.col("_im")).alias("im")))
-    chip = chip.withColumns({"_tt": F.sum(c_abs2(F.col("t"))).over(own), "_n": F.count(F.lit(1)).over(own)})
-    chip = chip.select(*PT, "i", "j", "t", "_tt", "_n", "radius_x", "radius_y")
-    win = cut(ref, pts, "window", "z").select(*PT, F.col("i").alias("wi"), F.col("j").alias("wj"), F.col("v").alias("w"))
-    shifted = chip.withColumn("sy", F.explode(F.expr("sequence(0, 2 * radius_y - 1)"))).withColumn("sx", F.explode(F.expr("sequence(0, 2 * radius_x - 1)")))
-    met = shifted.withColumns({"wi": F.col("i") + F.col("sy"), "wj": F.col("j") + F.col("sx")}).join(win, [*PT, "wi", "wj"])
-    re, im = c_conj_mul(F.col("t"), F.col("w"))
-    g = met.groupBy(*PT, "sy", "sx").agg(
-        F.sum(re).alias("re"), F.sum(im).alias("im"), F.sum("w.re").alias("wr"), F.sum("w.im").alias("wi_"), F.sum(c_abs2(F.col("w"))).alias("s2"), F.first("_tt").alias("tt"), F.first("_n").alias("n"))
-    power = F.greatest(F.col("s2") - (F.col("wr") * F.col("wr") + F.col("wi_") * F.col("wi_")) / F.col("n"), F.lit(0.0))
-    den = F.sqrt("tt") * F.sqrt(power)
-    num = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    return g.select(*PT, "sy", "sx", F.when(F.col("tt") > EPS32 * F.col("n"), F.coalesce(num / F.nullif(den, F.lit(0.0)), F.lit(0.0))).alias("score"))
-
-
 def rotate_chip(chip: DataFrame, degrees: float) -> DataFrame:
     """Chips turned about their centre, bilinear, outside 0. The four taps are one equi-join on exploded places."""
     if degrees == 0:

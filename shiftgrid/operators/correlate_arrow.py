@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftgrid import registry
 from shiftgrid.operators import kernels
 
 PACKS = "image_id string, tr int, tc int, r0 int, c0 int, ny int, nx int, data binary, ok binary"
@@ -49,7 +50,7 @@ def pack(pixels: DataFrame, tile: int, halo: int, complex_: bool = False, shape:
     return flat.groupBy("image_id", "tr", "tc").applyInPandas(packed, PACKS)
 
 
-def pack_planes(planes: DataFrame, tile: int, halo: int, filter_width: int = 0, quantize: bool = False) -> DataFrame:
+def pack_planes(planes: DataFrame, tile: int, halo: int, filter_width: int = 0, quantize: bool = False, own_filter=None, own_quantize=None) -> DataFrame:
     """``planes(image_id, ny, nx, data)``, row-major 32-bit floats, NaN where missing, to the tiles of :func:`pack`,
     high-passed over ``filter_width`` and quantized on the way: a scene a row, for scenes that one task holds
     (a few hundred bytes of memory a pixel at most). Larger ones come as pixels, prepared by tables."""
@@ -57,7 +58,7 @@ def pack_planes(planes: DataFrame, tile: int, halo: int, filter_width: int = 0,
         for b in batches:
             for name, ny, nx, raw in zip(*(b.column(c) for c in ("image_id", "ny", "nx", "data")), strict=True):
                 v = np.frombuffer(raw.as_py(), np.float32).reshape(ny.as_py(), nx.as_py())
-                v, ok = kernels.prepare(v, filter_width, quantize)
+                v, ok = kernels.prepare(v, filter_width, quantize, own_filter, own_quantize)
                 rows = []
                 for tr in range(-(-v.shape[0] // tile)):
                     for tc in range(-(-v.shape[1] // tile)):
@@ -102,7 +103,10 @@ def _by_tile(pts: DataFrame, tile: int, shape: tuple[int, int] | None = None) ->
 
 
 def _tracked(met: DataFrame, upsampling: int, measure: str, angles: tuple[float, ...]) -> DataFrame:
-    complex_ = measure == "coherence"
+    own = registry.own("similarity", measure)  # resolved here; workers get the method itself
+    if own and own.arrays is None:
+        raise ValueError(f"`similarity` {measure} has no form for arrays; track by rows")
+    complex_, scored = (own.complex_, own) if own else (measure == "coherence", measure)
 
     def tracked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -112,7 +116,7 @@ def _tracked(met: DataFrame, upsampling: int, measure: str, angles: tuple[float,
                 if t.valid2 is not None:
                     valid = valid & np.frombuffer(t.valid2, bool).reshape(t.ny, t.nx)
                 own = {n: np.asarray(getattr(t, n), float) for n in _NAMES if n != "pt_id"}
-                got = kernels.track(image(t.ref), image(t.sec), valid, own, t.r0, t.c0, upsampling, measure, angles)
+                got = kernels.track(image(t.ref), image(t.sec), valid, own, t.r0, t.c0, upsampling, scored, angles)
                 none = np.isnan(got["dx"])
                 yield pd.DataFrame({"pair_id": t.pair_id, "pt_id": np.asarray(t.pt_id, np.int64)} | {k: pd.array(np.where(none, 0, got[k]), "Float64") for k in ("dx", "dy", "correlation")} | {"searched": got["searched"]}).mask(
                     pd.DataFrame({k: none if k in ("dx", "dy", "correlation") else np.zeros(len(none), bool) for k in ("pair_id", "pt_id", "dx", "dy", "correlation", "searched")}))

@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 
 from shiftgrid.operators.window2d import extent
 from shiftgrid.params import Gardner
+from shiftgrid.registry import OutlierFilter
 
 #: Points of a block's side; with its halo some tens of megabytes of windows.
 SIDE = 128
 
 
-def finish(field: DataFrame, f: Gardner | None, upsampling: int, shape: tuple[int, int], fill_window: int | None = None, passes: int = 3, side: int = SIDE) -> DataFrame:
+def finish(field: DataFrame, f: Gardner | OutlierFilter | None, upsampling: int, shape: tuple[int, int], fill_window: int | None = None, passes: int = 3, side: int = SIDE) -> DataFrame:
     """``field(pair_id, gi, gj, dx, dy, correlation, radius_x, radius_y, ...)`` with ``keep`` as ``reject_outliers``
     gives it. With a ``fill_window`` rejected values are null and holes filled as ``fill_holes`` does, and
     ``filled`` follows. Rows of every pair need places of their own within ``shape``."""
-    halo = 0 if f is None else (f.iterations + max(f.iterations - 1, 1)) * (f.window // 2)
+    halo = f.reach if f else 0
     halo += passes * (fill_window // 2) if fill_window else 0
 
     def span(x: str, n: int):
@@ -79,11 +80,13 @@ def _median(windows: np.ndarray) -> np.ndarray:
     return (middle((n - 1) // 2) + middle(n // 2)) / 2
 
 
-def reject(dx: np.ndarray, dy: np.ndarray, rx: np.ndarray, ry: np.ndarray, f: Gardner | None, upsampling: int, shape: tuple[int, int]) -> np.ndarray:
+def reject(dx: np.ndarray, dy: np.ndarray, rx: np.ndarray, ry: np.ndarray, f: Gardner | OutlierFilter | None, upsampling: int, shape: tuple[int, int]) -> np.ndarray:
     """Which places of a grid are kept; NaN is missing."""
     keep = ~np.isnan(dx) & ~np.isnan(dy)
     if f is None:
         return keep
+    if isinstance(f, OutlierFilter):
+        return keep & f.arrays(dx, dy, rx, ry, upsampling, shape)
     with np.errstate(divide="ignore", invalid="ignore"):
         scaled = [np.where(r > 0, d / r, np.nan) for d, r in ((dx, rx), (dy, ry))]
         step = [2.0 / (upsampling * r) for r in (rx, ry)]

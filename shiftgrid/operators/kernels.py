@@ -7,6 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 from shiftgrid.functions.scalar import next_fft_size, refinement_matrix
+from shiftgrid.registry import Similarity
 
 EPS32 = float(np.finfo(np.float32).eps)
 PATCH = 5
@@ -36,16 +37,18 @@ def spread(image: np.ndarray, h: int, w: int, measure: str) -> np.ndarray:
     return np.sqrt(np.where(power > 1e-12 * s2, power, 0.0))
 
 
-def surfaces(chips: np.ndarray, windows: np.ndarray, measure: str = "zncc", norms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def surfaces(chips: np.ndarray, windows: np.ndarray, measure: str | Similarity = "zncc", norms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Scores (B, 2 ry, 2 rx) and whether each chip has texture; without it the surface is zeros.
 
-    ``norms``: the windows' boxes' norms where they were taken from a table of the whole image.
+    ``norms``: the windows' boxes' norms where they were taken from a table of the whole image. ``measure``: a built-in
+    name, or a method of one's own.
     """
     b, ch, cw = chips.shape
     _, wh, ww = windows.shape
     complex_ = np.iscomplexobj(chips)
-    if complex_ != (measure == "coherence"):
-        raise ValueError(f"`similarity` {measure} does not fit {'complex' if complex_ else 'real'} images")
+    own = measure if isinstance(measure, Similarity) else None
+    if complex_ != (own.complex_ if own else measure == "coherence"):
+        raise ValueError(f"`similarity` {own.name if own else measure} does not fit {'complex' if complex_ else 'real'} images")
     t = chips - chips.mean(axis=(1, 2), keepdims=True, dtype=np.complex128 if complex_ else np.float64)
     tt = np.einsum("bij,bij->b", t, t.conj()).real
     ok = tt > EPS32 * ch * cw
@@ -54,11 +57,16 @@ def surfaces(chips: np.ndarray, windows: np.ndarray, measure: str = "zncc", norm
     # Correlation theorem; wrapped-around places are only those left of the chip, which are cut off.
     if complex_:
         f = np.fft.fft2(windows, (fy, fx)) * np.conj(np.fft.fft2(t, (fy, fx)))
-        num = np.abs(np.fft.ifft2(f)[:, :ny, :nx])
+        num = np.fft.ifft2(f)[:, :ny, :nx]
+        num = num if own else np.abs(num)
     else:
         f = np.fft.rfft2(windows.astype(np.float32, copy=False), (fy, fx))
         f *= np.conj(np.fft.rfft2(t.astype(np.float32), (fy, fx)))
         num = np.fft.irfft(np.fft.ifft(f, axis=1)[:, :ny], fx, axis=2)[:, :, :nx]
+    if own:
+        score = np.nan_to_num(own.arrays(_sums(chips, windows, num, tt, ch * cw)), nan=-np.inf).astype(np.float32)
+        score[~ok] = 0.0
+        return score, ok
     den = (spread(windows, ch, cw, measure) if norms is None else norms) * np.sqrt(tt)[:, None, None]
     score = np.zeros((b, ny, nx), np.float32)
     np.divide(num, den, out=score, where=den > 0, casting="same_kind")
@@ -66,6 +74,17 @@ def surfaces(chips: np.ndarray, windows: np.ndarray, measure: str = "zncc", norm
     return score, ok
 
 
+def _sums(chips: np.ndarray, windows: np.ndarray, num: np.ndarray, tt: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """What a similarity of one's own is made of, at every shift."""
+    h, w = chips.shape[1:]
+    each = lambda a: a[:, None, None]
+    if np.iscomplexobj(chips):
+        s2 = _box(windows.real.astype(np.float64) ** 2 + windows.imag.astype(np.float64) ** 2, h, w)
+        return {"re": num.real, "im": num.imag, "s1_re": _box(windows.real, h, w), "s1_im": _box(windows.imag, h, w), "s2": s2, "tt": each(tt), "n": n}
+    x = windows.astype(np.float64)
+    return {"num": num, "s1": _box(x, h, w), "s2": _box(x * x, h, w), "tt": each(tt), "n": n, "mean": each(chips.mean(axis=(1, 2), dtype=np.float64))}
+
+
 @lru_cache(maxsize=8)
 def _matrix(upsampling: int) -> np.ndarray:
     return np.ascontiguousarray(refinement_matrix(PATCH, upsampling).astype(np.float32))
@@ -104,18 +123,26 @@ def _means(x: np.ndarray, w: int) -> np.ndarray:
     return t[hi_i[:, None], hi_j] - t[lo_i[:, None], hi_j] - t[hi_i[:, None], lo_j] + t[lo_i[:, None], lo_j]
 
 
-def prepare(v: np.ndarray, filter_width: int, quantize: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A scene high-passed (unless the width is 0) and quantized as the tables do it: values and validity."""
+def prepare(v: np.ndarray, filter_width: int, quantize: bool, own_filter=None, own_quantize=None) -> tuple[np.ndarray, np.ndarray]:
+    """A scene high-passed (unless the width is 0) and quantized as the tables do it: values and validity.
+
+    ``own_filter(x, ok)`` and ``own_quantize(x, ok)`` stand for either where they are given.
+    """
     ok = np.isfinite(v)
     x = np.where(ok, v, 0.0).astype(np.float64)
-    if filter_width:
+    if own_filter:
+        x, ok = own_filter(x, ok)
+        x = np.where(ok, x, 0.0)
+    elif filter_width:
         middle = x[ok].mean() if ok.any() else 0.0  # sums about the mean cancel less
         x = np.where(ok, x - middle, 0.0)
         n = _means(ok.astype(np.float64), filter_width)
         x = np.where(ok, x - _means(x, filter_width) / np.maximum(n, 1), 0.0)
         ok = _means((~ok).astype(np.float64), filter_width) < 0.5
         x = np.where(ok, x, 0.0)
-    if quantize:
+    if own_quantize:
+        x = np.where(ok, own_quantize(x, ok), 0.0)
+    elif quantize:
         mean, sd = (x[ok].mean(), x[ok].std(ddof=1)) if np.count_nonzero(ok) > 1 else (0.0, 0.0)
         scaled = np.rint(np.clip((x - (mean - 3 * sd)) * (255.0 / (6 * sd)), 0, 255)) if sd > 0 else np.full(x.shape, 128.0)
         x = np.where(ok, scaled, 0.0)
@@ -139,7 +166,7 @@ def rotate(chips: np.ndarray, degrees: float) -> np.ndarray:
     return np.where(inside, out, 0)
 
 
-def track(ref: np.ndarray, sec: np.ndarray, valid: np.ndarray, pts: dict[str, np.ndarray], r0: int, c0: int, upsampling: int, measure: str = "zncc",
+def track(ref: np.ndarray, sec: np.ndarray, valid: np.ndarray, pts: dict[str, np.ndarray], r0: int, c0: int, upsampling: int, measure: str | Similarity = "zncc",
           angles: tuple[float, ...] = (0.0,), batch: int = 16) -> dict[str, np.ndarray]:
     """Correlate points over image arrays whose first pixel is (r0, c0); ``pts`` are image coordinates.
 
@@ -172,7 +199,7 @@ def track(ref: np.ndarray, sec: np.ndarray, valid: np.ndarray, pts: dict[str, np
         view = np.lib.stride_tricks.sliding_window_view
         chips_of, win_of, ok_of = view(b, (2 * hy, 2 * hx)), view(a, (2 * (hy + pry) - 1, 2 * (hx + prx) - 1)), view(v, (2 * hy, 2 * hx))
         # Windows overlap: norms of all boxes of the image are taken once, from one table, and shared by its points.
-        norm_of = view(spread(a[None], 2 * hy, 2 * hx, measure)[0], (2 * pry, 2 * prx))
+        norm_of = None if isinstance(measure, Similarity) else view(spread(a[None], 2 * hy, 2 * hx, measure)[0], (2 * pry, 2 * prx))
         for s in range(0, len(own), batch):
             k = own[s : s + batch]
             iy, ix = at_y[k] - hy - top + pad_y, at_x[k] - hx - left + pad_x
@@ -182,12 +209,12 @@ def track(ref: np.ndarray, sec: np.ndarray, valid: np.ndarray, pts: dict[str, np
             if not len(k):
                 continue
             wy, wx = win_y[k] - hy - pry - top + pad_y, win_x[k] - hx - prx - left + pad_x
-            chips, wins, norms = chips_of[iy, ix], win_of[wy, wx], norm_of[wy, wx]
+            chips, wins, norms = chips_of[iy, ix], win_of[wy, wx], None if norm_of is None else norm_of[wy, wx]
             surf, ok = surfaces(rotate(chips, angles[0]), wins, measure, norms)
             for angle in angles[1:]:
                 other, fine = surfaces(rotate(chips, angle), wins, measure, norms)
-                top = np.where(ok, surf.max(axis=(1, 2)), -np.inf)
-                better = fine & (other.max(axis=(1, 2)) > top)
+                height = np.where(ok, surf.max(axis=(1, 2)), -np.inf)
+                better = fine & (other.max(axis=(1, 2)) > height)
                 surf[better], ok = other[better], ok | fine
             dx, dy, best = peaks(surf, upsampling)
             out["dx"][k] = np.where(ok, dx + pts["dx_prior"][k], np.nan)

@@ -54,7 +54,7 @@ def track(images: Images, pts: DataFrame, p: Params, measure: str = "zncc", upsa
     from the reference image. ``halo`` of the tiles: that of the points, unless the caller knows it.
     """
     if tier == "auto":
-        tier = "rows" if products(pts) <= PIXEL_ROW_LIMIT and not p.rotation else "arrow"
+        tier = "rows" if products(pts) * len(p.rotation.tried() if p.rotation else "1") <= PIXEL_ROW_LIMIT else "arrow"
     up = p.upsampling if upsampling is None else upsampling
     angles = p.rotation.tried() if p.rotation else (0.0,)
     if tier == "arrow":
@@ -71,9 +71,9 @@ def track(images: Images, pts: DataFrame, p: Params, measure: str = "zncc", upsa
     moved = points.half_pixel(pts.where(points.searchable()))
     ref, sec = images.side("ref"), images.side("sec")
     mask = images.pair.where("valid").select("pair_id", "r", "c")
-    surf = correlate.surfaces(ref, sec, moved, measure, mask)
-    if p.rotation:
-        raise ValueError("rotations of chips are tried by the arrow tier")
+    surf = correlate.surfaces(ref, sec, moved, measure, mask, angles)
+    if "angle_idx" in surf.columns:
+        surf = peak.best_rotation(surf).drop("angle_idx")
     field = peak.subpixel_peak(surf, moved, up)
     # Searched is a point whose chip has a valid pixel, textured or not; no need of its surface.
     seen = correlate.live(correlate.cut(sec, moved, "chip"), mask).withColumn("searched", F.lit(True))

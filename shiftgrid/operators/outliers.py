@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from shiftgrid.operators.window2d import array_median, gathered
 from shiftgrid.params import Gardner
+from shiftgrid.registry import OutlierFilter
 
 
-def reject_outliers(field: DataFrame, f: Gardner | None, upsampling: int, shape: tuple[int, int], keys=("pair_id",), r="gi", c="gj") -> DataFrame:
+def reject_outliers(field: DataFrame, f: Gardner | OutlierFilter | None, upsampling: int, shape: tuple[int, int], keys=("pair_id",), r="gi", c="gj") -> DataFrame:
     """``field(keys, gi, gj, dx, dy, radius_x, radius_y, ...)`` with ``keep``.
 
     Displacements are over their radius (missing for radius 0). First, ``iterations`` times: at least a
@@ -22,6 +23,8 @@ def reject_outliers(field: DataFrame, f: Gardner | None, upsampling: int, shape:
     measured = F.col("dx").isNotNull() & F.col("dy").isNotNull()
     if f is None:
         return field.withColumn("keep", measured)
+    if isinstance(f, OutlierFilter):
+        return f.columns(field, upsampling, shape).withColumn("keep", F.coalesce("keep", F.lit(False)) & measured)
     over = lambda a: F.when(F.col(f"radius_{a}") > 0, F.col(f"d{a}") / F.col(f"radius_{a}"))
     got = field.withColumns({"keep": measured, "_x": over("x"), "_y": over("y")})
     needed = f.min_agree_fraction * f.window**2 - 1e-9

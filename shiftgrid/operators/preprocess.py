@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shiftgrid import registry
 from shiftgrid.functions.scalar import c_conj_mul, c_mul
 from shiftgrid.operators.window2d import windowmean, windowmin
 from shiftgrid.params import Preprocess
@@ -176,6 +177,10 @@ def deramp(cpixels: DataFrame, axis: str = "both") -> DataFrame:
 def preprocess(pixels: DataFrame, method: Preprocess, shape) -> DataFrame:
     if method.kind == "none":
         return pixels
+    if own := registry.own("preprocess", method.kind):
+        if own.complex_ is not None and own.complex_ != ("z" in pixels.columns):
+            raise ValueError(f"`preprocess` {own.name} is of {'complex' if own.complex_ else 'real'} images")
+        return own.columns(pixels, method, shape)
     if method.kind == "deramp":
         if "z" not in pixels.columns:
             raise ValueError("`preprocess` deramp needs complex images; real ones have no phase")
@@ -209,6 +214,8 @@ def quantize_none(pixels: DataFrame) -> DataFrame:
 
 
 def quantize(pixels: DataFrame, method: str) -> DataFrame:
+    if own := registry.own("quantize", method):
+        return own.columns(pixels)
     if method == "uint8":
         if "z" in pixels.columns:
             raise ValueError("`quantize` uint8 would drop the phase of complex images; use none")

@@ -5,12 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
-#: The names each choice may have.
-SIMILARITY = ("zncc", "ncc", "coherence")
-PREPROCESS = ("none", "highpass", "wallis", "wallis_gapfill", "sobel", "laplacian", "decibel", "deramp")
-QUANTIZE = ("uint8", "none")
+from shiftgrid import registry
+
+#: The names that a choice without methods of one's own may have.
 SUBPIXEL = ("pyramid", "none")
-OUTLIERS = ("gardner", "none")
 
 
 def _choice(name: str, value: str, options: tuple[str, ...]) -> str:
@@ -53,7 +51,7 @@ class Preprocess:
     axis: str = "both"
 
     def __post_init__(self):
-        _choice("preprocess", self.kind, PREPROCESS)
+        registry.own("preprocess", self.kind)
         _odd("filter_width", self.width, 3)
         _choice("axis", self.axis, ("x", "y", "both"))
         if self.min_std < 0:
@@ -77,6 +75,11 @@ class Gardner:
         _fraction("agree_tolerance", self.agree_tolerance, above_zero=True)
         _positive("mad_scale", self.mad_scale)
 
+    @property
+    def reach(self) -> int:
+        """How many points away all passes together look."""
+        return (self.iterations + max(self.iterations - 1, 1)) * (self.window // 2)
+
     def relaxed(self) -> Gardner:
         """For a decimated grid: one iteration fewer, at least one."""
         return replace(self, iterations=max(1, self.iterations - 1))
@@ -103,7 +106,7 @@ class Params:
     preprocess: Preprocess = field(default_factory=Preprocess)
     quantize: str = "uint8"
     upsampling: int = 64
-    outliers: Gardner | None = field(default_factory=Gardner)
+    outliers: Gardner | registry.OutlierFilter | None = field(default_factory=Gardner)
     rotation: Rotation | None = None
     chip_size: int = 32
     chip_size_min: int = 32
@@ -156,29 +159,29 @@ def params(
     if not names:
         raise ValueError("`similarity` names no measure")
     for s in names:
-        _choice("similarity", s, SIMILARITY)
+        registry.own("similarity", s)
     if isinstance(preprocess, Preprocess):
         if filter_width is not _UNSET:
             raise ValueError("`filter_width` has no effect beside a `preprocess` that has its own width")
         pre = preprocess
     else:
-        _choice("preprocess", preprocess, PREPROCESS)
+        registry.own("preprocess", preprocess)
         pre = Preprocess(preprocess, 5 if filter_width is _UNSET else filter_width, 0.25 if preprocess == "wallis_gapfill" else 0.0)
-    _choice("quantize", quantize, QUANTIZE)
+    registry.own("quantize", quantize)
     _choice("subpixel", subpixel, SUBPIXEL)
     up = _whole("upsampling", upsampling, 2)
     if up & (up - 1):
         raise ValueError(f"`upsampling`: peaks are refined by doublings, which never give {upsampling}")
 
     loose = {k: v for k, v in dict(window=outlier_window, iterations=outlier_iterations, min_agree_fraction=min_agree_fraction, agree_tolerance=agree_tolerance, mad_scale=mad_scale).items() if v is not _UNSET}
-    if isinstance(outliers, Gardner):
+    if not isinstance(outliers, str) and outliers is not None:
         if loose:
             raise ValueError(f"outlier keywords ({', '.join(loose)}) have no effect beside an `outliers` that has its own")
         out = outliers
-    elif _choice("outliers", outliers, OUTLIERS) == "none":
+    elif (own := registry.own("outliers", outliers)) or outliers == "none":
         if loose:
-            raise ValueError(f"outlier keywords ({', '.join(loose)}) have no effect with `outliers` none")
-        out = None
+            raise ValueError(f"outlier keywords ({', '.join(loose)}) have no effect with `outliers` {outliers}")
+        out = own
     else:
         out = Gardner(**loose)
 

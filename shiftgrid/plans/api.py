@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftgrid import registry
 from shiftgrid.operators import multichip as M
 from shiftgrid.operators import points
 from shiftgrid.operators import preprocess as PP
@@ -66,9 +67,11 @@ class Session:
         and bytes or none) of scenes that fit there. They take the place of known ids. Pixel forms of them are
         not kept, so points that reach beyond the parameters' halo are an error."""
         kind = self.params.preprocess
-        if kind.kind not in ("highpass", "none"):
-            raise ValueError(f"`preprocess` {kind.kind} is of pixel tables; planes take highpass or none")
-        packed = shared_table(pack_planes(planes, self.tile, self.halo, kind.width if kind.kind == "highpass" else 0, self.params.quantize == "uint8"), "packs")
+        own, bytes_ = registry.own("preprocess", kind.kind), registry.own("quantize", self.params.quantize)
+        if kind.kind not in ("highpass", "none") and not (own and own.arrays) or bytes_ and not bytes_.arrays:
+            raise ValueError(f"`preprocess` {kind.kind} with `quantize` {self.params.quantize} is of pixel tables; planes take highpass or none, and methods that have a form for arrays")
+        filtered = (lambda v, ok, f=own.arrays: f(v, ok, kind)) if own else None
+        packed = shared_table(pack_planes(planes, self.tile, self.halo, kind.width if kind.kind == "highpass" else 0, self.params.quantize == "uint8", filtered, bytes_.arrays if bytes_ else None), "packs")
         self.packs = self._with(self.packs, packed, packed)
         self._last = None
         return self

@@ -184,7 +184,7 @@ ORACLES: dict[str, str] = {
     "valid_both": f"WITH {PX}, {MASKED}, s AS (SELECT r % n + 1 AS r, (c + 1) % 64 + 1 AS c, ok FROM mk, dims) SELECT m.r, m.c, m.ok AND s.ok AS valid FROM mk m JOIN s ON s.r = m.r AND s.c = m.c",
     "valid_mask": f"WITH {PX} SELECT (r + c) % 7 <> 0 AS valid, count(*) AS n FROM px GROUP BY 1",
     "grid_coords": f"WITH {PX}, {GRID} SELECT gi, gj, 1000.0::DOUBLE + (x - 1) * 120.0::DOUBLE AS map_x, 9000.0::DOUBLE - (y - 1) * 120.0::DOUBLE AS map_y FROM pt",
-    "pixel_size": "SELECT image_id, axis, 120.0::DOUBLE AS pixel_size FROM (VALUES ('ref'), ('sec')) a(image_id), (VALUES ('X'), ('Y')) b(axis)",
+    "pixel_size": "SELECT CAST(s_suppkey AS VARCHAR) AS image_id, 'X' AS axis, round(abs(s_acctbal::DOUBLE / 8), 6) + 0.0 AS pixel_size FROM supplier UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'Y', CASE WHEN s_suppkey % 3 <> 0 THEN round(abs(s_acctbal::DOUBLE / 4), 6) + 0.0 END FROM supplier",
     "gridpoints": f"WITH {PX}, {GRID} SELECT pt_id, gi, gj, x::DOUBLE AS x, y::DOUBLE AS y, 4 AS radius_x, 4 AS radius_y, 0.0::DOUBLE AS dx_prior, 0.0::DOUBLE AS dy_prior, 8 AS chip_x, 8 AS chip_y FROM pt",
     "pointset": "SELECT 'p' AS pair_id, l_orderkey * 8 + l_linenumber AS pt_id, (l_partkey % 64 + 1)::DOUBLE AS x, (l_suppkey % 64 + 1)::DOUBLE AS y, CAST(l_linenumber + 2 AS INTEGER) AS radius_x, 4 AS radius_y, 1.5::DOUBLE AS dx_prior, 0.0::DOUBLE AS dy_prior, 8 AS chip_x, 8 AS chip_y FROM lineitem",
     "scatter": f"WITH {PX}, {GRID} SELECT pt_id, CAST(NULL AS INTEGER) AS gi, CAST(NULL AS INTEGER) AS gj, x::DOUBLE AS x, y::DOUBLE AS y FROM pt",
@@ -226,7 +226,8 @@ FROM cl JOIN px p ON p.r = r0 AND p.c = c0 JOIN px q ON q.r = r0 AND q.c = c0 +
     "hamming_match": """WITH bt AS (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS i), ds AS (SELECT vec_id, sum(CASE WHEN embedding[i] > 0 THEN (CASE WHEN i > 62 THEN 0 ELSE 1 END) ELSE 0 END) AS n FROM embeddings, bt GROUP BY vec_id),
 sg AS (SELECT vec_id, i, CASE WHEN i <= 2 THEN (embedding[i] > 0) <> (embedding[i + 62] > 0) ELSE embedding[i] > 0 END AS b FROM embeddings, bt WHERE i <= 62),
 w AS (SELECT vec_id, sum(CASE WHEN b THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)::BIGINT AS d FROM sg GROUP BY vec_id),
-p AS (SELECT a.vec_id AS m_id, b.vec_id AS j, bit_count(xor(a.d, b.d)) AS h FROM w a JOIN w b ON b.vec_id % 3 > 0),
+o AS (SELECT vec_id, xor(d, CASE WHEN vec_id % 3 = 0 THEN xor(xor(CAST(1 AS BIGINT) << CAST(vec_id % 61 AS INTEGER), CAST(1 AS BIGINT) << CAST(vec_id * 7 % 61 AS INTEGER)), CAST(1 AS BIGINT) << CAST(vec_id * 13 % 61 AS INTEGER)) ELSE CAST(1 AS BIGINT) << CAST(vec_id * 5 % 61 AS INTEGER) END) AS d FROM w),
+p AS (SELECT a.vec_id AS m_id, b.vec_id AS j, bit_count(xor(a.d, b.d)) AS h FROM w a CROSS JOIN o b),
 k AS (SELECT m_id, j, h, row_number() OVER (PARTITION BY m_id ORDER BY h, j) AS n, lead(h) OVER (PARTITION BY m_id ORDER BY h, j) AS h2 FROM p)
 SELECT m_id, (m_id // 25)::DOUBLE AS r, (m_id % 25)::DOUBLE AS c, (m_id % 25 - j % 20)::DOUBLE AS dx, (m_id // 25 - j // 20)::DOUBLE AS dy FROM k WHERE n = 1 AND h < 0.9 * h2""",
     "consistent_matches": f"WITH {CONSISTENT} SELECT m_id FROM ok",
@@ -272,12 +273,12 @@ SELECT gi, gj, round(x / nullif(chip_size, 0)::DOUBLE, 6) + 0.0 AS dx, chip_size
     "no_outlier_filter": f"WITH {PX}, {FIELD} SELECT gi, gj, dx IS NOT NULL AND dy IS NOT NULL AS keep FROM fd",
     "fill_holes": f"WITH {PX}, {filling()} SELECT gi, gj, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy, filled FROM f3",
     "velocity": f"WITH {PX}, {FIELD} SELECT gi, gj, round(-dx * 240, 6) + 0.0 AS vx, round(dy * 240, 6) + 0.0 AS vy FROM fd",
-    "reflect101": "WITH s AS (SELECT unnest(range(-40, 60)) AS i), m AS (SELECT i, ((i - 1) % 16 + 16) % 16 AS m FROM s) SELECT i, least(m, 16 - m) + 1 AS j FROM m",
+    "reflect101": "WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey - l_suppkey * 3 AS i FROM lineitem), m AS (SELECT *, ((i - 1) % 16 + 16) % 16 AS m FROM s) SELECT l_orderkey, l_linenumber, i, CAST(least(m, 16 - m) + 1 AS BIGINT) AS j FROM m",
     "dt_years": "SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / (31557600.0::DOUBLE * 1000000), 9) + 0.0 AS years FROM events GROUP BY user_id",
-    "cubic_weights": "WITH s AS (SELECT unnest(range(0, 20)) AS id), q AS (SELECT id, id / 20.0::DOUBLE AS t FROM s) SELECT id, " + ", ".join(f"round({w}, 9) + 0.0 AS w{k}" for k, w in enumerate(CUBIC)) + " FROM q",
-    "next_fft_size": """WITH s AS (SELECT unnest(range(1, 300)) AS n), a AS (SELECT unnest(range(0, 9)) AS k), b AS (SELECT unnest(range(0, 6)) AS k), c AS (SELECT unnest(range(0, 4)) AS k), d AS (SELECT unnest(range(0, 4)) AS k),
-m AS (SELECT CAST(pow(2, a.k) * pow(3, b.k) * pow(5, c.k) * pow(7, d.k) AS BIGINT) AS m, a.k AS twos FROM a, b, c, d), x AS (SELECT n, m, row_number() OVER (PARTITION BY n ORDER BY m * m * log2(m) * (1 - 0.35::DOUBLE * twos / log2(m)), m) AS k FROM s JOIN m ON m >= n AND m <= ceil(1.5 * n) WHERE n > 1)
-SELECT CAST(n AS INTEGER) AS n, CAST(m AS INTEGER) AS size FROM x WHERE k = 1 UNION ALL SELECT 1, 1""",
+    "cubic_weights": "WITH q AS (SELECT l_orderkey, l_linenumber, (l_partkey % 97) / 97.0::DOUBLE AS t FROM lineitem) SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({w}, 9) + 0.0 AS w{k}" for k, w in enumerate(CUBIC)) + " FROM q",
+    "next_fft_size": """WITH s AS (SELECT DISTINCT p_partkey % 700 + 1 AS n FROM part), a AS (SELECT unnest(range(0, 11)) AS k), b AS (SELECT unnest(range(0, 7)) AS k), c AS (SELECT unnest(range(0, 5)) AS k), d AS (SELECT unnest(range(0, 4)) AS k),
+m AS (SELECT CAST(pow(2, a.k) * pow(3, b.k) * pow(5, c.k) * pow(7, d.k) AS BIGINT) AS m, a.k AS twos FROM a, b, c, d), x AS (SELECT n, m, row_number() OVER (PARTITION BY n ORDER BY m * m * log2(m) * (1 - 0.35::DOUBLE * twos / log2(m)), m) AS k FROM s JOIN m ON m >= n AND m <= ceil(1.5 * n) WHERE n > 1),
+z AS (SELECT n, m FROM x WHERE k = 1 UNION ALL SELECT 1, 1) SELECT p_partkey, CAST(n AS INTEGER) AS n, CAST(m AS INTEGER) AS size FROM part JOIN z ON n = p_partkey % 700 + 1""",
     "pair_series": """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS site, lpad(CAST(event_id AS VARCHAR), 12, '0') AS sec_id, ts FROM events),
 b AS (SELECT site, sec_id, ts, lag(sec_id) OVER (PARTITION BY site ORDER BY ts, sec_id) AS ref_id, lag(ts) OVER (PARTITION BY site ORDER BY ts, sec_id) AS t0 FROM a)
 SELECT site, ref_id || '-' || sec_id AS pair_id, ref_id, sec_id, round((epoch_us(ts) - epoch_us(t0)) / (31557600.0::DOUBLE * 1000000), 9) + 0.0 AS years FROM b WHERE ref_id IS NOT NULL""",
@@ -304,11 +305,11 @@ chip AS (SELECT pt_id, i, j, CASE WHEN inside THEN (1 - fy) * ((1 - fx) * p.v +
   FROM cl LEFT JOIN sec p ON p.r = r0 AND p.c = c0 LEFT JOIN sec q ON q.r = r0 AND q.c = c0 + 1 LEFT JOIN sec s ON s.r = r0 + 1 AND s.c = c0 LEFT JOIN sec t ON t.r = r0 + 1 AND t.c = c0 + 1)"""
 
 
-def _rotations() -> str:
-    parts = [f"SELECT * FROM (WITH {PX}, {SEC}, {GRID}, {OFF8}, {_turned(a) if a else CHIP}, {ZNCC} SELECT pt_id, {k} AS angle_idx, max(round(coalesce(score, 0), 9)) AS p, max(coalesce(score, 0)) AS s FROM zs GROUP BY pt_id) q{k}"
+def _rotations(what: str) -> str:
+    """Chips turned by three angles: the best angle of each point, or its peak as a displacement."""
+    parts = [f"SELECT * FROM (WITH {PX}, {SEC}, {GRID}, {OFF8}, {_turned(a) if a else CHIP}, {ZNCC} SELECT pt_id, {k} AS angle_idx, sy, sx, round(coalesce(score, 0), 9) AS p, coalesce(score, 0) AS s FROM zs) q{k}"
              for k, a in enumerate((-6.0, 0.0, 6.0))]
-    return ("WITH every AS (" + " UNION ALL ".join(parts) + "), b AS (SELECT pt_id, angle_idx, s, row_number() OVER (PARTITION BY pt_id ORDER BY p DESC, angle_idx) AS k FROM every) "
-            "SELECT pt_id, CAST(angle_idx AS INTEGER) AS angle_idx, round(s, 6) + 0.0 AS peak FROM b WHERE k = 1")
+    return ("WITH every AS (" + " UNION ALL ".join(parts) + "), b AS (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY p DESC, angle_idx, sy, sx) AS k FROM every) " + what)
 
 
 def _levels() -> str:
@@ -322,7 +323,9 @@ def _levels() -> str:
 
 ORACLES |= {
     "track_scattered": _scattered(),
-    "rotation_search": _rotations(),
+    "rotation_search": _rotations("SELECT pt_id, CAST(angle_idx AS INTEGER) AS angle_idx, round(s, 6) + 0.0 AS peak FROM b WHERE k = 1"),
+    "rotation_track_rows": _rotations("SELECT pt_id, (sx - 4)::DOUBLE AS dx, (sy - 4)::DOUBLE AS dy, round(s, 3) + 0.0 AS correlation, true AS searched FROM b WHERE k = 1"),
+    "rotation_track_arrow": _rotations("SELECT pt_id, (sx - 4)::DOUBLE AS dx, (sy - 4)::DOUBLE AS dy, round(s, 3) + 0.0 AS correlation, true AS searched FROM b WHERE k = 1"),
     "multichip_track": f"{_levels()} SELECT gi, gj, dx, dy, chip_size, interpolated FROM lv",
     "result_layers": f"""{_levels()} SELECT 'vx' AS layer, gi, gj, -dx + 0.0 AS value FROM lv UNION ALL SELECT 'vy', gi, gj, dy FROM lv UNION ALL SELECT 'chip_size', gi, gj, chip_size::DOUBLE FROM lv
 UNION ALL SELECT 'interpolated', gi, gj, CASE WHEN interpolated THEN 1 ELSE 0 END::DOUBLE FROM lv""",

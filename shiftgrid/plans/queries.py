@@ -7,6 +7,7 @@ moved by (1, 2), so every interior point has the known displacement (dx, dy) = (
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from shiftgrid.functions import scalar
 from shiftgrid.operators import correlate, firstguess, geo, multichip, outliers, peak, points, resample, window2d
 from shiftgrid.operators import preprocess as pre
-from shiftgrid.params import Gardner, Preprocess, params
+from shiftgrid.params import Gardner, Preprocess, Rotation, params
 from shiftgrid.plans import api
 from shiftgrid.sources import images
 from shiftgrid.streaming import series
@@ -133,9 +134,17 @@ def grid_coords(spark, d):
     return got.select("gi", "gj", "map_x", "map_y")
 
 
+def supplier_axes(spark, d) -> DataFrame:
+    """Two axes a supplier, of steps that its row has; every third is not regular."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("image_id"), F.col("s_acctbal").cast("double").alias("b"), F.col("s_suppkey").alias("k"))
+    axis = lambda name, step, regular: F.struct(F.lit(name).alias("axis"), step.alias("step"), regular.alias("regular"))
+    both = F.explode(F.array(axis("X", F.col("b") / 8, F.lit(True)), axis("Y", -F.col("b") / 4, F.col("k") % 3 != 0))).alias("a")
+    return s.select("image_id", both).select("image_id", "a.axis", "a.step", "a.regular")
+
+
 @query
 def pixel_size(spark, d):
-    return geo.pixel_size(axes(spark))
+    return geo.pixel_size(supplier_axes(spark, d)).select("image_id", "axis", rd("pixel_size").alias("pixel_size"))
 
 
 # -- points -----------------------------------------------------------------------------------------
@@ -292,33 +301,29 @@ def rotate_chip(spark, d):
     return correlate.rotate_chip(chip, 10.0).select("pt_id", "i", "j", rd("v").alias("v"))
 
 
+ANGLES = (-6.0, 0.0, 6.0)
+
+
 @query
 def rotation_search(spark, d):
     """Surfaces of chips turned by three angles; the best angle of each point."""
-    ref, pts = as_pair(reference(spark, d)), grid(spark, d)
-    chip = correlate.cut(as_pair(secondary(spark, d)), pts, "chip")
-    every = None
-    for k, a in enumerate((-6.0, 0.0, 6.0)):
-        turned = correlate.rotate_chip(chip, a)
-        got = chip_scores(turned, ref, pts).withColumn("angle_idx", F.lit(k))
-        every = got if every is None else every.unionByName(got)
-    best = peak.best_rotation(every)
-    top = best.groupBy("pt_id").agg(F.first("angle_idx").alias("angle_idx"), rd(F.max("score")).alias("peak"))
+    every = correlate.surfaces(as_pair(reference(spark, d)), as_pair(secondary(spark, d)), grid(spark, d), "zncc", None, ANGLES)
+    top = peak.best_rotation(every).groupBy("pt_id").agg(F.first("angle_idx").alias("angle_idx"), rd(F.max("score")).alias("peak"))
     return top.select("pt_id", "angle_idx", "peak")
 
 
-def chip_scores(chip: DataFrame, ref: DataFrame, pts: DataFrame) -> DataFrame:
-    """ZNCC of given chips: they are laid out as an image of their own coordinates."""
-    from pyspark.sql import Window as W
+def _turned(tier: str):
+    def q(spark, d):
+        p = replace(P, rotation=Rotation(ANGLES))
+        got = multichip.track(pair(spark, d), grid(spark, d), p, "zncc", 1, tier)
+        return got.select("pt_id", "dx", "dy", rd("correlation", 3).alias("correlation"), "searched")
+
+    q.__name__ = f"rotation_track_{tier}"
+    query(q)
+
 
-    own = W.partitionBy("pair_id", "pt_id")
-    t = chip.withColumn("t", F.col("v") - F.avg("v").over(own)).withColumn("tt", F.sum(F.col("t") * F.col("t")).over(own))
-    win = correlate.cut(ref, pts, "window").select("pair_id", "pt_id", F.col("i").alias("wi"), F.col("j").alias("wj"), F.col("v").alias("w"))
-    moved = t.withColumn("sy", F.explode(F.expr("sequence(0, 2 * radius_y - 1)"))).withColumn("sx", F.explode(F.expr("sequence(0, 2 * radius_x - 1)")))
-    met = moved.select("pair_id", "pt_id", "t", "tt", "sy", "sx", (F.col("i") + F.col("sy")).alias("wi"), (F.col("j") + F.col("sx")).alias("wj")).join(win, ["pair_id", "pt_id", "wi", "wj"])
-    g = met.groupBy("pair_id", "pt_id", "sy", "sx").agg(F.sum(F.col("t") * F.col("w")).alias("num"), F.sum("w").alias("s1"), F.sum(F.col("w") * F.col("w")).alias("s2"), F.count(F.lit(1)).alias("n"), F.first("tt").alias("tt"))
-    den = F.sqrt("tt") * F.sqrt(F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0)))
-    return g.select("pair_id", "pt_id", "sy", "sx", F.coalesce(F.col("num") / F.nullif(den, F.lit(0.0)), F.lit(0.0)).alias("score"))
+_turned("rows")
+_turned("arrow")
 
 
 @query
@@ -331,11 +336,18 @@ def knn_cells(spark, d):
     return firstguess.knn(matches(spark, d), 5, cell=10.0).select("i", "j", rd("d2").alias("d2"), "rank")
 
 
+def altered(keypoints: DataFrame) -> DataFrame:
+    """Descriptors with one to three bits flipped, by id."""
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(pmod(k_id * {k}, 61) as int))")
+    flips = F.when(F.col("k_id") % 3 == 0, bit(1).bitwiseXOR(bit(7)).bitwiseXOR(bit(13))).otherwise(bit(5))
+    return keypoints.withColumn("desc", F.transform("desc", lambda w: w.bitwiseXOR(flips)))
+
+
 @query
 def hamming_match(spark, d):
     e = table(spark, d, "embeddings")
     a = images.sign_descriptors(e, "vec_id", "embedding", "ref", 25).withColumn("pair_id", F.lit("p"))
-    b = images.sign_descriptors(e.where("vec_id % 3 > 0"), "vec_id", "embedding", "sec", 20).withColumn("pair_id", F.lit("p"))
+    b = altered(images.sign_descriptors(e, "vec_id", "embedding", "sec", 20).withColumn("pair_id", F.lit("p")))
     return firstguess.hamming_match(a, b, 0.9).drop("pair_id")
 
 
@@ -343,7 +355,7 @@ def hamming_match(spark, d):
 def orb_match(spark, d):
     e = table(spark, d, "embeddings")
     a = images.sign_descriptors(e, "vec_id", "embedding", "ref", 25).withColumn("pair_id", F.lit("p"))
-    b = images.sign_descriptors(e.where("vec_id % 3 > 0"), "vec_id", "embedding", "sec", 20).withColumn("pair_id", F.lit("p"))
+    b = altered(images.sign_descriptors(e, "vec_id", "embedding", "sec", 20).withColumn("pair_id", F.lit("p")))
     return firstguess.orb_match(a, b, 0.25).drop("pair_id")
 
 
@@ -536,7 +548,8 @@ def velocity(spark, d):
 
 @query
 def reflect101(spark, d):
-    return spark.range(-40, 60).select(F.col("id").alias("i"), scalar.reflect101(F.col("id"), 9).alias("j"))
+    i = F.col("l_partkey") - F.col("l_suppkey") * 3
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", i.alias("i"), scalar.reflect101(i, 9).cast("bigint").alias("j"))
 
 
 @query
@@ -547,13 +560,14 @@ def dt_years(spark, d):
 
 @query
 def cubic_weights(spark, d):
-    t = F.col("id") / 20.0
-    return spark.range(20).select("id", *(rd(w, 9).alias(f"w{k}") for k, w in enumerate(scalar.cubic_weights(t))))
+    t = (F.col("l_partkey") % 97) / 97.0
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(rd(w, 9).alias(f"w{k}") for k, w in enumerate(scalar.cubic_weights(t))))
 
 
 @query
 def next_fft_size(spark, d):
-    return spark.createDataFrame([(n, scalar.next_fft_size(n)) for n in range(1, 300)], "n int, size int")
+    n = (F.col("p_partkey") % 700 + 1).cast("int")
+    return table(spark, d, "part").select("p_partkey", n.alias("n"), scalar.fft_size(n, 700).alias("size"))
 
 
 # -- series and whole plans -------------------------------------------------------------------------
