@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftgrid import registry
+from shiftgrid.operators import detect, firstguess, points
 from shiftgrid.operators import multichip as M
-from shiftgrid.operators import points
 from shiftgrid.operators import preprocess as PP
 from shiftgrid.operators.correlate_arrow import halo_of, pack, pack_planes
 from shiftgrid.params import Params, params, search_margin
@@ -39,7 +39,7 @@ class Session:
         self.params = p or params(**keywords)
         self.shape, self.tile = shape, tile
         q = self.params
-        self.halo = halo_of(q.chip_size_max, q.chip_height(q.chip_size_max), max(q.radius_x, q.min_search_radius), max(q.radius_y, q.min_search_radius), max(abs(q.dx_prior), abs(q.dy_prior)))
+        self.halo = max(detect.REACH, halo_of(q.chip_size_max, q.chip_height(q.chip_size_max), max(q.radius_x, q.min_search_radius), max(q.radius_y, q.min_search_radius), max(abs(q.dx_prior), abs(q.dy_prior))))
         self.prepared: DataFrame | None = None
         self.packs: DataFrame | None = None
         self._last: tuple[tuple, DataFrame] | None = None
@@ -96,6 +96,26 @@ class Session:
         met = side("ref").join(ids, "ref_id").join(side("sec"), ["sec_id", "r", "c"])
         return met.select("pair_id", "r", "c", "ref", "sec", (F.col("_ref_ok") & F.col("_sec_ok")).alias("valid"))
 
+    def matches(self, pairs: DataFrame, method: str = "corners", **options) -> DataFrame:
+        """``(pair_id, m_id, r, c, dx, dy)`` of image pairs: corners matched by their descriptors (``ratio``, ``spacing``,
+        ``most``), or what the registered method of another name finds. No image or no corner gives no rows."""
+        if self.packs is None:
+            raise ValueError("no image was added")
+        own = registry.own("matches", method)
+        return own.find(self, pairs, **options) if own else self._corner_matches(pairs, **options)
+
+    def _corner_matches(self, pairs: DataFrame, ratio: float = 0.8, spacing: int = 3, most: int | None = 2000) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("ref_id", "sec_id")).alias("image_id")).distinct()
+        found = detect.keypoints(self.packs.join(asked, "image_id", "left_semi"), self.halo, self.shape[1], spacing, most)
+        found = shared_table(found, "corners")  # both sides read it, and an image is in several pairs
+        return firstguess.hamming_match(detect.of_pairs(found, pairs, "ref"), detect.of_pairs(found, pairs, "sec"), ratio)
+
+    def first_guess(self, pairs: DataFrame, method: str = "corners", min_matches: int = 8, search_radius: int = 6, chip_size: int | None = None, consistency: dict | None = None, **options) -> DataFrame:
+        """Scattered points with priors, for ``track``: from the images alone, by matches that their neighbours bear out.
+        ``consistency``: what ``consistent_matches`` takes. Pairs with under ``min_matches`` of them have no points."""
+        found = shared_table(self.matches(pairs, method, **options), "matches")
+        return firstguess.first_guess(found, min_matches, search_radius, chip_size or self.params.chip_size, **(consistency or {}))
+
     def track(self, pairs: DataFrame, pts: DataFrame | None = None, tier: str = "arrow", checkpoint: bool = False) -> DataFrame:
         """The displacement field of each pair. Gridded points (the default) go through all chip sizes; scattered
         ones (``gi`` null) are tracked once at their own chips. ``checkpoint`` writes the result."""

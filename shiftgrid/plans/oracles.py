@@ -330,3 +330,13 @@ ORACLES |= {
     "result_layers": f"""{_levels()} SELECT 'vx' AS layer, gi, gj, -dx + 0.0 AS value FROM lv UNION ALL SELECT 'vy', gi, gj, dy FROM lv UNION ALL SELECT 'chip_size', gi, gj, chip_size::DOUBLE FROM lv
 UNION ALL SELECT 'interpolated', gi, gj, CASE WHEN interpolated THEN 1 ELSE 0 END::DOUBLE FROM lv""",
 }
+
+
+#: Corners: gradients, structure tensor over 5 x 5, the highest score within 3 pixels, 20 pixels clear of the image's edge.
+CORNERS = f"""WITH {PX}, g AS (SELECT a.r, a.c, (coalesce(d.v, 0) - coalesce(u.v, 0)) / 2 AS gy, (coalesce(e.v, 0) - coalesce(w.v, 0)) / 2 AS gx FROM px a LEFT JOIN px d ON d.r = a.r + 1 AND d.c = a.c
+  LEFT JOIN px u ON u.r = a.r - 1 AND u.c = a.c LEFT JOIN px e ON e.r = a.r AND e.c = a.c + 1 LEFT JOIN px w ON w.r = a.r AND w.c = a.c - 1),
+o AS (SELECT CAST(unnest(range(-3, 4)) AS INTEGER) AS k), t AS (SELECT g.r + y.k AS r, g.c + x.k AS c, sum(gx * gx) AS a, sum(gx * gy) AS b, sum(gy * gy) AS d FROM g, o y, o x WHERE abs(y.k) <= 2 AND abs(x.k) <= 2 GROUP BY 1, 2),
+s AS (SELECT t.r, t.c, a * d - b * b - 0.04::DOUBLE * (a + d) * (a + d) AS s FROM t, dims WHERE t.r > 20 AND t.r <= n - 20 AND t.c > 20 AND t.c <= 44),
+m AS (SELECT s.r + y.k AS r, s.c + x.k AS c, max(s.s) AS m FROM s, o y, o x WHERE y.k <> 0 OR x.k <> 0 GROUP BY 1, 2)
+SELECT CAST((s.r - 1) * 64 + s.c AS BIGINT) AS k_id, s.r::DOUBLE AS r, s.c::DOUBLE AS c, round(s.s, 9) + 0.0 AS score FROM s LEFT JOIN m ON m.r = s.r AND m.c = s.c WHERE s.s > 0 AND (m.m IS NULL OR s.s > m.m)"""
+ORACLES["detect_corners"] = CORNERS

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftgrid.functions import scalar
-from shiftgrid.operators import correlate, firstguess, geo, multichip, outliers, peak, points, resample, window2d
+from shiftgrid.operators import correlate, detect, firstguess, geo, multichip, outliers, peak, points, resample, window2d
 from shiftgrid.operators import preprocess as pre
+from shiftgrid.operators.correlate_arrow import pack
 from shiftgrid.params import Gardner, Preprocess, Rotation, params
 from shiftgrid.plans import api
 from shiftgrid.sources import images
@@ -359,6 +360,20 @@ def orb_match(spark, d):
     return firstguess.orb_match(a, b, 0.25).drop("pair_id")
 
 
+@query
+def detect_corners(spark, d):
+    packs = pack(reference(spark, d), 256, detect.REACH, shape=shape(spark, d))
+    return detect.keypoints(packs, detect.REACH, WIDTH, most=None).select("k_id", "r", "c", rd("score", 9).alias("score"))
+
+
+@query
+def first_guess_images(spark, d):
+    """From pixels alone: corners, descriptors, matches, neighbours' agreement, points with priors."""
+    s = api.Session(shape(spark, d), P).add(reference(spark, d).unionByName(images.shifted(reference(spark, d), 1, 2, "sec", shape(spark, d))))
+    pairs = spark.createDataFrame([("p", "ref", "sec")], "pair_id string, ref_id string, sec_id string")
+    return s.first_guess(pairs).select("pt_id", "x", "y", "dx_prior", "dy_prior", "radius_x", "chip_x")
+
+
 @query
 def consistent_matches(spark, d):
     return firstguess.consistent_matches(matches(spark, d), cell=20.0).select("m_id")
