@@ -19,14 +19,15 @@ def main(argv: list[str] | None = None) -> int:
 
     from shiftgrid.params import params
     from shiftgrid.plans.api import grid_size, track_pair
-    from shiftgrid.sources.raw import read_raw, write_raw
+    from shiftgrid.sources.planes import scan_planes
+    from shiftgrid.sources.raw import write_raw
 
     spark = SparkSession.builder.getOrCreate()
     p = params(chip_size=x.chip, search_radius=x.radius)
     shape = (x.ny, x.nx)
-    got = track_pair(read_raw(spark, x.reference, *shape, "reference"), read_raw(spark, x.secondary, *shape, "secondary"), shape, p, checkpoint=True)
-    for path in write_raw(got, grid_size(shape, p), x.out):
-        print(path)
+    got = track_pair(scan_planes(spark, x.reference, *shape, "reference"), scan_planes(spark, x.secondary, *shape, "secondary"), shape, p, checkpoint=True)
+    for row in write_raw(got, grid_size(shape, p), x.out).collect():
+        print(row.path)
     return 0
 
 

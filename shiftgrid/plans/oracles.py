@@ -340,3 +340,10 @@ s AS (SELECT t.r, t.c, a * d - b * b - 0.04::DOUBLE * (a + d) * (a + d) AS s FRO
 m AS (SELECT s.r + y.k AS r, s.c + x.k AS c, max(s.s) AS m FROM s, o y, o x WHERE y.k <> 0 OR x.k <> 0 GROUP BY 1, 2)
 SELECT CAST((s.r - 1) * 64 + s.c AS BIGINT) AS k_id, s.r::DOUBLE AS r, s.c::DOUBLE AS c, round(s.s, 9) + 0.0 AS score FROM s LEFT JOIN m ON m.r = s.r AND m.c = s.c WHERE s.s > 0 AND (m.m IS NULL OR s.s > m.m)"""
 ORACLES["detect_corners"] = CORNERS
+#: Planes lie one after another; 32-bit values to four places.
+ORACLES["raw_planes"] = f"""WITH {PX}, {FIELD}, q AS (SELECT gi AS r, gj AS c, dx AS v FROM fd UNION ALL SELECT gi, gj + 64, dy FROM fd UNION ALL SELECT gi, gj + 128, 0.5 FROM fd)
+SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 4) + 0.0 AS v, v IS NOT NULL AS valid FROM q"""
+FAR = f"WITH {PX}, t AS (SELECT r, c FROM px WHERE (r * 13 + c * 7) % 1009 = 0), d AS (SELECT px.r, px.c, CAST(min((t.r - px.r) * (t.r - px.r) + (t.c - px.c) * (t.c - px.c)) AS BIGINT) AS d2 FROM px CROSS JOIN t GROUP BY px.r, px.c)"
+ORACLES["distance_transform"] = f"{FAR} SELECT r, c, d2 FROM d"
+ORACLES["dilate_far"] = f"{FAR} SELECT r, c, d2 <= 156 AS m FROM d"
+ORACLES["finish_blocks"] = ORACLES["reject_outliers"]

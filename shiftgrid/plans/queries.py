@@ -16,9 +16,11 @@ from shiftgrid.functions import scalar
 from shiftgrid.operators import correlate, detect, firstguess, geo, multichip, outliers, peak, points, resample, window2d
 from shiftgrid.operators import preprocess as pre
 from shiftgrid.operators.correlate_arrow import pack
+from shiftgrid.operators.finish_arrow import finish
 from shiftgrid.params import Gardner, Preprocess, Rotation, params
 from shiftgrid.plans import api
-from shiftgrid.sources import images
+from shiftgrid.shared import shared_path
+from shiftgrid.sources import images, planes, raw
 from shiftgrid.streaming import series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +107,15 @@ def scan_image(spark, d):
     return reference(spark, d).select("image_id", "r", "c", rd("v").alias("v"), "valid")
 
 
+@query
+def raw_planes(spark, d):
+    """A field as raw planes in a file, read again in ranges of columns: dx, dy and score one after another."""
+    n, m = shape(spark, d)
+    path = shared_path(spark, "raw")
+    raw.write_raw(field(spark, d).withColumn("correlation", F.lit(0.5)), (n, m), path)
+    return planes.scan_planes(spark, path, n, 3 * m, range_bytes=4 * n * 10).select("r", "c", rd("v", 4).alias("v"), "valid")
+
+
 @query
 def image_pair(spark, d):
     got = pre.image_pair(masked(spark, d), images.shifted(reference(spark, d), 1, 2, "sec", shape(spark, d)))
@@ -535,12 +546,31 @@ def dilate_within(spark, d):
     return resample.dilate_within(m, 3.0, shape(spark, d)).select("r", "c", "m")
 
 
+@query
+def distance_transform(spark, d):
+    m = reference(spark, d).withColumn("m", (F.col("r") * 13 + F.col("c") * 7) % 1009 == 0)
+    return resample.distance_transform(m, shape(spark, d)).select("r", "c", "d2")
+
+
+@query
+def dilate_far(spark, d):
+    m = reference(spark, d).withColumn("m", (F.col("r") * 13 + F.col("c") * 7) % 1009 == 0)
+    return resample.dilate_within(m, 12.5, shape(spark, d)).select("r", "c", "m")
+
+
 @query
 def reject_outliers(spark, d):
     got = outliers.reject_outliers(field(spark, d), Gardner(), 64, shape(spark, d))
     return got.select("gi", "gj", "keep")
 
 
+@query
+def finish_blocks(spark, d):
+    """Rejection and filling of blocks of the grid in one shuffle."""
+    f = field(spark, d).withColumn("correlation", F.lit(0.5))
+    return finish(f, Gardner(), 64, shape(spark, d), 3).select("gi", "gj", "keep")
+
+
 @query
 def no_outlier_filter(spark, d):
     return outliers.reject_outliers(field(spark, d), None, 64, shape(spark, d)).select("gi", "gj", "keep")

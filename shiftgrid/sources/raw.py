@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftgrid.shared import shared_table
+from shiftgrid.sources.planes import write_planes
+
 
 def read_raw(spark: SparkSession, path: str, ny: int, nx: int, image_id: str | None = None) -> DataFrame:
     """Pixels of raw images under ``path``; the id is the file's name without its ending unless given."""
@@ -50,23 +51,9 @@ def planes(result: DataFrame, grid: tuple[int, int]) -> DataFrame:
     return rows.groupBy("pair_id").applyInPandas(laid, "pair_id string, dx binary, dy binary, correlation binary")
 
 
-def write_raw(result: DataFrame, grid: tuple[int, int], path: str) -> list[str]:
-    """One raw file ``<path>/<pair_id>.bin`` a pair, the three planes one after another, written by the tasks that
-    lay them out. A file appears under its name when it is whole, so a task may run again. The files' names."""
-
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = []
-            for name, *parts in zip(*(b.column(c) for c in ("pair_id", "dx", "dy", "correlation")), strict=True):
-                fs, root = pafs.FileSystem.from_uri(path)
-                fs.create_dir(root, recursive=True)
-                target = f"{root}/{name.as_py()}.bin"
-                part = f"{root}/.{name.as_py()}-{uuid.uuid4().hex}"
-                with fs.open_output_stream(part) as out:
-                    for p in parts:
-                        out.write(p.as_py())
-                fs.move(part, target)
-                done.append(target)
-            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["path"])
-
-    return [r.path for r in planes(result, grid).mapInArrow(stored, "path string").collect()]
+def write_raw(result: DataFrame, grid: tuple[int, int], path: str) -> DataFrame:
+    """One raw file ``<path>/<pair_id>.bin`` a pair, the three planes one after another, all of them or none. Their
+    names, as ``(pair_id, path)``."""
+    rows = shared_table(planes(result, grid), "planes")
+    write_planes(rows, path)
+    return rows.select("pair_id", F.concat(F.lit(path.rstrip("/") + "/"), "pair_id", F.lit(".bin")).alias("path"))
