@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from shiftgrid.operators import detect, firstguess, points
 from shiftgrid.operators import multichip as M
 from shiftgrid.operators import preprocess as PP
 from shiftgrid.operators.correlate_arrow import halo_of, pack, pack_planes
+from shiftgrid.operators.scenes import SCENE_PIXELS, track_scenes
 from shiftgrid.params import Params, params, search_margin
 from shiftgrid.shared import shared_table
 
@@ -41,9 +44,23 @@ class Session:
         q = self.params
         self.halo = max(detect.REACH, halo_of(q.chip_size_max, q.chip_height(q.chip_size_max), max(q.radius_x, q.min_search_radius), max(q.radius_y, q.min_search_radius), max(abs(q.dx_prior), abs(q.dy_prior))))
         self.prepared: DataFrame | None = None
-        self.packs: DataFrame | None = None
+        self.scenes: DataFrame | None = None
+        self._packs: DataFrame | None = None
+        self._unpacked: DataFrame | None = None  # scenes whose tiles nothing has asked for yet
         self._last: tuple[tuple, DataFrame] | None = None
 
+    @property
+    def packs(self) -> DataFrame | None:
+        """Packed tiles of every image; those of scenes are made when something first asks for them."""
+        if self._unpacked is not None:
+            new, self._unpacked = self._unpacked, None
+            kind = self.params.preprocess
+            own, coded = registry.own("preprocess", kind.kind), registry.own("quantize", self.params.quantize)
+            filtered = (lambda v, ok, f=own.arrays: f(v, ok, kind)) if own else None
+            packed = pack_planes(new, self.tile, self.halo, kind.width if kind.kind == "highpass" else 0, self.params.quantize == "uint8", filtered, coded.arrays if coded else None)
+            self._packs = self._with(self._packs, shared_table(packed, "packs"), new)
+        return self._packs
+
     def add(self, pixels: DataFrame, replace: bool = False) -> Session:
         """Prepare the images of ``pixels(image_id, r, c, v or z, valid)``. Those of known ids are left as they
         are, or with ``replace`` take their place, values and mask alike. Pixels beyond the shape are an error.
@@ -58,27 +75,28 @@ class Session:
             raise ValueError(f"an image has pixels beyond its shape {self.shape}")
         packed = shared_table(pack(done, self.tile, self.halo, "z" in done.columns, self.shape), "packs")
         self.prepared = self._with(self.prepared, done, packed)
-        self.packs = self._with(self.packs, packed, packed)
+        self._packs = self._with(self.packs, packed, packed)
         self._last = None
         return self
 
     def add_planes(self, planes: DataFrame) -> Session:
         """Scenes as ``planes(image_id, ny, nx, data)``, each in one task: for the default preparation (high-pass,
-        and bytes or none) of scenes that fit there. They take the place of known ids. Pixel forms of them are
-        not kept, so points that reach beyond the parameters' halo are an error."""
+        and bytes or none) of scenes that fit there. They take the place of known ids. They are read when pairs are
+        tracked; pixel forms of them are not kept, so points that reach beyond the parameters' halo are an error."""
         kind = self.params.preprocess
         own, bytes_ = registry.own("preprocess", kind.kind), registry.own("quantize", self.params.quantize)
         if kind.kind not in ("highpass", "none") and not (own and own.arrays) or bytes_ and not bytes_.arrays:
             raise ValueError(f"`preprocess` {kind.kind} with `quantize` {self.params.quantize} is of pixel tables; planes take highpass or none, and methods that have a form for arrays")
-        filtered = (lambda v, ok, f=own.arrays: f(v, ok, kind)) if own else None
-        packed = shared_table(pack_planes(planes, self.tile, self.halo, kind.width if kind.kind == "highpass" else 0, self.params.quantize == "uint8", filtered, bytes_.arrays if bytes_ else None), "packs")
-        self.packs = self._with(self.packs, packed, packed)
+        planes = planes.select("image_id", "ny", "nx", "data")
+        self.scenes = self._with(self.scenes, planes, planes)
+        self._unpacked = self._with(self._unpacked, planes, planes)
         self._last = None
         return self
 
     def image_ids(self) -> DataFrame:
         """``(image_id)`` of the images that are held."""
-        return self.packs.select("image_id").distinct()
+        held = [df.select("image_id") for df in (self._packs, self._unpacked) if df is not None]
+        return reduce(DataFrame.union, held).distinct()
 
     @staticmethod
     def _with(held: DataFrame | None, new: DataFrame, packed: DataFrame) -> DataFrame:
@@ -116,15 +134,31 @@ class Session:
         found = shared_table(self.matches(pairs, method, **options), "matches")
         return firstguess.first_guess(found, min_matches, search_radius, chip_size or self.params.chip_size, **(consistency or {}))
 
+    def _whole_scenes(self) -> bool:
+        """Whether all images came as planes that a task holds whole."""
+        return self.scenes is not None and self.prepared is None and self.shape[0] * self.shape[1] <= SCENE_PIXELS
+
     def track(self, pairs: DataFrame, pts: DataFrame | None = None, tier: str = "arrow", checkpoint: bool = False) -> DataFrame:
         """The displacement field of each pair. Gridded points (the default) go through all chip sizes; scattered
-        ones (``gi`` null) are tracked once at their own chips. ``checkpoint`` writes the result."""
-        if self.packs is None:
+        ones (``gi`` null) are tracked once at their own chips. ``checkpoint`` writes the result.
+
+        ``tier``: "arrow" takes whole scenes where all images are planes that a task holds ("scenes"), and else halo tiles
+        ("tiles"); "rows" is the relational form, "auto" takes it for small geometries.
+        """
+        if self._packs is None and self.scenes is None:
             raise ValueError("no image was added")
         key = (pairs, pts, tier, checkpoint)
         if self._last and all(a is b or (isinstance(a, (str, bool)) and a == b) for a, b in zip(self._last[0], key, strict=True)):
             return self._last[1]
         p = self.params
+        if pts is None and tier in ("arrow", "scenes") and self._whole_scenes():
+            out = track_scenes(self.scenes, pairs, self.shape, p)
+            out = shared_table(out, "field") if checkpoint else out
+            self._last = (key, out)
+            return out
+        if tier == "scenes":
+            raise ValueError("`tier` scenes is of images that were all added as planes, on the grid of the parameters")
+        tier = "arrow" if tier == "tiles" else tier
         images = M.Images(self.pairs_of(pairs), self.shape, self.prepared is not None and "z" in self.prepared.columns, self.packs, pairs, self.tile, self.halo)
         if pts is not None and pts.where("gi is null").limit(1).count():
             out = M.track(images, pts, p, p.similarity[0], None, tier)
