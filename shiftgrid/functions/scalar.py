@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import count, product, takewhile
 
 import numpy as np
@@ -30,6 +31,7 @@ def reflect101_py(p: int, n: int) -> int:
     return min(m, 2 * (n - 1) - m)
 
 
+@lru_cache(maxsize=4096)
 def next_fft_size(n: int) -> int:
     """The cheapest size m in [n, 1.5 n] with prime factors up to 7, by m^2 log m and its share of twos."""
     if n <= 1:
