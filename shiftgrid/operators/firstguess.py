@@ -10,47 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shiftgrid.operators.neighbours import LEAF, knn
 from shiftgrid.shared import shared_table
 
 
-def knn(pts: DataFrame, k: int, keys=("pair_id",), pt="m_id", r="r", c="c", cell: float | None = None) -> DataFrame:
-    """``(keys, i, j, d2, rank)``: the k nearest others of each point, ties to the smaller id.
-
-    Candidates come from the cells around a point, of side ``cell`` at first (by default one that holds
-    about k points on average). A point is done if its k-th distance lies within one cell, which the ring of
-    cells always holds; the others meet cells of twice the size, and so on until a cell holds everything.
-    """
-    keys = list(keys)
-    a = pts.select(*keys, F.col(pt).alias("i"), F.col(r).cast("double").alias("ri"), F.col(c).cast("double").alias("ci"))
-    b = a.select(*keys, F.col("i").alias("j"), F.col("ri").alias("rj"), F.col("ci").alias("cj"))
-    extent = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("ri") - F.min("ri")).alias("h"), (F.max("ci") - F.min("ci")).alias("w"))
-    far, side = extent.agg(F.max(F.greatest("h", "w")), F.avg(F.sqrt(F.col("h") * F.col("w") * k / F.col("n")))).first()  # two numbers
-    side, far = float(cell or side or 1.0), float(far or 0.0)
-    d2 = (F.col("ri") - F.col("rj")) * (F.col("ri") - F.col("rj")) + (F.col("ci") - F.col("cj")) * (F.col("ci") - F.col("cj"))
-    ring = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)))
-    order = W.partitionBy(*keys, "i").orderBy("d2", "j")
-    done: list[DataFrame] = []
-    while True:
-        place = lambda df, x, y: df.withColumns({"gr": F.floor(F.col(x) / side), "gc": F.floor(F.col(y) / side)})  # noqa: B023, E731
-        spread = place(a, "ri", "ci").withColumn("o", F.explode(ring)).withColumns({"gr": F.col("gr") + F.col("o.p"), "gc": F.col("gc") + F.col("o.q")}).drop("o")
-        met = spread.join(place(b, "rj", "cj"), [*keys, "gr", "gc"]).where("i <> j").withColumn("d2", d2)
-        near = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "i", "j", "d2", "rank")
-        if side > far:
-            done.append(near)
-            break
-        near = shared_table(near, "near")
-        sure = near.groupBy(*keys, "i").agg(F.max("rank").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= side * side)).select(*keys, "i")
-        done.append(near.join(sure, [*keys, "i"], "left_semi"))
-        a = shared_table(a.join(sure, [*keys, "i"], "left_anti"), "rest")
-        if a.isEmpty():
-            break
-        side *= 2
-    out = done[0]
-    for other in done[1:]:
-        out = out.unionByName(other)
-    return out
-
-
 #: Keypoints of a block; distances of two blocks are computed together.
 BLOCK = 4096
 
@@ -133,14 +96,14 @@ def orb_match(ref: DataFrame, sec: DataFrame, max_distance: float = 0.1, keys=("
         left = shared_table(left.join(refused, [*keys, "i", "j"], "left_anti"), "candidates")
 
 
-def consistent_matches(matches: DataFrame, neighbours: int = 12, tolerance: float = 6.0, min_agree: int = 5, cell: float | None = None) -> DataFrame:
+def consistent_matches(matches: DataFrame, neighbours: int = 12, tolerance: float = 6.0, min_agree: int = 5, leaf: int = LEAF) -> DataFrame:
     """Matches of whose ``neighbours`` nearest at least ``min_agree`` move within ``tolerance`` of them.
 
     A pair with too few matches to judge keeps none.
     """
     if min_agree > neighbours:
         raise ValueError(f"`min_agree` ({min_agree}) cannot exceed `neighbours` ({neighbours})")
-    near = knn(matches, neighbours, cell=cell)
+    near = knn(matches, neighbours, leaf=leaf)
     own = matches.select("pair_id", F.col("m_id").alias("i"), F.col("dx").alias("dxi"), F.col("dy").alias("dyi"))
     other = matches.select("pair_id", F.col("m_id").alias("j"), F.col("dx").alias("dxj"), F.col("dy").alias("dyj"))
     met = near.join(own, ["pair_id", "i"]).join(other, ["pair_id", "j"])

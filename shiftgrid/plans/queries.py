@@ -340,12 +340,12 @@ _turned("arrow")
 
 @query
 def knn(spark, d):
-    return firstguess.knn(matches(spark, d), 5, cell=20.0).select("i", "j", rd("d2").alias("d2"), "rank")
+    return firstguess.knn(matches(spark, d), 5).select("i", "j", rd("d2").alias("d2"), "rank")
 
 
 @query
 def knn_cells(spark, d):
-    return firstguess.knn(matches(spark, d), 5, cell=10.0).select("i", "j", rd("d2").alias("d2"), "rank")
+    return firstguess.knn(matches(spark, d), 5, leaf=40).select("i", "j", rd("d2").alias("d2"), "rank")
 
 
 def altered(keypoints: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def first_guess_images(spark, d):
 
 @query
 def consistent_matches(spark, d):
-    return firstguess.consistent_matches(matches(spark, d), cell=20.0).select("m_id")
+    return firstguess.consistent_matches(matches(spark, d)).select("m_id")
 
 
 @query
@@ -397,7 +397,7 @@ def scene_rotation(spark, d):
 
 @query
 def first_guess(spark, d):
-    got = firstguess.first_guess(matches(spark, d), chip_size=8, cell=20.0)
+    got = firstguess.first_guess(matches(spark, d), chip_size=8)
     return got.select("pt_id", rd("x").alias("x"), rd("y").alias("y"), rd("dx_prior").alias("dx_prior"), rd("dy_prior").alias("dy_prior"), "radius_x", "chip_x")
 
 
