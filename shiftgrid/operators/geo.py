@@ -27,6 +27,44 @@ def grid_coords(pts: DataFrame, axes: DataFrame) -> DataFrame:
     return out.select(*pts.columns, "map_x", "map_y")
 
 
+def pair_axes(pairs: DataFrame, axes: DataFrame) -> DataFrame:
+    """``pairs(pair_id, ref_id, sec_id, ...)`` with the axes that a pair's images share: ``x0, x_step, y0, y_step, y_ascending, regular,
+    crs``. In the plan a pair is an error whose images lack an axis, have unequal ones, or other coordinate systems."""
+    names = ["origin", "step", "ascending", "regular", "crs"]
+    one = lambda a: F.max(F.when(F.col("axis") == a, F.struct(*names)))
+    own = axes.groupBy("image_id").agg(one("X").alias("X"), one("Y").alias("Y"), F.count(F.lit(1)).alias("n"))
+    side = lambda k: own.select(F.col("image_id").alias(f"{k}_id"), *(F.col(c).alias(f"_{k}_{c}") for c in ("X", "Y", "n")))
+    met = pairs.join(side("ref"), "ref_id", "left").join(side("sec"), "sec_id", "left")
+    a, b = ({c: F.col(f"_{k}_{c}") for c in ("X", "Y", "n")} for k in ("ref", "sec"))
+    told = lambda *words: F.raise_error(F.concat(F.lit("images "), "ref_id", F.lit(" and "), "sec_id", *(F.lit(w) for w in words)))
+    whole = lambda s: (F.coalesce(s["n"], F.lit(0)) == 2) & s["X"].isNotNull() & s["Y"].isNotNull()
+    grid = lambda s: F.struct(*(s[c][k] for c in ("X", "Y") for k in names if k != "crs"))
+    crs = lambda s: F.struct(s["X"]["crs"], s["Y"]["crs"])
+    wrong = F.when(~(whole(a) & whole(b)), told(": each needs one axis X and one axis Y").cast("string")).when(~grid(a).eqNullSafe(grid(b)), told(" are not on one grid: their axes differ").cast("string")).when(
+        ~crs(a).eqNullSafe(crs(b)), told(" have different coordinate systems").cast("string"))
+    ok = lambda c: F.when(wrong.isNull(), c)  # noqa: E731 - read with every value, so that no plan leaves the check out
+    return met.select(*pairs.columns, ok(a["X"]["origin"]).alias("x0"), ok(a["X"]["step"]).alias("x_step"), ok(a["Y"]["origin"]).alias("y0"), ok(a["Y"]["step"]).alias("y_step"),
+                      ok(a["Y"]["ascending"]).alias("y_ascending"), ok(a["X"]["regular"] & a["Y"]["regular"]).alias("regular"), ok(a["X"]["crs"]).alias("crs"))
+
+
+def on_axes(result: DataFrame, bound: DataFrame) -> DataFrame:
+    """A result with ``map_x``, ``map_y`` of its points and ``crs``; ``bound``: pairs of :func:`pair_axes`."""
+    met = result.join(bound.select("pair_id", "x0", "x_step", "y0", "y_step", "crs"), "pair_id")
+    at = {"map_x": F.col("x0") + (F.col("x") - 1) * F.col("x_step"), "map_y": F.col("y0") + (F.col("y") - 1) * F.col("y_step")}
+    return met.withColumns(at).select(*result.columns, "map_x", "map_y", "crs")
+
+
+def pair_velocity(result: DataFrame, bound: DataFrame) -> DataFrame:
+    """``vx``, ``vy`` in map orientation for ``dx``, ``dy``: units of the map a year where a pair has ``years`` (which needs
+    regular axes, or is an error), pixels where it is null."""
+    size = lambda a: F.when(F.col("years").isNull(), 1.0).when(F.col("regular"), F.abs(F.col(f"{a}_step")) / F.col("years")).otherwise(
+        F.raise_error(F.concat(F.lit("pair "), "pair_id", F.lit(": `dt` needs regular axes, whose pixel size is known"))).cast("double"))
+    positive = F.when(F.col("years").isNull() | (F.col("years") > 0), F.col("years")).otherwise(F.raise_error(F.concat(F.lit("pair "), "pair_id", F.lit(": `dt` must be positive"))).cast("double"))
+    by = bound.withColumn("years", positive).select("pair_id", size("x").alias("_fx"), (size("y") * F.when(F.col("y_ascending"), -1.0).otherwise(1.0)).alias("_fy"))
+    out = result.join(by, "pair_id").withColumns({"vx": -F.col("dx") * F.col("_fx"), "vy": F.col("dy") * F.col("_fy")})
+    return out.drop("dx", "dy", "_fx", "_fy")
+
+
 def pixel_size(axes: DataFrame) -> DataFrame:
     """Per image and axis the absolute step of a regular axis, null otherwise."""
     return axes.select("image_id", "axis", F.when(F.col("regular"), F.abs("step")).alias("pixel_size"))

@@ -66,6 +66,49 @@ def decimate(pts: DataFrame, stride: int) -> DataFrame:
     return kept.withColumns({"gi": (F.col("gi") / stride).cast("int"), "gj": (F.col("gj") / stride).cast("int")})
 
 
+def subset(pts: DataFrame, rows: list[int] | None = None, columns: list[int] | None = None) -> DataFrame:
+    """The grid points of the 1-based ``rows`` and ``columns`` (None: all), numbered by their places in the lists: order is kept,
+    and a row named twice is there twice. ``pt_id`` is renumbered down columns first. An index that no pair has is an error."""
+    spark = pts.sparkSession
+    out = pts
+    for name, own in (("gi", rows), ("gj", columns)):
+        if own is None:
+            continue
+        if not own or any(isinstance(k, bool) or k != int(k) or k < 1 for k in own):
+            raise ValueError(f"{'rows' if name == 'gi' else 'columns'}: {own!r} are no 1-based indices")
+        ranked = spark.createDataFrame([(int(k), n) for n, k in enumerate(own, 1)], f"{name} int, _n int")
+        most = out.groupBy("pair_id").agg(F.max(name).alias("_most"))
+        beyond = F.raise_error(F.concat(F.lit(f"`{name}` {max(own)} is beyond the grid's "), F.col("_most").cast("string"))).cast("int")
+        out = out.join(most, "pair_id").join(F.broadcast(ranked), name).withColumn(name, F.when(F.col("_most") >= max(own), F.col("_n")).otherwise(beyond)).select(*pts.columns)
+    height = out.groupBy("pair_id").agg(F.max("gi").cast("bigint").alias("_h"))
+    return out.join(height, "pair_id").withColumn("pt_id", (F.col("gj") - 1) * F.col("_h") + F.col("gi") - 1).select(*pts.columns)
+
+
+#: Fields of points and whether each is a whole number.
+FIELDS = {"x": False, "y": False, "radius_x": True, "radius_y": True, "dx_prior": False, "dy_prior": False, "chip_x": True, "chip_y": True}
+
+
+def rebuild(pts: DataFrame, **fields) -> DataFrame:
+    """The same points with some fields replaced: by a number, by an expression of the points, or by a table ``(pair_id, pt_id, <field>)``
+    that has every point once. Another name is an error, and so, when it runs, are a fraction where a whole number belongs, a missing value
+    and a table of other points."""
+    out = pts
+    for name, v in fields.items():
+        if name not in FIELDS:
+            raise ValueError(f"points have no field {name!r}; they have {', '.join(FIELDS)}")
+        if isinstance(v, DataFrame):
+            given = v.select("pair_id", "pt_id", F.col(name).alias("_v"), F.lit(1).alias("_g")).groupBy("pair_id", "pt_id").agg(F.first("_v").alias("_v"), F.count("_g").alias("_g"))
+            met = out.withColumn("_p", F.lit(True)).join(given, ["pair_id", "pt_id"], "full")
+            wrong = F.raise_error(F.concat(F.lit(f"`{name}`: its table and the points do not match one to one at point "), F.col("pt_id").cast("string")))
+            out = met.withColumn("_v", F.when((F.col("_g") == 1) & F.col("_p"), F.col("_v")).otherwise(wrong.cast("double")))
+        else:
+            out = out.withColumn("_v", v if isinstance(v, Column) else F.lit(v))
+        whole = exactly(F.col("_v"), name).cast("int") if FIELDS[name] else F.col("_v").cast("double")
+        there = F.when(F.col("_v").isNull(), F.raise_error(F.lit(f"`{name}` is missing at a point")).cast("double")).otherwise(whole)
+        out = out.withColumn(name, there.cast("int" if FIELDS[name] else "double")).select(*pts.columns)
+    return out
+
+
 def sanitize(pts: DataFrame, min_radius: int) -> DataFrame:
     """A radius that is not positive in one axis clears both; others are raised to ``min_radius``."""
     dead = (F.col("radius_x") <= 0) | (F.col("radius_y") <= 0)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftgrid import registry
-from shiftgrid.operators import detect, firstguess, points
+from shiftgrid.operators import detect, firstguess, geo, points
 from shiftgrid.operators import multichip as M
 from shiftgrid.operators import preprocess as PP
 from shiftgrid.operators.correlate_arrow import halo_of, pack, pack_planes
 from shiftgrid.operators.scenes import SCENE_PIXELS, track_scenes
 from shiftgrid.params import Params, params, search_margin
+from shiftgrid.schema import IMAGE_AXES, require
 from shiftgrid.shared import shared_table
 
 
@@ -47,6 +48,11 @@ class Session:
         self.scenes: DataFrame | None = None
         self._packs: DataFrame | None = None
         self._unpacked: DataFrame | None = None  # scenes whose tiles nothing has asked for yet
+        self.axes: DataFrame | None = None
+        self.tracked_pairs = 0  #: pairs that the last call of ``field`` had to track
+        self._adds: list[DataFrame] = []  # (image_id, version) of every call that added images
+        self._added, self._settled = 0, False
+        self._fields: list[DataFrame] = []  # results by pair and the versions of its images
         self._last: tuple[tuple, DataFrame] | None = None
 
     @property
@@ -76,7 +82,7 @@ class Session:
         packed = shared_table(pack(done, self.tile, self.halo, "z" in done.columns, self.shape), "packs")
         self.prepared = self._with(self.prepared, done, packed)
         self._packs = self._with(self.packs, packed, packed)
-        self._last = None
+        self._touched(packed)
         return self
 
     def add_planes(self, planes: DataFrame) -> Session:
@@ -90,9 +96,60 @@ class Session:
         planes = planes.select("image_id", "ny", "nx", "data")
         self.scenes = self._with(self.scenes, planes, planes)
         self._unpacked = self._with(self._unpacked, planes, planes)
+        self._touched(planes)
+        return self
+
+    def _touched(self, images: DataFrame) -> None:
+        self._added, self._settled = self._added + 1, False
+        self._adds.append(images.select("image_id", F.lit(self._added).alias("version")))
         self._last = None
+
+    def versions(self) -> DataFrame:
+        """``(image_id, version)``: the number of the call that last added or replaced each image."""
+        if len(self._adds) > 1 or not self._settled:
+            every = reduce(DataFrame.union, self._adds).groupBy("image_id").agg(F.max("version").alias("version"))
+            self._adds, self._settled = [shared_table(every, "versions")], True
+        return self._adds[0]
+
+    def field(self, pairs: DataFrame) -> DataFrame:
+        """The fields of ``pairs`` on the parameters' grid, each tracked once for the versions of its two images: after an image is
+        replaced only its own pairs are tracked again, and pairs asked for before are not. Results are written."""
+        if not self._adds:
+            raise ValueError("no image was added")
+        v = self.versions()
+        side = lambda k: v.select(F.col("image_id").alias(f"{k}_id"), F.col("version").alias(f"_{k}"))
+        key = ["pair_id", "ref_id", "sec_id", "_ref", "_sec"]
+        asked = shared_table(pairs.select("pair_id", "ref_id", "sec_id").join(side("ref"), "ref_id").join(side("sec"), "sec_id").select(*key), "asked")
+        new = asked
+        for held in self._fields:
+            new = new.join(held.select(*key).distinct(), key, "left_anti")
+        new = shared_table(new, "new")
+        self.tracked_pairs = new.count()
+        if self.tracked_pairs:
+            found = shared_table(self.track(new.select("pair_id", "ref_id", "sec_id")).join(new, "pair_id"), "fields")
+            self._fields.append(found)
+        if len(self._fields) > 8:  # one table again, without what images of now have replaced
+            current = reduce(DataFrame.unionByName, self._fields).join(side("ref"), ["ref_id", "_ref"], "left_semi").join(side("sec"), ["sec_id", "_sec"], "left_semi")
+            self._fields = [shared_table(current, "fields")]
+        return reduce(DataFrame.unionByName, [f.join(asked, key, "left_semi") for f in self._fields]).drop("ref_id", "sec_id", "_ref", "_sec")
+
+    def bind_axes(self, axes: DataFrame) -> Session:
+        """Axes and coordinate system of images: ``axes(image_id, axis, origin, step, ascending, regular, crs)``, two rows an image."""
+        self.axes = require(axes, IMAGE_AXES, "axes")
         return self
 
+    def velocity(self, pairs: DataFrame, dt=None, rotate: bool = True) -> DataFrame:
+        """Fields on the images' own axes: ``map_x``, ``map_y``, ``crs``, and ``vx``, ``vy`` in map orientation, per year where ``dt`` (a timedelta
+        or years) or the pairs' column ``years`` says how far apart the images are. ``rotate=False``: ``dx``, ``dy`` as they are.
+        Unequal axes or systems of a pair's images are an error of the plan."""
+        if self.axes is None:
+            raise ValueError("no axes are bound; see bind_axes")
+        years = geo.interval_years(dt)
+        timed = pairs.withColumn("years", F.lit(years).cast("double")) if years is not None or "years" not in pairs.columns else pairs
+        bound = geo.pair_axes(timed.select("pair_id", "ref_id", "sec_id", "years"), self.axes)
+        placed = geo.on_axes(self.track(pairs), bound)
+        return geo.pair_velocity(placed, bound) if rotate else placed
+
     def image_ids(self) -> DataFrame:
         """``(image_id)`` of the images that are held."""
         held = [df.select("image_id") for df in (self._packs, self._unpacked) if df is not None]
@@ -185,3 +242,14 @@ def track_pair(reference: DataFrame, secondary: DataFrame, shape: tuple[int, int
     s.add(reference.unionByName(secondary))
     pairs = spark.createDataFrame([("p", ref_id, sec_id)], "pair_id string, ref_id string, sec_id string")
     return s.track(pairs, pts, tier, checkpoint)
+
+
+def track_raster(reference: DataFrame, secondary: DataFrame, axes: DataFrame, shape: tuple[int, int], dt=None, rotate: bool = True, p: Params | None = None, **keywords) -> DataFrame:
+    """Two images on map axes to velocities in one call: see :meth:`Session.velocity`. With ``rotate=False``, as for arrays on any
+    two dimensions, displacements in pixels on those axes."""
+    s = Session(shape, p, **keywords).add(reference.unionByName(secondary)).bind_axes(axes)
+    ids = [df.select("image_id").first() for df in (reference, secondary)]
+    if None in ids:
+        raise ValueError("an image has no pixels")
+    pairs = reference.sparkSession.createDataFrame([("p", ids[0][0], ids[1][0])], "pair_id string, ref_id string, sec_id string")
+    return s.velocity(pairs, dt, rotate)

@@ -347,3 +347,10 @@ FAR = f"WITH {PX}, t AS (SELECT r, c FROM px WHERE (r * 13 + c * 7) % 1009 = 0),
 ORACLES["distance_transform"] = f"{FAR} SELECT r, c, d2 FROM d"
 ORACLES["dilate_far"] = f"{FAR} SELECT r, c, d2 <= 156 AS m FROM d"
 ORACLES["finish_blocks"] = ORACLES["reject_outliers"]
+ORACLES["raster_velocity"] = f"""{_levels()} SELECT lv.gi, lv.gj, 1000.0::DOUBLE + (14 + 8 * (gj - 1) - 1) * 120.0::DOUBLE AS map_x, 9000.0::DOUBLE - (14 + 8 * (gi - 1) - 1) * 120.0::DOUBLE AS map_y,
+round(-dx * 240, 6) + 0.0 AS vx, round(dy * 240, 6) + 0.0 AS vy, chip_size, 'EPSG:3413' AS crs FROM lv"""
+#: Places of rows and columns in the lists are their new indices.
+ORACLES["subset"] = f"""WITH {PX}, {GRID}, h AS (SELECT max(gi) AS n FROM pt), a AS (SELECT CAST(row_number() OVER () AS INTEGER) AS i, k FROM (SELECT unnest(list_concat(range(CAST(n AS BIGINT), 0, -2), [3, 3])) AS k FROM h)),
+b AS (SELECT CAST(row_number() OVER () AS INTEGER) AS j, k FROM (SELECT unnest([5, 1, 2]) AS k)), t AS (SELECT max(i) AS m FROM a)
+SELECT CAST((j - 1) * m + i - 1 AS BIGINT) AS pt_id, i AS gi, j AS gj, x::DOUBLE AS x, y::DOUBLE AS y FROM pt JOIN a ON a.k = gi JOIN b ON b.k = gj, t"""
+ORACLES["rebuild"] = f"WITH {PX}, {GRID} SELECT pt_id, x::DOUBLE AS x, y + 1.0::DOUBLE AS y, 6 AS radius_x, 4 AS radius_y, (pt_id % 9) / 4.0::DOUBLE AS dx_prior FROM pt"

@@ -185,6 +185,19 @@ def decimate(spark, d):
     return points.decimate(grid(spark, d), 3).select("pt_id", "gi", "gj", "x", "y")
 
 
+@query
+def subset(spark, d):
+    """Rows in an order of their own, one of them twice, and some columns."""
+    n = api.grid_size(shape(spark, d), replace(P, chip_size_max=8))[0]
+    return points.subset(grid(spark, d), [*range(n, 0, -2), 3, 3], [5, 1, 2]).select("pt_id", "gi", "gj", "x", "y")
+
+
+@query
+def rebuild(spark, d):
+    given = grid(spark, d).select("pair_id", "pt_id", (F.col("pt_id") % 9 / 4).alias("dx_prior"))
+    return points.rebuild(grid(spark, d), radius_x=6, y=F.col("y") + 1, dx_prior=given).select("pt_id", "x", "y", "radius_x", "radius_y", "dx_prior")
+
+
 def uneven(spark, d) -> DataFrame:
     """The grid with radii and priors that vary, some of them zero."""
     return grid(spark, d).withColumns({
@@ -670,6 +683,13 @@ def result_layers(spark, d):
     return lay.select("layer", "gi", "gj", rd("value").alias("value"))
 
 
+@query
+def raster_velocity(spark, d):
+    """Pixels and axes to velocities in one call."""
+    got = api.track_raster(reference(spark, d), images.shifted(reference(spark, d), 1, 2, "sec", shape(spark, d)), axes(spark), shape(spark, d), 0.5, p=P)
+    return got.select("gi", "gj", "map_x", "map_y", rd("vx").alias("vx"), rd("vy").alias("vy"), "chip_size", "crs")
+
+
 @query
 def track_pair(spark, d):
     """The whole of it in one call: preparation, levels, rejection, filling, merge."""
