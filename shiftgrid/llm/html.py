@@ -47,13 +47,20 @@ SELDOM = {"header", "head", "foot", "side", "notice", "notices", "overlay", "sha
 CONTENT = {"article", "content", "entry", "post", "story", "main", "text", "body", "page", "news", "blog"}
 #: First words of names that tell a state of the page, not what an element is.
 STATES = {"has", "no", "with", "without", "is", "js", "wp", "single"}
-#: What names say of a block, as log-odds: reader comments, never content, seldom content, nothing, words of content, an element of content.
-SAYS = {"comments": -24.0, "never": -14.0, "seldom": -9.0, "": 0.0, "words": 2.0, "element": 9.0}
+#: What names say of a block, as log-odds: reader comments, elements and words of what is never content, seldom content,
+#: nothing, words of content, an element of content. All are less than what text and place may say.
+SAYS = {"comments": -4.5, "never": -4.0, "named": -4.0, "seldom": -4.0, "": 0.0, "words": 1.0, "element": 4.0}
+#: The most that text and place say of a block, either way.
+MOST = 5.0
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: The end of a tag, or the quote that begins an attribute's value.
 STOP = re.compile(r">|=\s*([\"'])")
 ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: An attribute's name and, if it has one, its value: quoted either way or bare.
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?")
+#: What a tag has to hold for its attributes to be read for being hidden.
+MAY_HIDE = re.compile(r"hidden|display", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -75,8 +82,9 @@ class Block:
 def said(tag: str, attrs: str, before: str) -> str:
     """What an element's names say of the blocks in it, a key of ``SAYS``, given what those around it say.
 
-    Comments stay comments whatever is in them, and what is never content stays that; only an element of
-    content leads out of what is seldom content. Names are cut into words, so that one word does not decide
+    Comments stay comments whatever is in them, and what an element makes never content stays that; only an element of
+    content leads out of what is seldom content. One within what only a name calls never content is content if the page
+    has no other. Names are cut into words, so that one word does not decide
     for a compound: a word of content balances a seldom one. Page-wide elements' names tell of the page.
     """
     if before == "comments":
@@ -95,12 +103,14 @@ def said(tag: str, attrs: str, before: str) -> str:
     if before == "never":
         return before
     if tag in GOOD:
-        return "element"
+        return "inner" if before in ("named", "inner") else "element"
+    if before in ("named", "inner") and tag not in BAD:
+        return before
     if tag in BAD and not (tag == "header" and before == "element"):
         # A form may be around a whole page: content elements lead out of it.
-        return "seldom" if tag == "form" else "never"
+        return "named" if tag == "form" else "never"
     if words & NEVER:
-        return "never"
+        return "named"
     if before == "element":
         words -= {"header", "head"}
     if words & SELDOM and not words & CONTENT and tag not in HEADINGS:
@@ -108,6 +118,17 @@ def said(tag: str, attrs: str, before: str) -> str:
     return "words" if before == "" and words & CONTENT else before
 
 
+def hidden(attrs: str) -> bool:
+    """Whether a tag's attributes hide its element: ``hidden``, ``aria-hidden`` of true, or a style without display."""
+    if not MAY_HIDE.search(attrs):
+        return False
+    for name, a, b, c in ATTRIBUTE.findall(attrs):
+        name = name.lower()
+        if name == "hidden" or (name == "aria-hidden" and (a or b or c).strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(a or b or c)):
+            return True
+    return False
+
+
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in order, in one pass whose time is in proportion to the page.
 
@@ -204,12 +225,11 @@ def blocks(html: str) -> list[Block]:
         if name in ENDS_P and n_open["p"]:
             close({"p"})
         elif name in CLOSES:
-            # The one that this ends is among the innermost; marks of inline elements left open may be in it.
-            for other, _, _ in reversed(stack[-8:]):
+            # The one that this ends is the innermost block but for a paragraph, whatever inline elements were left open in it.
+            for other, _ in reversed(inner):
                 if other in CLOSES[name]:
                     close(CLOSES[name])
-                    break
-                if other not in INLINE and other != "p":
+                if other != "p":
                     break
         stack.append((name, block, (says, silent, link)))
         n_open[name] += 1
@@ -217,7 +237,7 @@ def blocks(html: str) -> list[Block]:
             number += 1
             inner.append((name, number))
         says = said(name, attrs, says)
-        silent += name in SILENT or bool(attrs and HIDDEN.search(attrs))
+        silent += name in SILENT or bool(attrs and hidden(attrs))
         link += name == "a"
         if name in RAW:
             raw = re.compile(f"</{name}(?=[\\s/>])", re.I | re.A).search(html, at)
@@ -249,7 +269,7 @@ def fit(pages: list[str], rounds: int = 60, pull: float = 0.05) -> np.ndarray:
     xs, ys = [], []
     for html in pages:
         found = blocks(html or "")
-        told = [b for b in found if b.says not in ("", "words")]
+        told = [b for b in found if b.says not in ("", "words", "inner")]
         if told:
             xs.append(features(told))
             ys.append(np.array([b.says == "element" for b in told], float))
@@ -386,12 +406,13 @@ def cut(gain: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
 def main_text(html: str | None, weights: np.ndarray, near: float = 1.0, tree: float = 0.8) -> str:
     """Text of the blocks on the content side of the cut, joined by one space.
 
-    A block's log-odds are the fitted ones of its text, at most 6 either way, and what names say.
+    A block's log-odds are the fitted ones of its text, at most ``MOST`` either way, and what names say, which is less.
     """
     found = blocks(html or "")
     if not found:
         return ""
-    gain = np.clip(features(found) @ weights, -6, 6) + np.array([SAYS[b.says] for b in found])
+    inner = "named" if any(b.says == "element" for b in found) else "element"
+    gain = np.clip(features(found) @ weights, -MOST, MOST) + np.array([SAYS[inner if b.says == "inner" else b.says] for b in found])
     edges = []
     last: dict[int, int] = {}
     for k, b in enumerate(found):
