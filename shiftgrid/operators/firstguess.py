@@ -76,23 +76,45 @@ def hamming_match(ref: DataFrame, sec: DataFrame, ratio: float = 0.9, keys=("pai
     return _matched(g.where(ok).select(*keys, "i", F.col("b.j").alias("j")), ref, sec, keys)
 
 
+#: Candidates of one image pair that a task settles in order; pairs with more of them settle by proposals.
+CANDIDATES = 1_000_000
+
+
 def orb_match(ref: DataFrame, sec: DataFrame, max_distance: float = 0.1, keys=("pair_id",)) -> DataFrame:
     """Given detections, greedy matches: reference keypoints in order of id each take the nearest secondary one
     that is left, if it differs in at most the part ``max_distance`` of the bits (ties to the smaller id).
 
-    Proposals instead of an order: all propose at once to their nearest, of several the smallest id is held, and
-    the others go on to their next. Every secondary keypoint prefers the smaller id, so this ends in the same
-    matches, in as many rounds as the longest chain of refusals.
+    A pair whose candidates a task holds is settled there in order. Others settle by proposals: all propose at once to
+    their nearest, of several the smallest id is held, and the refused go on to their next. Every secondary keypoint
+    prefers the smaller id, so this ends in the same matches, in as many rounds as the longest chain of refusals.
     """
     keys = list(keys)
-    left = shared_table(_distances(ref, sec, keys, None, max_distance), "candidates")
+    every = shared_table(_distances(ref, sec, keys, None, max_distance), "candidates")
+    counts = every.groupBy(*keys).agg((F.count(F.lit(1)) > CANDIDATES).alias("_many"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in every.select(*keys).schema)
+
+    def settled(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["i", "d", "j"])
+        taken, mine, out = set(), None, []
+        for i, j in zip(df["i"].tolist(), df["j"].tolist(), strict=True):
+            if i != mine and j not in taken:
+                taken.add(j)
+                out.append((i, j))
+                mine = i
+        return pd.DataFrame({k: [v] * len(out) for k, v in zip(keys, key, strict=True)} | {"i": [x[0] for x in out], "j": [x[1] for x in out]})
+
+    sized = every.join(counts, keys)
+    few = sized.where(~F.col("_many")).groupBy(*keys).applyInPandas(settled, f"{kinds}, i bigint, j bigint")
+    if counts.where("_many").isEmpty():
+        return _matched(few, ref, sec, keys)
+    left = sized.where("_many").drop("_many")
     mine, theirs = W.partitionBy(*keys, "i").orderBy("d", "j"), W.partitionBy(*keys, "j").orderBy("i")
     while True:
         asked = left.withColumn("_k", F.row_number().over(mine)).where("_k = 1")
         asked = shared_table(asked.withColumn("_h", F.row_number().over(theirs)).drop("_k"), "asked")
         refused = asked.where("_h > 1").select(*keys, "i", "j")
         if refused.isEmpty():
-            return _matched(asked.select(*keys, "i", "j"), ref, sec, keys)
+            return _matched(few.unionByName(asked.select(*keys, "i", "j")), ref, sec, keys)
         left = shared_table(left.join(refused, [*keys, "i", "j"], "left_anti"), "candidates")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgrid.functions.scalar import pyrup_matrix, refinement_matrix
+from shiftgrid.functions.scalar import refinement_matrix
 
 PT = ["pair_id", "pt_id"]
 PATCH = 5
@@ -35,15 +35,27 @@ def _matrix_table(spark: SparkSession, m) -> DataFrame:
     return spark.createDataFrame(rows, "k int, i int, w double")
 
 
+def _doubled(i: Column, n: int) -> Column:
+    """Array of (place, weight): where sample ``i`` (1-based) of an axis of ``n`` goes when it is doubled, and how much of it.
+
+    Even places (from 0) take 1/8, 3/4, 1/8 of the samples around, odd ones half of two; beyond an edge stand the samples
+    that :func:`shiftgrid.functions.scalar.reflect101` gives in the doubled axis: the second at the start, the last at the end.
+    """
+    k = i - 1
+    goes = [(k * 2, 0.75, None), (k * 2 + 2, 0.125, k + 1 < n), (k * 2 - 2, 0.125, k > 0), (k * 2 + 1, 0.5, None), (k * 2 - 1, 0.5, k > 0),
+            (F.lit(0), 0.125, k == min(1, n - 1)), (F.lit(2 * n - 2), 0.125, k == n - 1), (F.lit(2 * n - 1), 0.5, k == n - 1)]
+    taps = [F.struct((p + 1).cast("int").alias("p"), F.lit(w).alias("w")) for p, w, _ in goes]
+    return F.filter(F.array(*(t if on is None else F.when(on, t) for t, (_, _, on) in zip(taps, goes, strict=True))), lambda t: t.isNotNull())
+
+
 def pyrup(grid: DataFrame, shape: tuple[int, int], keys=("image_id",), value: str = "v") -> DataFrame:
-    """Twofold Gaussian upsampling of grids of ``shape``: two joins with tables of a few taps an axis."""
+    """Twofold Gaussian upsampling of grids of ``shape``: every sample goes to the few places that take of it, along rows and
+    then along columns. No table of weights, whatever the grid's size."""
     keys = list(keys)
-    spark = grid.sparkSession
-    a = _matrix_table(spark, pyrup_matrix(shape[0])).select(F.col("k").alias("r2"), (F.col("i") + 1).alias("r"), F.col("w").alias("wr"))
-    b = _matrix_table(spark, pyrup_matrix(shape[1])).select(F.col("k").alias("c2"), (F.col("i") + 1).alias("c"), F.col("w").alias("wc"))
-    rows = grid.join(F.broadcast(a), "r").groupBy(*keys, "r2", "c").agg(F.sum(F.col("wr") * F.col(value)).alias("_h"))
-    got = rows.join(F.broadcast(b), "c").groupBy(*keys, "r2", "c2").agg(F.sum(F.col("wc") * F.col("_h")).alias(value))
-    return got.select(*keys, (F.col("r2") + 1).alias("r"), (F.col("c2") + 1).alias("c"), value)
+    rows = grid.select(*keys, "c", F.col(value).alias("_v"), F.explode(_doubled(F.col("r"), shape[0])).alias("t"))
+    rows = rows.groupBy(*keys, F.col("t.p").alias("r"), "c").agg(F.sum(F.col("t.w") * F.col("_v")).alias("_v"))
+    both = rows.select(*keys, "r", "_v", F.explode(_doubled(F.col("c"), shape[1])).alias("t"))
+    return both.groupBy(*keys, "r", F.col("t.p").alias("c")).agg(F.sum(F.col("t.w") * F.col("_v")).alias(value))
 
 
 def subpixel_peak(surfaces: DataFrame, pts: DataFrame, upsampling: int, digits: int = 9) -> DataFrame:

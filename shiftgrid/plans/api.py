@@ -32,6 +32,10 @@ def build_grid(spark: SparkSession, shape: tuple[int, int], p: Params, pair_ids:
     return pair_ids.select("pair_id").distinct().crossJoin(F.broadcast(pts.drop("pair_id"))).select(*pts.columns)  # a grid is small and fixed by the parameters
 
 
+#: Tables of one kind beyond which a session writes them as one.
+MOST_TABLES = 8
+
+
 class Session:
     """Prepared images kept by id, so each is filtered, quantized and packed once however many pairs it is in.
 
@@ -44,10 +48,9 @@ class Session:
         self.shape, self.tile = shape, tile
         q = self.params
         self.halo = max(detect.REACH, halo_of(q.chip_size_max, q.chip_height(q.chip_size_max), max(q.radius_x, q.min_search_radius), max(q.radius_y, q.min_search_radius), max(abs(q.dx_prior), abs(q.dy_prior))))
-        self.prepared: DataFrame | None = None
-        self.scenes: DataFrame | None = None
-        self._packs: DataFrame | None = None
-        self._unpacked: DataFrame | None = None  # scenes whose tiles nothing has asked for yet
+        # Tables of images by what they hold, a table a call, with the call's number in _v; scenes whose tiles nothing has asked for yet.
+        self._tables: dict[str, list[DataFrame]] = {"prepared": [], "packs": [], "scenes": []}
+        self._unpacked: list[tuple[DataFrame, int]] = []
         self.axes: DataFrame | None = None
         self.tracked_pairs = 0  #: pairs that the last call of ``field`` had to track
         self._adds: list[DataFrame] = []  # (image_id, version) of every call that added images
@@ -55,24 +58,50 @@ class Session:
         self._fields: list[DataFrame] = []  # results by pair and the versions of its images
         self._last: tuple[tuple, DataFrame] | None = None
 
+    def _keep(self, what: str, df: DataFrame, version: int) -> None:
+        self._tables[what].append(df.withColumn("_v", F.lit(version)))
+
+    def _latest(self, what: str) -> DataFrame | None:
+        """The rows of each image's latest version: one union of the calls' tables and one semi-join, however many calls."""
+        parts = self._tables[what]
+        if not parts:
+            return None
+        if self._added == 1:
+            return parts[0].drop("_v")
+        got = reduce(DataFrame.unionByName, parts).join(self.versions().withColumnRenamed("version", "_v"), ["image_id", "_v"], "left_semi")
+        if len(parts) > MOST_TABLES:
+            got = shared_table(got, what)
+            self._tables[what] = [got]
+        return got.drop("_v")
+
+    @property
+    def prepared(self) -> DataFrame | None:
+        """Prepared pixels of the images that were added as pixels."""
+        return self._latest("prepared")
+
+    @property
+    def scenes(self) -> DataFrame | None:
+        """Images that were added as planes."""
+        return self._latest("scenes")
+
     @property
     def packs(self) -> DataFrame | None:
         """Packed tiles of every image; those of scenes are made when something first asks for them."""
-        if self._unpacked is not None:
-            new, self._unpacked = self._unpacked, None
-            kind = self.params.preprocess
-            own, coded = registry.own("preprocess", kind.kind), registry.own("quantize", self.params.quantize)
-            filtered = (lambda v, ok, f=own.arrays: f(v, ok, kind)) if own else None
+        kind = self.params.preprocess
+        own, coded = registry.own("preprocess", kind.kind), registry.own("quantize", self.params.quantize)
+        filtered = (lambda v, ok, f=own.arrays: f(v, ok, kind)) if own else None
+        while self._unpacked:
+            new, version = self._unpacked.pop(0)
             packed = pack_planes(new, self.tile, self.halo, kind.width if kind.kind == "highpass" else 0, self.params.quantize == "uint8", filtered, coded.arrays if coded else None)
-            self._packs = self._with(self._packs, shared_table(packed, "packs"), new)
-        return self._packs
+            self._keep("packs", shared_table(packed, "packs"), version)
+        return self._latest("packs")
 
     def add(self, pixels: DataFrame, replace: bool = False) -> Session:
         """Prepare the images of ``pixels(image_id, r, c, v or z, valid)``. Those of known ids are left as they
         are, or with ``replace`` take their place, values and mask alike. Pixels beyond the shape are an error.
         """
-        if self.packs is not None and not replace:
-            pixels = pixels.join(self.packs.select("image_id").distinct(), "image_id", "left_anti")
+        if self._adds and not replace:
+            pixels = pixels.join(self.image_ids(), "image_id", "left_anti")
         done = shared_table(PP.prepare(pixels, self.params, self.shape), "prepared")
         n, low_r, low_c, r, c = done.agg(F.count(F.lit(1)), F.min("r"), F.min("c"), F.max("r"), F.max("c")).first()
         if not n:
@@ -80,9 +109,9 @@ class Session:
         if r > self.shape[0] or c > self.shape[1] or min(low_r, low_c) < 1:
             raise ValueError(f"an image has pixels beyond its shape {self.shape}")
         packed = shared_table(pack(done, self.tile, self.halo, "z" in done.columns, self.shape), "packs")
-        self.prepared = self._with(self.prepared, done, packed)
-        self._packs = self._with(self.packs, packed, packed)
         self._touched(packed)
+        self._keep("prepared", done, self._added)
+        self._keep("packs", packed, self._added)
         return self
 
     def add_planes(self, planes: DataFrame) -> Session:
@@ -94,9 +123,9 @@ class Session:
         if kind.kind not in ("highpass", "none") and not (own and own.arrays) or bytes_ and not bytes_.arrays:
             raise ValueError(f"`preprocess` {kind.kind} with `quantize` {self.params.quantize} is of pixel tables; planes take highpass or none, and methods that have a form for arrays")
         planes = planes.select("image_id", "ny", "nx", "data")
-        self.scenes = self._with(self.scenes, planes, planes)
-        self._unpacked = self._with(self._unpacked, planes, planes)
         self._touched(planes)
+        self._keep("scenes", planes, self._added)
+        self._unpacked.append((planes, self._added))
         return self
 
     def _touched(self, images: DataFrame) -> None:
@@ -128,7 +157,7 @@ class Session:
         if self.tracked_pairs:
             found = shared_table(self.track(new.select("pair_id", "ref_id", "sec_id")).join(new, "pair_id"), "fields")
             self._fields.append(found)
-        if len(self._fields) > 8:  # one table again, without what images of now have replaced
+        if len(self._fields) > MOST_TABLES:  # one table again, without what images of now have replaced
             current = reduce(DataFrame.unionByName, self._fields).join(side("ref"), ["ref_id", "_ref"], "left_semi").join(side("sec"), ["sec_id", "_sec"], "left_semi")
             self._fields = [shared_table(current, "fields")]
         return reduce(DataFrame.unionByName, [f.join(asked, key, "left_semi") for f in self._fields]).drop("ref_id", "sec_id", "_ref", "_sec")
@@ -152,21 +181,15 @@ class Session:
 
     def image_ids(self) -> DataFrame:
         """``(image_id)`` of the images that are held."""
-        held = [df.select("image_id") for df in (self._packs, self._unpacked) if df is not None]
-        return reduce(DataFrame.union, held).distinct()
-
-    @staticmethod
-    def _with(held: DataFrame | None, new: DataFrame, packed: DataFrame) -> DataFrame:
-        if held is None:
-            return new
-        return held.join(packed.select("image_id").distinct(), "image_id", "left_anti").unionByName(new)
+        return self.versions().select("image_id")
 
     def pairs_of(self, pairs: DataFrame) -> DataFrame | None:
         """``pairs(pair_id, ref_id, sec_id)`` to (pair_id, r, c, ref, sec, valid)."""
-        if self.prepared is None:
+        prepared = self.prepared
+        if prepared is None:
             return None
-        value = "z" if "z" in self.prepared.columns else "v"
-        side = lambda k: self.prepared.select(F.col("image_id").alias(f"{k}_id"), "r", "c", F.col(value).alias(k), F.col("valid").alias(f"_{k}_ok"))
+        value = "z" if "z" in prepared.columns else "v"
+        side = lambda k: prepared.select(F.col("image_id").alias(f"{k}_id"), "r", "c", F.col(value).alias(k), F.col("valid").alias(f"_{k}_ok"))
         ids = pairs.select("pair_id", "ref_id", "sec_id")
         met = side("ref").join(ids, "ref_id").join(side("sec"), ["sec_id", "r", "c"])
         return met.select("pair_id", "r", "c", "ref", "sec", (F.col("_ref_ok") & F.col("_sec_ok")).alias("valid"))
@@ -174,7 +197,7 @@ class Session:
     def matches(self, pairs: DataFrame, method: str = "corners", **options) -> DataFrame:
         """``(pair_id, m_id, r, c, dx, dy)`` of image pairs: corners matched by their descriptors (``ratio``, ``spacing``,
         ``most``), or what the registered method of another name finds. No image or no corner gives no rows."""
-        if self.packs is None:
+        if not self._adds:
             raise ValueError("no image was added")
         own = registry.own("matches", method)
         return own.find(self, pairs, **options) if own else self._corner_matches(pairs, **options)
@@ -193,7 +216,7 @@ class Session:
 
     def _whole_scenes(self) -> bool:
         """Whether all images came as planes that a task holds whole."""
-        return self.scenes is not None and self.prepared is None and self.shape[0] * self.shape[1] <= SCENE_PIXELS
+        return bool(self._tables["scenes"]) and not self._tables["prepared"] and self.shape[0] * self.shape[1] <= SCENE_PIXELS
 
     def track(self, pairs: DataFrame, pts: DataFrame | None = None, tier: str = "arrow", checkpoint: bool = False) -> DataFrame:
         """The displacement field of each pair. Gridded points (the default) go through all chip sizes; scattered
@@ -202,7 +225,7 @@ class Session:
         ``tier``: "arrow" takes whole scenes where all images are planes that a task holds ("scenes"), and else halo tiles
         ("tiles"); "rows" is the relational form, "auto" takes it for small geometries.
         """
-        if self._packs is None and self.scenes is None:
+        if not self._adds:
             raise ValueError("no image was added")
         key = (pairs, pts, tier, checkpoint)
         if self._last and all(a is b or (isinstance(a, (str, bool)) and a == b) for a, b in zip(self._last[0], key, strict=True)):
@@ -216,7 +239,8 @@ class Session:
         if tier == "scenes":
             raise ValueError("`tier` scenes is of images that were all added as planes, on the grid of the parameters")
         tier = "arrow" if tier == "tiles" else tier
-        images = M.Images(self.pairs_of(pairs), self.shape, self.prepared is not None and "z" in self.prepared.columns, self.packs, pairs, self.tile, self.halo)
+        prepared = self._tables["prepared"]
+        images = M.Images(self.pairs_of(pairs), self.shape, bool(prepared) and "z" in prepared[0].columns, self.packs, pairs, self.tile, self.halo)
         if pts is not None and pts.where("gi is null").limit(1).count():
             out = M.track(images, pts, p, p.similarity[0], None, tier)
         else:
