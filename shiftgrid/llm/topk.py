@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shiftgrid.llm.util import hash_sample, written
+from shiftgrid.llm.util import hash_sample, waves, written
 
 #: Vectors of a packed block, blocks of a share (neighbours in norm order), and queries of a query block.
 #: A task meets one share with one query block; both have about as many rows, so both move about as often.
@@ -177,6 +178,10 @@ def _search(dim: int, basis: np.ndarray, k: int, lead: int):
     return best
 
 
+#: Pairs of a query block and a share, a task each, that meet at a time.
+MOST_TASKS = 20_000
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` largest integer inner products for each row whose
     vec_id is divisible by ``every``, against all other rows; ties to the smaller vec_id.
@@ -221,7 +226,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     # Numbers of blocks and shares only: which share a query block still has to meet.
     due = first.select("qb", "need", F.explode(F.sequence(F.lit(0), F.lit(n_share - 1))).alias("share")).where(F.col("share") != top)
     due = written(due.join(shares, "share").where(F.col("most") * (1 + 1e-9) >= F.col("need")).select("qb", "share"), "due")
-    rest = met(due, asked.join(first.select("qb", "bars"), "qb"), max(1, due.count()), "rest")
-    found = first.unionByName(rest).select(F.explode(F.arrays_zip("q", "v", "s")).alias("e")).select(F.col("e.q").alias("query_id"), F.col("e.v").alias("vec_id"), F.col("e.s").alias("score"))
+    bars = asked.join(first.select("qb", "bars"), "qb")
+    rest = [met(some, bars, max(1, tasks), "rest") for some, tasks in waves(due, ("qb", "share"), MOST_TASKS)]
+    found = reduce(DataFrame.unionByName, rest, first).select(F.explode(F.arrays_zip("q", "v", "s")).alias("e")).select(F.col("e.q").alias("query_id"), F.col("e.v").alias("vec_id"), F.col("e.s").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

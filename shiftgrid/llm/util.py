@@ -77,6 +77,19 @@ def placed(docs: DataFrame) -> DataFrame:
         return written(docs, "docs").select(*docs.columns, place.alias("_row"))
 
 
+def waves(rows: DataFrame, keys: tuple[str, ...], most: int):
+    """``(some of rows, their number)``: all of a written table in turn, about ``most`` at a time, so that one task a row
+    makes no shuffle of more tasks than the driver can track. Of no rows: one empty wave."""
+    total = rows.count()
+    n = -(-total // most)
+    if n <= 1:
+        yield rows, total
+        return
+    for w in range(n):
+        part = rows.where(F.pmod(F.xxhash64(*keys), F.lit(n)) == w)
+        yield part, part.count()
+
+
 #: Rows of one item that a task makes.
 CHUNK = 10_000
 

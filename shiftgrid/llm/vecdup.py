@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.llm.graph import components
-from shiftgrid.llm.util import hash_sample, written
+from shiftgrid.llm.util import hash_sample, waves, written
 
 #: Bytes of a tile's vectors, which bounds what a task holds whatever their length, and vectors of the blocks that tiles are compared in.
 TILE, BLOCK = 8 * 2**20, 1024
@@ -191,6 +192,10 @@ def _compare(bases: dict[int, np.ndarray], least: float, steps: tuple[int, ...],
     return compared
 
 
+#: Pairs of tiles, a task each, that are compared at a time.
+MOST_TASKS = 20_000
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_000, steps: tuple[int, ...] = (16, 32), tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -239,10 +244,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     pairs = own.join(other, ["dim", "step"]).where(after & (F.col("lo2") <= F.col("hi") + reach))
     pairs = written(pairs.select("t", "t2"), "pairs")
     right = tiles.select(*(F.col(c).alias(f"{c}2") for c in ("t", "ids", "copies", "mat")))
-    # A task a pair of tiles, which is some billion products at most.
-    met = pairs.join(tiles, "t").join(right, "t2").repartition(max(1, pairs.count()), "t", "t2")
-    met = met.select("t", "t2", "dim", "ids", "copies", "mat", "ids2", "copies2", "mat2")
-    found = written(met.mapInPandas(_compare(bases, least, steps, kind, block), "a long, b long, n long"), "links")
+    # A task a pair of tiles, which is some billion products at most, and so many tasks at a time.
+    links = []
+    for some, tasks in waves(pairs, ("t", "t2"), MOST_TASKS):
+        met = some.join(tiles, "t").join(right, "t2").repartition(max(1, tasks), "t", "t2")
+        met = met.select("t", "t2", "dim", "ids", "copies", "mat", "ids2", "copies2", "mat2")
+        links.append(written(met.mapInPandas(_compare(bases, least, steps, kind, block), "a long, b long, n long"), "links"))
+    found = reduce(DataFrame.unionByName, links)
     comp = written(components(found.where("n = 0").select("a", "b")), "components")
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     done = reps.select("vec", "rid", "m", "node").join(counts, F.col("node") == F.col("a"), "left").drop("a")

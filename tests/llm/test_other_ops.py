@@ -174,3 +174,20 @@ def test_pipeline(spark):
     for r in out:
         assert r.decoded_sha256 == hashlib.sha256(private[r.doc_id].encode()).hexdigest()
     assert [s for s, _ in c.STAGES] == ["quality", "near_dedup", "pii", "mixing", "tokens"]
+
+
+def test_pairs_in_waves(spark, monkeypatch):
+    """More pairs of tiles, or of query blocks and shares, than meet at a time: the same results."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(120, 16))
+    rows = [(i, (base[i % 120] + rng.normal(size=16) * 0.05).astype(float).tolist()) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = sorted(map(tuple, vecdup.near_duplicates(vectors, tile=16 * 8 * 40, block=16).collect()))
+    top = sorted(map(tuple, topk.top_k(vectors).collect()))
+    monkeypatch.setattr(vecdup, "MOST_TASKS", 3)
+    monkeypatch.setattr(topk, "MOST_TASKS", 2)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "BLOCKS", 2)
+    assert sorted(map(tuple, vecdup.near_duplicates(vectors, tile=16 * 8 * 40, block=16).collect())) == near and len(near) == 600
+    assert sorted(map(tuple, topk.top_k(vectors).collect())) == top and len(top) == 60
