@@ -3,6 +3,8 @@
 Every document's copies are a whole number and a fraction. Pairs of documents of a source trade the
 mass of their fractions, in a random direction that keeps every expectation, until one of the two is
 whole; what is left over meets other leftovers in the next level of a tree, until one is left a source.
+Documents that are large against their source come before the tree, the largest first: each trades with
+all smaller ones of its source at once, so what is open at the end is a small one.
 """
 
 from __future__ import annotations
@@ -11,12 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shiftgrid.llm import util
 from shiftgrid.llm.util import placed, repeated, text_of, written
 
 #: Words are runs of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents a block of the tree holds on average.
 BLOCK = 48
+#: A document of more than this part of its source's open sizes is large; a source has no more than one over this.
+LARGE = 1 / 512
 
 
 def _numbered(sizes: DataFrame) -> DataFrame:
@@ -53,13 +58,48 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), vol
     return t.withColumn("target", target).drop("_w", "_cap")
 
 
+_ITEM = "struct<p:double,mass:bigint,doc_id:bigint,crc:bigint,m:bigint,whole:bigint>"
+
+
+def _draw(seed: int, *keys) -> Column:
+    """From 0 to 1, by a hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / float(1 << 53)
+
+
+def _settle(items: Column, live: Column, share: Column, seed: int) -> Column:
+    """Pivotal rounding of a source's large documents, largest first: struct(a, b, s, live, done).
+
+    Each trades with the pool of all that come after it, large or not, whose sizes add up to ``live`` and whose
+    fractions times sizes to ``share``. The pool's fractions move towards 0 or 1 together, so that of all of them
+    is kept as ``a`` times what they were plus ``b``. Where the pool can carry both outcomes a draw decides, with the
+    chances that keep every expectation; where it can carry one, that one is taken, and where none, the one that
+    leaves the smaller rest: there, being near the target comes before being fair to a document of that size.
+    """
+    def trade(acc: Column, x: Column) -> Column:
+        size = x["mass"].cast("double")
+        p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["a"] * x["p"] + acc["b"]))
+        s, live_ = acc["s"] - x["p"] * size, acc["live"] - x["mass"]
+        held = F.least(live_.cast("double"), F.greatest(F.lit(0.0), acc["a"] * s + acc["b"] * live_))
+        room = live_ - held
+        up, down = F.least((1 - p) * size, held), F.least(p * size, room)  # mass that may go from the pool, or to it
+        keys = (x["doc_id"], x["crc"], x["mass"])
+        rises, falls = (1 - p) * size <= held, p * size <= room  # what the pool can carry
+        less = (1 - p) * size - held <= p * size - room
+        take = F.when(rises & falls, _draw(seed, *keys) * (up + down) < down).when(rises | falls, rises).otherwise(less)
+        left = F.when(take, F.when(held > 0, 1 - up / held).otherwise(1.0)).otherwise(F.when(room > 0, 1 - down / room).otherwise(1.0))
+        return F.struct((acc["a"] * left).alias("a"), F.when(take, acc["b"] * left).otherwise(1 - (1 - acc["b"]) * left).alias("b"), s.alias("s"), live_.alias("live"),
+                        F.concat(acc["done"], F.array(F.struct(take.cast("double").alias("p"), *(x[k].alias(k) for k in ("mass", "doc_id", "crc", "m", "whole"))))).alias("done"))
+
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), share.alias("s"), live.alias("live"), F.expr(f"cast(array() as array<{_ITEM}>)").alias("done"))
+    return F.aggregate(items, start, trade)
+
+
 def _fold(items: Column, seed: int) -> Column:
     """Pivotal rounding along an array of structs (p, mass, id...): all but the last become whole.
 
     The accumulator is the one still open and those decided. With masses a and b and fractions p and
     q, the mass p a + q b is kept: either the lighter pull ends at 0 or 1 on one side or the other.
     """
-    kind = "struct<p:double,mass:bigint,doc_id:bigint,crc:bigint,m:bigint,whole:bigint>"
 
     def trade(acc: Column, x: Column) -> Column:
         o = acc["open"]
@@ -80,7 +120,7 @@ def _fold(items: Column, seed: int) -> Column:
             F.concat(acc["done"], F.array(F.when(first_whole, set_p(o, p3)).otherwise(set_p(x, q3)))).alias("done"),
         )
 
-    start = F.struct(items[0].alias("open"), F.expr(f"cast(array() as array<{kind}>)").alias("done"))
+    start = F.struct(items[0].alias("open"), F.expr(f"cast(array() as array<{_ITEM}>)").alias("done"))
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), start, trade)
 
 
@@ -88,7 +128,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), volume: float =
     """Each row of ``docs``: doc_id, size (words), source_size, target (of its source), taken (words).
 
     ``taken`` is the size times 0, 1 or 2 copies (one more than the whole part of target over size, or
-    that). A source's words taken miss its target by less than one document. Which documents are
+    that). A source's words taken miss its target by less than one document, and by one of over ``LARGE`` of
+    the source only where the smaller ones could not carry it. Which documents are
     taken follows from hashes of ids, texts' checksums and ``seed`` alone, so reruns agree. Repeated
     rows are one item of their common size for the fraction's draw if they are as one in id, source
     and text; their copies are then dealt row by row. Documents without words take nothing. Null ids
@@ -98,22 +139,40 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), volume: float =
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.crc32(text).alias("crc"))
     items = written(rows.groupBy("doc_id", "source", "size", "crc").agg(F.count(F.lit(1)).alias("m")), "items")
-    sizes = items.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n"))
-    told = written(source_targets(sizes, weights, volume, most), "sources")
-    most_docs = told.agg(F.max("n")).first()[0] or 0
-    joined = items.join(told, items["source"].eqNullSafe(told["source"]))
+    # A row a source and number of repeats: open sizes follow from these without a second pass over items.
+    masses = written(items.groupBy("source", "m").agg(F.sum("size").alias("mass"), F.count(F.lit(1)).alias("n")), "masses")
+    sizes = masses.groupBy("source").agg(F.sum(F.col("mass") * F.col("m")).alias("source_size"), F.sum("n").alias("n"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # A row of an item takes floor(ratio) copies; the rest of the item's copies is m times the fraction.
     base = F.floor(ratio + 1e-12)
     extra = F.greatest(F.lit(0.0), ratio - base) * F.col("m")
-    t = joined.select(
-        "doc_id", items["source"].alias("source"), "size", "crc", "m", "source_size", "target", "n",
-        base.cast("long").alias("base"), F.floor(extra).cast("long").alias("whole"), (extra - F.floor(extra)).alias("p"))
-    sourced = F.struct("source_size", "target", "base").alias("s")
-    live = (F.col("size") > 0) & (F.col("p") > 0)
-    parts = [t.where(~live).select("source", "doc_id", "crc", "size", "m", "whole", sourced, F.lit(0.0).alias("p"))]
-    level_rows = t.where(live).select(
-        "source", "n", sourced, F.struct("p", F.col("size").alias("mass"), "doc_id", "crc", "m", "whole").alias("x"))
+    p = extra - F.floor(extra)
+    aimed = written(source_targets(sizes, weights, volume, most), "aimed").withColumnRenamed("source", "src")
+    left_open = masses.drop("n").join(aimed, masses["source"].eqNullSafe(aimed["src"])).where(p > 0)
+    left_open = left_open.groupBy("source").agg(F.sum("mass").alias("live"), F.sum(p * F.col("mass")).alias("share"))
+    told = written(aimed.join(left_open, F.col("src").eqNullSafe(F.col("source")), "left").drop("source"), "sources")
+    most_docs = told.agg(F.max("n")).first()[0] or 0
+    joined = items.join(told, items["source"].eqNullSafe(told["src"]))
+    sourced = F.struct("source_size", "target", base.cast("long").alias("base")).alias("s")
+    x = F.struct(p.alias("p"), F.col("size").alias("mass"), "doc_id", "crc", "m", F.floor(extra).cast("long").alias("whole")).alias("x")
+    t = joined.select("source", "n", "live", "share", sourced, x)
+    live = (F.col("x.mass") > 0) & (F.col("x.p") > 0)
+    large = F.col("x.mass") > LARGE * F.col("live")
+    of_item = ("source", "x.doc_id", "x.crc", F.col("x.mass").alias("size"), "x.m", "x.whole", "s")
+    parts = [t.where(~live).select(*of_item, F.lit(0.0).alias("p"))]
+    # At most 1 / LARGE rows a source.
+    first = t.where(live & large).groupBy("source").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("x.mass")).alias("down"), F.xxhash64("x.doc_id", "x.crc").alias("h"), "x"))).alias("xs"),
+        F.first("live").alias("live"), F.first("share").alias("share"), F.first("s").alias("s"))
+    settled = written(first.select("source", "s", _settle(F.transform("xs", lambda e: e["x"]), F.col("live"), F.col("share"), seed - 3).alias("f")), "large")
+    parts.append(settled.select("source", "s", F.explode("f.done").alias("x")).select(*of_item, "x.p"))
+    pools = settled.select(F.col("source").alias("src"), "f.a", "f.b")
+    moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("a", F.lit(1.0)) * F.col("x.p") + F.coalesce("b", F.lit(0.0))))
+    small = t.where(live & ~large).join(pools, F.col("source").eqNullSafe(F.col("src")), "left")
+    small = written(small.select("source", "n", "s", F.col("x").withField("p", moved).alias("x")), "small")
+    still = (F.col("x.p") > 0) & (F.col("x.p") < 1)
+    parts.append(small.where(~still).select(*of_item, "x.p"))
+    level_rows = small.where(still)
     level = 0
     while True:
         last = most_docs <= BLOCK
@@ -129,7 +188,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), volume: float =
         level, most_docs = level + 1, -(-most_docs // BLOCK)
         if last:
             break
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed - 1), "x.doc_id", "x.crc"), 11) / float(1 << 53)
+    draw = _draw(seed - 1, "x.doc_id", "x.crc")
     parts.append(level_rows.select("source", "x.doc_id", "x.crc", F.col("x.mass").alias("size"), "x.m", "x.whole", "s",
                                    F.when(draw < F.col("x.p"), 1.0).otherwise(0.0).alias("p")))
     names = ["source", "doc_id", "crc", "size", "m", "whole", "s", "p"]
@@ -149,15 +208,24 @@ def sample(docs: DataFrame, **options) -> DataFrame:
     Copies belong to (doc_id, source, text's checksum); repeated rows of one share them. Rows are told
     apart by their place in their files; ``docs`` that are not read from files are written first.
     """
-    got = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "crc").agg(F.sum("copies").alias("_copies"))
-    got = written(got.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("crc").alias("_c"), "_copies"), "taken")
+    got = mix(docs, **options).groupBy("doc_id", "source", "crc").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_m")).where("_copies > 0")
+    got = written(got.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("crc").alias("_c"), "_copies", "_m"), "taken")
     rows = placed(docs)
     narrow = rows.select("_row", "doc_id", "source", F.crc32(text_of()).alias("_crc"))
     met = narrow.join(got, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_crc") == F.col("_c")))
-    # Of a repeated row's n, the copies are dealt in turn: one more for the first ones. All without the texts.
-    same = W.partitionBy("_d", "_s", "_c")
-    turn = F.row_number().over(same.orderBy("_row")) <= F.col("_copies") % F.count(F.lit(1)).over(same)
-    met = met.withColumn("_own", (F.floor(F.col("_copies") / F.count(F.lit(1)).over(same)) + turn.cast("int")).cast("int"))
+    # Of a repeated row's m, the copies are dealt in turn: one more for the first ones. All without the texts. Rows are
+    # numbered in groups of about CHUNK, and a group goes on where those before it end, so that no task numbers all rows of one.
+    groups = F.ceil(F.col("_m") / util.CHUNK).cast("long")
+    met = written(met.select("_row", "_d", "_s", "_c", "_copies", "_m", F.pmod(F.xxhash64("_row"), groups).alias("_g")), "met")
+    same = ["_d", "_s", "_c"]
+    inner = W.partitionBy(*same, "_g").orderBy("_row")
+    before = W.partitionBy(*same).orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
+    counts = met.where(F.col("_m") > util.CHUNK).groupBy(*same, "_g").agg(F.count(F.lit(1)).alias("_held"))
+    ahead = counts.select(*(F.col(k).alias(f"{k}2") for k in (*same, "_g")), F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_ahead"))
+    numbered = met.withColumn("_i", F.row_number().over(inner))
+    on = [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in (*same, "_g")]
+    met = numbered.join(ahead, on, "left").withColumn("_turn", F.col("_i") + F.coalesce("_ahead", F.lit(0)))
+    met = met.withColumn("_own", F.expr("int(_copies div _m + if(_turn <= _copies % _m, 1, 0))"))
     dealt = written(met.where("_own > 0").select("_row", "_own"), "dealt")
     # Texts are shuffled once. The plan is the same at every size: ids are never broadcast.
     many = rows.join(dealt.hint("merge"), "_row").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_own"))))
