@@ -62,8 +62,11 @@ def grown(doc_id: Column, shards: int) -> Column:
     return best["s"]
 
 
-#: A group of equal texts of more than this part of a shard's bytes is placed by itself; no more than shards over this are.
+#: A group of equal texts of more than this part of a shard's bytes, or of its share of rows, is placed by itself; no
+#: more than twice shards over this are.
 LARGE = 0.01
+#: Groups of no more rows than this are not large by rows.
+ROWS = 10_000
 
 
 def _level(loads: list[float], more: float) -> list[float]:
@@ -97,7 +100,7 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", ranges: int | N
     """Each row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``bytes``: equal texts lie in one shard; only a group of them that is larger than a shard is cut. Groups
-    of more than a hundredth of a shard are dealt first, the largest to the least loaded shard; the others
+    of more than a hundredth of a shard, in bytes or in rows, are dealt first, the largest to the least loaded shard; the others
     fill the shards up to one level, in order of checksum, each group where its middle falls. So sizes are
     off by a hundredth of a shard, or by a record that is larger than that.
     ``rows``: shards take consecutive records in that order, with counts at most one apart; a boundary may
@@ -122,8 +125,8 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", ranges: int | N
     large: list[tuple] = []
     if law == "bytes":
         groups = records.groupBy("text_crc32", "size").agg(rows.alias("n"))
-        # Their sizes add up to no more than all, so these are at most shards / LARGE rows.
-        got = groups.where(F.col("size") * F.col("n") > LARGE * total_b / shards).collect()
+        # Their sizes, and their rows, add up to no more than all, so these are at most 2 * shards / LARGE rows.
+        got = groups.where((F.col("size") * F.col("n") > LARGE * total_b / shards) | (F.col("n") > F.greatest(F.lit(ROWS), F.lit(LARGE * total_c / shards)))).collect()
         large = [(ranges + k, g["text_crc32"], g["size"], g["n"]) for k, g in enumerate(sorted(got))]
         if large:
             own = spark.createDataFrame(large, "own int, text_crc32 long, size long, _n long").drop("_n")

@@ -34,3 +34,15 @@ def test_groups_are_whole(spark, monkeypatch):
 
 def test_level():
     assert sharding._level([0.0, 0.0], 10) == [5.0, 5.0] and sharding._level([4.0, 0.0, 100.0], 8) == [2.0, 6.0, 0.0] and sharding._level([3.0], 0) == [0.0]
+
+
+def test_mostly_empty(spark, monkeypatch):
+    """Nine in ten texts are empty: a group large by rows, not by bytes, of which no window holds all."""
+    monkeypatch.setattr(sharding, "ROWS", 100)
+    rows = [(i, "") for i in range(9000)] + [(10_000 + i, f"text {i} " + "word " * 2000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df).collect()
+    sizes, groups = shards_of(got)
+    mean = sum(sizes.values()) / 40
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows) and all(len(v) == 1 for v in groups.values() if v)
+    assert len(sizes) == 40 and all(abs(s - mean) <= 0.05 * mean for s in sizes.values())
