@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id: five-word shingles of a
-    similarity of 0.8 or more."""
+    """One document of each near-duplicate group, the one with the smallest id: candidates by operator 9's
+    SimHash links and by bands of minima, five-word shingles of a similarity of 0.8 or more as the exact check."""
     return simhash.keep_one(docs, width=5, similarity=0.8).select(*COLUMNS)
 
 

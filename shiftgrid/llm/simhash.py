@@ -243,22 +243,24 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def set_prints(docs: DataFrame, width: int, text: str, keys: tuple[str, ...]) -> DataFrame:
-    """``keys``, ``fp`` (16 bytes that tell sets of shingles apart), ``size`` of the set and its ``bands``."""
+    """``keys``, ``fp`` (16 bytes that tell sets of shingles apart), ``sim`` (SimHash of all shingles), ``size`` of the set and its ``bands``."""
     names = list(keys)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sizes, bands = [], [], [np.zeros(0, np.int64)]
+            fps, sims, sizes, bands = [], [], [], [np.zeros(0, np.int64)]
             for t in b.column("_text"):
-                s = shingle_set(t.as_py(), width)
+                hashes = shingle_hashes(t.as_py(), width)
+                s = np.unique(np.array(hashes, np.uint64))
+                sims.append(fingerprint(hashes))
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sizes.append(len(s))
                 bands.append(band_keys(s))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands)))
-            yield pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), lists], names=[*names, "fp", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array(fps, pa.binary()), pa.array(sims, pa.binary()), pa.array(sizes, pa.int64()), lists], names=[*names, "fp", "sim", "size", "bands"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(hashed, f"{schema}, fp binary, size long, bands array<bigint>")
+    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(hashed, f"{schema}, fp binary, sim binary, size long, bands array<bigint>")
 
 
 def _set_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -318,16 +320,31 @@ def _link_sets(similarity: float):
     return linked
 
 
+def simhash_edges(groups: DataFrame, radius: int = 4) -> DataFrame:
+    """``groups(node, sims)`` to ``(a, b)``: nodes joined up whose SimHash fingerprints are equal or within ``radius``, by
+    the covering masks of ``links``. Texts of one set of shingles may have several, as repeats count in a fingerprint."""
+    of = groups.select("node", F.explode("sims").alias("fp"))
+    low = of.groupBy("fp").agg(F.min("node").alias("low"))
+    low = written(low.withColumn("sim_node", F.monotonically_increasing_id()), "fingerprints")
+    same = of.join(low, "fp").where("low <> node").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    near = links(low.select(F.col("sim_node").alias("node"), "fp"), radius)
+    for end in "ab":
+        near = near.join(low.select(F.col("sim_node").alias(end), F.col("low").alias(f"_{end}")), end)
+    return same.unionByName(near.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def candidates(groups: DataFrame) -> DataFrame:
-    """``groups(node, bands)`` to ``(id, root)``: nodes that share a band's key with another, directly or by way of others."""
+    """``groups(node, sims, bands)`` to ``(id, root)``: nodes with SimHash fingerprints that link, or that share a band's key,
+    directly or by way of others."""
     keyed = groups.select("node", F.posexplode("bands").alias("m", "k"))
     low = keyed.groupBy("m", "k").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     low = written(low.select("m", "k", "low"), "buckets")
-    return written(components(keyed.join(low, ["m", "k"]).select(F.col("low").alias("a"), F.col("node").alias("b"))), "candidates")
+    banded = keyed.join(low, ["m", "k"]).select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return written(components(banded.unionByName(simhash_edges(groups))), "candidates")
 
 
 def set_links(rows: DataFrame, groups: DataFrame, width: int, similarity: float, text: str) -> DataFrame:
-    """``(a, b)``: pairs of nodes of ``groups(node, size, b, bands)`` that join up all candidates whose shingle
+    """``(a, b)``: pairs of nodes of ``groups(node, size, b, sims, bands)`` that join up all candidates whose shingle
     sets, made again from the texts of ``rows(_row, text)``, have a Jaccard similarity of ``similarity`` or more."""
     near = candidates(groups)
     at = near.join(groups.select("node", "size", F.col("b.r").alias("_row")), near.id == groups.node).select("root", "node", "size", "_row")
@@ -353,15 +370,16 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str
     """The rows of ``docs``, of each component the one with the smallest key (nulls last), all columns kept.
 
     Links are texts whose sets of distinct shingles have a Jaccard similarity of ``similarity`` or more, counted
-    exactly. Candidates are those that share one of 40 bands of 6 minima: of pairs at 0.8 all but 6 in a million
-    do, at 0.85 and more fewer than one in 10 ** 8 does not. Equal sets always link.
+    exactly. Candidates are those whose SimHash fingerprints link as in ``near_duplicates`` (4 differing bits, none lost), and,
+    as a similarity of 0.8 is beyond what 4 bits tell, those that share one of 40 bands of 6 minima: of pairs at 0.8 all but
+    6 in a million do, at 0.85 and more fewer than one in 10 ** 8 does not. Equal sets always link.
     Of repeated rows with that key one stays. Rows are told apart by their place in their files; ``docs``
     that are not read from files are written first.
     """
     rows = placed(docs)
     prints = written(set_prints(rows, width, text, (key, "_row")), "prints")
     first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r")))
-    groups = prints.groupBy("fp").agg(first.alias("b"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    groups = prints.groupBy("fp").agg(first.alias("b"), F.first("size").alias("size"), F.collect_set("sim").alias("sims"), F.first("bands").alias("bands"))
     groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "sets")
     comp = written(components(set_links(rows, groups, width, similarity, text)), "components")
     best = groups.join(comp, groups.node == comp.id, "left").groupBy(F.coalesce("root", "node")).agg(F.min("b").alias("b")).select(F.col("b.r").alias("_row"))

@@ -45,3 +45,16 @@ def test_repeated_lines_count_once(spark, tmp_path):
         once = line * 2 + text
         rows += [(3 * g + 1, " ".join(once)), (3 * g + 2, " ".join(line * 20 + text))]
     assert kept(spark, tmp_path / "d", rows) == {i for i, _ in rows if i % 3 != 2}
+
+
+def test_simhash_brings_candidates(spark, tmp_path):
+    """Near copies meet by SimHash links alone, where no band brings them together, and are still checked exactly."""
+    base = [f"w{i * 7919 % 1000}x{i}" for i in range(3000)]
+    near = [*base[:-1], "other"]
+    texts = [(0, " ".join(base)), (1, " ".join(near)), (2, " ".join(reversed(base)))]
+    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t, 5)) for i, t in texts}
+    assert (int.from_bytes(prints[0]) ^ int.from_bytes(prints[1])).bit_count() <= 4
+    groups = spark.createDataFrame([(i, [bytearray(f)], [i] * simhash.BANDS) for i, f in prints.items()], "node long, sims array<binary>, bands array<bigint>")
+    roots = {r.id: r.root for r in simhash.candidates(groups).collect()}
+    assert roots[0] == roots[1] and roots.get(2, 2) == 2
+    assert kept(spark, tmp_path / "d", texts) == {0, 2}
