@@ -44,3 +44,25 @@ def test_window_of_nothing(spark):
     assert W.windowmedian(empty, 3, (5, 5)).count() == 0
     with pytest.raises(ValueError):
         W.extent(0, (5, 5))
+
+
+def test_gaps_need_no_frame_to_the_end(spark):
+    """Spark makes a frame from the current row to the end again for each row: a column's square in time."""
+    from shiftgrid.plans.queries import QUERIES
+
+    plan = QUERIES["wallis_gapfill"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "windowspecdefinition" in plan
+    assert "currentrow$(), unboundedfollowing" not in plan
+
+
+def test_gaps_lie_between_valid_pixels(spark):
+    """A gap has valid pixels on either side along its row and its column; a line without any has none."""
+    from shiftgrid.operators import preprocess as pre
+
+    bad = {(1, 1), (2, 3), (3, 3), (5, 2)} | {(4, c) for c in range(1, 6)}
+    px = spark.createDataFrame([("a", r, c, float(r * 3 + c * c), (r, c) not in bad) for r in range(1, 6) for c in range(1, 6)], "image_id string, r int, c int, v double, valid boolean")
+    got = {(r.r, r.c): r.valid for r in pre.wallis_gapfill(px, 3, (5, 5)).collect()}
+    ok = {(r, c) for r in range(1, 6) for c in range(1, 6)} - bad
+    between = lambda k, of: of and min(of) <= k <= max(of)
+    for r, c in bad:
+        assert got[r, c] == bool(between(c, [q for p, q in ok if p == r]) and between(r, [p for p, q in ok if q == c]))
