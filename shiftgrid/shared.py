@@ -23,8 +23,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` cut off from its lineage: written to the shared folder and read again. Survives lost executors."""
+def shared_table(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` cut off from its lineage: written to the shared folder, in folders ``by`` columns, and read again. Survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by or ()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
