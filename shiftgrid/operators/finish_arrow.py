@@ -20,9 +20,10 @@ from shiftgrid.registry import OutlierFilter
 SIDE = 128
 
 
-def finish(field: DataFrame, f: Gardner | OutlierFilter | None, upsampling: int, shape: tuple[int, int], fill_window: int | None = None, passes: int = 3, side: int = SIDE) -> DataFrame:
-    """``field(pair_id, gi, gj, dx, dy, correlation, radius_x, radius_y, ...)`` with ``keep`` as ``reject_outliers``
-    gives it. With a ``fill_window`` rejected values are null and holes filled as ``fill_holes`` does, and
+def finish(field: DataFrame, f: Gardner | OutlierFilter | None, upsampling: int, shape: tuple[int, int], fill_window: int | None = None, passes: int = 3, side: int = SIDE,
+           keys=("pair_id",), r: str = "gi", c: str = "gj") -> DataFrame:
+    """``field(keys, r, c, dx, dy, correlation, radius_x, radius_y, ...)`` with ``keep``, see ``reject_outliers``.
+    With a ``fill_window`` rejected values are null and holes filled as ``fill_holes`` does, and
     ``filled`` follows. Rows of every pair need places of their own within ``shape``."""
     halo = f.reach if f else 0
     halo += passes * (fill_window // 2) if fill_window else 0
@@ -34,9 +35,9 @@ def finish(field: DataFrame, f: Gardner | OutlierFilter | None, upsampling: int,
         return F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit((n - 1) // side)))
 
     def finished(key: tuple, t: pa.Table) -> pa.Table:
-        top, left = (int(k.as_py()) * side + 1 for k in key[1:])
+        top, left = (int(k.as_py()) * side + 1 for k in key[-2:])
         t = t.drop_columns(["_br", "_bc"])
-        i, j = t["gi"].to_numpy(), t["gj"].to_numpy()
+        i, j = t[r].to_numpy(), t[c].to_numpy()
         r0, c0 = int(i.min()), int(j.min())
         at = i - r0, j - c0
         grid = lambda name: _placed(t[name].to_numpy(), at)
@@ -52,11 +53,12 @@ def finish(field: DataFrame, f: Gardner | OutlierFilter | None, upsampling: int,
             out = out.append_column("filled", pa.array(filled[at]))
         return out.filter(pa.array(own))
 
-    kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in field.schema) + ", keep boolean" + (", filled boolean" if fill_window else "")
-    spread = field.withColumn("_br", F.explode(span("gi", shape[0]))).withColumn("_bc", F.explode(span("gj", shape[1])))
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in field.schema) + ", keep boolean" + (", filled boolean" if fill_window else "")
+    spread = field.withColumn("_br", F.explode(span(r, shape[0]))).withColumn("_bc", F.explode(span(c, shape[1])))
     # Rows are few bytes but work for Python: as many tasks as the session has, not as few as the bytes suggest.
     parts = int(field.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(parts, "pair_id", "_br", "_bc").groupBy("pair_id", "_br", "_bc").applyInArrow(finished, kinds)
+    block = [*keys, "_br", "_bc"]
+    return spread.repartition(parts, *block).groupBy(*block).applyInArrow(finished, kinds)
 
 
 def _placed(v: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrid.operators.window2d import array_median, gathered
+from shiftgrid.operators.finish_arrow import finish
 from shiftgrid.params import Gardner
 from shiftgrid.registry import OutlierFilter
 
@@ -16,40 +16,12 @@ def reject_outliers(field: DataFrame, f: Gardner | OutlierFilter | None, upsampl
     Displacements are over their radius (missing for radius 0). First, ``iterations`` times: at least a
     fixed fraction of the full window agrees within a tolerance on both axes. Then, one time fewer but at
     least once: both lie within ``mad_scale`` deviations of the window's median, or two sub-pixel steps.
-    A rejected point is missing from then on, so rejection is monotone. Both axes share one gathering
-    a pass.
+    A rejected point is missing from then on, so rejection is monotone. All passes of a block of the grid
+    are one task's, so a field is shuffled once.
     """
-    names = field.columns
     measured = F.col("dx").isNotNull() & F.col("dy").isNotNull()
     if f is None:
         return field.withColumn("keep", measured)
     if isinstance(f, OutlierFilter):
         return f.columns(field, upsampling, shape).withColumn("keep", F.coalesce("keep", F.lit(False)) & measured)
-    over = lambda a: F.when(F.col(f"radius_{a}") > 0, F.col(f"d{a}") / F.col(f"radius_{a}"))
-    got = field.withColumns({"keep": measured, "_x": over("x"), "_y": over("y")})
-    needed = f.min_agree_fraction * f.window**2 - 1e-9
-    held = F.when(F.col("keep") & F.col("_x").isNotNull() & F.col("_y").isNotNull(), F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))
-    keep_names = [*names, "_x", "_y", "keep"]
-    for _ in range(f.iterations):
-        g = gathered(got.withColumn("_v", held), f.window, shape, keys, "_v", "_g", r, c)
-        agree = lambda a: F.size(F.filter("_g", lambda s: F.abs(s[a] - F.col(f"_v.{a}")) < f.agree_tolerance)) >= needed
-        got = g.withColumn("keep", F.col("_v").isNotNull() & agree("x") & agree("y")).select(*keep_names)
-    for _ in range(max(f.iterations - 1, 1)):
-        g = gathered(got.withColumn("_v", held), f.window, shape, keys, "_v", "_g", r, c)
-        g = g.withColumns({f"_m{a}": array_median(_axis(a)) for a in "xy"})
-        g = g.withColumns({f"_d{a}": array_median(F.transform(_axis(a), _off(a))) for a in "xy"})
-        ok = None
-        for a in "xy":
-            tol = F.greatest(f.mad_scale * F.col(f"_d{a}"), 2.0 / (upsampling * F.col(f"radius_{a}")))
-            x = F.abs(F.col(f"_{a}") - F.col(f"_m{a}")) <= tol + 1e-12
-            ok = x if ok is None else ok & x
-        got = g.withColumn("keep", F.col("_v").isNotNull() & F.coalesce(ok, F.lit(False))).select(*keep_names)
-    return got.select(*names, "keep")
-
-
-def _axis(a: str):
-    return F.transform("_g", lambda s: s[a])
-
-
-def _off(a: str):
-    return lambda x: F.abs(x - F.col(f"_m{a}"))
+    return finish(field, f, upsampling, shape, keys=keys, r=r, c=c)

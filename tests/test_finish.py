@@ -49,3 +49,22 @@ def test_no_filter_and_no_filling(spark):
     assert got.columns == [*field.columns, "keep"]
     assert sorted(got.collect()) == sorted(reject_outliers(field, None, 64, shape).collect())
     assert finish(field.limit(0), Gardner(), 64, shape, 3).count() == 0
+
+
+def test_rejection_shuffles_once_and_is_that_of_single_windows(spark):
+    """Two fields beyond a block's side, under other names, against windows of one place at a time."""
+    shape, f = (19, 140), Gardner()
+    field = drawn(spark, shape).withColumnsRenamed({"pair_id": "site", "gi": "a", "gj": "b"})
+    got = reject_outliers(field, f, 64, shape, ("site",), "a", "b")
+    assert got.columns == [*field.columns, "keep"]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    x = {(r.site, r.a, r.b): (r.dx / r.radius_x, r.dy / r.radius_y) for r in field.collect() if r.dx is not None and r.dy is not None and r.radius_x > 0}
+    around = lambda k, kept: np.array([x[p] for p in ((k[0], k[1] + i, k[2] + j) for i in range(-2, 3) for j in range(-2, 3)) if p in kept])
+    kept = set(x)
+    for _ in range(3):
+        kept = {k for k in kept if ((np.abs(around(k, kept) - x[k]) < f.agree_tolerance).sum(0) >= f.min_agree_fraction * 25 - 1e-9).all()}
+    for _ in range(2):
+        near = {k: around(k, kept) for k in kept}
+        mid = {k: np.median(v, 0) for k, v in near.items()}
+        kept = {k for k, v in near.items() if (np.abs(x[k] - mid[k]) <= np.maximum(f.mad_scale * np.median(np.abs(v - mid[k]), 0), 2 / (64 * 6)) + 1e-12).all()}
+    assert {(r.site, r.a, r.b) for r in got.collect() if r.keep} == kept and 100 < len(kept) < len(x)
