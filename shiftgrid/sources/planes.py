@@ -1,7 +1,7 @@
 """Raw planes as a Spark data source: files of column-major 32-bit floats, read in ranges of columns, written whole or not at all.
 
 ``spark.dataSource.register(RawPlanes)``, then ``read.format("raw_planes")`` with the options ``ny`` and ``nx``, and
-``write.format("raw_planes")`` of rows ``(pair_id, <one binary column a plane>)``. Paths are local ones or those that
+``write.format("raw_planes")`` of rows ``(pair_id, <one binary column a plane>)``, or of parts of files by place. Paths are local ones or those that
 Arrow's file systems open (s3, gs, hdfs); for others there is ``raw.read_raw``, which takes whole files by Spark's reader.
 """
 
@@ -11,6 +11,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ def id_of(path: str) -> str:
 
 class RawPlanes(DataSource):
     """Options of reading: ``path`` (a file, or a folder of them), ``ny``, ``nx``, ``image_id`` (of one file; by default its
-    name), ``range_bytes``. Of writing: ``path``, a folder that takes ``<pair_id>.bin`` a row."""
+    name), ``range_bytes``. Of writing: ``path``, a folder that takes ``<pair_id>.bin`` a row, or with ``values`` (of each file)
+    one of all rows ``(pair_id, first, data)`` of that id: the values of a file from ``first`` (from 0) on."""
 
     @classmethod
     def name(cls) -> str:
@@ -52,7 +54,7 @@ class RawPlanes(DataSource):
         return RangeReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return PlaneWriter(self.options["path"], overwrite)
+        return PlaneWriter(self.options["path"], overwrite, int(self.options.get("values", 0)))
 
 
 @dataclass
@@ -111,25 +113,53 @@ class PlaneWriter(DataSourceArrowWriter):
     fails the folder goes. A task that runs twice writes other files; those of one run are taken. Tasks do not make the
     folder, so one that outlives a failed write can't bring it back."""
 
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.own = path, overwrite, f".write-{uuid.uuid4().hex}"
+    def __init__(self, path: str, overwrite: bool, values: int = 0):
+        self.path, self.overwrite, self.values, self.own = path, overwrite, values, f".write-{uuid.uuid4().hex}"
         fs, root = opened(path)
         fs.create_dir(f"{root}/{self.own}", recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = opened(self.path)
         done = []
+        for pair, parts in self._parts(iterator) if self.values else self._rows(iterator):
+            if pair is None or "/" in pair or pair.startswith("."):
+                raise ValueError(f"raw_planes: {pair!r} is no name of a file")
+            part = f"{uuid.uuid4().hex}.part"
+            with fs.open_output_stream(f"{root}/{self.own}/{part}") as out:
+                for data in parts:
+                    out.write(data)
+            done.append((part, f"{pair}.bin"))
+        return Written(done)
+
+    def _rows(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
         for b in iterator:
             names = [n for n in b.schema.names if n != "pair_id"]
             for k, pair in enumerate(b.column("pair_id").to_pylist()):
-                if pair is None or "/" in pair or pair.startswith("."):
-                    raise ValueError(f"raw_planes: {pair!r} is no name of a file")
-                part = f"{uuid.uuid4().hex}.part"
-                with fs.open_output_stream(f"{root}/{self.own}/{part}") as out:
-                    for n in names:
-                        out.write(b.column(n)[k].as_py() or b"")
-                done.append((part, f"{pair}.bin"))
-        return Written(done)
+                yield pair, (b.column(n)[k].as_py() or b"" for n in names)
+
+    def _parts(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
+        """Files in rows' order, each as it comes: a task holds a part, not a file."""
+        rows = ((p, a, d) for b in iterator for p, a, d in zip(b.column("pair_id").to_pylist(), b.column("first").to_pylist(), b.column("data"), strict=True))
+        for pair, own in groupby(rows, lambda t: t[0]):
+            yield pair, self._filled(pair, own)
+
+    def _filled(self, pair: str, rows: Iterator[tuple]) -> Iterator[bytes]:
+        """One file's parts, NaN where it has none."""
+        at, none = 0, np.full(AT_ONCE, np.nan, "<f4").tobytes()
+
+        def gap(upto: int) -> Iterator[bytes]:
+            for k in range(at, upto, AT_ONCE):
+                yield none[: 4 * min(AT_ONCE, upto - k)]
+
+        for _, first, data in rows:
+            if first < at:
+                raise ValueError(f"raw_planes: parts of {pair!r} overlap or are out of order at {first}")
+            yield from gap(first)
+            yield (raw := data.as_py())
+            at = first + len(raw) // 4
+        if at > self.values:
+            raise ValueError(f"raw_planes: {pair!r} has values up to {at} of {self.values}")
+        yield from gap(self.values)
 
     def _drop(self, fs: pafs.FileSystem, root: str) -> None:
         for last in (False, False, True):  # a task that still writes may add a file while the folder is emptied
@@ -172,3 +202,11 @@ def write_planes(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     """Rows ``(pair_id, <binary planes>)`` to ``<path>/<pair_id>.bin`` each, the planes one after another."""
     rows.sparkSession.dataSource.register(RawPlanes)
     rows.write.format("raw_planes").mode("overwrite" if overwrite else "append").save(path)
+
+
+def write_parts(rows: DataFrame, path: str, values: int, overwrite: bool = False) -> None:
+    """Rows ``(pair_id, first, data)`` to ``<path>/<pair_id>.bin``: ``data`` (32-bit floats) from the place ``first`` of the
+    ``values`` of each file on, NaN where no row is. A file's parts stream in order through one task, which holds one of them."""
+    rows.sparkSession.dataSource.register(RawPlanes)
+    own = rows.select("pair_id", "first", "data").repartition("pair_id").sortWithinPartitions("pair_id", "first")
+    own.write.format("raw_planes").option("values", values).mode("overwrite" if overwrite else "append").save(path)

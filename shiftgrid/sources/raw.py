@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftgrid.shared import shared_table
-from shiftgrid.sources.planes import write_planes
+from shiftgrid.sources.planes import write_parts
 
 
 def read_raw(spark: SparkSession, path: str, ny: int, nx: int, image_id: str | None = None) -> DataFrame:
@@ -35,25 +34,38 @@ def read_raw(spark: SparkSession, path: str, ny: int, nx: int, image_id: str | N
     return files.mapInArrow(scanned, "image_id string, r int, c int, v double, valid boolean")
 
 
-def planes(result: DataFrame, grid: tuple[int, int]) -> DataFrame:
-    """(pair_id, dx, dy, correlation): each a column-major plane of 32-bit floats, NaN where nothing was measured."""
+#: Places of a plane that a task lays out at a time, and values of a row: a writer gets 10,000 rows at once.
+PART, ROW = 1 << 18, 1 << 12
+
+
+def plane_parts(result: DataFrame, grid: tuple[int, int]) -> DataFrame:
+    """``(pair_id, first, data)``: parts of files that hold dx, dy and correlation, each a column-major plane of 32-bit floats, NaN
+    where nothing was measured; ``first`` is a part's place in its file. A place beyond the grid is an error."""
     names = ("dx", "dy", "correlation")
+    size = grid[0] * grid[1]
 
-    def laid(df: pd.DataFrame) -> pd.DataFrame:
-        out = {"pair_id": [df["pair_id"].iloc[0]]}
-        for k in names:
-            a = np.full(grid, np.nan, "<f4")
-            a[df["gi"] - 1, df["gj"] - 1] = df[k]
-            out[k] = [a.tobytes(order="F")]
-        return pd.DataFrame(out)
+    def laid(key: tuple, t: pa.Table) -> pa.Table:
+        start = key[1].as_py() * PART
+        n = min(PART, size - start)
+        at = t["_at"].to_numpy() - start
+        first, data = [], []
+        for k, name in enumerate(names):
+            a = np.full(n, np.nan, "<f4")
+            a[at] = t[name].to_numpy()
+            for s in range(0, n, ROW):
+                first.append(k * size + start + s)
+                data.append(a[s : s + ROW].tobytes())
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(data), pa.string()), pa.array(first, pa.int64()), pa.array(data, pa.binary())], names=["pair_id", "first", "data"])
 
-    rows = result.select("pair_id", "gi", "gj", *(F.col(k).cast("double").alias(k) for k in names))
-    return rows.groupBy("pair_id").applyInPandas(laid, "pair_id string, dx binary, dy binary, correlation binary")
+    inside = F.col("gi").between(1, grid[0]) & F.col("gj").between(1, grid[1])
+    at = F.when(inside, (F.col("gj").cast("bigint") - 1) * grid[0] + F.col("gi") - 1).otherwise(F.raise_error(F.lit(f"a place lies beyond the grid {grid}")).cast("bigint"))
+    rows = result.select("pair_id", at.alias("_at"), *(F.col(k).cast("double").alias(k) for k in names)).withColumn("_part", F.floor(F.col("_at") / PART).cast("bigint"))
+    return rows.groupBy("pair_id", "_part").applyInArrow(laid, "pair_id string, first bigint, data binary")
 
 
 def write_raw(result: DataFrame, grid: tuple[int, int], path: str) -> DataFrame:
     """One raw file ``<path>/<pair_id>.bin`` a pair, the three planes one after another, all of them or none. Their
     names, as ``(pair_id, path)``."""
-    rows = shared_table(planes(result, grid), "planes")
-    write_planes(rows, path)
-    return rows.select("pair_id", F.concat(F.lit(path.rstrip("/") + "/"), "pair_id", F.lit(".bin")).alias("path"))
+    rows = shared_table(plane_parts(result, grid), "planes")
+    write_parts(rows, path, 3 * grid[0] * grid[1])
+    return rows.select("pair_id").distinct().select("pair_id", F.concat(F.lit(path.rstrip("/") + "/"), "pair_id", F.lit(".bin")).alias("path"))

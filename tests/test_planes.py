@@ -64,3 +64,27 @@ def test_results_are_laid_out_by_pair(spark, tmp_path):
     names = raw.write_raw(field, (2, 3), str(tmp_path)).collect()
     got = np.frombuffer(open(names[0].path, "rb").read(), "<f4").reshape(3, 3, 2).transpose(0, 2, 1)
     assert [r.pair_id for r in names] == ["a"] and got[0].tolist() == [[1, 1, 1], [2, 2, 2]] and np.isnan(got[1][0, 0]) and got[1][0, 1] == 2
+
+
+def test_a_pair_is_laid_out_in_parts(spark, tmp_path, monkeypatch):
+    """No task holds a pair's planes: parts of bounded size, NaN where a part or a place is missing, whatever order rows come in."""
+    monkeypatch.setattr(raw, "PART", 16)
+    grid = (7, 12)
+    v = texture(*grid, 2).astype("<f4")
+    held = lambda p, i, j: (i + 5 * j) % 7 > 0 and not (p == "a" and 2 <= j <= 8)
+    rows = [(p, i + 1, j + 1, float(v[i, j]), float(-v[i, j]), 0.5) for p in "ab" for i in range(7) for j in range(12) if held(p, i, j)]
+    field = spark.createDataFrame(rows, "pair_id string, gi int, gj int, dx double, dy double, correlation double")
+    parts = raw.plane_parts(field, grid)
+    assert max(len(r.data) for r in parts.collect()) == 4 * 16 and parts.count() > 3 * 6
+    assert {r.pair_id for r in raw.write_raw(field.repartition(5), grid, str(tmp_path)).collect()} == {"a", "b"}
+    for p in "ab":
+        got = np.fromfile(tmp_path / f"{p}.bin", "<f4").reshape(3, 12, 7).transpose(0, 2, 1)
+        ok = np.array([[held(p, i, j) for j in range(12)] for i in range(7)])
+        for plane, want in zip(got, (v, -v, np.full(grid, 0.5, "<f4")), strict=True):
+            assert np.array_equal(plane, np.where(ok, want, np.nan), equal_nan=True)
+    with pytest.raises(Exception, match="beyond the grid"):
+        raw.write_raw(field, (6, 12), str(tmp_path / "beyond"))
+    part = spark.createDataFrame([("a", 0, b"\0" * 8), ("a", 1, b"\0" * 8)], "pair_id string, first long, data binary")
+    with pytest.raises(Exception, match="overlap"):
+        planes.write_parts(part, str(tmp_path / "overlap"), 8)
+    assert os.listdir(tmp_path / "overlap") == []
