@@ -23,6 +23,14 @@ def test_no_shuffle_by_place_or_shift(spark, name):
     assert not [k for k in keys if re.search(r"\b(wi|wj|sy|sx|si|sj|u|x)#", k)]
 
 
+@pytest.mark.parametrize("name", ["subpixel_peak", "peak_offset", "rotation_search", "track", "track_scattered", "zncc"])
+def test_points_are_not_broadcast(spark, name):
+    """Points and their lines are estimated by the file they come from, so a join that Spark is left to choose builds them in the driver."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "BroadcastExchange" not in plan
+
+
 def test_window_over_several_blocks_and_outside(spark):
     """A wide window over blocks of lines and beyond the image's edge has the sums of its pixels, zero outside."""
     px = spark.createDataFrame([("p", r, c, float((r * 37 + c * 11) % 17), True) for r in range(1, 41) for c in range(1, 131)], "pair_id string, r int, c int, v double, valid boolean")
